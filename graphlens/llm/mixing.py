@@ -60,8 +60,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget=(3, 2), epochs: int
     return level.select("source_key", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget=(3, 2), epochs: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row for each row of ``docs``.
+def mix(docs: DataFrame, weights=WEIGHTS, budget=(3, 2), epochs: int = 2, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns to ``carry``: one row for each row of ``docs``.
 
     ``taken`` is size times the copies taken, at most ``epochs``.
     """
@@ -73,6 +73,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=(3, 2), epochs: int = 2, seed:
             _source_key(F.col("source")).alias("source_key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             shuffled.alias("h"),
+            *carry,
         ),
         "mix-sizes",
     )
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=(3, 2), epochs: int = 2, seed:
     queued = materialize(
         sizes.withColumn("run", F.sum("size").over(within))
         .join(starts, ["source_key", "bucket"])
-        .select("doc_id", "source_key", "size", "source_size", "target", (F.col("start") + F.col("run")).alias("sent")),
+        .select("doc_id", "source_key", "size", "source_size", "target", (F.col("start") + F.col("run")).alias("sent"), *carry),
         "mix-queued",
     )
     num, den = budget
@@ -121,7 +122,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=(3, 2), epochs: int = 2, seed:
         finish = (F.col("sent") + e * F.col("source_size")) / F.col("target")
         under = (finish < F.lit(f)) | ((finish == F.lit(f)) & (F.col("source_key") < F.lit(k)))
         taken = taken + F.when((F.col("size") > 0) & under, F.col("size")).otherwise(0)
-    return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
+
+
+def mixed_documents(docs: DataFrame, **mixing) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it; equal rows of one id count as one row
+    taken as often as all of them. Documents without words are not taken.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("text", "source"))
+    taken = mix(keyed, carry=("_key",), **mixing).filter("taken > 0")
+    copies = taken.groupBy("doc_id", "_key").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies")).withColumnRenamed("doc_id", "_id")
+    once = keyed.dropDuplicates(["doc_id", "_key"])
+    found = once.join(copies, once["doc_id"].eqNullSafe(copies["_id"]) & (once["_key"] == copies["_key"])).drop(copies["_key"])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 ORACLE = r"""

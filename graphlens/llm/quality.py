@@ -191,3 +191,16 @@ def score(docs: DataFrame, net: Network | float, cut: float = 0.3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_poor(docs: DataFrame, net: Network | float, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` or more, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for b in rows_of(batches, 512):
+            s = np.full(b.num_rows, m) if isinstance(m, float) else m.score([(t.as_py() or "").encode() for t in b.column("text")])
+            yield b.filter(pa.array(s >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

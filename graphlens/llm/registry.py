@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, quality, sharding, topk, toxicity, url_filter
+from . import bpe, chat, jaccard_join, media, mixing, quality, sharding, topk, toxicity, url_filter
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
@@ -55,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE}

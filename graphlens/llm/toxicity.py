@@ -241,3 +241,17 @@ def score(docs: DataFrame, model: Model | float, cut: float = 0.5) -> DataFrame:
 
     ddl = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,similarity:double>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, ddl)
+
+
+def without_toxic(docs: DataFrame, model: Model | float, cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``cut``, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        known = _Terms({} if isinstance(m, float) else m.terms)
+        for b in rows_of(batches, 1024):
+            keep = [(m if isinstance(m, float) else m.score(known, t.as_py())[0]) < cut for t in b.column("text")]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
