@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, materialize, rows_of
 
-EXAMPLES, TERMS, CHI2, LEAST_DF = 1500, 4096, 10.8, 4
+EXAMPLES, TERMS, CHI2, LEAST_DF = 1500, 2048, 10.8, 4
 BLOCK, NEIGHBOURS, EVIDENCE = 64, 15, 3
 CACHE = 400_000
 _WORD = re.compile(r"[^\W_]+").findall
@@ -47,11 +47,15 @@ def terms_of(word: str) -> tuple[str, ...]:
 
 
 class _Terms(dict):
-    """word -> ids of its chosen terms; forgets everything when it is full."""
+    """word -> ids of its chosen terms; forgets everything when it is full.
+
+    Only words whose first four characters are in ``heads`` can have any.
+    """
 
     def __init__(self, ids: dict[str, int]):
         super().__init__()
         self.ids = ids
+        self.heads = {t.removesuffix("*")[:4] for t in ids}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHE:
@@ -59,12 +63,18 @@ class _Terms(dict):
         out = self[word] = tuple(i for t in terms_of(word) if (i := self.ids.get(t)) is not None)
         return out
 
+    def among(self, words: set[str]) -> set[int]:
+        heads = self.heads
+        return {i for w in words if w[:4] in heads for i in self[w]}
+
 
 def term_counts(known: _Terms, text: str | None) -> dict[int, int]:
     out: dict[int, int] = {}
+    heads = known.heads
     for w, n in words_of(text).items():
-        for i in known[w]:
-            out[i] = out.get(i, 0) + n
+        if w[:4] in heads:
+            for i in known[w]:
+                out[i] = out.get(i, 0) + n
     return out
 
 
@@ -76,21 +86,17 @@ def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block, with the largest weight of each."""
+    """Weights of unit vectors by term, block and place in the block, with the largest of each block.
+
+    Examples and terms are bounded, and so is the index: ``TERMS`` x 2 x ``EXAMPLES`` weights.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
-        doc = np.concatenate([np.full(len(i), d) for d, (i, _) in enumerate(vectors)] or [np.empty(0, int)]).astype(np.int64)
-        term = np.concatenate([i for i, _ in vectors] or [np.empty(0, int)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
-        order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        cell = term[order] * self.blocks + self.doc // BLOCK
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, self.blocks)
+        self.blocks = -(-len(vectors) // BLOCK)
+        self.weight = np.zeros((terms, self.blocks, BLOCK))
+        for d, (i, w) in enumerate(vectors):
+            self.weight[i, d // BLOCK, d % BLOCK] = w
+        self.most = self.weight.max(2)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with a positive cosine, the k best, ties to the smaller index; ``leave`` is left out."""
@@ -99,19 +105,19 @@ class BlockMaxIndex:
             return found, cosine
         bound = weights @ self.most[ids] * (1 + 1e-12)
         order = np.argsort(-bound, kind="stable")
-        at, step = 0, 2
-        while at < len(order) and bound[order[at]] > 0 and (len(cosine) < k or bound[order[at]] >= cosine[k - 1]):
-            for b in order[at : at + step]:
-                if bound[b] <= 0:
-                    continue
-                score = np.zeros(BLOCK)
-                for i, w in zip(ids.tolist(), weights.tolist()):
-                    s, e = self.start[i * self.blocks + b], self.start[i * self.blocks + b + 1]
-                    if e > s:
-                        score[self.doc[s:e] - b * BLOCK] += w * self.weight[s:e]
-                hit = np.flatnonzero(score > 0)
-                hit = hit[hit + b * BLOCK != leave]
-                found, cosine = np.concatenate([found, hit + b * BLOCK]), np.concatenate([cosine, score[hit]])
+        order = order[bound[order] > 0]
+        at, step = 0, 4
+        while at < len(order) and (len(cosine) < k or bound[order[at]] >= cosine[k - 1]):
+            blocks = order[at : at + step]
+            score = weights @ self.weight[ids[:, None], blocks[None, :]].reshape(len(ids), -1)
+            hit = np.flatnonzero(score > 0)
+            doc = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+            if leave >= 0:
+                hit, doc = hit[doc != leave], doc[doc != leave]
+            found, cosine = np.concatenate([found, doc]), np.concatenate([cosine, score[hit]])
+            if len(found) > k:
+                floor = np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+                found, cosine = found[cosine >= floor], cosine[cosine >= floor]
             best = np.lexsort((found, -cosine))[:k]
             found, cosine = found[best], cosine[best]
             at += step
@@ -206,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | flo
         for b in batches:
             rows += b.num_rows
             for t in b.column("text"):
-                df[list({i for w in set(_WORD((t.as_py() or "").lower())) for i in known[w]})] += 1
+                df[list(known.among(set(_WORD((t.as_py() or "").lower()))))] += 1
         df[-1] = rows
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(df[used])], names=["term", "df"])
