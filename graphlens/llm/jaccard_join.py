@@ -9,7 +9,9 @@ share stay out of prefixes. The order decides only what work there is, never the
 
 Count vectors. The hashes of a set fall into groups by their leading bits, about four to a group; the counts are
 the class's point, and what two sets share is at most the summed minima of their counts. Pairs
-that cannot reach 0.75 under that bound are dropped; the others are verified on the sets themselves.
+that cannot reach 0.75 under that bound are dropped. A second vector has about four groups to a hash and keeps
+counts modulo 2: the groups in which two sets differ are at most as many as the members that they do not
+share, which bounds the overlap closely. What is left is verified on the sets themselves.
 
 Two rounds keep pairs few without losing a link. First, every class of a run (classes that share a prefix
 hash) is paired with the run's smallest class only; verified links join components. Second, runs that
@@ -96,6 +98,32 @@ def fold(counts: np.ndarray, groups: int) -> np.ndarray:
     return np.minimum(counts.reshape(*counts.shape[:-1], groups, -1).sum(-1, dtype=np.int64), 255).astype(np.uint8)
 
 
+def group_parity(hashes: np.ndarray) -> bytes:
+    """Counts modulo 2, packed, by leading bits; a power of two of groups, 4 to 8 for each hash."""
+    bits = max(6, (4 * len(hashes)).bit_length())
+    return np.packbits((np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fold_parity(packed: bytes, size: int) -> bytes:
+    """The parity vector of ``size`` bytes."""
+    while len(packed) > size:
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(-1, 2)
+        packed = np.packbits(bits[:, 0] ^ bits[:, 1]).tobytes()
+    return packed
+
+
+def parity_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many groups the vectors of each pair differ."""
+    out = np.zeros(len(x), np.int64)
+    sizes = np.array([min(len(a), len(b)) for a, b in zip(x, y)], np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        for part in np.array_split(at, max(1, len(at) * size // 4_000_000)):
+            a, b = (np.frombuffer(b"".join(fold_parity(v[i], size) for i in part.tolist()), np.uint64).reshape(len(part), -1) for v in (x, y))
+            out[part] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
+
+
 def may_link(na, nb, apart) -> np.ndarray:
     """Whether sets of these sizes can reach the threshold if their counts are ``apart`` in sum of absolute
     differences: the shared part is then at most (na + nb - apart) / 2, the summed minima.
@@ -148,12 +176,12 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, levels) -> DataFrame:
-    """doc_id, n, sig, prefix, counts for each row. ``levels`` is a broadcast of ``frequency_levels``."""
+    """doc_id, n, sig, prefix, counts, parity for each row. ``levels`` is a broadcast of ``frequency_levels``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, level = Shingles(), levels.value
         for b in rows_of(batches, 1024):
-            n, sig, prefix, counts = [], [], [], []
+            n, sig, prefix, counts, parity = [], [], [], [], []
             for t in b.column("text"):
                 h = shingles(t.as_py())
                 n.append(len(h))
@@ -162,14 +190,16 @@ def document_sets(docs: DataFrame, levels) -> DataFrame:
                     order = np.argsort(level[(h >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")
                     prefix.append(h[order[: len(h) - -(-NUM * len(h) // DEN) + 1]].view(np.int64))
                     counts.append(group_counts(h))
+                    parity.append(group_parity(h))
                 else:
                     prefix.append(np.empty(0, np.int64))
                     counts.append(b"")
+                    parity.append(b"")
             ends = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), lists, pa.array(counts, pa.binary())], names=["doc_id", "n", "sig", "prefix", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), lists, pa.array(counts, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "n", "sig", "prefix", "counts", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, prefix array<long>, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, prefix array<long>, counts binary, parity binary")
 
 
 def signature(h: np.ndarray) -> int | None:
@@ -214,7 +244,7 @@ def shared_runs(entries: DataFrame) -> DataFrame:
 
 def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that may link by their count vectors."""
-    side = lambda x: classes.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
+    side = lambda x: classes.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"), F.col("parity").alias(f"p{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +256,14 @@ def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 pick = np.flatnonzero(groups == g).tolist()
                 x, y = (np.stack([fold(np.frombuffer(c[i], np.uint8), g) for i in pick]) for c in (ca, cb))
                 apart[pick] = np.abs(x.astype(np.int16) - y).sum(1)
-            keep = may_link(b.column("na").to_numpy(), b.column("nb").to_numpy(), apart)
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            keep = may_link(na, nb, apart)
+            pick = np.flatnonzero(keep)
+            pa_, pb_ = (b.column(c).take(pa.array(pick)).to_pylist() for c in ("pa", "pb"))
+            keep[pick] = may_link(na[pick], nb[pick], parity_apart(pa_, pb_))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    return sized.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "ca", "cb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
 class RTree:
@@ -278,9 +312,9 @@ class RTree:
                 stack += [(i, c) for c in y[4]]
 
 
-def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different labels that the bound lets through, each once, by an R-tree over 16 groups and then the
-    finest counts that both have.
+def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[bytes], parity: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different labels that the bound lets through, each once, by an R-tree over 16 groups, then the
+    finest counts that both have, then their parities.
     """
     fine = [np.frombuffer(c, np.uint8) for c in counts]
     tree = RTree(np.stack([fold(c, 16) for c in fine]), n)
@@ -310,6 +344,8 @@ def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[b
             pick = np.flatnonzero(groups == g)
             p, q = np.stack([at(k, g) for k in i[pick].tolist()]), np.stack([at(k, g) for k in j[pick].tolist()])
             keep[pick] = may_link(n[i[pick]], n[j[pick]], np.abs(p.astype(np.int16) - q).sum(1))
+        i, j = i[keep], j[keep]
+        keep = may_link(n[i], n[j], parity_apart([parity[k] for k in i.tolist()], [parity[k] for k in j.tolist()]))
         if keep.any():
             p, q = sig[i[keep]], sig[j[keep]]
             yield np.minimum(p, q), np.maximum(p, q)
@@ -324,14 +360,14 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame) ->
     rows = labelled.join(open_runs, "h")
     same = rows.groupBy("h").agg(F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("of"), F.count("*").alias("k"))
     once = same.groupBy("of", "k").agg(F.min("h").alias("h")).select("h")
-    rows = rows.join(once, "h").join(classes.select("sig", "n", "counts"), "sig")
+    rows = rows.join(once, "h").join(classes.select("sig", "n", "counts", "parity"), "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
             sig, pivot = table.column("sig").to_numpy(), table.column("pivot").to_numpy()
-            out = list(tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist()))
+            out = list(tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist(), table.column("parity").to_pylist()))
             if out:
                 a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
                 new = a != pivot[0]
@@ -351,7 +387,7 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame) ->
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return rows.select("h", "sig", "pivot", "label", "n", "counts").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("h", "sig", "pivot", "label", "n", "counts", "parity").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
 
 
 def _bloom(ids: DataFrame, column: str) -> np.ndarray:
@@ -413,9 +449,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(document_sets(docs, sc.broadcast(frequency_levels(docs))), "jaccard-rows")
     some = rows.filter("n > 0")
     # one row of each class: the one with the smallest id stands for it
-    classes = some.groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", F.lit(0))).alias("one"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix"))
+    classes = some.groupBy("sig").agg(F.first("prefix").alias("prefix"))
     runs = materialize(shared_runs(classes.select(F.explode("prefix").alias("h"), "sig")), "jaccard-runs")
-    classes = materialize(some.groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", F.lit(0))).alias("one"), F.first("n").alias("n"), F.first("counts").alias("counts")), "jaccard-classes")
+    classes = materialize(some.groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", F.lit(0))).alias("one"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("parity").alias("parity")), "jaccard-classes")
     stars = runs.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
     first = materialize(verified(docs, classes, materialize(bounded_pairs(stars, classes), "jaccard-stars")), "jaccard-links")
     labels = components(first)
