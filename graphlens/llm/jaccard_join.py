@@ -9,16 +9,17 @@ share stay out of prefixes. The order decides only what work there is, never the
 
 Count vectors. The hashes of a set fall into groups by their leading bits, about four to a group; the counts are
 the class's point, and what two sets share is at most the summed minima of their counts. Pairs
-that cannot reach 0.75 under that bound are dropped. A second vector has about four groups to a hash and keeps
+that cannot reach 0.75 under that bound are dropped. A second vector has two to four groups to a hash and keeps
 counts modulo 2: the groups in which two sets differ are at most as many as the members that they do not
 share, which bounds the overlap closely. What is left is verified on the sets themselves.
 
-Two rounds keep pairs few without losing a link. First, every class of a run (classes that share a prefix
+Three rounds keep pairs few without losing a link. First, every class of a run (classes that share a prefix
 hash) is paired with the run's smallest class only; verified links join components. Second, runs that
 still hold several components put their points into an R-tree, which is joined with itself under the
-bound; only pairs of different components come out. Their verified links complete the components: a pair
-is left unverified only if its ends are connected already, so near copies by the thousand cost one
-check each and no link between components is lost.
+bounds; of the pairs of different components that come out, each class keeps its ``BEST`` closest. Third,
+runs for which that left pairs out and that still hold several components are joined again and
+every pair of different components is verified. A pair is left unverified only if its ends are connected
+already, so near copies by the thousand cost a few checks each and no link between components is lost.
 
 Defined results: words are split at spaces and \\t to \\r after lower-casing A-Z; fewer than five words make
 one n-gram of all of them; null and wordless texts have an empty set and link with nothing, not even with
@@ -35,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +44,10 @@ from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4
 SKETCH = 22
-CACHE = 400_000
+PASS = 400_000
 BLOOM_BITS = 23
 LEAF = 32
+BEST = 2
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -58,31 +59,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Shingles:
-    """Text -> its distinct 5-gram hashes, ascending. Remembers word hashes."""
-
-    def __init__(self):
-        class Words(dict):
-            def __missing__(self, word):
-                if len(self) >= CACHE:
-                    self.clear()
-                h = self[word] = xxhash.xxh3_64_intdigest(word)
-                return h
-
-        self.word = Words().__getitem__
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        w = np.fromiter(map(self.word, words), np.uint64, len(words))
-        if len(w) < WORDS:
-            if not len(w):
-                return w
-            return mix64((w * np.array(_ODD[: len(w)])).sum(keepdims=True) + np.uint64(len(w)))
-        n = len(w) - WORDS + 1
-        h = w[:n] * _ODD[0]
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``raw`` begins, and its hash: a polynomial over its bytes, mixed with its length.
+
+    All words at once: differences of one running sum, moved to a common power.
+    """
+    dense = ~_SPACE[np.frombuffer(raw, np.uint8)]
+    edge = np.flatnonzero(np.diff(dense.view(np.int8), prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    powers, inverse = _powers(len(raw) + 1)
+    run = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=run[1:])
+    return start, mix64((run[end] - run[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD[4])
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, at least ``n`` of them."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        _POWERS.clear()
+        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+            each = np.full(size, x, np.uint64)
+            each[0] = 1
+            _POWERS.append(np.cumprod(each, dtype=np.uint64))
+    return _POWERS[0], _POWERS[1]
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The distinct 5-gram hashes of each text, ascending. Texts share passes of about ``PASS`` bytes."""
+    group: list[bytes] = []
+
+    def done() -> Iterator[np.ndarray]:
+        start, w = word_hashes(b" ".join(group))
+        at = np.searchsorted(start, np.cumsum([0, *(len(g) + 1 for g in group)]))
+        n = max(0, len(w) - WORDS + 1)
+        grams = w[:n] * _ODD[0]
         for i in range(1, WORDS):
-            h += w[i : n + i] * _ODD[i]
-        return np.unique(mix64(h))
+            grams += w[i : n + i] * _ODD[i]
+        grams = mix64(grams)
+        for s, e in zip(at.tolist(), at[1:].tolist()):
+            if e - s >= WORDS:
+                own = np.sort(grams[s : e - WORDS + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif e > s:
+                yield mix64((w[s:e] * np.array(_ODD[: e - s])).sum(keepdims=True) + np.uint64(e - s))
+            else:
+                yield np.empty(0, np.uint64)
+        group.clear()
+
+    size = 0
+    for t in texts:
+        group.append((t or "").encode().lower())
+        size += len(group[-1])
+        if size >= PASS:
+            yield from done()
+            size = 0
+    if group:
+        yield from done()
 
 
 def group_counts(hashes: np.ndarray) -> bytes:
@@ -99,8 +138,8 @@ def fold(counts: np.ndarray, groups: int) -> np.ndarray:
 
 
 def group_parity(hashes: np.ndarray) -> bytes:
-    """Counts modulo 2, packed, by leading bits; a power of two of groups, 4 to 8 for each hash."""
-    bits = max(6, (4 * len(hashes)).bit_length())
+    """Counts modulo 2, packed, by leading bits; a power of two of groups, 2 to 4 for each hash."""
+    bits = max(6, (2 * len(hashes)).bit_length())
     return np.packbits((np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -141,11 +180,11 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
     size, blocks = 1 << SKETCH, 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingles(), np.zeros(size, np.uint32)
+        counts = np.zeros(size, np.uint32)
         for b in batches:
             held, n = [], 0
-            for t in b.column("text"):
-                held.append(s := shingles(t.as_py()))
+            for s in shingle_sets(b.column("text").to_pylist()):
+                held.append(s)
                 n += len(s)
                 if n > 500_000:
                     counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=size).astype(np.uint32)
@@ -179,11 +218,10 @@ def document_sets(docs: DataFrame, levels) -> DataFrame:
     """doc_id, n, sig, prefix, counts, parity for each row. ``levels`` is a broadcast of ``frequency_levels``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, level = Shingles(), levels.value
+        level = levels.value
         for b in rows_of(batches, 1024):
             n, sig, prefix, counts, parity = [], [], [], [], []
-            for t in b.column("text"):
-                h = shingles(t.as_py())
+            for h in shingle_sets(b.column("text").to_pylist()):
                 n.append(len(h))
                 sig.append(signature(h))
                 if len(h):
@@ -312,8 +350,8 @@ class RTree:
                 stack += [(i, c) for c in y[4]]
 
 
-def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[bytes], parity: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different labels that the bound lets through, each once, by an R-tree over 16 groups, then the
+def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[bytes], parity: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of different labels (places of the ends, and how far apart) that the bound lets through, each once, by an R-tree over 16 groups, then the
     finest counts that both have, then their parities.
     """
     fine = [np.frombuffer(c, np.uint8) for c in counts]
@@ -345,14 +383,28 @@ def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[b
             p, q = np.stack([at(k, g) for k in i[pick].tolist()]), np.stack([at(k, g) for k in j[pick].tolist()])
             keep[pick] = may_link(n[i[pick]], n[j[pick]], np.abs(p.astype(np.int16) - q).sum(1))
         i, j = i[keep], j[keep]
-        keep = may_link(n[i], n[j], parity_apart([parity[k] for k in i.tolist()], [parity[k] for k in j.tolist()]))
+        apart = parity_apart([parity[k] for k in i.tolist()], [parity[k] for k in j.tolist()])
+        keep = may_link(n[i], n[j], apart)
         if keep.any():
-            p, q = sig[i[keep]], sig[j[keep]]
-            yield np.minimum(p, q), np.maximum(p, q)
+            i, j = i[keep], j[keep]
+            yield i, j, apart[keep] / (n[i] + n[j])
 
 
-def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components out of runs that hold several, without the pairs of the first round."""
+def closest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, best: int) -> np.ndarray:
+    """Which pairs are among the ``best`` closest of either end."""
+    keep = np.zeros(len(i), bool)
+    for end in (i, j):
+        order = np.lexsort((apart, end))
+        e = end[order]
+        keep[order[np.arange(len(e)) - np.searchsorted(e, e) < best]] = True
+    return keep
+
+
+def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
+    """a, b, cut: pairs of different components out of runs that hold several, without pairs with the run's
+    pivot, which the first round had. With ``best``, only the closest of each class, and a row with the
+    run's hash in a and b and ``cut`` set for each run of which pairs were left out.
+    """
     label = F.coalesce("label", "sig").alias("label")
     labelled = runs.join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("h", "sig", "pivot", label)
     open_runs = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).filter("lo < hi and k > 2").select("h")
@@ -366,13 +418,32 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame) ->
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            sig, pivot = table.column("sig").to_numpy(), table.column("pivot").to_numpy()
-            out = list(tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist(), table.column("parity").to_pylist()))
+            sig, pivot = table.column("sig").to_numpy(), table.column("pivot")[0].as_py()
+            out, held_back = [], False
+            found = tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist(), table.column("parity").to_pylist())
+            for i, j, apart in found:
+                new = (sig[i] != pivot) & (sig[j] != pivot)
+                out.append((i[new], j[new], apart[new]))
+                if sum(len(x) for x, _, _ in out) > 1_000_000:
+                    i, j, apart = (np.concatenate(c) for c in zip(*out))
+                    if best is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j])), pa.array(np.zeros(len(i), bool))], names=["a", "b", "cut"])
+                        out = []
+                    else:
+                        keep = closest(i, j, apart, best)
+                        held_back |= not keep.all()
+                        out = [(i[keep], j[keep], apart[keep])]
             if out:
-                a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-                new = a != pivot[0]
-                if new.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+                i, j, apart = (np.concatenate(c) for c in zip(*out))
+                if best is not None:
+                    keep = closest(i, j, apart, best)
+                    held_back |= not keep.all()
+                    i, j = i[keep], j[keep]
+                a, b, cut = np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), np.zeros(len(i), bool)
+                if held_back:
+                    h = table.column("h")[0].as_py()
+                    a, b, cut = np.append(a, h), np.append(b, h), np.append(cut, True)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cut)], names=["a", "b", "cut"])
 
         for b in batches:
             h = b.column("h").to_numpy()
@@ -387,7 +458,7 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame) ->
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return rows.select("h", "sig", "pivot", "label", "n", "counts", "parity").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("h", "sig", "pivot", "label", "n", "counts", "parity").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long, cut boolean").distinct()
 
 
 def _bloom(ids: DataFrame, column: str) -> np.ndarray:
@@ -422,11 +493,11 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     bloom = docs.sparkSession.sparkContext.broadcast(np.packbits(_bloom(wanted, "one")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on, shingles = np.unpackbits(bloom.value).astype(bool), Shingles()
+        on = np.unpackbits(bloom.value).astype(bool)
         for b in rows_of(batches, 1024):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             b = b.take(pa.array(np.flatnonzero(on[_bits(ids)])))
-            made = [shingles(t.as_py()) for t in b.column("text")]
+            made = list(shingle_sets(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([signature(h) for h in made], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary())], names=["one", "sig", "members"])
 
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text")
@@ -455,11 +526,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = runs.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
     first = materialize(verified(docs, classes, materialize(bounded_pairs(stars, classes), "jaccard-stars")), "jaccard-links")
     labels = components(first)
-    rest = materialize(bounded_pairs(unresolved_pairs(runs, labels, classes), classes), "jaccard-rest")
-    if not rest.isEmpty():
-        second = materialize(verified(docs, classes, rest), "jaccard-links")
-        if not second.isEmpty():
-            labels = components(first.unionByName(second))
+    found = first
+    for best in (BEST, None):
+        rest = materialize(unresolved_pairs(runs, labels, classes, best), "jaccard-rest")
+        pairs = rest.filter("not cut").select("a", "b")
+        if not pairs.isEmpty():
+            found = materialize(verified(docs, classes, pairs).unionByName(found), "jaccard-links")
+            labels = components(found)
+        cut = rest.filter("cut").select(F.col("a").alias("h"))
+        if cut.isEmpty():
+            break
+        runs = runs.join(cut, "h", "left_semi")
     groups = classes.select("sig", "smallest").join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("sig", "smallest", F.coalesce("label", "sig").alias("label"))
     ids = groups.groupBy("label").agg(F.min("smallest").alias("component_id"))
     found = groups.join(ids, "label").select("sig", "component_id")
