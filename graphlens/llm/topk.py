@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
 CANDIDATES, QUERIES = 8192, 512
 _PACKED = "dims int, ids binary, data binary"
-#: Products and sums of components up to this size are whole numbers in double precision for up to 2**13 components.
-_EXACT = 2.0**20
+#: Above this share of surviving pairs, survivors are scored by one matrix product of the block.
+DENSE = 0.02
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -78,40 +78,48 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
+def _whole(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether inner products are whole numbers in double precision, in any order of summation."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1]) < 2.0**53
+
+
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row-wise inner products as 64-bit integers."""
-    if max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) <= _EXACT and q.shape[1] <= 2**13:
+    if _whole(q, x):
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
     ends = np.iinfo(np.int64)
     return np.array([min(max(sum(int(a) * int(b) for a, b in zip(r, s)), ends.min), ends.max) for r, s in zip(q, x)], np.int64)
 
 
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, -inf in rows with fewer columns."""
+    return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] >= k else np.full(len(score), -np.inf)
+
+
 def block_top(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query, candidate, score of each query's k best in the block, ties to smaller ids."""
-    bounds = None
-    kth = np.full(len(q), -np.inf)
-    alive = None
+    alive = qid[:, None] != xid[None, :]
+    kth = None
     for level in LEVELS:
         sq, sx = segment_statistics(q, level), segment_statistics(x, level)
-        size = np.sqrt((sq**2).sum(1))[:, None] * np.sqrt((sx**2).sum(1))[None, :].max(initial=0)
-        if alive is None or alive.mean() > 0.05:
-            bounds = sq @ sx.T + (1 + 1e-9 * size)
-            own = qid[:, None] == xid[None, :]
-            if alive is None:
-                seeds = np.argpartition(np.where(own, np.inf, -bounds), min(4 * k, len(x)) - 1, axis=1)[:, : 4 * k]
-                rows = np.repeat(np.arange(len(q)), seeds.shape[1])
-                exact = np.where(own[rows, seeds.ravel()], -np.inf, _exact(q[rows], x[seeds.ravel()]).astype(float)).reshape(len(q), -1)
-                if exact.shape[1] >= k:
-                    kth = np.sort(exact, axis=1)[:, -k]
-                alive = ~own
-            alive &= bounds >= kth[:, None] - 2.0**-40 * np.abs(kth[:, None], where=np.isfinite(kth[:, None]), out=np.zeros((len(q), 1)))
-            i, j = np.nonzero(alive)
-        else:
-            fine = np.einsum("ij,ij->i", sq[i], sx[j]) + (1 + 1e-9 * size[i, 0])
-            keep = fine >= kth[i] - 2.0**-40 * np.where(np.isfinite(kth[i]), np.abs(kth[i]), 0)
-            i, j = i[keep], j[keep]
-    score = np.concatenate([_exact(q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.empty(0, np.int64)])
-    order = np.lexsort((xid[j], -score.astype(object) if len(score) and score.min() == np.iinfo(np.int64).min else -score, i))
+        slack = 1 + 1e-9 * np.sqrt((sq**2).sum(1)) * np.sqrt((sx**2).sum(1).max(initial=0))
+        bound = sq @ sx.T
+        if kth is None:
+            seeds = np.argpartition(np.where(alive, -bound, np.inf), min(4 * k, len(x)) - 1, axis=1)[:, : 4 * k]
+            rows = np.repeat(np.arange(len(q)), seeds.shape[1])
+            seen = np.where(alive[rows, seeds.ravel()], _exact(q[rows], x[seeds.ravel()]).astype(float), -np.inf)
+            kth = _kth(seen.reshape(len(q), -1), k)
+        alive &= bound >= (kth - slack - 2.0**-40 * np.abs(np.where(np.isfinite(kth), kth, 0)))[:, None]
+        if alive.mean() < DENSE:
+            break
+    if alive.mean() >= DENSE and _whole(q, x):
+        score = np.where(alive, q @ x.T, -np.inf)
+        i, j = np.nonzero(alive & (score >= _kth(score, k)[:, None]))
+        score = score[i, j].astype(np.int64)
+    else:
+        i, j = np.nonzero(alive)
+        score = np.concatenate([_exact(q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.empty(0, np.int64)])
+    order = np.lexsort((xid[j], ~score, i))
     i, j, score = i[order], j[order], score[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
     return qid[i[rank < k]], xid[j[rank < k]], score[rank < k]
