@@ -20,6 +20,7 @@ bounds; of the pairs of different components that come out, each class keeps its
 runs for which that left pairs out and that still hold several components are joined again and
 every pair of different components is verified. A pair is left unverified only if its ends are connected
 already, so near copies by the thousand cost a few checks each and no link between components is lost.
+Classes carry their ``FIRST`` smallest open runs, so that a pair seen to share an earlier run is left to that run.
 
 Defined results: words are split at spaces and \\t to \\r after lower-casing A-Z; fewer than five words make
 one n-gram of all of them; null and wordless texts have an empty set and link with nothing, not even with
@@ -48,6 +49,7 @@ PASS = 400_000
 BLOOM_BITS = 23
 LEAF = 32
 BEST = 2
+FIRST = 6
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -350,8 +352,11 @@ class RTree:
                 stack += [(i, c) for c in y[4]]
 
 
-def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[bytes], parity: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of different labels (places of the ends, and how far apart) that the bound lets through, each once, by an R-tree over 16 groups, then the
+_NONE = np.int64(2**63 - 1)
+
+
+def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[bytes], parity: list[bytes], earlier: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of different labels and with no common value in ``earlier`` (places of the ends, and how far apart) that the bound lets through, each once, by an R-tree over 16 groups, then the
     finest counts that both have, then their parities.
     """
     fine = [np.frombuffer(c, np.uint8) for c in counts]
@@ -376,6 +381,8 @@ def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[b
         coarse = np.abs(tree.points[x].astype(np.int16)[:, None, :] - tree.points[y].astype(np.int16)[None, :, :]).sum(2)
         i, j = np.nonzero(ok & may_link(n[x][:, None], n[y][None, :], coarse))
         i, j = x[i], y[j]
+        fresh = ~((earlier[i][:, :, None] == earlier[j][:, None, :]) & (earlier[i][:, :, None] != _NONE)).any((1, 2))
+        i, j = i[fresh], j[fresh]
         keep = np.zeros(len(i), bool)
         groups = np.array([min(len(fine[p]), len(fine[q])) for p, q in zip(i.tolist(), j.tolist())], np.int64)
         for g in np.unique(groups).tolist():
@@ -412,15 +419,21 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
     rows = labelled.join(open_runs, "h")
     same = rows.groupBy("h").agg(F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("of"), F.count("*").alias("k"))
     once = same.groupBy("of", "k").agg(F.min("h").alias("h")).select("h")
-    rows = rows.join(once, "h").join(classes.select("sig", "n", "counts", "parity"), "sig")
+    rows = rows.join(once, "h")
+    low = rows.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set("h")), 1, FIRST).alias("low"))
+    rows = rows.join(low.join(classes.select("sig", "n", "counts", "parity"), "sig"), "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            sig, pivot = table.column("sig").to_numpy(), table.column("pivot")[0].as_py()
+            sig, pivot, h = table.column("sig").to_numpy(), table.column("pivot")[0].as_py(), table.column("h")[0].as_py()
+            earlier = np.full((len(sig), FIRST), _NONE)
+            for r, low in enumerate(table.column("low").to_pylist()):
+                before = [x for x in low if x < h]
+                earlier[r, : len(before)] = before
             out, held_back = [], False
-            found = tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist(), table.column("parity").to_pylist())
+            found = tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist(), table.column("parity").to_pylist(), earlier)
             for i, j, apart in found:
                 new = (sig[i] != pivot) & (sig[j] != pivot)
                 out.append((i[new], j[new], apart[new]))
@@ -441,7 +454,6 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
                     i, j = i[keep], j[keep]
                 a, b, cut = np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), np.zeros(len(i), bool)
                 if held_back:
-                    h = table.column("h")[0].as_py()
                     a, b, cut = np.append(a, h), np.append(b, h), np.append(cut, True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cut)], names=["a", "b", "cut"])
 
@@ -458,7 +470,7 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return rows.select("h", "sig", "pivot", "label", "n", "counts", "parity").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long, cut boolean").distinct()
+    return rows.select("h", "sig", "pivot", "label", "n", "counts", "parity", "low").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long, cut boolean").distinct()
 
 
 def _bloom(ids: DataFrame, column: str) -> np.ndarray:
