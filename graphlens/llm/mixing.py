@@ -129,11 +129,12 @@ def mixed_documents(docs: DataFrame, **mixing) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; equal rows of one id count as one row
     taken as often as all of them. Documents without words are not taken.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("text", "source"))
-    taken = mix(keyed, carry=("_key",), **mixing).filter("taken > 0")
-    copies = taken.groupBy("doc_id", "_key").agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    once = keyed.dropDuplicates(["doc_id", "_key"])
-    found = once.join(copies, once["doc_id"].eqNullSafe(copies["_id"]) & (once["_key"] == copies["_key"])).drop(copies["_key"])
+    key = ["_id", "_none", "_key"]
+    keyed = docs.select("*", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text", "source").alias("_key"))
+    taken = mix(keyed, carry=tuple(key), **mixing).filter("taken > 0")
+    copies = taken.groupBy(*key).agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
+    # one shuffle of the texts serves both the deduplication and the join
+    found = keyed.dropDuplicates(key).join(copies, key)
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
