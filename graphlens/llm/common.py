@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,12 @@ def rows_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     for b in batches:
         for i in range(0, b.num_rows, size):
             yield b.slice(i, size)
+
+
+def ship(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of an object of this package, its class included."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shipped: Broadcast):
+    return pickle.loads(shipped.value)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, rows_of
+from .common import held_out, materialize, received, rows_of, ship
 from .toxicity import bounded_sample
 
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 4
@@ -182,10 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network |
 
 def score(docs: DataFrame, net: Network | float, cut: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(net)
+    shipped = ship(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = received(shipped)
         for b in rows_of(batches, 512):
             s = np.full(b.num_rows, m) if isinstance(m, float) else m.score([(t.as_py() or "").encode() for t in b.column("text")])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -195,10 +195,10 @@ def score(docs: DataFrame, net: Network | float, cut: float = 0.3) -> DataFrame:
 
 def without_poor(docs: DataFrame, net: Network | float, cut: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``cut`` or more, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast(net)
+    shipped = ship(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = received(shipped)
         for b in rows_of(batches, 512):
             s = np.full(b.num_rows, m) if isinstance(m, float) else m.score([(t.as_py() or "").encode() for t in b.column("text")])
             yield b.filter(pa.array(s >= cut))

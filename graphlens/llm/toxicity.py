@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, rows_of
+from .common import held_out, materialize, received, rows_of, ship
 
 EXAMPLES, TERMS, CHI2, LEAST_DF = 1500, 2048, 10.8, 4
 BLOCK, NEIGHBOURS, EVIDENCE = 64, 15, 3
@@ -234,11 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | flo
 
 def score(docs: DataFrame, model: Model | float, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for each row of ``docs``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = received(shipped)
         known = _Terms({} if isinstance(m, float) else m.terms)
         for b in rows_of(batches, 1024):
             out = [(m, []) if isinstance(m, float) else m.score(known, t.as_py()) for t in b.column("text")]
@@ -251,10 +251,10 @@ def score(docs: DataFrame, model: Model | float, cut: float = 0.5) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model | float, cut: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``cut``, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = received(shipped)
         known = _Terms({} if isinstance(m, float) else m.terms)
         for b in rows_of(batches, 1024):
             keep = [(m if isinstance(m, float) else m.score(known, t.as_py())[0]) < cut for t in b.column("text")]
