@@ -1,3 +1,18 @@
-"""Spark-first analytics over populations of networks."""
+"""Spark-first analytics over populations of networks.
+
+Functions of this package travel to executors by value, so a cluster needs no copy of the repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from .config import CRITERIA, READOUTS, Protocol  # noqa: E402
+from .functions.measures import MEASURES, NAMES, SELECTED, SIMILARITIES  # noqa: E402
+from .operators.scoring import score  # noqa: E402
+from .plans.protocol import Report, evaluate  # noqa: E402
 
 __version__ = "0.1.0"
+__all__ = ["CRITERIA", "MEASURES", "NAMES", "READOUTS", "SELECTED", "SIMILARITIES", "Protocol", "Report", "evaluate", "score"]

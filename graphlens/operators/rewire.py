@@ -25,3 +25,29 @@ def rewire(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     good = fresh.groupBy("draw", "pair").agg((F.count_if(F.col("old").isNull() & (F.col("claims") == 1)) == 2).alias("ok")).filter("ok").select("draw", "pair", F.lit(1).alias("swapped"))
     kept = dealt.join(good, ["draw", "pair"], "left").filter("swapped is null or pair >= s").select("draw", "s", "u", "v")
     return kept.unionByName(made.join(good, ["draw", "pair"], "left_semi").select("draw", "s", "u", "v"))
+
+
+def rewire_connected(edges: DataFrame, seeds: DataFrame, nodes: int) -> DataFrame:
+    """As ``rewire``, but a draw that falls apart keeps the original graph."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions.kernels import paths
+    from .scoring import matrix, packed
+
+    swapped = rewire(edges, seeds)
+
+    def whole(batches):
+        for b in batches:
+            ok = [bool(np.isfinite(paths(matrix(c, nodes))[0]).all()) for c in b.column("code").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("draw"), pa.array(ok, pa.bool_())], names=["draw", "connected"])
+
+    good = packed(swapped, "draw").mapInArrow(whole, "draw long, connected boolean")
+    original = seeds.join(good.filter("not connected"), "draw", "left_semi").join(F.broadcast(edges)).select("draw", "s", "u", "v")
+    return swapped.join(good.filter("connected"), "draw", "left_semi").unionByName(original)
+
+
+def lost_edges(draws: DataFrame, edges: DataFrame, of: int) -> DataFrame:
+    """draw, s, eff: the share of the graph's ``of`` edges that a draw lost."""
+    kept = draws.join(F.broadcast(edges), ["u", "v"], "left_semi").groupBy("draw", "s").agg(F.count("*").alias("kept"))
+    return kept.select("draw", "s", ((F.lit(of) - F.col("kept")) / F.lit(float(of))).alias("eff"))

@@ -12,7 +12,8 @@ from .config import SMALL
 from .functions import kernels as k
 from .functions.measures import MEASURES
 from .operators import setops
-from .operators.rewire import rewire
+from .operators.consensus import consensus
+from .operators.rewire import lost_edges, rewire, rewire_connected
 from .operators.scoring import against, matrix, packed, score
 from .plans import readouts as r
 from .sources import fixture as fx
@@ -204,8 +205,20 @@ def betweenness(spark, sf):
     return _features(spark, sf, lambda a: k.betweenness(a)[:, None], "betweenness double", ["betweenness"]).withColumn("betweenness", F.round("betweenness", 7))
 
 
-_kernel("delta_con")
-for _name in ("spectral_distance_adjacency", "spectral_distance_norm_laplacian", "netrd_non_backtracking_spectral", "net_simile", "communicability_corr", "communicability_jsd", "resistance", "energy"):
+SERIES = ALL + """,
+dg AS (SELECT net_id, i, count(*) AS d FROM gt GROUP BY ALL), ep AS (SELECT net_id, 1.0::DOUBLE / (1 + max(d)) AS e FROM dg GROUP BY ALL),
+mt AS ({matrix}),
+ser(net_id, n, i, j, x) AS (
+  SELECT net_id, 0, i, i, 1.0::DOUBLE FROM dg
+  UNION ALL SELECT ser.net_id, n + 1, ser.i, mt.j, sum(ser.x * mt.x / {by}) FROM ser JOIN mt ON mt.net_id = ser.net_id AND mt.i = ser.j WHERE n < {terms} GROUP BY ALL),
+sm AS (SELECT net_id, i, j, sum(x) AS x FROM ser GROUP BY ALL)"""
+AFFINITY = SERIES.format(matrix="SELECT gt.net_id, i, j, e AS x FROM gt JOIN ep USING (net_id) UNION ALL SELECT net_id, i, i, -e * e * d FROM dg JOIN ep USING (net_id)", by="1", terms=90)
+EXPONENTIAL = SERIES.format(matrix="SELECT net_id, i, j, 1.0::DOUBLE AS x FROM gt", by="(n + 1)", terms=45)
+_kernel("delta_con", AFFINITY + " SELECT a.net_id, round(sqrt(sum((sqrt(greatest(a.x, 0)) - sqrt(greatest(b.x, 0))) ** 2)), 6) AS value FROM sm a JOIN sm b ON b.net_id = -1 AND a.i = b.i AND a.j = b.j WHERE a.net_id >= 0 GROUP BY ALL", True, 6)
+_kernel("communicability_corr", EXPONENTIAL + " SELECT a.net_id, round(corr(a.x, b.x), 6) AS value FROM sm a JOIN sm b ON b.net_id = -1 AND a.i = b.i AND a.j = b.j WHERE a.net_id >= 0 GROUP BY ALL", True, 6)
+_kernel("communicability_jsd", EXPONENTIAL + """, pm AS (SELECT net_id, i, j, x / sum(x) OVER (PARTITION BY net_id) AS p FROM sm)
+SELECT a.net_id, round(sum(a.p * log2(2 * a.p / (a.p + b.p)) + b.p * log2(2 * b.p / (a.p + b.p))) / 2, 6) AS value FROM pm a JOIN pm b ON b.net_id = -1 AND a.i = b.i AND a.j = b.j WHERE a.net_id >= 0 GROUP BY ALL""", True, 6)
+for _name in ("spectral_distance_adjacency", "spectral_distance_norm_laplacian", "netrd_non_backtracking_spectral", "net_simile", "resistance", "energy"):
     _kernel(_name)
 
 
@@ -335,6 +348,22 @@ def rewire_degree_invariant(spark, sf):
     return setops.degrees(_draws(spark, sf).withColumnRenamed("draw", "net_id")).withColumnRenamed("net_id", "draw")
 
 
+@query("consensus", ", f AS (SELECT eta, gamma, u, v, count(*) AS members FROM edges WHERE rep <> 'R' GROUP BY ALL) SELECT eta::INT AS eta, gamma::INT AS gamma, u, v, members FROM f QUALIFY row_number() OVER (PARTITION BY eta, gamma ORDER BY members DESC, u, v) <= 60")
+def consensus_networks(spark, sf):
+    return consensus(_nets(spark, sf).filter("rep <> 'R'"), ["eta", "gamma"], SMALL.edges)
+
+
+@query("rewire_connected_degrees", """, i AS (SELECT u AS i FROM ref UNION ALL SELECT v FROM ref), d AS (SELECT i, count(*) AS degree FROM i GROUP BY ALL) SELECT draw, i, degree FROM d, range(6) t(draw)""")
+def rewire_connected_degrees(spark, sf):
+    seeds = spark.range(6).select(F.col("id").alias("draw"), F.lit(20).alias("s"))
+    return setops.degrees(rewire_connected(fx.reference(spark, sf), seeds, N).withColumnRenamed("draw", "net_id")).withColumnRenamed("net_id", "draw")
+
+
+@query("effective_degeneration")
+def effective_degeneration(spark, sf):
+    return lost_edges(_draws(spark, sf), fx.reference(spark, sf), SMALL.edges)
+
+
 @query("degeneration")
 def degeneration(spark, sf):
     d = _draws(spark, sf).withColumnRenamed("draw", "net_id")
