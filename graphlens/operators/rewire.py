@@ -2,7 +2,8 @@
 
 For a seed, edges are ordered by an md5 of seed and ends; neighbours in that order, (1, 2), (3, 4), up to s pairs, propose to
 swap ends. A proposal stands if its four ends differ, its new edges are not in the graph and nobody else
-proposes them. Every degree is kept.
+proposes them. Every degree is kept. ``swap_draws`` goes further from the graph: one task row makes one draw, swap
+by swap, from a generator seeded by the draw alone, so a lost task gives the same draw again.
 """
 
 from __future__ import annotations
@@ -51,3 +52,68 @@ def lost_edges(draws: DataFrame, edges: DataFrame, of: int) -> DataFrame:
     """draw, s, eff: the share of the graph's ``of`` edges that a draw lost."""
     kept = draws.join(F.broadcast(edges), ["u", "v"], "left_semi").groupBy("draw", "s").agg(F.count("*").alias("kept"))
     return kept.select("draw", "s", ((F.lit(of) - F.col("kept")) / F.lit(float(of))).alias("eff"))
+
+
+def _joined(edges: set[tuple[int, int]], nodes: int) -> bool:
+    """Whether the edges join all nodes."""
+    root = list(range(nodes))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    parts = nodes
+    for u, v in edges:
+        if (x := top(u)) != (y := top(v)):
+            root[x], parts = y, parts - 1
+    return parts == 1
+
+
+def swap_edges(edges: list[tuple[int, int]], swaps: int, tries: int, rng, nodes: int | None = None) -> set[tuple[int, int]]:
+    """The graph after ``swaps`` double edge swaps, or as many as ``tries`` attempts give. With ``nodes`` a swap that
+    splits the graph is taken back.
+    """
+    at, held, done = sorted(edges), set(edges), 0
+    if len(at) < 2:
+        return held
+    for left in range(tries, 0, -256):
+        chosen = rng.integers(0, len(at), (min(left, 256), 2))
+        for (i, j), turn in zip(chosen.tolist(), rng.random(len(chosen)) < 0.5):
+            if done == swaps:
+                return held
+            (a, b), (c, d) = at[i], at[j][::-1] if turn else at[j]
+            x, y = (min(a, d), max(a, d)), (min(c, b), max(c, b))
+            if len({a, b, c, d}) < 4 or x in held or y in held:
+                continue
+            old, new = {at[i], at[j]}, {x, y}
+            held = held - old | new
+            if nodes and not _joined(held, nodes):
+                held = held - new | old
+                continue
+            at[i], at[j], done = x, y, done + 1
+    return held
+
+
+def swap_draws(reference: DataFrame, draws: DataFrame, tries: int, seed: int, nodes: int | None = None) -> DataFrame:
+    """draw, s, code, lost for each row of ``draws`` (draw, s): the reference after s swaps within s * ``tries`` attempts,
+    as edge codes, and how many of its edges are gone. With ``nodes`` the graph stays connected.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .scoring import packed
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for draw, s, code in zip(*(b.column(c).to_pylist() for c in ("draw", "s", "code"))):
+                start = [(c // 65536, c % 65536) for c in code]
+                end = swap_edges(start, s, s * tries, np.random.default_rng([seed, draw]), nodes)
+                out.append((draw, s, sorted(u * 65536 + v for u, v in end), len(set(start) - end)))
+            columns = zip(*out) if out else [()] * 4
+            types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["draw", "s", "code", "lost"])
+
+    one = packed(reference.withColumn("k", F.lit(0)), "k").select("code")
+    return draws.select("draw", "s").join(F.broadcast(one)).mapInArrow(run, "draw long, s int, code array<long>, lost int")

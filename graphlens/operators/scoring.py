@@ -28,14 +28,15 @@ def matrix(code, nodes: int) -> np.ndarray:
     return a
 
 
-def score(pairs: DataFrame, measures: dict[str, Callable], nodes: int, geometry: np.ndarray | None = None) -> DataFrame:
-    """The columns of ``pairs`` (pair_id, a, b: edge codes) as pair_id, measure, value, ms; one row per pair and measure."""
+def score(pairs: DataFrame, measures: dict[str, Callable], nodes: int, geometry: np.ndarray | None = None, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """Keys (whole numbers), measure, value, ms of ``pairs`` (keys, a, b: edge codes); one row per pair and measure."""
     extra = {n: {"geometry": geometry} if "geometry" in inspect.signature(f).parameters else {} for n, f in measures.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for p, x, y in zip(batch.column("pair_id").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            ids = zip(*(batch.column(key).to_pylist() for key in keys))
+            for pair, x, y in zip(ids, batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 a, b = matrix(x or [], nodes), matrix(y or [], nodes)
                 for name, f in measures.items():
                     began = time.perf_counter()
@@ -43,11 +44,13 @@ def score(pairs: DataFrame, measures: dict[str, Callable], nodes: int, geometry:
                         value = float(f(a, b, **extra[name]))
                     except Exception:
                         value = float("nan")
-                    out.append((p, name, value if np.isfinite(value) else None, 1000 * (time.perf_counter() - began)))
-            p, m, v, t = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(m, pa.string()), pa.array(v, pa.float64()), pa.array(t, pa.float64())], names=["pair_id", "measure", "value", "ms"])
+                    out.append((*pair, name, value if np.isfinite(value) else None, 1000 * (time.perf_counter() - began)))
+            columns = zip(*out) if out else [()] * (len(keys) + 3)
+            types = [pa.int64()] * len(keys) + [pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*keys, "measure", "value", "ms"])
 
-    return pairs.select("pair_id", "a", "b").mapInArrow(run, "pair_id long, measure string, value double, ms double")
+    wide = pairs.select(*[F.col(key).cast("long").alias(key) for key in keys], "a", "b")
+    return wide.mapInArrow(run, ", ".join(f"{key} long" for key in keys) + ", measure string, value double, ms double")
 
 
 def against(edges: DataFrame, reference: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from ..config import CRITERIA, READOUTS, SMALL, Protocol
 from ..functions.measures import MEASURES, SIMILARITIES
 from ..operators.scoring import against, score
+from . import experiments as x
 from . import readouts as r
+from .experiments import Recovery
 
 
 @dataclass
@@ -21,8 +24,8 @@ class Report:
 
     name: str
     table: DataFrame
-    landscape: DataFrame
-    extras: dict[str, DataFrame] = field(default_factory=dict)
+    landscape: DataFrame | None
+    extras: dict = field(default_factory=dict)
 
     def __repr__(self) -> str:
         return f"Report for {self.name}\n" + self.table.orderBy("readout", "measure").toPandas().to_string()
@@ -34,8 +37,19 @@ def landscape(edges: DataFrame, meta: DataFrame, reference: DataFrame, measures:
     return scored.join(meta.select("net_id", "eta", "gamma"), "net_id")
 
 
-def readout_values(land: DataFrame, edges: DataFrame, geometry: DataFrame, criteria: set[str], protocol: Protocol) -> DataFrame:
-    """measure, readout, value of the read-outs that a landscape gives."""
+def readout_values(
+    land: DataFrame | None,
+    edges: DataFrame,
+    geometry: DataFrame,
+    criteria: set[str],
+    protocol: Protocol,
+    trajectories: DataFrame | None = None,
+    draws: DataFrame | None = None,
+    effective: DataFrame | None = None,
+    recoveries: dict[str, DataFrame] | None = None,
+    aucs: DataFrame | None = None,
+) -> DataFrame:
+    """measure, readout, value of the read-outs that the given tables allow; a table that is missing leaves its own out."""
     many, few = protocol.best_cells
     parts: list[DataFrame] = []
 
@@ -43,36 +57,101 @@ def readout_values(land: DataFrame, edges: DataFrame, geometry: DataFrame, crite
         for column, readout in names.items():
             parts.append(df.select("measure", F.lit(readout).alias("readout"), F.col(column).cast("double").alias("value")))
 
-    if "agreement" in criteria:
+    if land is not None and "agreement" in criteria:
         add(r.agreement(land), agreement="agreement", max_abs_r="max_abs_r")
-    if "plausibility" in criteria:
+    if land is not None and "plausibility" in criteria:
         add(r.best_cell(land), best_eta="best_eta", best_gamma="best_gamma")
         add(r.eta_positive(land, many), eta_positive="eta_positive_of_100")
         add(r.eta_positive(land, few), eta_positive="eta_positive_of_20")
         add(r.total_variation(land, few, protocol.eta_range, protocol.gamma_range), total_variation="total_variation")
         add(r.connection_length(land, edges, geometry, few, protocol.long_mm), connection_length_mm="connection_length_mm", percent_beyond="percent_beyond_90mm")
         add(r.degree_sd(land, edges, few, protocol.nodes), degree_sd="degree_sd")
-    if "efficiency" in criteria:
+    if land is not None and "efficiency" in criteria:
         add(land.groupBy("measure").agg(F.avg("ms").alias("ms")), ms="runtime_ms")
     if "sensitivity" in criteria:
-        add(r.isnr(land), isnr_db="isnr_db")
+        if land is not None:
+            add(r.isnr(land), isnr_db="isnr_db")
+        if trajectories is not None:
+            add(r.degeneration(trajectories), mae="mae", cv="cv")
+        if draws is not None and effective is not None:
+            add(r.noise_tolerance(draws, effective, protocol.noise_cutoff), noise_tolerance="noise_tolerance")
+    if "accuracy" in criteria:
+        for key, distances in (recoveries or {}).items():
+            add(r.recovery(distances), error=f"recovery_{key}", r_eta=f"r_eta_{key}")
+        if aucs is not None:
+            add(aucs, auc="auc", auc_hard="auc_hard")
+    if not parts:
+        return edges.sparkSession.createDataFrame([], "measure string, readout string, value double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def evaluate(measure: Callable, edges: DataFrame, meta: DataFrame, reference: DataFrame, geometry: DataFrame, name: str | None = None, similarity: bool = False, criteria=CRITERIA, protocol: Protocol = SMALL, beside: tuple[str, ...] = ("frobenius", "jaccard", "delta_con")) -> Report:
-    """Rank a measure, a function of two matrices, beside registered ones on one population of networks."""
-    if unknown := set(criteria) - set(CRITERIA):
+def published_readouts(tables: dict, edges: DataFrame, geometry: DataFrame, protocol: Protocol = Protocol(), measures: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
+    """readout and one column a measure, in the order of the read-outs, from result tables (see ``read_published``).
+
+    All measures go through one plan. AUCs are taken from their table; what a measure was not run through is NULL.
+    """
+    values = readout_values(protocol=protocol, edges=edges, geometry=geometry, criteria=set(CRITERIA), **tables).filter(F.col("measure").isin(*measures))
+    order = edges.sparkSession.createDataFrame([(i, k) for i, (k, *_) in enumerate(READOUTS)], "at int, readout string")
+    wide = values.groupBy("readout").pivot("measure", list(measures)).agg(F.first("value"))
+    return F.broadcast(order).join(wide, "readout", "left").orderBy("at").drop("at")
+
+
+def aucs_of(scores: DataFrame, hard: int) -> DataFrame:
+    """measure, auc, auc_hard."""
+    return r.discrimination(scores).join(r.discrimination(scores, hard).withColumnRenamed("auc", "auc_hard"), "measure")
+
+
+def evaluate(
+    measure: Callable,
+    edges: DataFrame,
+    meta: DataFrame,
+    reference: DataFrame,
+    geometry: DataFrame,
+    name: str | None = None,
+    similarity: bool = False,
+    criteria=CRITERIA,
+    protocol: Protocol = SMALL,
+    beside: tuple[str, ...] = ("frobenius", "jaccard", "delta_con"),
+    recoveries: dict[str, Recovery] | None = None,
+    subjects: tuple[DataFrame, DataFrame] | None = None,
+    slow: set[str] | None = None,
+) -> Report:
+    """Rank a measure, a function of two matrices, beside registered ones on one population of networks.
+
+    ``recoveries`` has the keys wide and window. ``subjects`` are networks and, by the same net_id, the consensus of the
+    others; they are compared only when accuracy and another criterion are asked for. ``slow`` names the measures
+    for the shorter noise protocol; by default those whose mean time is above the protocol's ``slow_ms``.
+    """
+    criteria = set(criteria)
+    if unknown := criteria - set(CRITERIA):
         raise ValueError(f"unknown criteria: {sorted(unknown)}")
     name = name or getattr(measure, "__name__", "measure")
     own = (lambda a, b: -measure(a, b)) if similarity and name not in SIMILARITIES else measure
+    measures = {name: own} | {k: MEASURES[k] for k in beside if k != name}
     wide = np.zeros((protocol.nodes, protocol.nodes))
     for row in geometry.collect():
         wide[row["u"], row["v"]] = wide[row["v"], row["u"]] = row["dist"]
-    land = landscape(edges, meta, reference, {name: own} | {k: MEASURES[k] for k in beside if k != name}, protocol.nodes, wide).cache()
-    values = readout_values(land, edges, geometry, set(criteria), protocol)
+    land, extras = None, {}
+    if criteria - {"accuracy"}:
+        land = landscape(edges, meta, reference, measures, protocol.nodes, wide).cache()
+        missing = land.filter("value is null").count()
+        if missing:
+            warnings.warn(f"{missing} comparisons gave no value", stacklevel=2)
+    if "sensitivity" in criteria:
+        extras["trajectories"] = x.trajectories(reference, {"hamming": MEASURES["hamming"]} | measures, protocol, wide).cache()
+        drawn = x.noise_references(reference, protocol).cache()
+        if slow is None:
+            slow = {row["measure"] for row in land.groupBy("measure").agg(F.avg("ms").alias("ms")).filter(F.col("ms") > protocol.slow_ms).collect()}
+        extras["draws"] = x.noise_draws(drawn, edges, meta, land, measures, slow, protocol, wide).cache()
+        extras["effective"] = drawn.select("s", "repeat", "eff")
+    if "accuracy" in criteria:
+        extras["recoveries"] = {k: x.recovery_distances(v, measures, protocol, wide).cache() for k, v in (recoveries or {}).items()}
+        if subjects and land is not None:
+            extras["aucs"] = aucs_of(x.discrimination_scores(land, *subjects, measures, protocol, wide), protocol.hard_cases)
+    values = readout_values(land, edges, geometry, criteria, protocol, **extras).filter(F.col("measure").isin(*measures))
     directions = edges.sparkSession.createDataFrame([(k, d) for k, _, _, d in READOUTS], "readout string, direction int")
     ranked = r.ranks(values, directions).select("readout", "measure", "rank")
-    return Report(name, values.join(ranked, ["readout", "measure"], "left"), land)
+    return Report(name, values.join(ranked, ["readout", "measure"], "left"), land, extras)

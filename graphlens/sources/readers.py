@@ -40,14 +40,60 @@ def read_stack(spark: SparkSession, path: str, key: str = "networks", chunk: int
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "net_id long, u int, v int")
 
 
-def read_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """A result table as CSV, compressed or not."""
+def read_table(spark: SparkSession, folder: str, name: str, schema: str | None) -> DataFrame:
+    """A result table as CSV, compressed or not; without a schema the types are inferred."""
     for ending in (".csv.gz", ".csv"):
         if os.path.exists(path := os.path.join(folder, name + ending)):
-            return spark.read.schema(schema).option("header", True).csv(path)
+            reader = spark.read.option("header", True)
+            return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     raise FileNotFoundError(f"no table {name} in {folder}")
 
 
+def read_published(spark: SparkSession, folder: str, meta: DataFrame, grids: dict[str, DataFrame], measures: tuple[str, ...]) -> dict:
+    """The tables that ``published_readouts`` takes, long, from a folder of result tables.
+
+    Landscapes and timings have one row a network, in the order of net_id, and one column a measure; ``meta`` is (net_id,
+    eta, gamma). Recoveries have one row a measure and target and a column for each network of the grid;
+    ``grids`` gives for each recovery (tidx, t_eta, t_gamma) and (gidx, g_eta, g_gamma) frames. Tables that are not there
+    are left out, but landscapes must be.
+    """
+
+    def table(name: str) -> DataFrame | None:
+        try:
+            return read_table(spark, folder, name, None)
+        except FileNotFoundError:
+            return None
+
+    def tall(name: str, value: str) -> DataFrame | None:
+        if (wide := table(name)) is None:
+            return None
+        have = [m for m in measures if m in wide.columns]
+        # a result table is one file of one split, so its row ids are positions
+        return wide.coalesce(1).select(F.monotonically_increasing_id().alias("net_id"), *[F.col(m).cast("double").alias(m) for m in have]).unpivot("net_id", have, "measure", value)
+
+    if (land := tall("landscapes", "value")) is None:
+        raise FileNotFoundError(f"no landscapes in {folder}")
+    land = land.join(meta.select("net_id", "eta", "gamma"), "net_id")
+    times = tall("timing_ms", "ms")
+    land = land.withColumn("ms", F.lit(None).cast("double")) if times is None else land.join(times, ["net_id", "measure"], "left")
+    rva = table("real_vs_artificial")
+    out = {
+        "land": land,
+        "trajectories": table("degeneration"),
+        "draws": table("noise_tolerance_draws"),
+        "effective": table("effective_degeneration"),
+        "aucs": None if rva is None else rva.select("measure", "auc", F.col("auc_hardcase").alias("auc_hard")),
+        "recoveries": {},
+    }
+    for key, (targets, grid) in grids.items():
+        if (wide := table(f"recovery_{key}")) is not None:
+            columns = [c for c in wide.columns if c.startswith("dist_to_grid_")]
+            long = wide.select("measure", F.col("gt_idx").cast("long").alias("tidx"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["measure", "tidx"], columns, "c", "value")
+            long = long.withColumn("gidx", F.regexp_extract("c", r"(\d+)$", 1).cast("long")).drop("c")
+            out["recoveries"][key] = long.join(F.broadcast(targets), "tidx").join(F.broadcast(grid), "gidx")
+    return out
+
+
 def read_nested(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
