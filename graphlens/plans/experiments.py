@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import Protocol
 from ..operators.rewire import swap_draws
 from ..operators.scoring import packed, score
+from ..sources.tables import written
 from .readouts import oriented
 
 Measures = dict[str, Callable]
@@ -73,9 +74,9 @@ def noise_draws(references: DataFrame, edges: DataFrame, meta: DataFrame, land:
     that window, unless it is the border of the grid, is looked for again everywhere up to the level
     ``slow_full_until``, and counts as ``censored_drift`` above.
     """
-    at = grid_index(meta).cache()
-    first = _best(land.select("measure", "net_id", "value").join(at, "net_id"), ["measure"]).withColumnsRenamed({"e": "e0", "g": "g0"}).cache()
-    nets = packed(edges).select("net_id", F.col("code").alias("a")).join(at, "net_id").cache()
+    at = written(grid_index(meta), "grid")
+    first = written(_best(land.select("measure", "net_id", "value").join(at, "net_id"), ["measure"]).withColumnsRenamed({"e": "e0", "g": "g0"}), "first")
+    nets = written(packed(edges).select("net_id", F.col("code").alias("a")).join(at, "net_id"), "networks")
     draws = references.select("draw", "s", "repeat", F.col("code").alias("b"))
     away = F.hypot((F.col("e") - F.col("e0")).cast("double"), (F.col("g") - F.col("g0")).cast("double"))
 
@@ -98,7 +99,8 @@ def noise_draws(references: DataFrame, edges: DataFrame, meta: DataFrame, land:
         centre, one = first.filter(F.col("measure") == name), {name: measures[name]}
         few = draws.filter(F.col("repeat") < protocol.noise_repeats_slow)
         near = nets.join(F.broadcast(centre)).filter((F.abs(F.col("i_eta") - F.col("e0")) <= w) & (F.abs(F.col("i_gamma") - F.col("g0")) <= w))
-        found = best(near, few, one).join(F.broadcast(centre), "measure").join(F.broadcast(last)).withColumn("edge", border("e") | border("g")).cache()
+        found = best(near, few, one).join(F.broadcast(centre), "measure").join(F.broadcast(last))
+        found = written(found.withColumn("edge", border("e") | border("g")), "near")
         again = F.col("edge") & (F.col("s") <= protocol.slow_full_until)
         wide = best(nets, few.join(found.filter(again), "draw", "left_semi"), one).join(F.broadcast(centre), "measure")
         inside = found.filter(~again).withColumn("drift", F.when(F.col("edge"), F.lit(protocol.censored_drift)).otherwise(away))

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CRITERIA, READOUTS, SMALL, Protocol
 from ..functions.measures import MEASURES, SIMILARITIES
 from ..operators.scoring import against, score
+from ..sources.tables import written
 from . import experiments as x
 from . import readouts as r
 from .experiments import Recovery
@@ -94,11 +95,17 @@ def published_readouts(tables: dict, edges: DataFrame, geometry: DataFrame, prot
     All measures go through one plan. AUCs are taken from their table; what a measure was not run through is NULL.
     """
     values = readout_values(protocol=protocol, edges=edges, geometry=geometry, criteria=set(CRITERIA), **tables).filter(F.col("measure").isin(*measures))
-    order = edges.sparkSession.createDataFrame([(i, k) for i, (k, *_) in enumerate(READOUTS)], "at int, readout string")
+    order = _readouts(edges.sparkSession).select("at", "readout")
     wide = values.groupBy("readout").pivot("measure", list(measures)).agg(F.first("value"))
     return F.broadcast(order).join(wide, "readout", "left").orderBy("at").drop("at")
 
 
+def _readouts(spark: SparkSession) -> DataFrame:
+    """at, readout, direction, as one row of constants taken apart: no Python source to run."""
+    rows = [F.struct(F.lit(i).alias("at"), F.lit(k).alias("readout"), F.lit(d).alias("direction")) for i, (k, _, _, d) in enumerate(READOUTS)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def aucs_of(scores: DataFrame, hard: int) -> DataFrame:
     """measure, auc, auc_hard."""
     return r.discrimination(scores).join(r.discrimination(scores, hard).withColumnRenamed("auc", "auc_hard"), "measure")
@@ -136,22 +143,22 @@ def evaluate(
         wide[row["u"], row["v"]] = wide[row["v"], row["u"]] = row["dist"]
     land, extras = None, {}
     if criteria - {"accuracy"}:
-        land = landscape(edges, meta, reference, measures, protocol.nodes, wide).cache()
+        land = written(landscape(edges, meta, reference, measures, protocol.nodes, wide), "landscape")
         missing = land.filter("value is null").count()
         if missing:
             warnings.warn(f"{missing} comparisons gave no value", stacklevel=2)
     if "sensitivity" in criteria:
-        extras["trajectories"] = x.trajectories(reference, {"hamming": MEASURES["hamming"]} | measures, protocol, wide).cache()
-        drawn = x.noise_references(reference, protocol).cache()
+        extras["trajectories"] = written(x.trajectories(reference, {"hamming": MEASURES["hamming"]} | measures, protocol, wide), "trajectories")
+        drawn = written(x.noise_references(reference, protocol), "references")
         if slow is None:
             slow = {row["measure"] for row in land.groupBy("measure").agg(F.avg("ms").alias("ms")).filter(F.col("ms") > protocol.slow_ms).collect()}
-        extras["draws"] = x.noise_draws(drawn, edges, meta, land, measures, slow, protocol, wide).cache()
+        extras["draws"] = written(x.noise_draws(drawn, edges, meta, land, measures, slow, protocol, wide), "draws")
         extras["effective"] = drawn.select("s", "repeat", "eff")
     if "accuracy" in criteria:
-        extras["recoveries"] = {k: x.recovery_distances(v, measures, protocol, wide).cache() for k, v in (recoveries or {}).items()}
+        extras["recoveries"] = {k: written(x.recovery_distances(v, measures, protocol, wide), f"recovery-{k}") for k, v in (recoveries or {}).items()}
         if subjects and land is not None:
-            extras["aucs"] = aucs_of(x.discrimination_scores(land, *subjects, measures, protocol, wide), protocol.hard_cases)
-    values = readout_values(land, edges, geometry, criteria, protocol, **extras).filter(F.col("measure").isin(*measures))
-    directions = edges.sparkSession.createDataFrame([(k, d) for k, _, _, d in READOUTS], "readout string, direction int")
+            extras["aucs"] = aucs_of(written(x.discrimination_scores(land, *subjects, measures, protocol, wide), "scores"), protocol.hard_cases)
+    values = written(readout_values(land, edges, geometry, criteria, protocol, **extras).filter(F.col("measure").isin(*measures)), "readouts")
+    directions = _readouts(edges.sparkSession)
     ranked = r.ranks(values, directions).select("readout", "measure", "rank")
     return Report(name, values.join(ranked, ["readout", "measure"], "left"), land, extras)

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def unpack(packed: np.ndarray, nodes: int) -> np.ndarray:
     """Bit-packed rows, first bit highest, to booleans."""
@@ -55,7 +57,7 @@ def read_published(spark: SparkSession, folder: str, meta: DataFrame, grids: dic
     Landscapes and timings have one row a network, in the order of net_id, and one column a measure; ``meta`` is (net_id,
     eta, gamma). Recoveries have one row a measure and target and a column for each network of the grid;
     ``grids`` gives for each recovery (tidx, t_eta, t_gamma) and (gidx, g_eta, g_gamma) frames. Tables that are not there
-    are left out, but landscapes must be.
+    are left out, but landscapes must be. What many read-outs share is written as Parquet.
     """
 
     def table(name: str) -> DataFrame | None:
@@ -78,7 +80,7 @@ def read_published(spark: SparkSession, folder: str, meta: DataFrame, grids: dic
     land = land.withColumn("ms", F.lit(None).cast("double")) if times is None else land.join(times, ["net_id", "measure"], "left")
     rva = table("real_vs_artificial")
     out = {
-        "land": land,
+        "land": written(land, "landscapes"),
         "trajectories": table("degeneration"),
         "draws": table("noise_tolerance_draws"),
         "effective": table("effective_degeneration"),
@@ -90,7 +92,7 @@ def read_published(spark: SparkSession, folder: str, meta: DataFrame, grids: dic
             columns = [c for c in wide.columns if c.startswith("dist_to_grid_")]
             long = wide.select("measure", F.col("gt_idx").cast("long").alias("tidx"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["measure", "tidx"], columns, "c", "value")
             long = long.withColumn("gidx", F.regexp_extract("c", r"(\d+)$", 1).cast("long")).drop("c")
-            out["recoveries"][key] = long.join(F.broadcast(targets), "tidx").join(F.broadcast(grid), "gidx")
+            out["recoveries"][key] = written(long.join(F.broadcast(targets), "tidx").join(F.broadcast(grid), "gidx"), f"recovery-{key}")
     return out
 
 
