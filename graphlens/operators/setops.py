@@ -48,6 +48,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(*key, F.col("u").alias("i"), F.col("v").alias("j")).unionByName(edges.select(*key, F.col("v").alias("i"), F.col("u").alias("j")))
 
 
+def bit_rows(edges: DataFrame) -> DataFrame:
+    """net_id, i, word, bits: the neighbours of a node as words of 32 bits, node 32 * word + k at bit k."""
+    n = both_ways(edges.select("net_id", "u", "v")).withColumn("word", F.floor(F.col("j") / 32).cast("int"))
+    return n.groupBy("net_id", "i", "word").agg(F.bit_or(F.expr("shiftleft(1L, j % 32)")).alias("bits"))
+
+
+def edges_of_bits(rows: DataFrame) -> DataFrame:
+    """net_id, u, v of ``bit_rows``."""
+    set_bits = F.expr("filter(sequence(0, 31), k -> shiftright(bits, k) & 1L = 1L)")
+    return rows.select("net_id", F.col("i").alias("u"), "word", F.explode(set_bits).alias("k")).select("net_id", "u", (32 * F.col("word") + F.col("k")).cast("int").alias("v")).filter("u < v")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """net_id, i, degree of nodes with an edge."""
     return both_ways(edges.select("net_id", "u", "v")).groupBy("net_id", "i").agg(F.count("*").alias("degree"))

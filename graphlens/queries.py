@@ -75,6 +75,11 @@ def network_validate(spark, sf):
     return validate(_nets(spark, sf), N)
 
 
+@query("bitset_roundtrip", " SELECT net_id, u, v FROM edges")
+def bitset_roundtrip(spark, sf):
+    return setops.edges_of_bits(setops.bit_rows(_nets(spark, sf)))
+
+
 TWO = """,
 two AS (SELECT net_id, u AS i, v AS j FROM edges UNION ALL SELECT net_id, v, u FROM edges)"""
 
@@ -317,6 +322,12 @@ def recovery(spark, sf):
     return r.recovery(_pairs_of(spark, sf)).select("measure", F.round("error", 7).alias("error"), F.round("r_eta", 7).alias("r_eta"))
 
 
+@query("recovery_argmin", RECOVER + " SELECT tidx, gidx, d::DOUBLE AS distance FROM bs")
+def recovery_argmin(spark, sf):
+    best = _pairs_of(spark, sf).groupBy("tidx").agg(F.min(F.struct("value", "gidx")).alias("b"))
+    return best.select("tidx", F.col("b.gidx").alias("gidx"), F.col("b.value").alias("distance"))
+
+
 def _scores(spark, sf):
     return r.oriented(_land(spark, sf)).select("measure", (F.col("rep") == "R").alias("real"), (-F.col("o")).alias("score"))
 
