@@ -48,6 +48,8 @@ SKETCH = 22
 PASS = 400_000
 BLOOM_BITS = 23
 LEAF = 32
+#: Classes of one part of a run; a task holds two parts at most.
+PART_ROWS = 2048
 BEST = 2
 FIRST = 6
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -308,14 +310,16 @@ def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 class RTree:
     """Points bulk-loaded by halving the widest dimension; nodes keep the largest counts and the smallest and
-    largest size below them.
+    largest size below them. With ``second``, the marked points are a tree of their own and only pairs across
+    the two are looked for.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, second: np.ndarray):
         self.points, self.sizes = points, sizes
         self.nodes: list[tuple] = []  # upper counts, smallest, largest size, members or children
         scaled = np.column_stack([points.astype(np.float32), (sizes / 4).astype(np.float32)])
-        self.root = self._build(np.arange(len(sizes)), scaled)
+        self.root = self._build(np.flatnonzero(~second), scaled)
+        self.other = self._build(np.flatnonzero(second), scaled) if second.any() else self.root
 
     def _build(self, at: np.ndarray, scaled: np.ndarray) -> int:
         if len(at) <= LEAF:
@@ -336,7 +340,7 @@ class RTree:
     def leaf_pairs(self, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Members of leaves that may hold linking pairs of different labels."""
         one = [len(np.unique(label[n[3]])) == 1 for n in self.nodes]
-        stack = [(self.root, self.root)]
+        stack = [(self.root, self.other)]
         while stack:
             i, j = stack.pop()
             x, y = self.nodes[i], self.nodes[j]
@@ -355,12 +359,13 @@ class RTree:
 _NONE = np.int64(2**63 - 1)
 
 
-def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[bytes], parity: list[bytes], earlier: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[bytes], parity: list[bytes], earlier: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of different labels and with no common value in ``earlier`` (places of the ends, and how far apart) that the bound lets through, each once, by an R-tree over 16 groups, then the
-    finest counts that both have, then their parities.
+    finest counts that both have, then their parities. Where some rows are ``second``, only pairs of one of them
+    with one of the others.
     """
     fine = [np.frombuffer(c, np.uint8) for c in counts]
-    tree = RTree(np.stack([fold(c, 16) for c in fine]), n)
+    tree = RTree(np.stack([fold(c, 16) for c in fine]), n, second)
     folded: dict[tuple[int, int], np.ndarray] = {}
 
     def at(i: int, g: int) -> np.ndarray:
@@ -411,6 +416,9 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
     """a, b, cut: pairs of different components out of runs that hold several, without pairs with the run's
     pivot, which the first round had. With ``best``, only the closest of each class, and a row with the
     run's hash in a and b and ``cut`` set for each run of which pairs were left out.
+
+    A run of more than ``PART_ROWS`` classes is split into parts by a hash, and every pair of parts is a unit of
+    its own, so a group of near copies of any size is spread over tasks that hold two parts each.
     """
     label = F.coalesce("label", "sig").alias("label")
     labelled = runs.join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("h", "sig", "pivot", label)
@@ -418,10 +426,13 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
     # a run is known by its members, so runs of one and the same set of classes are joined once
     rows = labelled.join(open_runs, "h")
     same = rows.groupBy("h").agg(F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("of"), F.count("*").alias("k"))
-    once = same.groupBy("of", "k").agg(F.min("h").alias("h")).select("h")
+    once = same.groupBy("of", "k").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("k") / PART_ROWS).alias("parts"))
     rows = rows.join(once, "h")
     low = rows.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set("h")), 1, FIRST).alias("low"))
     rows = rows.join(low.join(classes.select("sig", "n", "counts", "parity"), "sig"), "sig")
+    part = F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part")
+    with_part = rows.select("*", part, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
+    units = with_part.withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -433,7 +444,11 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
                 before = [x for x in low if x < h]
                 earlier[r, : len(before)] = before
             out, held_back = [], False
-            found = tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist(), table.column("parity").to_pylist(), earlier)
+            part = table.column("part").to_numpy()
+            second = (part == table.column("y")[0].as_py()) & (table.column("x")[0].as_py() < part)
+            if second.all() or (table.column("x")[0].as_py() < table.column("y")[0].as_py() and not second.any()):
+                return
+            found = tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist(), table.column("parity").to_pylist(), earlier, second)
             for i, j, apart in found:
                 new = (sig[i] != pivot) & (sig[j] != pivot)
                 out.append((i[new], j[new], apart[new]))
@@ -458,19 +473,20 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cut)], names=["a", "b", "cut"])
 
         for b in batches:
-            h = b.column("h").to_numpy()
-            edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+            unit = np.column_stack([b.column(c).to_numpy() for c in ("h", "x", "y")])
+            edges = [0, *(np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1).tolist(), len(unit)]
             for s, e in zip(edges, edges[1:]):
                 if e == s:
                     continue
-                if held and held[0].column("h")[0].as_py() != h[s]:
+                if held and any(held[0].column(c)[0].as_py() != v for c, v in zip(("h", "x", "y"), unit[s].tolist())):
                     yield from pairs(pa.Table.from_batches(held))
                     held = []
                 held.append(b.slice(s, e - s))
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return rows.select("h", "sig", "pivot", "label", "n", "counts", "parity", "low").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long, cut boolean").distinct()
+    units = units.select("h", "x", "y", "part", "sig", "pivot", "label", "n", "counts", "parity", "low")
+    return units.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(run, "a long, b long, cut boolean").distinct()
 
 
 def _bloom(ids: DataFrame, column: str) -> np.ndarray:

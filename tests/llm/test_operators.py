@@ -135,8 +135,10 @@ def test_jaccard_join_against_brute_force(docs, rows, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
-def test_jaccard_join_on_chains_of_near_copies(spark):
-    """Copies at many distances, so that links, near misses and several rounds occur."""
+@pytest.mark.parametrize("part_rows", [2048, 16])
+def test_jaccard_join_on_chains_of_near_copies(spark, monkeypatch, part_rows):
+    """Copies at many distances, so that links, near misses and several rounds occur; in whole runs and in parts."""
+    monkeypatch.setattr(jaccard_join, "PART_ROWS", part_rows)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     data = []
