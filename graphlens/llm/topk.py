@@ -7,8 +7,10 @@ the distance. All bounds of a block are one matrix product of the statistics. ``
 tried in turn, and only pairs whose bound reaches the query's k-th best exact score so far go on; what is
 left is scored exactly.
 
-Candidates and queries are packed into blocks; every pair of blocks is one unit of work that any
-task can take, and sends at most k rows per query on. The last ranking is by query, k rows per block.
+Candidates and queries are packed into blocks of bounded bytes, and blocks are dealt into a grid: a cell holds
+about ``CELL`` blocks of candidates and of queries, makes each block's statistics once, and lets what a query
+has reached in one block bound the next. A block travels once for each ``CELL`` blocks of the other
+side, and a cell sends at most k rows per query on. The last ranking is by query.
 
 Components become floor(scale * x). Defined results: null vectors, vectors with null or non-finite
 components, empty vectors and null ids take no part; vectors of another length than the query's are no
@@ -30,6 +32,8 @@ from .common import materialize
 
 LEVELS = (4, 16, 32)
 CANDIDATES, QUERIES = 8192, 512
+#: Bytes of a block at most, and blocks of candidates and of queries in a cell, about.
+BLOCK_BYTES, CELL = 4 << 20, (16, 64)
 _PACKED = "dims int, ids binary, data binary"
 #: Above this share of surviving pairs, survivors are scored by one matrix product of the block.
 DENSE = 0.02
@@ -42,25 +46,29 @@ def _valid(vectors: DataFrame) -> DataFrame:
 
 
 def _pack(valid: DataFrame, size: int, scale: float) -> DataFrame:
-    """Blocks of up to ``size`` vectors of one length."""
+    """Blocks of vectors of one length, about ``size`` of them or ``BLOCK_BYTES``, whichever is less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
+        def full(d: int) -> int:
+            return max(1, min(size, BLOCK_BYTES // (8 * d)))
+
         def block(d: int) -> pa.RecordBatch:
             ids, data = zip(*held.pop(d))
             return pa.RecordBatch.from_pydict({"dims": [d], "ids": [np.concatenate(ids).tobytes()], "data": [np.concatenate(data).tobytes()]}, schema=pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
 
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
+            longest = int(b.column("x").value_lengths().to_numpy().max(initial=1))
+            for at in range(0, b.num_rows, full(longest)):
+                part = b.slice(at, full(longest))
                 ids, x = part.column("vec_id").to_numpy(), part.column("x")
                 lengths, flat = x.value_lengths().to_numpy(), np.floor(scale * x.flatten().to_numpy())
                 starts = np.cumsum(lengths) - lengths
                 for d in np.unique(lengths).tolist():
                     pick = np.flatnonzero(lengths == d)
                     held.setdefault(d, []).append((ids[pick], flat[starts[pick, None] + np.arange(d)]))
-                    if sum(len(i) for i, _ in held[d]) >= size:
+                    if sum(len(i) for i, _ in held[d]) >= full(d):
                         yield block(d)
         for d in list(held):
             yield block(d)
@@ -96,33 +104,58 @@ def _kth(score: np.ndarray, k: int) -> np.ndarray:
     return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] >= k else np.full(len(score), -np.inf)
 
 
-def block_top(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, candidate, score of each query's k best in the block, ties to smaller ids."""
-    alive = qid[:, None] != xid[None, :]
+class Block:
+    """Vectors of one length, and their statistics, each level made once."""
+
+    def __init__(self, ids: bytes, data: bytes, dims: int):
+        self.ids, self.x = np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dims)
+        self._made: dict[int, np.ndarray] = {}
+
+    def at(self, level: int) -> np.ndarray:
+        if level not in self._made:
+            self._made[level] = segment_statistics(self.x, level)
+        return self._made[level]
+
+
+def block_survivors(queries: Block, block: Block, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the query, candidate, score of all that can be among a query's k best; ``least`` is the score that
+    each query has reached k times elsewhere.
+    """
+    q, x = queries.x, block.x
+    alive = queries.ids[:, None] != block.ids[None, :]
     kth = None
     for level in LEVELS:
-        sq, sx = segment_statistics(q, level), segment_statistics(x, level)
+        sq, sx = queries.at(level), block.at(level)
         slack = 1 + 1e-9 * np.sqrt((sq**2).sum(1)) * np.sqrt((sx**2).sum(1).max(initial=0))
         bound = sq @ sx.T
         if kth is None:
             seeds = np.argpartition(np.where(alive, -bound, np.inf), min(4 * k, len(x)) - 1, axis=1)[:, : 4 * k]
             rows = np.repeat(np.arange(len(q)), seeds.shape[1])
             seen = np.where(alive[rows, seeds.ravel()], _exact(q[rows], x[seeds.ravel()]).astype(float), -np.inf)
-            kth = _kth(seen.reshape(len(q), -1), k)
+            kth = np.maximum(least, _kth(seen.reshape(len(q), -1), k))
         alive &= bound >= (kth - slack - 2.0**-40 * np.abs(np.where(np.isfinite(kth), kth, 0)))[:, None]
         if alive.mean() < DENSE:
             break
     if alive.mean() >= DENSE and _whole(q, x):
         score = np.where(alive, q @ x.T, -np.inf)
         i, j = np.nonzero(alive & (score >= _kth(score, k)[:, None]))
-        score = score[i, j].astype(np.int64)
-    else:
-        i, j = np.nonzero(alive)
-        score = np.concatenate([_exact(q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.empty(0, np.int64)])
-    order = np.lexsort((xid[j], ~score, i))
-    i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    return qid[i[rank < k]], xid[j[rank < k]], score[rank < k]
+        return i, block.ids[j], score[i, j].astype(np.int64)
+    i, j = np.nonzero(alive)
+    return i, block.ids[j], np.concatenate([_exact(q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.empty(0, np.int64)])
+
+
+def top_of(queries: Block, blocks: list[Block], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, candidate, score of each query's k best in all blocks, ties to smaller ids."""
+    row, cand, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    least = np.full(len(queries.ids), -np.inf)
+    for block in blocks:
+        row, cand, score = (np.concatenate(c) for c in zip((row, cand, score), block_survivors(queries, block, k, least)))
+        order = np.lexsort((cand, ~score, row))
+        row, cand, score = row[order], cand[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        least[row[rank == k - 1]] = score[rank == k - 1]
+        row, cand, score = row[rank < k], cand[rank < k], score[rank < k]
+    return queries.ids[row], cand, score
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -130,25 +163,24 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
     valid = _valid(vectors)
     asking = valid.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
     blocks = materialize(_pack(valid, CANDIDATES, scale), "topk-candidates")
-    asked = materialize(_pack(asking, QUERIES, scale).withColumn("q", F.monotonically_increasing_id()), "topk-queries")
-    lists = asked.select("dims", "q").groupBy("dims").agg(F.collect_list("q").alias("all_q"))
-    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    units = (
-        blocks.join(F.broadcast(lists), "dims")
-        .select("ids", "data", F.explode("all_q").alias("q"))
-        .join(asked.select("dims", "q", F.col("ids").alias("qids"), F.col("data").alias("qdata")), "q")
-        .repartition(parts)
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                ids, data, qids, qdata, d = (b.column(c)[r].as_py() for c in ("ids", "data", "qids", "qdata", "dims"))
-                q, v, s = block_top(np.frombuffer(qids, np.int64), np.frombuffer(qdata).reshape(-1, d), np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, d), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
-
+    asked = materialize(_pack(asking, QUERIES, scale), "topk-queries")
+    across, down = (-(-max(1, t.count()) // n) for t, n in zip((blocks, asked), CELL))
+    # small inputs get as many cells as there are tasks
+    across = max(across, -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // down))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n).cast("long"))
+    left = blocks.select("*", dealt(across).alias("across"), every_one(down).alias("down"))
+    right = asked.select("*", every_one(across).alias("across"), dealt(down).alias("down"))
+
+    def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        x, q = ([Block(r["ids"], r["data"], r["dims"]) for r in t.select(["ids", "data", "dims"]).to_pylist()] for t in (candidates, queries))
+        found = [top_of(block, x, k) for block in q] if x else []
+        columns = zip(*found) if found else [[np.empty(0, np.int64)]] * 3
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, columns))))
+
+    cell = ["dims", "across", "down"]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = units.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, "query_id long, vec_id long, score long")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -330,7 +330,11 @@ def test_url_filter(spark):
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(more, rules, "block").collect()} == {0: ("a.b.com/x", "allow"), 1: ("b.com/", "block"), 2: ("b-c.com/", "block"), 3: (None, "block")}
 
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("sizes", [(8192, 512, 4 << 20), (30, 3, 4 << 20), (8192, 512, 2000)])
+def test_top_k_against_brute_force(spark, monkeypatch, sizes):
+    """In a few blocks, in many, and in blocks bounded by bytes."""
+    for name, n in zip(("CANDIDATES", "QUERIES", "BLOCK_BYTES"), sizes):
+        monkeypatch.setattr(topk, name, n)
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 12)).astype(np.float32)
     x[5] = x[6] = x[7]
