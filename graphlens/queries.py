@@ -125,10 +125,11 @@ def m_dc_nmi(spark, sf):
     return setops.degree_corrected(_nets(spark, sf), fx.reference(spark, sf), N).select("net_id", F.round("dc_network_mutual_information", 9).alias("value"))
 
 
-CLUST = TWO + """,
+_CLUST = """,
 deg AS (SELECT net_id, i, count(*) AS d FROM two GROUP BY ALL),
 tri AS (SELECT a.net_id, a.i, count(*) // 2 AS t FROM two a JOIN two b ON a.net_id = b.net_id AND a.i = b.i JOIN two c ON c.net_id = a.net_id AND c.i = a.j AND c.j = b.j GROUP BY ALL),
 clu AS (SELECT deg.net_id, deg.i, d, coalesce(t, 0)::BIGINT AS t, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS c FROM deg LEFT JOIN tri USING (net_id, i))"""
+CLUST = TWO + _CLUST
 
 
 @query("clustering", CLUST + " SELECT net_id, i, d AS degree, t AS triangles, round(c, 9) AS clustering FROM clu")
@@ -136,12 +137,13 @@ def clustering(spark, sf):
     return setops.clustering(_nets(spark, sf)).withColumn("clustering", F.round("clustering", 9))
 
 
-EGO = CLUST + """,
+_EGO = """,
 nb AS (SELECT two.net_id, two.i, avg(d) AS md, avg(c) AS mc, sum(d)::BIGINT AS sd FROM two JOIN clu ON clu.net_id = two.net_id AND clu.i = two.j GROUP BY ALL),
 sec AS (SELECT net_id, i, count(*) AS n2 FROM (
   SELECT DISTINCT a.net_id, a.i, b.j FROM two a JOIN two b ON a.net_id = b.net_id AND a.j = b.i WHERE a.i <> b.j) s ANTI JOIN two USING (net_id, i, j) GROUP BY ALL),
 ego AS (SELECT clu.net_id, clu.i, d, c, md, mc, d + t AS e_in, d + sd - 2 * (d + t) AS e_out, coalesce(n2, 0)::BIGINT AS n2
         FROM clu JOIN nb USING (net_id, i) LEFT JOIN sec USING (net_id, i))"""
+EGO = CLUST + _EGO
 
 
 @query("ego_features", EGO + """ SELECT net_id, i, d AS degree, round(c, 9) AS clustering, round(md, 9) AS mean_degree, round(mc, 9) AS mean_clustering,
@@ -223,7 +225,39 @@ _kernel("delta_con", AFFINITY + " SELECT a.net_id, round(sqrt(sum((sqrt(greatest
 _kernel("communicability_corr", EXPONENTIAL + " SELECT a.net_id, round(corr(a.x, b.x), 6) AS value FROM sm a JOIN sm b ON b.net_id = -1 AND a.i = b.i AND a.j = b.j WHERE a.net_id >= 0 GROUP BY ALL", True, 6)
 _kernel("communicability_jsd", EXPONENTIAL + """, pm AS (SELECT net_id, i, j, x / sum(x) OVER (PARTITION BY net_id) AS p FROM sm)
 SELECT a.net_id, round(sum(a.p * log2(2 * a.p / (a.p + b.p)) + b.p * log2(2 * b.p / (a.p + b.p))) / 2, 6) AS value FROM pm a JOIN pm b ON b.net_id = -1 AND a.i = b.i AND a.j = b.j WHERE a.net_id >= 0 GROUP BY ALL""", True, 6)
-for _name in ("spectral_distance_adjacency", "spectral_distance_norm_laplacian", "netrd_non_backtracking_spectral", "net_simile", "resistance", "energy"):
+BOTH = ", two AS (SELECT * FROM gt)" + _CLUST
+_kernel("net_simile", ALL + BOTH + _EGO + """,
+ft AS (SELECT net_id, f, x FROM (SELECT net_id, i, d::DOUBLE AS f1, c::DOUBLE AS f2, md::DOUBLE AS f3, mc::DOUBLE AS f4, e_in::DOUBLE AS f5, e_out::DOUBLE AS f6, n2::DOUBLE AS f7 FROM ego)
+       UNPIVOT (x FOR f IN (f1, f2, f3, f4, f5, f6, f7))),
+mo AS (SELECT net_id, f, avg(x) AS m, median(x) AS h, stddev_pop(x) AS s FROM ft GROUP BY ALL),
+sg AS (SELECT net_id, f, min(m) AS s1, min(h) AS s2, min(s) AS s3, avg(CASE WHEN s > 1e-12 THEN ((x - m) / s) ** 3 END) AS s4, avg(CASE WHEN s > 1e-12 THEN ((x - m) / s) ** 4 END) - 3 AS s5
+       FROM ft JOIN mo USING (net_id, f) GROUP BY ALL),
+sl AS (SELECT net_id, f, p, x FROM sg UNPIVOT INCLUDE NULLS (x FOR p IN (s1, s2, s3, s4, s5)))
+SELECT a.net_id, CASE WHEN count(a.x + b.x) = 35 THEN round(sum(CASE WHEN abs(a.x) + abs(b.x) > 0 THEN abs(a.x - b.x) / (abs(a.x) + abs(b.x)) ELSE 0 END), 6) END AS value
+FROM sl a JOIN sl b ON b.net_id = -1 AND a.f = b.f AND a.p = b.p WHERE a.net_id >= 0 GROUP BY ALL""", digits=6)
+_kernel("resistance", ALL + """,
+dg AS (SELECT net_id, i, count(*) AS d FROM gt GROUP BY ALL), cc AS (SELECT net_id, 2.0::DOUBLE * max(d) AS c FROM dg GROUP BY ALL),
+mt AS (SELECT a.net_id, a.i, b.i AS j, (CASE WHEN a.i = b.i THEN a.d ELSE 0 END - (gt.i IS NOT NULL)::INT + 1 / 25.0::DOUBLE) / c AS x
+       FROM dg a JOIN dg b ON a.net_id = b.net_id JOIN cc ON cc.net_id = a.net_id LEFT JOIN gt ON gt.net_id = a.net_id AND gt.i = a.i AND gt.j = b.i),
+dbl(net_id, n, k, i, j, x) AS (
+  SELECT net_id, 0, k, i, j, (CASE WHEN i = j THEN 1 ELSE 0 END - CASE k WHEN 'power' THEN x ELSE 0 END)::DOUBLE FROM mt, (VALUES ('power'), ('sum')) t(k)
+  UNION ALL
+  SELECT a.net_id, a.n + 1, a.k, a.i, b.j, sum(a.x * (b.x + CASE WHEN a.k = 'sum' AND b.i = b.j THEN 1 ELSE 0 END)) FROM dbl a JOIN dbl b ON b.k = 'power' AND a.net_id = b.net_id AND a.j = b.i
+  WHERE a.n < 12 GROUP BY a.net_id, a.n, a.k, a.i, b.j),
+iv AS (SELECT net_id, i, j, x / c AS x FROM dbl JOIN cc USING (net_id) WHERE n = 12 AND k = 'sum'),
+dia AS (SELECT net_id, i, x FROM iv WHERE i = j),
+rs AS (SELECT iv.net_id, iv.i, iv.j, a.x + b.x - 2 * iv.x AS x FROM iv JOIN dia a ON a.net_id = iv.net_id AND a.i = iv.i JOIN dia b ON b.net_id = iv.net_id AND b.i = iv.j)
+SELECT a.net_id, round(sqrt(sum((a.x - b.x) ** 2)), 6) AS value FROM rs a JOIN rs b ON b.net_id = -1 AND a.i = b.i AND a.j = b.j WHERE a.net_id >= 0 GROUP BY ALL""", True, 6)
+_kernel("energy", PATHS + BOTH + """,
+bt AS (SELECT p.net_id, v.t AS i, round(coalesce(sum(CASE WHEN p.s <> v.t AND p.t <> v.t AND p.s <> p.t AND a.d + v.d = p.d THEN a.sigma * v.sigma / p.sigma END), 0) / (24 * 23), 9) AS x
+       FROM paths p JOIN paths a ON a.net_id = p.net_id AND a.s = p.s JOIN paths v ON v.net_id = p.net_id AND v.s = p.t AND v.t = a.t GROUP BY ALL),
+vl AS (SELECT net_id, 'degree' AS f, d::DOUBLE AS x FROM clu UNION ALL SELECT net_id, 'clustering', round(c, 9)::DOUBLE FROM clu UNION ALL SELECT net_id, 'betweenness', x FROM bt
+       UNION ALL SELECT net_id, 'length', round(dist, 9) FROM g JOIN geo USING (u, v)),
+sm AS (SELECT net_id, true AS own, f, x FROM vl WHERE net_id >= 0 UNION ALL SELECT nets.net_id, false, f, x FROM nets, vl WHERE vl.net_id = -1),
+pt AS (SELECT DISTINCT net_id, f, x FROM sm),
+df AS (SELECT pt.net_id, pt.f, pt.x, abs(avg(CASE WHEN own THEN (sm.x <= pt.x)::INT END) - avg(CASE WHEN NOT own THEN (sm.x <= pt.x)::INT END)) AS d FROM pt JOIN sm ON sm.net_id = pt.net_id AND sm.f = pt.f GROUP BY ALL)
+SELECT net_id, round(max(d), 7) AS value FROM df GROUP BY net_id""", True)
+for _name in ("spectral_distance_adjacency", "spectral_distance_norm_laplacian", "netrd_non_backtracking_spectral"):
     _kernel(_name)
 
 

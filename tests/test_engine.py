@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["networks_edges", "m_jaccard", "m_dc_nmi", "ego_features", "agreement", "recovery", "recovery_argmin", "bitset_roundtrip", "auc", "rewire_degree_invariant"])
+@pytest.mark.parametrize("name", ["networks_edges", "m_jaccard", "m_dc_nmi", "ego_features", "agreement", "recovery", "recovery_argmin", "bitset_roundtrip", "auc", "rewire_degree_invariant", "m_net_simile", "m_resistance", "m_energy"])
 def test_oracles(spark, duck, name):
     from graphlens.queries import ORACLES, QUERIES
 
