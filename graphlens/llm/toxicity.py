@@ -1,16 +1,23 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, through a block-max inverted index.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, on whole texts and on a lexicon.
 
 Terms are lower-cased words and their first 4, 5 and 6 characters, so that one stem in many inflections is
-one term. The terms used are those whose presence tells the classes of the examples apart (chi-squared
-over ``CHI2``, the best ``TERMS``). Document frequencies are counted over all documents. Examples are at
+one term; 64-bit hashes stand for them. Document frequencies are counted over all documents. Examples are at
 most ``EXAMPLES`` labelled rows of each class, in the order of a hash of the id; that bounds the index,
 which is broadcast.
 
-The index holds, for each term and each block of ``BLOCK`` examples, the largest weight. A query sums those
-to bound the cosine of every block, takes blocks by falling bound, scores their examples exactly, and
-stops when no bound reaches its k-th best. Neighbours vote by inverse distance; a logistic curve fitted on
-leave-one-out votes of the examples, weighted back to the class rates of all labels, makes the vote a
-probability. The nearest neighbours are returned as evidence.
+A vector holds every term of its text, and so does its norm. ``Postings`` has all terms of the examples and
+gives the cosine of a text with each of them. Frequencies of terms that no example holds count in the norms
+only; those of 2 or more are broadcast too (12 bytes a term), a term that is not among them has one document.
+
+A second search sees only the lexicon: the terms whose presence tells the classes of the examples apart
+(chi-squared over ``CHI2``, the best ``TERMS``). It goes through an index that holds, for each of its terms
+and each block of ``BLOCK`` examples, the largest weight. A query sums those to bound the cosine of every
+block, takes blocks by falling bound, scores their examples exactly, and stops when no bound reaches its
+k-th best. (Bounds of whole texts, summed over hundreds of common terms, would let all blocks through.)
+
+The neighbours of each search vote by inverse distance; a logistic curve of both votes, fitted on leave-one-out
+votes of the examples, weighted back to the class rates of all labels, makes them a probability. The nearest
+neighbours by whole texts are returned as evidence.
 
 Defined results: null and empty texts share no term with any example and get the score of that case;
 examples that tie go by id; repeated rows are scored each; repeated labels count each; if the
@@ -24,6 +31,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +43,8 @@ from .common import held_out, materialize, received, rows_of, ship
 
 EXAMPLES, TERMS, CHI2, LEAST_DF = 1500, 2048, 10.8, 4
 BLOCK, NEIGHBOURS, EVIDENCE = 64, 15, 3
-CACHE = 400_000
+#: Words that a task remembers; texts scored at a time; terms of the examples that are kept as a matrix.
+CACHE, BATCH, COMMON = 400_000, 64, 2048
 _WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -47,42 +57,110 @@ def terms_of(word: str) -> tuple[str, ...]:
 
 
 class _Terms(dict):
-    """word -> ids of its chosen terms; forgets everything when it is full.
-
-    Only words whose first four characters are in ``heads`` can have any.
-    """
+    """word -> places of its terms in ``hashes``; forgets everything when it is full, between two batches of texts."""
 
-    def __init__(self, ids: dict[str, int]):
+    def __init__(self):
         super().__init__()
-        self.ids = ids
-        self.heads = {t.removesuffix("*")[:4] for t in ids}
+        self.places: dict[str, int] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        out = self[word] = tuple(i for t in terms_of(word) if (i := self.ids.get(t)) is not None)
+        places = self.places
+        out = self[word] = tuple([places.setdefault(t, len(places)) for t in terms_of(word)])
         return out
 
-    def among(self, words: set[str]) -> set[int]:
-        heads = self.heads
-        return {i for w in words if w[:4] in heads for i in self[w]}
+    def full(self) -> bool:
+        return len(self) >= CACHE
+
+    def forget(self) -> None:
+        self.clear()
+        self.places.clear()
+
+    def hashes(self, first: int = 0) -> np.ndarray:
+        """Of the places from ``first``; they are given in order."""
+        new = [t for t, _ in zip(reversed(self.places), range(len(self.places) - first))]
+        return np.frombuffer(b"".join([blake2b(t.encode(), digest_size=8).digest() for t in reversed(new)]), np.int64)
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of all terms of a text."""
+        words = words_of(text)
+        of = list(map(self.__getitem__, words))
+        sizes = np.fromiter(map(len, of), np.int64, len(of))
+        each = np.repeat(np.fromiter(words.values(), np.int64, len(of)), sizes)
+        places, at = np.unique(np.fromiter(chain.from_iterable(of), np.int64, len(each)), return_inverse=True)
+        return places, np.bincount(at, each, len(places)).astype(np.int64)
+
 
+def found_in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of the values in a sorted table, -1 if not there."""
+    if not len(table):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, at, -1)
 
-def term_counts(known: _Terms, text: str | None) -> dict[int, int]:
-    out: dict[int, int] = {}
-    heads = known.heads
-    for w, n in words_of(text).items():
-        if w[:4] in heads:
-            for i in known[w]:
-                out[i] = out.get(i, 0) + n
-    return out
 
+def unit(w: np.ndarray) -> np.ndarray:
+    return w / np.sqrt((w**2).sum()) if len(w) else w
 
-def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term ids and weights of a unit vector."""
-    ids = np.fromiter(sorted(counts), np.int64, len(counts))
-    w = (1 + np.log(np.array([counts[i] for i in ids.tolist()], float))) * idf[ids] if len(ids) else np.empty(0)
-    return ids, w / np.sqrt((w**2).sum()) if len(ids) else w
+
+class Frequencies:
+    """Inverse document frequencies by hash; a term that is not in the table has one document."""
+
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, rows: int):
+        order = np.argsort(hashes)
+        self.hashes, self.df, self.rows = hashes[order], df[order].astype(np.int32), rows
+
+    def idf(self, hashes: np.ndarray) -> np.ndarray:
+        at = found_in(self.hashes, hashes)
+        df = np.where(at >= 0, self.df[at], 1) if len(self.df) else np.ones(len(hashes))
+        return np.log((1 + self.rows) / (1 + df)) + 1
+
+
+class Postings:
+    """All weights of the examples by term; the ``COMMON`` most common terms as a matrix, made where it is used."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.size = len(vectors)
+        doc = np.repeat(np.arange(self.size, dtype=np.int32), [len(i) for i, _ in vectors])
+        term, weight = np.concatenate([i for i, _ in vectors]).astype(np.int32), np.concatenate([w for _, w in vectors])
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+        self.common = np.argsort(-np.diff(self.start), kind="stable")[:COMMON]
+        self.row = np.full(terms, -1)
+        self.row[self.common] = np.arange(len(self.common))
+        self.matrix: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"matrix": None}
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each query with each example, to 12 digits, so that equal examples tie."""
+        if self.matrix is None:
+            self.matrix = np.zeros((len(self.common), self.size))
+            for r, t in enumerate(self.common.tolist()):
+                s, e = self.start[t], self.start[t + 1]
+                self.matrix[r, self.doc[s:e]] = self.weight[s:e]
+        query = np.repeat(np.arange(len(queries)), [len(i) for i, _ in queries])
+        term, weight = np.concatenate([i for i, _ in queries]), np.concatenate([w for _, w in queries])
+        row = self.row[term]
+        dense = np.zeros((len(queries), len(self.common)))
+        dense[query[row >= 0], row[row >= 0]] = weight[row >= 0]
+        query, term, weight = query[row < 0], term[row < 0], weight[row < 0]
+        sizes = self.start[term + 1] - self.start[term]
+        at = np.arange(sizes.sum()) + np.repeat(self.start[term] - np.cumsum(sizes) + sizes, sizes)
+        rest = np.bincount(np.repeat(query, sizes) * self.size + self.doc[at], np.repeat(weight, sizes) * self.weight[at], len(queries) * self.size)
+        return (dense @ self.matrix + rest.reshape(len(queries), -1)).round(12)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k best examples with a positive cosine, ties to the smaller index; query q leaves out
+        example ``leave`` + q, if that is given.
+        """
+        for q, cosine in enumerate(self.cosines(queries)):
+            if leave >= 0:
+                cosine[leave + q] = 0
+            near = np.flatnonzero(cosine >= max(np.partition(cosine, -k)[-k], 1e-12)) if len(cosine) > k else np.flatnonzero(cosine > 0)
+            near = near[np.lexsort((near, -cosine[near]))[:k]]
+            yield near, cosine[near]
 
 
 class BlockMaxIndex:
@@ -153,21 +231,94 @@ def bounded_sample(labels: DataFrame, label: str, most: int) -> tuple[DataFrame,
     return rows.filter("label = 0").orderBy(*order).limit(most).unionByName(rows.filter("label = 1").orderBy(*order).limit(most)), counts
 
 
-class Model:
-    """What the search needs on executors; of bounded size."""
+class Weights:
+    """Vectors of texts: terms of the examples by their place, weights by the norm over all terms of the text."""
+
+    def __init__(self, frequencies: Frequencies, terms: np.ndarray):
+        self.frequencies, self.terms, self.known, self.size = frequencies, terms, _Terms(), 0
+        self.idf, self.place = np.empty(1 << 16), np.empty(1 << 16, np.int64)
+
+    def of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.known.full():
+            self.known.forget()
+            self.size = 0
+        counted = [self.known.counted(t) for t in texts]
+        new = self.known.hashes(self.size)
+        while self.size + len(new) > len(self.idf):
+            self.idf, self.place = np.resize(self.idf, 2 * len(self.idf)), np.resize(self.place, 2 * len(self.place))
+        self.idf[self.size : self.size + len(new)] = self.frequencies.idf(new)
+        self.place[self.size : self.size + len(new)] = found_in(self.terms, new)
+        self.size += len(new)
+        out = []
+        for i, n in counted:
+            w, place = unit((1 + np.log(n)) * self.idf[i]), self.place[i]
+            order = np.argsort(place)[(place < 0).sum() :]
+            out.append((place[order], w[order]))
+        return out
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, ids: np.ndarray, label: np.ndarray, vectors: list, prior: dict[int, int]):
-        self.terms, self.idf, self.ids, self.label = terms, idf, ids, label
-        self.index = BlockMaxIndex(vectors, len(terms))
-        x = np.array([vote(c, label[n]) for n, c in (self.index.nearest(*v, NEIGHBOURS, leave=i) for i, v in enumerate(vectors))])
+
+class Model:
+    """What the search needs on executors. The examples bound it but for the frequencies."""
+
+    def __init__(self, frequencies: Frequencies, terms: np.ndarray, lexicon: np.ndarray, ids: np.ndarray, label: np.ndarray, vectors: list, prior: dict[int, int]):
+        self.frequencies, self.terms, self.ids, self.label = frequencies, terms, ids, label
+        self.listed = np.full(len(terms), -1)
+        self.listed[lexicon] = np.arange(len(lexicon))
+        self.whole = Postings(vectors, len(terms))
+        near = [x for i in range(0, len(vectors), BATCH) for x in self.whole.nearest(vectors[i : i + BATCH], NEIGHBOURS, leave=i)]
+        self.whole.matrix = None
+        self.listed_vectors = listed = [self.of_lexicon(*v) for v in vectors]
+        self.index = BlockMaxIndex(listed, len(lexicon))
+        x = np.array([self.votes(n, self.index.nearest(*v, NEIGHBOURS, leave=i)) for i, (n, v) in enumerate(zip(near, listed))])
         share = np.array([prior[v] / max(1, (label == v).sum()) for v in label.tolist()])
         self.curve = fit_logistic(x, label.astype(float), share * len(label) / share.sum())
 
-    def score(self, known: _Terms, text: str | None) -> tuple[float, list[dict]]:
-        near, cosine = self.index.nearest(*weigh(term_counts(known, text), self.idf), NEIGHBOURS)
-        logit = float(np.dot(self.curve, [*vote(cosine, self.label[near]), 1.0]))
-        seen = [{"doc_id": int(self.ids[n]), "toxic": int(self.label[n]), "similarity": float(c)} for n, c in zip(near[:EVIDENCE], cosine)]
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))), seen
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.index = BlockMaxIndex(self.listed_vectors, int(self.listed.max(initial=-1)) + 1)
+
+    def of_lexicon(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of the listed terms alone."""
+        at = self.listed[terms]
+        return at[at >= 0], unit(weights[at >= 0])
+
+    def votes(self, *found: tuple[np.ndarray, np.ndarray]) -> list[float]:
+        return [x for near, cosine in found for x in vote(cosine, self.label[near])]
+
+    def score(self, weights: Weights, texts: list[str | None]) -> Iterator[tuple[float, list[dict]]]:
+        for a in range(0, len(texts), BATCH):
+            vectors = weights.of(texts[a : a + BATCH])
+            for v, (near, cosine) in zip(vectors, self.whole.nearest(vectors, NEIGHBOURS)):
+                logit = float(np.dot(self.curve, [*self.votes((near, cosine), self.index.nearest(*self.of_lexicon(*v), NEIGHBOURS)), 1.0]))
+                seen = [{"doc_id": int(self.ids[n]), "toxic": int(self.label[n]), "similarity": float(c)} for n, c in zip(near[:EVIDENCE], cosine)]
+                yield 1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))), seen
+
+
+def document_frequencies(texts: DataFrame) -> Frequencies:
+    """Of the terms with two documents or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = _Terms(), np.zeros(1 << 16, np.int64)
+
+        def counts() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(known.hashes()), pa.array(df[: len(known.places)])], names=["h", "df"])
+
+        for b in rows_of(batches, BATCH):
+            if known.full():
+                yield counts()
+                known.forget()
+                df[:] = 0
+            places = np.concatenate([np.fromiter({i for w in set(_WORD((t.as_py() or "").lower())) for i in known[w]}, np.int64) for t in b.column("text")])
+            while len(known.places) > len(df):
+                df = np.concatenate([df, np.zeros(len(df), np.int64)])
+            np.add.at(df, places, 1)
+        yield counts()
+
+    found = texts.select("text").mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).filter("df > 1").toArrow()
+    return Frequencies(found.column("h").to_numpy(), found.column("df").to_numpy(), texts.count())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | float:
@@ -179,57 +330,35 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | flo
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     examples = materialize(texts.join(F.broadcast(sample), "doc_id"), "toxicity-examples")
 
-    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: tuple[Counter, Counter] = (Counter(), Counter())
-        for b in batches:
-            for t, y in zip(b.column("text"), b.column("label").to_pylist()):
-                df[y].update({term for w in words_of(t.as_py()) for term in terms_of(w)})
-        names = list(df[0].keys() | df[1].keys())
-        yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "n0": pa.array([df[0][t] for t in names], pa.int64()), "n1": pa.array([df[1][t] for t in names], pa.int64())})
-
     n = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     if len(n) < 2:
         return counts.get(1, 0) / sum(counts.values())
-    a, b = F.col("n1"), F.col("n0")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Terms()
+        for b in rows_of(batches, BATCH):
+            if known.full():
+                known.forget()
+            found = [known.counted(t.as_py()) for t in b.column("text")]
+            hashes = known.hashes()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([hashes[i].tobytes() for i, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["doc_id", "label", "terms", "counts"])
+
+    rows = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"], np.int32)) for r in examples.mapInArrow(counted, "doc_id long, label int, terms binary, counts binary").collect()]
+    rows = [(i, y, t[o], c[o]) for i, y, t, c in rows for o in [np.argsort(t)]]
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    label = np.array([y for _, y, _, _ in rows])
+    terms, place = np.unique(np.concatenate([t for _, _, t, _ in rows]), return_inverse=True)
+    a, b = (np.bincount(place[np.repeat(label == y, [len(t) for _, _, t, _ in rows])], minlength=len(terms)).astype(float) for y in (1, 0))
     c, d = n[1] - a, n[0] - b
-    chi = (a * d - b * c) ** 2 * float(n[0] + n[1]) / ((a + b) * (c + d) * float(n[0] * n[1]))
-    chosen = (
-        examples.mapInArrow(count_terms, "term string, n0 long, n1 long")
-        .groupBy("term")
-        .agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
-        .filter((a + b >= LEAST_DF) & (c + d > 0))
-        .withColumn("chi", chi)
-        .filter(F.col("chi") > CHI2)
-        .orderBy(F.desc("chi"), "term")
-        .limit(TERMS)
-        .select("term")
-    )
-    ids = {r["term"]: i for i, r in enumerate(chosen.collect())}
-    shipped = spark.sparkContext.broadcast(ids)
-
-    def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df, rows = _Terms(shipped.value), np.zeros(len(shipped.value) + 1, np.int64), 0
-        for b in batches:
-            rows += b.num_rows
-            for t in b.column("text"):
-                df[list(known.among(set(_WORD((t.as_py() or "").lower()))))] += 1
-        df[-1] = rows
-        used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(df[used])], names=["term", "df"])
-
-    df = np.zeros(len(ids) + 1)
-    for r in texts.mapInArrow(count_documents, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms(shipped.value)
-        for b in batches:
-            counts = [term_counts(known, t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.int64())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "counts"])
-
-    rows = sorted(examples.mapInArrow(vectors, "doc_id long, label int, terms array<long>, counts array<long>").collect(), key=lambda r: (r["doc_id"], r["label"], sorted(zip(r["terms"], r["counts"]))))
-    return Model(ids, idf, np.array([r["doc_id"] for r in rows]), np.array([r["label"] for r in rows]), [weigh(dict(zip(r["terms"], r["counts"])), idf) for r in rows], counts)
+    used = (a + b >= LEAST_DF) & (c + d > 0)
+    chi = np.where(used, (a * d - b * c) ** 2 * float(n[0] + n[1]) / np.where(used, (a + b) * (c + d) * float(n[0] * n[1]), 1), 0)
+    lexicon = np.lexsort((terms, -chi))[: min(TERMS, int((chi > CHI2).sum()))]
+    frequencies = document_frequencies(texts)
+    idf = frequencies.idf(terms)
+    vectors = [(i, unit((1 + np.log(c)) * idf[i])) for _, _, t, c in rows for i in [np.searchsorted(terms, t).astype(np.int32)]]
+    ids = np.array([i for i, _, _, _ in rows])
+    del rows, place, a, b, c, d, chi, used
+    return Model(frequencies, terms, lexicon, ids, label, vectors, counts)
 
 
 def score(docs: DataFrame, model: Model | float, cut: float = 0.5) -> DataFrame:
@@ -239,9 +368,9 @@ def score(docs: DataFrame, model: Model | float, cut: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = received(shipped)
-        known = _Terms({} if isinstance(m, float) else m.terms)
+        weights = None if isinstance(m, float) else Weights(m.frequencies, m.terms)
         for b in rows_of(batches, 1024):
-            out = [(m, []) if isinstance(m, float) else m.score(known, t.as_py()) for t in b.column("text")]
+            out = [(m, [])] * b.num_rows if isinstance(m, float) else list(m.score(weights, b.column("text").to_pylist()))
             s = np.array([x for x, _ in out])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array([e for _, e in out], evidence)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -255,9 +384,9 @@ def without_toxic(docs: DataFrame, model: Model | float, cut: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = received(shipped)
-        known = _Terms({} if isinstance(m, float) else m.terms)
+        weights = None if isinstance(m, float) else Weights(m.frequencies, m.terms)
         for b in rows_of(batches, 1024):
-            keep = [(m if isinstance(m, float) else m.score(known, t.as_py())[0]) < cut for t in b.column("text")]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            scores = [m] * b.num_rows if isinstance(m, float) else [x for x, _ in m.score(weights, b.column("text").to_pylist())]
+            yield b.filter(pa.array([x < cut for x in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

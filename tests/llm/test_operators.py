@@ -200,6 +200,29 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_compares_whole_texts(spark):
+    """Similarities are those of all terms, also of terms that few examples hold or none; toxic words of two or three examples are enough."""
+    rng = random.Random(6)
+    vile = lambda family: " ".join(f"{family:02d}zq{k}" for k in rng.sample(range(8), 6))
+    data = [(i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=20)) + f" only{i} " + (vile(i // 15) if i % 5 == 0 else ""), "en", "s", 0) for i in range(300)]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 0][:21]
+    data += [(held[f], " ".join(rng.choices([f"w{k}" for k in range(300)], k=20)) + " " + vile(f), "en", "s", 0) for f in range(20)]
+    data += [(held[20], " ".join(f"unseen{k}" for k in range(500)) + " w1 w2", "en", "s", 0)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(data, DOCS)
+    out = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    terms = {i: toxicity.Counter(x for w in t.lower().split() for x in toxicity.terms_of(w)) for i, t, *_ in data}
+    df = toxicity.Counter(x for c in terms.values() for x in c)
+    weights = {i: {x: (1 + np.log(n)) * (np.log((1 + len(data)) / (1 + df[x])) + 1) for x, n in c.items()} for i, c in terms.items()}
+    norm = {i: np.sqrt(sum(w * w for w in v.values())) for i, v in weights.items()}
+    examples = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    for i, r in out.items():
+        cosine = {e: sum(w * weights[e].get(x, 0) for x, w in weights[i].items()) / norm[i] / norm[e] for e in examples}
+        assert [x["similarity"] for x in r["evidence"]] == pytest.approx([c for c in sorted(cosine.values(), reverse=True)[:3] if c > 0]), i
+    assert np.mean([out[i]["predicted"] for i in held[:20]]) > 0.8 and np.mean([out[i]["predicted"] for i in range(300) if i % 5]) < 0.02
+    assert 0 < out[held[20]]["evidence"][0]["similarity"] < 0.1 and out[held[20]]["predicted"] == 0
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(4)
     vectors = []
