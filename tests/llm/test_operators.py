@@ -257,6 +257,20 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_quality_passes_over_texts_that_do_not_fit(spark, monkeypatch):
+    """One long text, first of its class, does not remove the shorter examples behind it."""
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 400_000)
+    rng = random.Random(7)
+    data = [(i, "%%% &&& " * 40 if i % 2 else words(rng, 60), "en", "s", 0) for i in range(200)]
+    first = min((i for i in range(0, 200, 2) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    data[first] = (first, words(rng, 90_000), "en", "s", 0)
+    docs = spark.createDataFrame([*data, data[4], data[4]], DOCS)
+    net = quality.fit(docs, spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int"))
+    assert isinstance(net, quality.Network)
+    assert np.mean([r["predicted"] == 1 - r["doc_id"] % 2 for r in quality.score(docs, net).collect()]) > 0.97
+    assert quality.fitting([(0, 9), (0, 3), (1, 5), (0, 2), (0, 1), (1, 1)], 5) == [False, True, True, True, False, False]
+
+
 def test_network_gradients_and_coverage():
     net = quality.Network(1)
     texts, y = [b"abc" * 300, b"hello world, " * 9, b""], np.array([1, 0, 1], np.float32)
