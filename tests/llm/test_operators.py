@@ -223,6 +223,13 @@ def test_toxicity_compares_whole_texts(spark):
     assert 0 < out[held[20]]["evidence"][0]["similarity"] < 0.1 and out[held[20]]["predicted"] == 0
 
 
+def test_lexicon_of_more_than_2048_terms(spark):
+    data = [(i, " ".join(f"{k:04d}" for k in range(3000)) if i % 3 == 0 else "plain words", "en", "s", 0) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(data, DOCS), labels)
+    assert len(model.index.most) > 3000
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(4)
     vectors = []
