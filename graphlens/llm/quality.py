@@ -6,13 +6,12 @@ a filter is a table of weights by place and byte, so convolution is a sum of tab
 maximum over the chunk give the chunk's vector; its mean and its maximum over all chunks feed a hidden layer
 and one logistic output. Chunks of a few kinds of bytes excite few filters, which is how repetition shows.
 
-Training is by Adam on whole texts of a bounded sample: at most ``EXAMPLES`` labelled rows of each class, in
-the order of a hash of the id, and of these each that still fits half of ``TRAIN_BYTES``: a text that does not
-fit is passed over, and the shorter ones after it are taken. Classes are balanced in training
-and the output is moved to the class rates of all labels. The network is a few hundred kB and is broadcast.
+Training is by Adam on whole texts of the examples (bounded in rows and bytes, see ``examples``). Classes are
+balanced in training and the output is moved to the class rates of all labels. The network is a few hundred kB
+and is broadcast.
 
 Defined results: null and empty texts are one chunk of zero bytes; long texts are read in slabs of
-``SLAB`` chunks; repeated rows are scored each; if the training labels lack a class every score is the
+``SLAB`` chunks; repeated rows are scored each, but an id teaches once; if the training labels lack a class every score is the
 share of label 1 among them, 1 without labels, so that nothing is rejected untaught. Extra columns are
 ignored; an empty table gives an empty table.
 """
@@ -20,20 +19,19 @@ ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, received, rows_of, ship, small_table
-from .toxicity import bounded_sample
+from .common import held_out, received, rows_of, ship
+from .examples import labelled_texts
 
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 4
 FILTERS, HIDDEN, SLAB = 32, 16, 64
-EXAMPLES, TRAIN_BYTES, EPOCHS, BATCH, SEED = 1500, 24_000_000, 8, 32, 7
+EPOCHS, BATCH, SEED = 8, 32, 7
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -159,42 +157,18 @@ class Network:
                     self.p[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
 
 
-def fitting(rows: list[tuple[int, int]], most: int) -> list[bool]:
-    """Whether each (label, bytes) still fits ``most`` bytes of its label, taken in order; what does not fit is passed over."""
-    left: dict[int, int] = {}
-    out = []
-    for label, size in rows:
-        room = left.setdefault(label, most)
-        out.append(size <= room)
-        left[label] = room - size * out[-1]
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network | float:
-    sample, counts = bounded_sample(labels, label, EXAMPLES)
+    rows, counts = labelled_texts(docs, labels, label)
     if len(counts) < 2:
         return 0.0 if counts.get(0, 0) else 1.0
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    examples = materialize(texts.join(F.broadcast(sample), "doc_id").withColumn("digest", F.md5("raw")), "quality-examples")
-    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "digest"]
-    sized = examples.select("label", "doc_id", "digest", F.octet_length("raw").alias("size")).orderBy("label", *order).collect()
-    kept = fitting([(r["label"], r["size"]) for r in sized], TRAIN_BYTES // 2)
-    taken = Counter((r["label"], r["doc_id"], r["digest"]) for r, k in zip(sized, kept) if k)
-    some = [{"label": y, "doc_id": i, "digest": h, "copies": n} for (y, i, h), n in taken.items()]
-    copy = Window.partitionBy("label", "doc_id", "digest").orderBy("digest")
-    numbered = examples.withColumn("copy", F.row_number().over(copy))
-    chosen = F.broadcast(small_table(docs.sparkSession, some, "label int, doc_id long, digest string, copies int"))
-    rows = numbered.join(chosen, ["label", "doc_id", "digest"]).filter("copy <= copies").select("label", "raw", "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["raw"])))
-    y = np.array([r["label"] for r in rows], np.float32)
+    y = np.array([label for _, label, _ in rows], np.float32)
     if not 0 < y.sum() < len(y):
         return counts.get(1, 0) / sum(counts.values())
     # the smaller class is repeated until the classes are about equal
     few, many = sorted((np.flatnonzero(y == 0), np.flatnonzero(y == 1)), key=len)
     pick = np.concatenate([many, np.resize(few, len(many))]) if len(few) * 4 >= len(many) else np.concatenate([many, np.tile(few, 4)])
     net = Network()
-    raw = [bytes(r["raw"]) for r in rows]
-    net.train([raw[i] for i in pick], y[pick])
+    net.train([rows[i][2] for i in pick], y[pick])
     net.shift = math.log(counts[1] / counts[0]) - math.log(y[pick].sum() / (len(pick) - y[pick].sum()))
     return net
 

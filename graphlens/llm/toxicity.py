@@ -1,28 +1,26 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, on whole texts and on a lexicon.
-
-Terms are lower-cased words and their first 4, 5 and 6 characters, so that one stem in many inflections is
-one term; 64-bit hashes stand for them. Document frequencies are counted over all documents. Examples are at
-most ``EXAMPLES`` labelled rows of each class, in the order of a hash of the id; that bounds the index,
-which is broadcast.
-
-A vector holds every term of its text, and so does its norm. ``Postings`` has all terms of the examples and
-gives the cosine of a text with each of them. Frequencies of terms that no example holds count in the norms
-only; those of 2 or more are broadcast too (12 bytes a term), a term that is not among them has one document.
-
-A second search sees only the lexicon: the terms whose presence tells the classes of the examples apart
-(chi-squared over ``CHI2``, the best ``TERMS``). It goes through an index that holds, for each of its terms
-and each block of ``BLOCK`` examples, the largest weight. A query sums those to bound the cosine of every
-block, takes blocks by falling bound, scores their examples exactly, and stops when no bound reaches its
-k-th best. (Bounds of whole texts, summed over hundreds of common terms, would let all blocks through.)
-
-The neighbours of each search vote by inverse distance; a logistic curve of both votes, fitted on leave-one-out
-votes of the examples, weighted back to the class rates of all labels, makes them a probability. The nearest
-neighbours by whole texts are returned as evidence.
-
-Defined results: null and empty texts share no term with any example and get the score of that case;
-examples that tie go by id; repeated rows are scored each; repeated labels count each; if the
-training labels lack a class every score is the share of label 1 among them, 0 without labels. Extra columns
-are ignored; an empty table gives an empty table.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine of whole texts.
+
+Terms are lower-cased words and their stems (the first ``STEM`` characters), so that one stem in many inflections
+is a term too. A weight is (1 + ln count) * (ln((1 + documents) / (1 + document frequency)) + 1). Frequencies are
+counted over all documents for every term of the examples; a term that no example holds weighs as a term of one
+document: it counts in the norm of its text and can match nothing. A text's norm is taken over all its terms.
+No term is left out, and none is chosen by its class.
+
+The examples (bounded in rows and bytes, see ``examples``) are an inverted index: for each term and each block of
+``BLOCK`` examples the postings and the largest weight among them. Examples are ordered so that similar ones share
+blocks. A query sums the maxima to bound the cosine with any example of a block, scores its best blocks, and then
+every other block whose bound reaches the k-th best cosine; blocks below it cannot hold a neighbour. Postings of
+terms that many examples share are kept as dense panels, one for each block, others as lists.
+
+The nearest ``NEIGHBOURS`` examples vote, nearer ones more: a neighbour at cosine distance d weighs
+(1 - d) ** ``FALL``. A logistic curve of the log odds of these votes, fitted on leave-one-out votes of the examples
+and weighted back to the class rates of all labels, makes them a probability. The nearest examples are returned as
+evidence.
+
+Defined results: null and empty texts share no term with any example and get the score of a vote that is the
+examples' share of label 1; neighbours that tie go by id; repeated rows are scored each; an id teaches once,
+however often labels or documents repeat it; if the training labels lack a class every score is the share of label
+1 among them, 0 without labels. Extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,183 +29,177 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, received, rows_of, ship
+from .common import held_out, received, rows_of, ship
+from .examples import labelled_texts
 
-EXAMPLES, TERMS, CHI2, LEAST_DF = 1500, 4096, 10.8, 4
-BLOCK, NEIGHBOURS, EVIDENCE = 64, 15, 3
-#: Words that a task remembers; texts scored at a time; terms of the examples that are kept as a matrix.
-CACHE, BATCH, COMMON = 400_000, 64, 2048
+STEM, BLOCK, EVIDENCE = 4, 64, 3
+NEIGHBOURS, FALL = (15, 60, 240, 960), 1.5
+#: Terms whose postings are dense panels; texts scored at a time.
+PANEL, BATCH = 1024, 64
 _WORD = re.compile(r"[^\W_]+").findall
+Vector = tuple[np.ndarray, np.ndarray]
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter(_WORD((text or "").lower()))
+def terms_of(text: str | None) -> tuple[Counter, Counter]:
+    """Counts of a text's words and of their stems."""
+    words = _WORD((text or "").lower())
+    return Counter(words), Counter([w[:STEM] for w in words if len(w) >= STEM])
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) >= n))
+class Terms:
+    """Words and stems, numbered: words first."""
 
+    def __init__(self, texts: list[str]):
+        both = [terms_of(t) for t in texts]
+        self.words = {t: i for i, t in enumerate(dict.fromkeys(w for words, _ in both for w in words))}
+        self.stems = {t: i + len(self.words) for i, t in enumerate(dict.fromkeys(s for _, stems in both for s in stems))}
 
-class _Terms(dict):
-    """word -> places of its terms in ``hashes``; forgets everything when it is full, between two batches of texts."""
+    def __len__(self) -> int:
+        return len(self.words) + len(self.stems)
 
-    def __init__(self):
-        super().__init__()
-        self.places: dict[str, int] = {}
+    def places(self, words: Counter, stems: Counter) -> np.ndarray:
+        """-1 for a term that is not among these."""
+        found = chain(map(self.words.get, words, repeat(-1)), map(self.stems.get, stems, repeat(-1)))
+        return np.fromiter(found, np.int64, len(words) + len(stems))
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        places = self.places
-        out = self[word] = tuple([places.setdefault(t, len(places)) for t in terms_of(word)])
-        return out
-
-    def full(self) -> bool:
-        return len(self) >= CACHE
-
-    def forget(self) -> None:
-        self.clear()
-        self.places.clear()
-
-    def hashes(self, first: int = 0) -> np.ndarray:
-        """Of the places from ``first``; they are given in order."""
-        new = [t for t, _ in zip(reversed(self.places), range(len(self.places) - first))]
-        return np.frombuffer(b"".join([blake2b(t.encode(), digest_size=8).digest() for t in reversed(new)]), np.int64)
-
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and counts of all terms of a text."""
-        words = words_of(text)
-        of = list(map(self.__getitem__, words))
-        sizes = np.fromiter(map(len, of), np.int64, len(of))
-        each = np.repeat(np.fromiter(words.values(), np.int64, len(of)), sizes)
-        places, at = np.unique(np.fromiter(chain.from_iterable(of), np.int64, len(each)), return_inverse=True)
-        return places, np.bincount(at, each, len(places)).astype(np.int64)
-
-
-def found_in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Places of the values in a sorted table, -1 if not there."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
-def unit(w: np.ndarray) -> np.ndarray:
-    return w / np.sqrt((w**2).sum()) if len(w) else w
-
-
-class Frequencies:
-    """Inverse document frequencies by hash; a term that is not in the table has one document."""
-
-    def __init__(self, hashes: np.ndarray, df: np.ndarray, rows: int):
-        order = np.argsort(hashes)
-        self.hashes, self.df, self.rows = hashes[order], df[order].astype(np.int32), rows
-
-    def idf(self, hashes: np.ndarray) -> np.ndarray:
-        at = found_in(self.hashes, hashes)
-        df = np.where(at >= 0, self.df[at], 1) if len(self.df) else np.ones(len(hashes))
-        return np.log((1 + self.rows) / (1 + df)) + 1
 
+class Weights:
+    """Unit vectors of texts over the terms of the examples, normed over all their terms."""
+
+    def __init__(self, terms: Terms, frequencies: np.ndarray, documents: int):
+        self.terms = terms
+        idf = np.log((1 + documents) / (1 + frequencies)) + 1
+        self.idf = np.append(idf, math.log((1 + documents) / 2) + 1)  # the last is that of all other terms
+
+    def of(self, text: str | None) -> Vector:
+        words, stems = terms_of(text)
+        at = self.terms.places(words, stems)
+        w = (1 + np.log(np.fromiter(chain(words.values(), stems.values()), float, len(at)))) * self.idf[at]
+        w = w / np.sqrt((w**2).sum()) if len(w) else w
+        known = at >= 0
+        return at[known], w[known]
+
+
+def block_order(vectors: list[Vector], terms: int) -> np.ndarray:
+    """An order in which similar vectors come together: halves along the direction in which they differ most."""
+    many = np.argsort(-np.bincount(np.concatenate([i for i, _ in vectors]), minlength=terms), kind="stable")[:PANEL]
+    column = np.full(terms, -1)
+    column[many] = np.arange(len(many))
+    dense = np.zeros((len(vectors), len(many)))
+    for d, (i, w) in enumerate(vectors):
+        dense[d, column[i][column[i] >= 0]] = w[column[i] >= 0]
+
+    def halve(at: np.ndarray) -> Iterator[np.ndarray]:
+        if len(at) <= BLOCK:
+            yield at
+            return
+        x = dense[at] - dense[at].mean(0)
+        axis = x[np.argmax((x**2).sum(1))]
+        for _ in range(8):
+            axis = x.T @ (x @ axis)
+            axis /= max(np.linalg.norm(axis), 1e-300)
+        order = at[np.argsort((x @ axis).round(9), kind="stable")]
+        half = -(-len(at) // (2 * BLOCK)) * BLOCK
+        yield from halve(order[:half])
+        yield from halve(order[half:])
+
+    return np.concatenate(list(halve(np.arange(len(vectors)))))
+
+
+def _gather(start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of all these terms in lists that begin at ``start``, and how many each term has."""
+    sizes = start[terms + 1] - start[terms]
+    return np.arange(sizes.sum()) + np.repeat(start[terms] - np.cumsum(sizes) + sizes, sizes), sizes
 
-class Postings:
-    """All weights of the examples by term; the ``COMMON`` most common terms as a matrix, made where it is used."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.size = len(vectors)
-        doc = np.repeat(np.arange(self.size, dtype=np.int32), [len(i) for i, _ in vectors])
-        term, weight = np.concatenate([i for i, _ in vectors]).astype(np.int32), np.concatenate([w for _, w in vectors])
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))
-        self.common = np.argsort(-np.diff(self.start), kind="stable")[:COMMON]
+class BlockMaxIndex:
+    """Postings of unit vectors by term and block, with the largest weight of each term in each block."""
+
+    def __init__(self, vectors: list[Vector], terms: int):
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        self.example = block_order(vectors, terms)
+        slot = np.empty(self.size, np.int64)
+        slot[self.example] = np.arange(self.size)
+        slots = np.repeat(slot, [len(i) for i, _ in vectors])
+        term, weight = np.concatenate([i for i, _ in vectors]), np.concatenate([w for _, w in vectors])
+        order = np.lexsort((slots, term))
+        term, slots, weight = term[order], slots[order], weight[order]
+        lengths = np.bincount(term, minlength=terms)
+        panel = np.argsort(-lengths, kind="stable")[:PANEL]
         self.row = np.full(terms, -1)
-        self.row[self.common] = np.arange(len(self.common))
-        self.matrix: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"matrix": None}
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of each query with each example, to 12 digits, so that equal examples tie."""
-        if self.matrix is None:
-            self.matrix = np.zeros((len(self.common), self.size))
-            for r, t in enumerate(self.common.tolist()):
-                s, e = self.start[t], self.start[t + 1]
-                self.matrix[r, self.doc[s:e]] = self.weight[s:e]
-        query = np.repeat(np.arange(len(queries)), [len(i) for i, _ in queries])
+        self.row[panel] = np.arange(len(panel))
+        row = self.row[term]
+        self.panel = np.zeros((len(panel), self.blocks * BLOCK))
+        self.panel[row[row >= 0], slots[row >= 0]] = weight[row >= 0]
+        self.most = self.panel.reshape(len(panel), self.blocks, BLOCK).max(2)
+        # of the other terms: entries (slot, weight), and above them one (block, largest weight) for each block
+        term, self.slot, self.weight = term[row < 0], slots[row < 0], weight[row < 0]
+        self.start = np.searchsorted(term, np.arange(terms + 1))
+        key = term * self.blocks + self.slot // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block, self.top = key[first] % self.blocks, np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.block_start = np.searchsorted(key[first] // self.blocks, np.arange(terms + 1))
+
+    def nearest(self, queries: list[Vector], k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """For each query the examples with the k best positive cosines (to 12 digits), best first, ties to the
+        smaller example, filled up with zeros; and how many blocks were scored. Query q leaves out example
+        ``leave`` + q if that is given.
+        """
+        n = len(queries)
+        query = np.repeat(np.arange(n), [len(i) for i, _ in queries])
         term, weight = np.concatenate([i for i, _ in queries]), np.concatenate([w for _, w in queries])
         row = self.row[term]
-        dense = np.zeros((len(queries), len(self.common)))
+        dense = np.zeros((n, len(self.panel)))
         dense[query[row >= 0], row[row >= 0]] = weight[row >= 0]
         query, term, weight = query[row < 0], term[row < 0], weight[row < 0]
-        sizes = self.start[term + 1] - self.start[term]
-        at = np.arange(sizes.sum()) + np.repeat(self.start[term] - np.cumsum(sizes) + sizes, sizes)
-        rest = np.bincount(np.repeat(query, sizes) * self.size + self.doc[at], np.repeat(weight, sizes) * self.weight[at], len(queries) * self.size)
-        return (dense @ self.matrix + rest.reshape(len(queries), -1)).round(12)
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the k best examples with a positive cosine, ties to the smaller index; query q leaves out
-        example ``leave`` + q, if that is given.
-        """
-        for q, cosine in enumerate(self.cosines(queries)):
-            if leave >= 0:
-                cosine[leave + q] = 0
-            near = np.flatnonzero(cosine >= max(np.partition(cosine, -k)[-k], 1e-12)) if len(cosine) > k else np.flatnonzero(cosine > 0)
-            near = near[np.lexsort((near, -cosine[near]))[:k]]
-            yield near, cosine[near]
-
-
-class BlockMaxIndex:
-    """Weights of unit vectors by term, block and place in the block, with the largest of each block.
-
-    Examples and terms are bounded, and so is the index: ``TERMS`` x 2 x ``EXAMPLES`` weights.
-    """
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.weight = np.zeros((terms, self.blocks, BLOCK))
-        for d, (i, w) in enumerate(vectors):
-            self.weight[i, d // BLOCK, d % BLOCK] = w
-        self.most = self.weight.max(2)
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples with a positive cosine, the k best, ties to the smaller index; ``leave`` is left out."""
-        found, cosine = np.empty(0, np.int64), np.empty(0)
-        if not len(ids):
-            return found, cosine
-        bound = weights @ self.most[ids] * (1 + 1e-12)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, step = 0, 4
-        while at < len(order) and (len(cosine) < k or bound[order[at]] >= cosine[k - 1]):
-            blocks = order[at : at + step]
-            score = weights @ self.weight[ids[:, None], blocks[None, :]].reshape(len(ids), -1)
-            hit = np.flatnonzero(score > 0)
-            doc = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
-            if leave >= 0:
-                hit, doc = hit[doc != leave], doc[doc != leave]
-            found, cosine = np.concatenate([found, doc]), np.concatenate([cosine, score[hit]])
-            if len(found) > k:
-                floor = np.partition(cosine, len(cosine) - k)[len(cosine) - k]
-                found, cosine = found[cosine >= floor], cosine[cosine >= floor]
-            best = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[best], cosine[best]
-            at += step
-        return found, cosine
-
-
-def vote(cosine: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """The share of label 1 by inverse distance, and whether there is any neighbour."""
-    if not len(cosine):
-        return 0.0, 0.0
-    w = 1 / (1.05 - np.minimum(cosine, 1.0))
-    return float((w * label).sum() / w.sum()), 1.0
+        at, sizes = _gather(self.block_start, term)
+        bound = np.bincount(np.repeat(query, sizes) * self.blocks + self.block[at], np.repeat(weight, sizes) * self.top[at], n * self.blocks).reshape(n, -1)
+        bound = (bound + dense @ self.most) * (1 + 1e-9) + 1e-12
+        at, sizes = _gather(self.start, term)
+        slot = np.repeat(query * (self.blocks * BLOCK), sizes) + self.slot[at]
+        out = np.bincount(slot, np.repeat(weight, sizes) * self.weight[at], n * self.blocks * BLOCK).astype(float).reshape(n, self.blocks, BLOCK)
+
+        def score(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                q = np.flatnonzero(wanted[:, b])
+                out[q, b] += dense[q] @ self.panel[:, b * BLOCK : (b + 1) * BLOCK]
+
+        most = k
+        k = min(k + (leave >= 0), self.size)
+        wave = min(self.blocks, -(-k // BLOCK) + 1)
+        wanted = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(wanted, np.argpartition(-bound, wave - 1, axis=1)[:, :wave], True, 1)
+        score(wanted)
+        # what is summed so far is at most the cosine, so the k-th best of it is at most the k-th best cosine
+        so_far = out.reshape(n, -1)
+        more = ~wanted & (bound >= np.partition(so_far, so_far.shape[1] - k, axis=1)[:, [so_far.shape[1] - k]])
+        score(more)
+        out[~(wanted | more)] = 0
+        cosine = np.empty((n, self.size))
+        cosine[:, self.example] = out.reshape(n, -1)[:, : self.size].round(12)
+        if leave >= 0:
+            cosine[np.arange(n), leave + np.arange(n)] = 0
+        # apart by less than the last digit, so that ties go to the smaller example; there are at most 4,000
+        key = np.arange(self.size) * 2.5e-16 - cosine
+        best = np.argpartition(key, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(best, np.argsort(np.take_along_axis(key, best, 1), axis=1), 1)[:, :most]
+        return best, np.take_along_axis(cosine, best, 1), int(wanted.sum() + more.sum())
+
+
+def votes(cosine: np.ndarray, label: np.ndarray, share: float) -> np.ndarray:
+    """Log odds of label 1 among each query's nearest neighbours, for each number of them; without any, of ``share``."""
+    w = cosine**FALL
+    for_1, of_all = np.cumsum(w * label, axis=1), np.cumsum(w, axis=1)
+    at = [min(k, w.shape[1]) - 1 for k in NEIGHBOURS]
+    v = (for_1[:, at] + 1e-3 * share) / (of_all[:, at] + 1e-3)
+    return np.log((v + 0.01) / (1.01 - v))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -223,156 +215,71 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return c
 
 
-def bounded_sample(labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """At most ``most`` training rows of each class, by a hash of the id, and the class counts of all."""
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
-    return rows.filter("label = 0").orderBy(*order).limit(most).unionByName(rows.filter("label = 1").orderBy(*order).limit(most)), counts
-
-
-class Weights:
-    """Vectors of texts: terms of the examples by their place, weights by the norm over all terms of the text."""
-
-    def __init__(self, frequencies: Frequencies, terms: np.ndarray):
-        self.frequencies, self.terms, self.known, self.size = frequencies, terms, _Terms(), 0
-        self.idf, self.place = np.empty(1 << 16), np.empty(1 << 16, np.int64)
-
-    def of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        if self.known.full():
-            self.known.forget()
-            self.size = 0
-        counted = [self.known.counted(t) for t in texts]
-        new = self.known.hashes(self.size)
-        while self.size + len(new) > len(self.idf):
-            self.idf, self.place = np.resize(self.idf, 2 * len(self.idf)), np.resize(self.place, 2 * len(self.place))
-        self.idf[self.size : self.size + len(new)] = self.frequencies.idf(new)
-        self.place[self.size : self.size + len(new)] = found_in(self.terms, new)
-        self.size += len(new)
-        out = []
-        for i, n in counted:
-            w, place = unit((1 + np.log(n)) * self.idf[i]), self.place[i]
-            order = np.argsort(place)[(place < 0).sum() :]
-            out.append((place[order], w[order]))
-        return out
-
-
 class Model:
-    """What the search needs on executors. The examples bound it but for the frequencies."""
-
-    def __init__(self, frequencies: Frequencies, terms: np.ndarray, lexicon: np.ndarray, ids: np.ndarray, label: np.ndarray, vectors: list, prior: dict[int, int]):
-        self.frequencies, self.terms, self.ids, self.label = frequencies, terms, ids, label
-        self.listed = np.full(len(terms), -1)
-        self.listed[lexicon] = np.arange(len(lexicon))
-        self.whole = Postings(vectors, len(terms))
-        near = [x for i in range(0, len(vectors), BATCH) for x in self.whole.nearest(vectors[i : i + BATCH], NEIGHBOURS, leave=i)]
-        self.whole.matrix = None
-        self.listed_vectors = listed = [self.of_lexicon(*v) for v in vectors]
-        self.index = BlockMaxIndex(listed, len(lexicon))
-        x = np.array([self.votes(n, self.index.nearest(*v, NEIGHBOURS, leave=i)) for i, (n, v) in enumerate(zip(near, listed))])
-        share = np.array([prior[v] / max(1, (label == v).sum()) for v in label.tolist()])
-        self.curve = fit_logistic(x, label.astype(float), share * len(label) / share.sum())
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self.index = BlockMaxIndex(self.listed_vectors, int(self.listed.max(initial=-1)) + 1)
-
-    def of_lexicon(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vector of the listed terms alone."""
-        at = self.listed[terms]
-        return at[at >= 0], unit(weights[at >= 0])
-
-    def votes(self, *found: tuple[np.ndarray, np.ndarray]) -> list[float]:
-        return [x for near, cosine in found for x in vote(cosine, self.label[near])]
-
-    def score(self, weights: Weights, texts: list[str | None]) -> Iterator[tuple[float, list[dict]]]:
+    """What the search needs on executors; the bounds of the examples bound it."""
+
+    def __init__(self, weights: Weights, ids: np.ndarray, label: np.ndarray, vectors: list[Vector], prior: dict[int, int]):
+        self.weights, self.ids, self.label = weights, ids, label
+        self.share = float(label.mean())
+        self.index = BlockMaxIndex(vectors, len(weights.terms))
+        x = np.concatenate([votes(c, label[near], self.share) for a in range(0, len(vectors), BATCH) for near, c, _ in [self.index.nearest(vectors[a : a + BATCH], max(NEIGHBOURS), a)]])
+        rate = np.array([prior[v] / max(1, (label == v).sum()) for v in label.tolist()])
+        self.curve = fit_logistic(x, label.astype(float), rate * len(label) / rate.sum())
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
+        """Of each text its score and the nearest examples."""
+        scores, evidence = [], []
         for a in range(0, len(texts), BATCH):
-            vectors = weights.of(texts[a : a + BATCH])
-            for v, (near, cosine) in zip(vectors, self.whole.nearest(vectors, NEIGHBOURS)):
-                logit = float(np.dot(self.curve, [*self.votes((near, cosine), self.index.nearest(*self.of_lexicon(*v), NEIGHBOURS)), 1.0]))
-                seen = [{"doc_id": int(self.ids[n]), "toxic": int(self.label[n]), "similarity": float(c)} for n, c in zip(near[:EVIDENCE], cosine)]
-                yield 1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))), seen
+            near, cosine, _ = self.index.nearest([self.weights.of(t) for t in texts[a : a + BATCH]], max(NEIGHBOURS))
+            z = votes(cosine, self.label[near], self.share) @ self.curve[:-1] + self.curve[-1]
+            scores.append(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            for who, c in zip(near[:, :EVIDENCE].tolist(), cosine[:, :EVIDENCE].tolist()):
+                evidence.append([{"doc_id": int(self.ids[i]), "toxic": int(self.label[i]), "similarity": s} for i, s in zip(who, c) if s > 0])
+        return np.concatenate(scores) if scores else np.empty(0), evidence
 
 
-def document_frequencies(texts: DataFrame) -> Frequencies:
-    """Of the terms with two documents or more."""
+def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of the terms occurs, and the number of documents."""
+    shipped = ship(docs.sparkSession, terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df = _Terms(), np.zeros(1 << 16, np.int64)
-
-        def counts() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(known.hashes()), pa.array(df[: len(known.places)])], names=["h", "df"])
-
+        terms = received(shipped)
+        df = np.zeros(len(terms) + 1, np.int64)
+        rows = 0
         for b in rows_of(batches, BATCH):
-            if known.full():
-                yield counts()
-                known.forget()
-                df[:] = 0
-            places = np.concatenate([np.fromiter({i for w in set(_WORD((t.as_py() or "").lower())) for i in known[w]}, np.int64) for t in b.column("text")])
-            while len(known.places) > len(df):
-                df = np.concatenate([df, np.zeros(len(df), np.int64)])
-            np.add.at(df, places, 1)
-        yield counts()
+            df += np.bincount(np.concatenate([terms.places(*terms_of(t)) for t in b.column("text").to_pylist()]) + 1, minlength=len(df))
+            rows += b.num_rows
+        df[0] = rows
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at - 1), pa.array(df[at])], names=["term", "n"])
 
-    found = texts.select("text").mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).filter("df > 1").toArrow()
-    return Frequencies(found.column("h").to_numpy(), found.column("df").to_numpy(), texts.count())
+    found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[found.column("term").to_numpy() + 1] = found.column("n").to_numpy()
+    return out[1:], int(out[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | float:
     """The model, or the only score there can be."""
-    spark = docs.sparkSession
-    sample, counts = bounded_sample(labels, label, EXAMPLES)
-    if len(counts) < 2:
-        return float(counts.get(1, 0) > 0)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    examples = materialize(texts.join(F.broadcast(sample), "doc_id"), "toxicity-examples")
-
-    n = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
-    if len(n) < 2:
-        return counts.get(1, 0) / sum(counts.values())
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms()
-        for b in rows_of(batches, BATCH):
-            if known.full():
-                known.forget()
-            found = [known.counted(t.as_py()) for t in b.column("text")]
-            hashes = known.hashes()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([hashes[i].tobytes() for i, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["doc_id", "label", "terms", "counts"])
-
-    rows = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"], np.int32)) for r in examples.mapInArrow(counted, "doc_id long, label int, terms binary, counts binary").collect()]
-    rows = [(i, y, t[o], c[o]) for i, y, t, c in rows for o in [np.argsort(t)]]
-    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
-    label = np.array([y for _, y, _, _ in rows])
-    terms, place = np.unique(np.concatenate([t for _, _, t, _ in rows]), return_inverse=True)
-    a, b = (np.bincount(place[np.repeat(label == y, [len(t) for _, _, t, _ in rows])], minlength=len(terms)).astype(float) for y in (1, 0))
-    c, d = n[1] - a, n[0] - b
-    used = (a + b >= LEAST_DF) & (c + d > 0)
-    chi = np.where(used, (a * d - b * c) ** 2 * float(n[0] + n[1]) / np.where(used, (a + b) * (c + d) * float(n[0] * n[1]), 1), 0)
-    lexicon = np.lexsort((terms, -chi))[: min(TERMS, int((chi > CHI2).sum()))]
-    frequencies = document_frequencies(texts)
-    idf = frequencies.idf(terms)
-    vectors = [(i, unit((1 + np.log(c)) * idf[i])) for _, _, t, c in rows for i in [np.searchsorted(terms, t).astype(np.int32)]]
-    ids = np.array([i for i, _, _, _ in rows])
-    del rows, place, a, b, c, d, chi, used
-    return Model(frequencies, terms, lexicon, ids, label, vectors, counts)
+    rows, counts = labelled_texts(docs, labels, label)
+    if len({y for _, y, _ in rows}) < 2:
+        return counts.get(1, 0) / max(1, sum(counts.values()))
+    texts = [raw.decode() for _, _, raw in rows]
+    terms = Terms(texts)
+    weights = Weights(terms, *document_frequencies(docs, terms))
+    return Model(weights, np.array([i for i, _, _ in rows]), np.array([y for _, y, _ in rows]), [weights.of(x) for x in texts], counts)
 
 
 def score(docs: DataFrame, model: Model | float, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for each row of ``docs``."""
     shipped = ship(docs.sparkSession, model)
-    evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = received(shipped)
-        weights = None if isinstance(m, float) else Weights(m.frequencies, m.terms)
         for b in rows_of(batches, 1024):
-            out = [(m, [])] * b.num_rows if isinstance(m, float) else list(m.score(weights, b.column("text").to_pylist()))
-            s = np.array([x for x, _ in out])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array([e for _, e in out], evidence)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+            s, evidence = (np.full(b.num_rows, m), [[]] * b.num_rows) if isinstance(m, float) else m.score(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     ddl = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,similarity:double>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, ddl)
@@ -384,9 +291,8 @@ def without_toxic(docs: DataFrame, model: Model | float, cut: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = received(shipped)
-        weights = None if isinstance(m, float) else Weights(m.frequencies, m.terms)
         for b in rows_of(batches, 1024):
-            scores = [m] * b.num_rows if isinstance(m, float) else [x for x, _ in m.score(weights, b.column("text").to_pylist())]
-            yield b.filter(pa.array([x < cut for x in scores], pa.bool_()))
+            s = np.full(b.num_rows, m) if isinstance(m, float) else m.score(b.column("text").to_pylist())[0]
+            yield b.filter(pa.array(s < cut))
 
     return docs.mapInArrow(run, docs.schema)

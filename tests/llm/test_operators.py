@@ -2,13 +2,15 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
-from graphlens.llm import bpe, chat, components, jaccard_join, media, mixing, quality, sharding, topk, toxicity, url_filter
+from graphlens.llm import bpe, chat, components, examples, jaccard_join, media, mixing, quality, sharding, topk, toxicity, url_filter
 from graphlens.llm.registry import oracle_sql, queries
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -200,52 +202,98 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
-def test_toxicity_compares_whole_texts(spark):
-    """Similarities are those of all terms, also of terms that few examples hold or none; toxic words of two or three examples are enough."""
+def brute_toxicity(data, label, others):
+    """Score and nearest examples of each id, by plain loops: TF-IDF of whole texts, neighbours, votes, curve."""
+    terms = {}
+    for i, t in data.items():
+        words = re.findall(r"[^\W_]+", (t or "").lower())
+        terms[i] = Counter(words) + Counter(w[:4] + "*" for w in words if len(w) >= 4)
+    examples = sorted(i for i in label if i in data and zlib.crc32(str(i).encode()) % 5)
+    known = {x for i in examples for x in terms[i]}
+    rows = list(terms.values()) + [terms[i] for i in others]
+    df = {x: sum(x in c for c in rows) if x in known else 1 for x in set().union(*rows)}
+    weights = {i: {x: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[x])) + 1) for x, n in c.items()} for i, c in terms.items()}
+    norm = {i: math.sqrt(sum(w * w for w in v.values())) for i, v in weights.items()}
+    share = sum(label[i] for i in examples) / len(examples)
+
+    def near(i, without=None):
+        cosine = {e: round(sum(w * weights[e].get(x, 0) for x, w in weights[i].items()) / norm[i] / norm[e], 12) if norm[i] and norm[e] else 0 for e in examples if e != without}
+        return sorted(((c, e) for e, c in cosine.items() if c > 0), key=lambda x: (-x[0], x[1]))
+
+    def odds(found):
+        out = []
+        for k in toxicity.NEIGHBOURS:
+            w = sum(c**1.5 for c, _ in found[:k])
+            v = (sum(c**1.5 * label[e] for c, e in found[:k]) + 1e-3 * share) / (w + 1e-3)
+            out.append(math.log((v + 0.01) / (1.01 - v)))
+        return out
+
+    learn = [i for i in label if zlib.crc32(str(i).encode()) % 5]
+    prior = {v: sum(label[i] == v for i in learn) / sum(label[i] == v for i in examples) for v in (0, 1)}
+    rate = np.array([prior[label[e]] for e in examples])
+    curve = toxicity.fit_logistic(np.array([odds(near(e, e)) for e in examples]), np.array([label[e] for e in examples], float), rate * len(rate) / rate.sum())
+    found = {i: near(i) for i in data}
+    return {i: (1 / (1 + math.exp(-(np.dot(curve[:-1], odds(n)) + curve[-1]))), n[:3]) for i, n in found.items()}
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Terms, frequencies, neighbours, votes and curve; toxic words of two or three examples are enough to be found."""
+    monkeypatch.setattr(toxicity, "NEIGHBOURS", (3, 10, 40))
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "PANEL", 40)
     rng = random.Random(6)
     vile = lambda family: " ".join(f"{family:02d}zq{k}" for k in rng.sample(range(8), 6))
-    data = [(i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=20)) + f" only{i} " + (vile(i // 15) if i % 5 == 0 else ""), "en", "s", 0) for i in range(300)]
-    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 0][:21]
-    data += [(held[f], " ".join(rng.choices([f"w{k}" for k in range(300)], k=20)) + " " + vile(f), "en", "s", 0) for f in range(20)]
-    data += [(held[20], " ".join(f"unseen{k}" for k in range(500)) + " w1 w2", "en", "s", 0)]
-    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
-    docs = spark.createDataFrame(data, DOCS)
+    data = {i: " ".join(rng.choices([f"w{k}" for k in range(300)], k=20)) + f" only{i} " + (vile(i // 15) if i % 5 == 0 else "") for i in range(300)}
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 0][:23]
+    data |= {held[f]: " ".join(rng.choices([f"w{k}" for k in range(300)], k=20)) + " " + vile(f) for f in range(20)}
+    data |= {held[20]: " ".join(f"unseen{k}" for k in range(500)) + " w1 w2", held[21]: None, held[22]: "Vi_le, ÉTÉ ÉTÉ! " * 3000 + data[0]}
+    label = {i: int(i % 5 == 0) for i in range(300)} | {5001: 1, 5002: 0}
+    labels = spark.createDataFrame([(i, 1, y) for i, y in label.items()] + [(3, 1, None), (4, 1, 0), (None, 1, 1), (8, 1, 7)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data.items()] + [(7, data[7], "en", "s", 0), (None, "w1 w1", None, None, None)], DOCS)
     out = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
-    terms = {i: toxicity.Counter(x for w in t.lower().split() for x in toxicity.terms_of(w)) for i, t, *_ in data}
-    df = toxicity.Counter(x for c in terms.values() for x in c)
-    weights = {i: {x: (1 + np.log(n)) * (np.log((1 + len(data)) / (1 + df[x])) + 1) for x, n in c.items()} for i, c in terms.items()}
-    norm = {i: np.sqrt(sum(w * w for w in v.values())) for i, v in weights.items()}
-    examples = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    want = brute_toxicity(data | {None: "w1 w1"}, label, [7])
+    assert len(out) == len(want)
     for i, r in out.items():
-        cosine = {e: sum(w * weights[e].get(x, 0) for x, w in weights[i].items()) / norm[i] / norm[e] for e in examples}
-        assert [x["similarity"] for x in r["evidence"]] == pytest.approx([c for c in sorted(cosine.values(), reverse=True)[:3] if c > 0]), i
-    assert np.mean([out[i]["predicted"] for i in held[:20]]) > 0.8 and np.mean([out[i]["predicted"] for i in range(300) if i % 5]) < 0.02
-    assert 0 < out[held[20]]["evidence"][0]["similarity"] < 0.1 and out[held[20]]["predicted"] == 0
-
-
-def test_lexicon_of_more_than_2048_terms(spark):
-    data = [(i, " ".join(f"{k:04d}" for k in range(3000)) if i % 3 == 0 else "plain words", "en", "s", 0) for i in range(60)]
-    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(spark.createDataFrame(data, DOCS), labels)
-    assert len(model.index.most) > 3000
-
-
-def test_block_max_index_is_exact():
+        assert r["score"] == pytest.approx(want[i][0], abs=1e-6), i
+        assert [(x["doc_id"], x["toxic"], x["similarity"]) for x in r["evidence"]] == [(e, label[e], pytest.approx(c, abs=1e-9)) for c, e in want[i][1]], i
+    assert np.mean([out[i]["predicted"] for i in held[:20]]) > 0.8 and np.mean([out[i]["predicted"] for i in range(300) if i % 5]) < 0.03
+
+
+def test_an_id_teaches_once(spark, monkeypatch):
+    """Neither repeats of a labelled row in documents nor of its label make more examples; bytes of texts are bounded."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(1, 1, 1)] * 3000, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 0) for i in range(40)], DOCS)
+    many = docs.unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(10_000)).drop("id"))
+    rows, counts = examples.labelled_texts(many, labels, "toxic")
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert rows == [(i, i % 2, f"text {i}".encode()) for i in train] and counts == Counter(i % 2 for i in train)
+    assert len(toxicity.fit(many, labels).ids) == len(train)
+    few, _ = examples.labelled_texts(many, labels, "toxic", rows=5, size=60)
+    assert Counter(y for _, y, _ in few) == {0: 4, 1: 4}
+    assert examples.labelled_texts(docs.limit(0), labels, "toxic") == ([], counts) and examples.labelled_texts(docs, labels.filter("toxic = 1"), "toxic")[0] == []
+
+
+def test_block_max_index_is_exact(monkeypatch):
     rng = np.random.default_rng(4)
     vectors = []
-    for _ in range(500):
-        ids = np.sort(rng.choice(80, rng.integers(0, 6), replace=False))
+    for d in range(500):
+        ids = np.sort(rng.choice(40, rng.integers(0, 6), replace=False)) + 40 * (d % 2)
         w = rng.random(len(ids)).round(1) + 0.1
         vectors.append((ids, w / np.linalg.norm(w) if len(ids) else w))
-    index = toxicity.BlockMaxIndex(vectors, 80)
     dense = np.zeros((500, 80))
     for i, (ids, w) in enumerate(vectors):
         dense[i, ids] = w
-    for q in range(60):
-        near, cosine = index.nearest(*vectors[q], 7, leave=q)
-        all_of = dense @ dense[q]
-        want = [i for i in np.lexsort((np.arange(500), -all_of.round(12))) if all_of[i] > 0 and i != q][:7]
-        assert cosine == pytest.approx(all_of[want])
+    for panel in (1, 20, 200):
+        monkeypatch.setattr(toxicity, "PANEL", panel)
+        index = toxicity.BlockMaxIndex(vectors, 80)
+        for k in (1, 7, 499, 900):
+            near, cosine, blocks = index.nearest(vectors[60:120], k, leave=60)
+            all_of = (dense[60:120] @ dense.T).round(12)
+            all_of[np.arange(60), 60 + np.arange(60)] = 0
+            want = np.array([np.lexsort((np.arange(500), -c))[:k] for c in all_of])
+            assert cosine == pytest.approx(np.take_along_axis(all_of, want, 1))
+            assert (np.diff(cosine, axis=1) <= 0).all()
+            assert k > 7 or panel < 200 or blocks < 0.8 * 60 * index.blocks
 
 
 def test_quality(spark, empty):
@@ -264,18 +312,40 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.fit(empty, labels)).count() == 0
 
 
-def test_quality_passes_over_texts_that_do_not_fit(spark, monkeypatch):
-    """One long text, first of its class, does not remove the shorter examples behind it."""
-    monkeypatch.setattr(quality, "TRAIN_BYTES", 400_000)
+def test_quality_passes_over_texts_that_do_not_fit(spark):
+    """One text of 13 MB, first of its class, does not remove the shorter examples behind it."""
     rng = random.Random(7)
     data = [(i, "%%% &&& " * 40 if i % 2 else words(rng, 60), "en", "s", 0) for i in range(200)]
     first = min((i for i in range(0, 200, 2) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
-    data[first] = (first, words(rng, 90_000), "en", "s", 0)
+    data[first] = (first, words(rng, 10_000) * 270, "en", "s", 0)
+    assert len(data[first][1]) > 13_000_000
     docs = spark.createDataFrame([*data, data[4], data[4]], DOCS)
     net = quality.fit(docs, spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int"))
     assert isinstance(net, quality.Network)
-    assert np.mean([r["predicted"] == 1 - r["doc_id"] % 2 for r in quality.score(docs, net).collect()]) > 0.97
-    assert quality.fitting([(0, 9), (0, 3), (1, 5), (0, 2), (0, 1), (1, 1)], 5) == [False, True, True, True, False, False]
+    out = quality.score(docs, net).collect()
+    assert len(out) == 202 and np.mean([r["predicted"] == 1 - r["doc_id"] % 2 for r in out]) > 0.97
+    assert examples.fitting([(0, 9), (0, 3), (1, 5), (0, 2), (0, 1), (1, 1)], 5) == [False, True, True, True, False, False]
+
+
+def test_network_against_plain_loops():
+    """Convolution, pooling and layers, value by value, over several chunks."""
+    net = quality.Network(3)
+    for raw in (b"", b"abc", bytes(range(256)) * 5):
+        chunks, at = [], 0
+        while True:
+            chunks.append(raw[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0"))
+            if at + quality.CHUNK >= len(raw):
+                break
+            at += quality.STEP
+        pooled = []
+        for c in chunks:
+            best = [max(sum(float(net.p["filters"][j, c[p * quality.STRIDE + j], f]) for j in range(quality.WIDTH)) for p in range(quality.PLACES)) for f in range(0, quality.FILTERS, 8)]
+            pooled.append([max(0.0, b + float(net.p["bias"][f])) for b, f in zip(best, range(0, quality.FILTERS, 8))])
+        got = net.features([raw])[0]
+        assert got[: quality.FILTERS : 8] == pytest.approx(np.mean(pooled, axis=0), abs=1e-4) and got[quality.FILTERS :: 8] == pytest.approx(np.max(pooled, axis=0), abs=1e-4)
+        hidden = [max(0.0, sum(float(x) * float(net.p["w1"][i, h]) for i, x in enumerate(got)) + float(net.p["b1"][h])) for h in range(quality.HIDDEN)]
+        z = sum(h * float(w) for h, w in zip(hidden, net.p["w2"])) + float(net.p["b2"][0])
+        assert net.score([raw])[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
 
 
 def test_network_gradients_and_coverage():
