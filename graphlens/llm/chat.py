@@ -2,12 +2,14 @@
 
 Turns of a conversation are walked in order with the running sum of their tokens (words, and one for the
 marks). A window holds the system turn if the conversation opens with one, then the last turns before its
-own as history, up to ``history`` tokens, then its own turns: at least one and as many as fit in
-``budget``. Each turn is some window's own once. The loss mask covers the texts of own assistant turns;
+own as history, up to ``history`` tokens and no more than leaves room for its first own turn, then its own turns:
+at least one and as many as fit in ``budget``. So a window is over budget only if the system turn and a single
+turn are, and then it has no history. Each turn is some window's own once. The loss mask covers the texts of own assistant turns;
 the system turn and history repeat without loss.
 
 Marks are control strings, so control strings inside roles and texts are escaped: a word joiner goes in
-after the first character, one more if some are there already; taking one out undoes it.
+after the first character, one more if some are there already; taking one out undoes it. A role ends at the
+first line break, so line breaks in roles become \\n, and backslashes double.
 
 Conversations are streamed: rows come sorted by conversation and turn, and a task holds one window and
 its history, never a conversation. Turns that tie go by role, then text. Null roles and texts are empty;
@@ -44,6 +46,14 @@ def unescape(text: str) -> str:
     return _ANY.sub(lambda m: m[0][0] + (m[0][2:] if m[0][1] == JOINER else m[0][1:]), text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\\", "\\\\").replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
+
+
 def _tokens(text: str) -> int:
     return len(text.split()) + 1
 
@@ -60,7 +70,7 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> I
         if own and used + cost > budget:
             head = [system] if system and number else []
             yield number, [*head, *past, *own], len(head) + len(past)
-            recent, room = [], history
+            recent, room = [], min(history, budget - fixed - cost)
             for t in reversed([*past, *own][1 if system and not number else 0 :]):
                 if (room := room - _tokens(t[1])) < 0:
                     break
@@ -79,7 +89,7 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> I
 def format_window(turns: list[tuple[str, str]], first_own: int) -> tuple[str, list[dict]]:
     parts, at, loss = [], 0, []
     for i, (role, text) in enumerate(turns):
-        head, body = f"{OPEN}{escape(role)}\n", escape(text)
+        head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
         if i >= first_own and role == "assistant":
             loss.append({"start": at + len(head), "stop": at + len(head) + len(body)})
         parts += [head, body, CLOSE, "\n"]
@@ -91,7 +101,7 @@ def parse_window(text: str) -> Iterator[tuple[str, str]]:
     for part in text.split(OPEN)[1:]:
         role, _, body = part.partition("\n")
         assert body.endswith(CLOSE + "\n"), "a turn without its end"
-        yield unescape(role), unescape(body[: -len(CLOSE) - 1])
+        yield unescape_role(role), unescape(body[: -len(CLOSE) - 1])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
@@ -147,16 +157,19 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
 
 def read_back(windows: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from formatted windows, which
-    come sorted as ``format_conversations`` leaves them.
+    come sorted as ``format_conversations`` leaves them; a conversation whose windows are not 0, 1, 2, ... in one
+    partition is an error.
     """
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for key, group in _groups(_runs(batches, ["conv_id", "has_id", "first_own", "text", "loss"])):
+        for key, group in _groups(_runs(batches, ["conv_id", "has_id", "window", "first_own", "text", "loss"])):
             turns, under = hashlib.sha256(), hashlib.sha256()
             n = chars = size = 0
-            for _, _, first, text, loss in group:
+            for number, (_, _, window, first, text, loss) in enumerate(group):
+                if window != number:
+                    raise ValueError(f"window {window} of conversation {key[0]} where {number} is due")
                 size += len(text)
                 for i, (role, body) in enumerate(parse_window(text)):
                     if i >= first:
