@@ -1,7 +1,8 @@
 """Media columns: interleaved sequences of text and media, with payloads in a store by digest.
 
 A page's HTML is parsed into one ordered sequence of structs, each either a text or a media reference
-with its digest and caption. Payloads live in a separate table of (digest, media): 8-bit grey samples, 64
+with its digest and caption (the figcaption of its figure, else its alt text). Scripts, styles, templates and what
+stands in the head or in noscript are left out, media too; a head ends where something else begins. Payloads live in a separate table of (digest, media): 8-bit grey samples, 64
 in a row, behind a PGM header, as Parquet. References meet the store in a join on the digest. What
 is asked of a payload (a feature, a digest) can be computed where it is stored, before that join, so that
 payloads need not travel; ``resolve`` also joins the payloads themselves.
@@ -29,42 +30,88 @@ from .common import materialize, rows_of
 ROW = 64
 SCHEME = "media:sha256/"
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
-_HIDDEN = {"script", "style", "head", "noscript", "template"}
+_HIDDEN = {"script", "style", "head", "title", "noscript", "template"}
+#: What a head may hold; anything else ends it, with or without its end tag.
+_OF_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+_BREAKS = set("address article aside blockquote body br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 
 
 class _Sequence(HTMLParser):
+    """Texts and media in order. A figure's ``figcaption`` is the caption of its media, their ``alt`` where there is none."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.hidden = 0
+        self.hidden: list[str] = []
+        #: Of each open figure: where its items begin, its captions and where they stood.
+        self.figures: list[tuple[int, list[tuple[int, str]]]] = []
+        self.caption: list[str] | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+
+    def end_caption(self) -> None:
+        text, self.caption = " ".join("".join(self.caption or ()).split()), None
+        if text and self.figures:
+            self.figures[-1][1].append((len(self.items), text))
+
+    def end_figure(self) -> None:
+        self.flush()
+        self.end_caption()
+        first, captions = self.figures.pop()
+        media = [x for x in self.items[first:] if x["kind"] == "media" and not x.get("captioned")]
+        for x in media if captions else ():
+            x |= {"caption": " ".join(text for _, text in captions), "captioned": True}
+        if not media:
+            for at, text in reversed(captions):
+                self.items.insert(at, {"kind": "text", "text": text, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.hidden == ["head"] and tag not in _OF_HEAD:
+            self.hidden.clear()
         if tag in _HIDDEN:
-            self.hidden += 1
+            self.hidden.append(tag)
+        if self.hidden:
+            return
+        if tag in _BREAKS:
+            self.flush()
+        if tag == "figure":
+            self.figures.append((len(self.items), []))
+        elif tag == "figcaption" and self.figures:
+            self.end_caption()
+            self.caption = []
         elif tag in ("img", "audio", "video", "source"):
             at = dict(attrs)
-            src = at.get("src") or ""
-            self.flush()
-            self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": src[len(SCHEME) :] if src.startswith(SCHEME) else src, "caption": at.get("alt")})
-        elif tag in ("p", "div", "br", "li", "figure", "h1", "h2", "h3"):
-            self.flush()
+            src = at.get("src")
+            if src is not None or tag == "img":
+                self.flush()
+                self.items.append({"kind": "media", "text": None, "digest": src[len(SCHEME) :] if src and src.startswith(SCHEME) else src, "caption": at.get("alt")})
 
     def handle_endtag(self, tag):
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in ("p", "div", "li", "figure", "h1", "h2", "h3"):
+        if tag in self.hidden:
+            del self.hidden[self.hidden.index(tag) :]
+        elif not self.hidden and tag in _BREAKS:
             self.flush()
+            if tag == "figcaption":
+                self.end_caption()
+            elif tag == "figure" and self.figures:
+                self.end_figure()
 
     def handle_data(self, data):
+        if self.hidden == ["head"] and data.strip():
+            self.hidden.clear()
         if not self.hidden:
-            self.words.append(data)
+            (self.words if self.caption is None else self.caption).append(data)
+
+    def finished(self) -> list[dict]:
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        return [{k: x[k] for k in ("kind", "text", "digest", "caption")} | {"position": i} for i, x in enumerate(self.items)]
 
 
 def parse_html(html: str | None) -> list[dict]:
@@ -72,8 +119,7 @@ def parse_html(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
-    return parser.items
+    return parser.finished()
 
 
 def sequences(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -104,28 +150,34 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % ROW if raw else ROW), len(raw)
 
 
+def page_of(text: str | None, digest: str, n_bytes: int) -> str:
+    """A page that holds the text in two halves with its media between them."""
+    text = text or ""
+    half = text.find(" ", len(text) // 2) + 1 or len(text)
+    halves = [f"<p>{escape(x)}</p>" if x else "" for x in (text[:half], text[half:])]
+    return f'<html><head><title>{n_bytes}</title><body>{halves[0]}<figure><img src="{SCHEME}{digest}"><figcaption>text of {n_bytes} bytes</figcaption></figure>{halves[1]}'
+
+
 def media_of_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The store (digest, n_bytes, media) and pages (doc_id, html) that refer to it, one media per document.
+    """The store (digest, n_bytes, media) and pages (doc_id, n_bytes, html) that refer to it, one media per document.
 
-    A task stores a payload once for each batch, so a popular one is not written for every copy.
+    A task stores a payload once for each batch, so a popular one is not written for every copy. Pages are made
+    where they are parsed and are never written.
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 256):
-            seen: dict[tuple[str, int], bytes] = {}
-            where: list[tuple[str, int]] = []
-            for t in b.column("text"):
-                data, n = padded(t.as_py())
-                where.append(at := (hashlib.sha256(data).hexdigest(), n))
-                seen.setdefault(at, data)
-            first = {at: i for i, at in reversed(list(enumerate(where)))}
-            media = [store_payload(seen[at]) if first[at] == i else None for i, at in enumerate(where)]
-            html = [f'<figure><img src="{SCHEME}{d}" alt="{escape(f"text of {n} bytes")}"></figure>' for d, n in where]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(html), pa.array([d for d, _ in where]), pa.array([n for _, n in where], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "n_bytes", "media"])
-
-    ddl = "doc_id long, html string, digest string, n_bytes long, media binary"
-    stored = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(put, ddl), "media-store")
-    return stored.filter("media is not null").select("digest", "n_bytes", "media"), stored.select("doc_id", "html", "n_bytes")
+            seen = {hashlib.sha256(data).hexdigest(): (n, store_payload(data)) for t in set(b.column("text").to_pylist()) for data, n in [padded(t)]}
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([m for _, m in seen.values()], pa.binary())], names=["digest", "media"])
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches, 256):
+            made = [(page_of(t, hashlib.sha256(data).hexdigest(), n), n) for t in b.column("text").to_pylist() for data, n in [padded(t)]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n in made], pa.int64()), pa.array([h for h, _ in made], pa.string())], names=["doc_id", "n_bytes", "html"])
+
+    store = materialize(texts.select("text").mapInArrow(put, "digest string, media binary"), "media-store")
+    return store, texts.mapInArrow(pages, "doc_id long, n_bytes long, html string")
 
 
 def describe(samples: bytes) -> str:
@@ -155,15 +207,19 @@ def features(store: DataFrame) -> DataFrame:
 def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
     """Items (key columns, ``item`` struct) with the store's columns beside each reference, in place.
 
-    Null digests cannot match and do not meet in one task: only references enter the join.
+    Only references enter the join. A payload with many references is a skewed key with one row on the store's
+    side; adaptive execution splits the other side.
     """
     return items.withColumn("digest", F.col("item.digest")).join(store, "digest", "left")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and of the
+    page's sequence: items, position of the media, caption.
+    """
     store, pages = media_of_documents(docs)
     parsed = sequences(pages.withColumn("page", F.struct("doc_id", "n_bytes")), "page")
-    items = parsed.select("page", F.explode("sequence").alias("item")).filter("item.kind = 'media'")
-    found = resolve(items, features(store))
-    return found.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    items = parsed.select("page", F.size("sequence").alias("items"), F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("item"))
+    slim = items.withColumn("item", F.struct("item.digest", "item.position", "item.caption"))
+    found = resolve(slim, features(store))
+    return found.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "items", "item.position", "item.caption")
