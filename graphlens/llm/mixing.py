@@ -1,13 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Each source is a queue of its documents in a seeded random order, passed ``epochs`` times. A copy's
+Each source is a queue of its documents in a seeded random order (a hash of id and text), passed ``epochs`` times. A copy's
 virtual finish time is the words its source has sent up to and with it, divided by the source's
 target. Copies are taken in the order of finish time until the total budget is reached.
 
-No queue is ever in one task: running sums are made in two steps, sums of hash buckets first and then
-sums within a bucket, so a source with a third of all rows is spread over all tasks. The copies are
-never sorted as a whole: finish times are cut into ranges, range sums find the one range in which the
-budget ends, and only that range is sorted.
+Running sums are made in two steps, sums of hash buckets first and then sums within a bucket, so a source or an
+id with a third of all rows is spread over all tasks; only rows that agree in id and text share a bucket for
+certain. The copies are not sorted as a whole, which would move all of them: finish times are cut into equal
+ranges, range sums find the one range in which the budget ends, and only that range is sorted and cut.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated
 rows are taken on their own; a source without words has target 0; an empty table gives an empty table;
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_table
+from .common import materialize, small_table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -66,7 +66,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=(3, 2), epochs: int = 2, seed:
     ``taken`` is size times the copies taken, at most ``epochs``.
     """
     spark = docs.sparkSession
-    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
     sizes = materialize(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -125,24 +126,35 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=(3, 2), epochs: int = 2, seed:
     return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
 
 
+#: Copies of one row that one task writes at most.
+COPIES = 1000
+
+
 def mixed_documents(docs: DataFrame, **mixing) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; equal rows of one id count as one row
-    taken as often as all of them. Documents without words are not taken.
+    """The documents themselves, each as often as the mix takes it; rows of one id with equal text and source count
+    as one row taken as often as all of them. Documents without words are not taken.
     """
-    key = ["_id", "_none", "_key"]
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text", "source").alias("_key"))
-    taken = mix(keyed, carry=tuple(key), **mixing).filter("taken > 0")
-    copies = taken.groupBy(*key).agg(F.sum(F.expr("taken div size")).cast("int").alias("_copies"))
-    # one shuffle of the texts serves both the deduplication and the join
-    found = keyed.dropDuplicates(key).join(copies, key)
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    of_id, none, key, n, copy, part = unused(docs, "of_id", "none", "key", "copies", "copy", "part")
+    same = [of_id, none, key]
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(of_id), F.col("doc_id").isNull().alias(none), F.xxhash64("text", "source").alias(key))
+    taken = mix(keyed, carry=tuple(same), **mixing).filter("taken > 0")
+    copies = materialize(taken.groupBy(*same).agg(F.sum(F.expr("taken div size")).alias(n)), "mix-copies")
+    # one shuffle of the texts serves the deduplication and both joins
+    once = keyed.dropDuplicates(same)
+    few = once.join(copies.filter(F.col(n) <= COPIES), same)
+    few = few.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    # a row that is taken very often is written by several tasks
+    many = once.join(copies.filter(F.col(n) > COPIES), same)
+    many = many.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES)))).repartition(*same, part)
+    many = many.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col(n) - F.col(part) * COPIES))))
+    return few.select(docs.columns).unionByName(many.select(docs.columns))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS h
   FROM documents),
 s AS (SELECT k, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
 r AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY k = '', k) - 1) % 3 + 1)::INT]::BIGINT AS w, 2 * source_size AS cap FROM s),

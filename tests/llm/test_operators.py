@@ -108,6 +108,25 @@ def test_mixing_against_brute_force(spark, docs, rows, empty):
     assert sum(size(r["text"]) for r in copies.select("text").collect()) == sum(r["taken"] for r in out)
 
 
+def test_mixing_of_one_id_and_of_many_copies(spark, monkeypatch):
+    """All rows under one id (or none) are a queue in many buckets; a row taken very often is written in parts."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rng = random.Random(8)
+    texts = [words(rng, rng.randrange(1, 30)) for _ in range(600)]
+    for doc_id in (5, None):
+        data = [(doc_id, t, "en", f"s{i % 3}", 0) for i, t in enumerate(texts)] + [(9, "the same words", "en", "s0", 0)] * 60
+        docs = spark.createDataFrame([(*d, 1, 2, "k") for d in data], DOCS + ", key int, copies int, part string")
+        out = mixing.mix(docs).collect()
+        for target in {r["target"] for r in out}:
+            mine = [r for r in out if r["target"] == target]
+            assert abs(sum(r["taken"] for r in mine) - target) <= 60
+        mixed = mixing.mixed_documents(docs)
+        assert mixed.columns == docs.columns and sum(len(r["text"].split()) for r in mixed.collect()) == sum(r["taken"] for r in out)
+        h = docs.selectExpr("count(distinct substring(md5(concat('mix:', coalesce(cast(doc_id as string), 'null'), ':', md5(cast(text as binary)))), 1, 2)) as n").first()["n"]
+        assert h > 200
+
+
 def brute_components(rows):
     sets = []
     for r in rows:
@@ -380,6 +399,8 @@ def test_media(docs, rows, empty):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
         stored = media.store_payload(data)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.read_payload(stored) == data
+        assert r["feature"] == media.describe(data) and r["caption"] == f"text of {n} bytes" and r["items"] <= 3 and r["position"] <= 1
+    assert any((r["items"], r["position"]) == (3, 1) for r in out)
     assert media.document_media(empty).count() == 0
 
 
@@ -391,6 +412,48 @@ def test_interleaved_sequences(spark):
     assert {r["page_id"]: len(r["sequence"]) for r in media.sequences(pages).collect()} == {1: 4, 2: 0, 3: 0}
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<html><head><title>t</title><body><p>One </p><img src="a" alt="x">two', ["One", ("a", "x"), "two"]),
+        ("<head>hello", ["hello"]),
+        ("<html><head><noscript><body>text", ["text"]),
+        ('<figure><figcaption>cap <b>b</b></figcaption><img src="media:sha256/aa" alt="alt"></figure>after', [("aa", "cap b"), "after"]),
+        ("x<figure><img src=a><img src=b alt=c><figcaption>both", ["x", ("a", "both"), ("b", "both")]),
+        ("<figure>a<figcaption>only words</figcaption>b</figure>", ["a", "only words", "b"]),
+        ('<figure><figure><img src=a><figcaption>in</figcaption></figure><img src=b><figcaption>out</figcaption></figure>', [("a", "in"), ("b", "out")]),
+        ('<noscript><img src="q"></noscript>x<template><img src=z>no</template>y', ["xy"]),
+        ('<video><source src="v.mp4"></video><img alt="lost">', [("v.mp4", None), (None, "lost")]),
+        ("a</p></head>b<script>if (a<b) {}</script>c &lt;p&gt;", ["a", "bc <p>"]),
+    ],
+)
+def test_pages_as_they_come(html, want):
+    """Unclosed heads, captions in figures, media that is not shown, odd end tags."""
+    found = media.parse_html(html)
+    assert [i["text"] if i["kind"] == "text" else (i["digest"], i["caption"]) for i in found] == want
+    assert [i["position"] for i in found] == list(range(len(want)))
+
+
+def test_interleaved_pages_resolve_in_place(spark):
+    """Several texts and media a page; a payload used often, one that is not there, none."""
+    payloads = {hashlib.sha256(d).hexdigest(): d for d in (bytes(64), bytes(range(64)) * 3)}
+    first, second = payloads
+    store = spark.createDataFrame([(d, media.store_payload(p)) for d, p in payloads.items()] * 2, "digest string, media binary")
+    page = lambda i: f'<p>{i} a</p><img src="media:sha256/{first}" alt="one"><p>{i} b</p><figure><img src="media:sha256/{second if i % 2 else "00"}"><figcaption>two {i}</figcaption></figure>{i} c<img>'
+    pages = spark.createDataFrame([(i, page(i)) for i in range(50)] + [(50, None)], "page_id long, html string")
+    items = media.sequences(pages).selectExpr("page_id", "explode(sequence) as item").filter("item.kind = 'media'")
+    out = {(r["page_id"], r["item"]["position"]): (r["item"]["caption"], r["payload_sha256"], r["payload_bytes"]) for r in media.resolve(items, media.features(store)).collect()}
+    want = {(i, 1): ("one", first, 64) for i in range(50)} | {(i, 3): (f"two {i}", *((second, 192) if i % 2 else (None, None))) for i in range(50)} | {(i, 5): (None, None, None) for i in range(50)}
+    assert out == want
+    whole = media.resolve(items, store.distinct()).filter("digest = '" + second + "'").collect()
+    assert len(whole) == 25 and {media.read_payload(bytes(r["media"])) for r in whole} == {payloads[second]}
+
+
+def test_features_of_payloads():
+    samples = bytes([10] * 64 + [20] * 64 + [30] * 64 + [40] * 64)
+    assert media.describe(samples) == "gray8:64x4:10,20,30,40" and media.describe(bytes([7] * 64)) == "gray8:64x1:7,0,0,0"
+
+
 SAID = st.lists(st.sampled_from([*chat.CONTROL, chat.JOINER, "<", "<<", "[", "s>", "a", "\n", "/INST]"]), max_size=8).map("".join)
 
 
@@ -401,7 +464,7 @@ def test_escape_is_reversible(text):
     assert not any(c in chat.escape(text) for c in chat.CONTROL)
 
 
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "tool", "", "[INST]"]), SAID), min_size=1, max_size=12), st.booleans(), st.integers(1, 12), st.integers(0, 6))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "tool", "", "[INST]", "a\nb", "\\n\\", "us\\\ner"]), SAID), min_size=1, max_size=12), st.booleans(), st.integers(1, 12), st.integers(0, 6))
 @settings(max_examples=200, deadline=None)
 def test_windows_hold_each_turn_once(turns, system, budget, history):
     turns = [("system", "be kind")] * system + turns
@@ -410,6 +473,7 @@ def test_windows_hold_each_turn_once(turns, system, budget, history):
         text, loss = chat.format_window(content, first)
         back = list(chat.parse_window(text))
         assert back == content
+        assert sum(chat._tokens(t) for _, t in content) <= budget or len(content) - (system and len(content) > 1) == 1
         own += back[first:]
         said += [chat.unescape(text[s["start"] : s["stop"]]) for s in loss]
         assert not system or back[0] == turns[0]
@@ -425,6 +489,16 @@ def test_chat_query(spark):
     assert out[1]["turns_sha256"] == digest("user\n\nuser\n\nassistant\n" + "b" * 9000 + "\n") and out[1]["loss_chars"] == 9000
     assert out[-1]["loss_sha256"] == digest("</s>[INST] ok [/INST]") and out[2]["loss_sha256"] == digest("é\ny")
     assert chat.read_back(chat.format_conversations(t.limit(0))).count() == 0
+    long = spark.createDataFrame([(3, i, "user", f"{i} " * 300) for i in range(20)], "conv_id long, turn long, role string, text string")
+    mixed = chat.format_conversations(long).orderBy("window", ascending=False)
+    with pytest.raises(Exception, match="is due"):
+        chat.read_back(mixed).collect()
+
+
+def test_history_makes_room():
+    """With turns of 101 (system), 201, 401, 151, 101 and 901 tokens no window is over 1,024."""
+    turns = [("system" if i == 0 else "user", "w " * (n - 1)) for i, n in enumerate((101, 201, 401, 151, 101, 901))]
+    assert [sum(chat._tokens(t) for _, t in c) for _, c, _ in chat.windows_of(iter(turns), 1024, 256)] == [955, 1002]
 
 
 def test_url_filter(spark):
