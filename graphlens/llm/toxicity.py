@@ -42,7 +42,7 @@ from .examples import labelled_texts
 STEM, BLOCK, EVIDENCE = 4, 64, 3
 NEIGHBOURS, FALL = (15, 60, 240, 960), 1.5
 #: Terms whose postings are dense panels; texts scored at a time.
-PANEL, BATCH = 1024, 64
+PANEL, BATCH = 512, 64
 _WORD = re.compile(r"[^\W_]+").findall
 Vector = tuple[np.ndarray, np.ndarray]
 
