@@ -53,7 +53,7 @@ def grid_index(meta: DataFrame) -> DataFrame:
 
 def _best(scored: DataFrame, by: list[str]) -> DataFrame:
     """by, e, g: the cell with the lowest mean, ties by gamma, then eta."""
-    cell = oriented(scored).groupBy(*by, "i_gamma", "i_eta").agg(F.round(F.avg("o"), 9).alias("m")).filter("m is not null")
+    cell = oriented(scored).groupBy(*by, "i_gamma", "i_eta").agg(F.avg("o").alias("m")).filter("m is not null")
     best = cell.groupBy(*by).agg(F.min(F.struct("m", "i_gamma", "i_eta")).alias("c"))
     return best.select(*by, F.col("c.i_eta").alias("e"), F.col("c.i_gamma").alias("g"))
 

@@ -16,29 +16,30 @@ def oriented(landscape: DataFrame) -> DataFrame:
     return landscape.withColumn("o", F.when(F.col("measure").isin(*SIMILARITIES), -F.col("value")).otherwise(F.col("value")))
 
 
-def cells(landscape: DataFrame) -> DataFrame:
-    """measure, eta, gamma, cell_mean: the mean oriented value, to nine digits."""
-    return oriented(landscape).groupBy("measure", "eta", "gamma").agg(F.round(F.avg("o"), 9).alias("cell_mean"))
+def cells(landscape: DataFrame, digits: int | None = None) -> DataFrame:
+    """measure, eta, gamma, cell_mean: the mean oriented value; to so many digits if given, so that ties are alike everywhere."""
+    mean = F.avg("o") if digits is None else F.round(F.avg("o"), digits)
+    return oriented(landscape).groupBy("measure", "eta", "gamma").agg(mean.alias("cell_mean"))
 
 
-def best_cell(landscape: DataFrame) -> DataFrame:
-    c = cells(landscape).filter("cell_mean is not null")
+def best_cell(landscape: DataFrame, digits: int | None = None) -> DataFrame:
+    c = cells(landscape, digits).filter("cell_mean is not null")
     best = c.groupBy("measure").agg(F.min(F.struct("cell_mean", "eta", "gamma")).alias("b"))
     return best.select("measure", F.col("b.eta").alias("best_eta"), F.col("b.gamma").alias("best_gamma"))
 
 
-def best_cells(landscape: DataFrame, k: int) -> DataFrame:
+def best_cells(landscape: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     order = Window.partitionBy("measure").orderBy("cell_mean", "eta", "gamma")
-    return cells(landscape).filter("cell_mean is not null").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)
+    return cells(landscape, digits).filter("cell_mean is not null").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)
 
 
-def eta_positive(landscape: DataFrame, k: int) -> DataFrame:
-    return best_cells(landscape, k).groupBy("measure").agg(F.count_if(F.col("eta") > 0).alias("eta_positive"))
+def eta_positive(landscape: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    return best_cells(landscape, k, digits).groupBy("measure").agg(F.count_if(F.col("eta") > 0).alias("eta_positive"))
 
 
-def total_variation(landscape: DataFrame, k: int, eta_range, gamma_range) -> DataFrame:
+def total_variation(landscape: DataFrame, k: int, eta_range, gamma_range, digits: int | None = None) -> DataFrame:
     scaled = lambda c, r: (F.col(c) - r[0]) / (r[1] - r[0])
-    return best_cells(landscape, k).groupBy("measure").agg((F.var_pop(scaled("eta", eta_range)) + F.var_pop(scaled("gamma", gamma_range))).alias("total_variation"))
+    return best_cells(landscape, k, digits).groupBy("measure").agg((F.var_pop(scaled("eta", eta_range)) + F.var_pop(scaled("gamma", gamma_range))).alias("total_variation"))
 
 
 def best_networks(landscape: DataFrame, k: int) -> DataFrame:
@@ -68,25 +69,30 @@ def isnr(landscape: DataFrame) -> DataFrame:
     return c.groupBy("measure").agg((10 * F.log10(ratio)).alias("isnr_db"))
 
 
-def correlations(landscape: DataFrame) -> DataFrame:
-    """measure, other, r: Pearson r of oriented landscapes over networks where both are known; NULL if one is constant."""
-    o = oriented(landscape).filter("o is not null").select("measure", "net_id", "o")
-    other = o.select(F.col("measure").alias("other"), "net_id", F.col("o").alias("p"))
+def correlations(landscape: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """measure, other, r: Pearson r of oriented landscapes with those in ``others`` (by default with each other) over
+    networks where both are known; NULL if one is constant.
+    """
+    known = lambda df: oriented(df).filter("o is not null")
+    other = known(landscape if others is None else others).select(F.col("measure").alias("other"), "net_id", F.col("o").alias("p"))
     r = F.try_divide(F.covar_pop("o", "p"), F.stddev_pop("o") * F.stddev_pop("p"))
-    return o.join(other, "net_id").filter("measure <> other").groupBy("measure", "other").agg(r.alias("r"))
+    return known(landscape).select("measure", "net_id", "o").join(other, "net_id").filter("measure <> other").groupBy("measure", "other").agg(r.alias("r"))
 
 
-def agreement(landscape: DataFrame, selected=SELECTED) -> DataFrame:
-    return correlations(landscape).groupBy("measure").agg(F.avg(F.when(F.col("other").isin(*selected), F.col("r"))).alias("agreement"), F.max(F.abs("r")).alias("max_abs_r"))
+def agreement(landscape: DataFrame, selected=SELECTED, others: DataFrame | None = None) -> DataFrame:
+    """measure, agreement (mean r with the selected ones), max_abs_r; a measure never stands beside itself."""
+    return correlations(landscape, others).groupBy("measure").agg(F.avg(F.when(F.col("other").isin(*selected), F.col("r"))).alias("agreement"), F.max(F.abs("r")).alias("max_abs_r"))
 
 
 def degeneration(trajectories: DataFrame) -> DataFrame:
     """measure, mae, cv from (measure, process_id, step, rewire_fraction, value), hamming among the measures."""
-    every, process = Window.partitionBy("measure"), Window.partitionBy("measure", "process_id")
-    scale = lambda c, w: F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w))
-    t = trajectories.withColumn("g", scale("value", every))
-    t = t.withColumn("g", F.when(F.col("measure").isin(*SIMILARITIES), 1 - F.col("g")).otherwise(F.col("g"))).withColumn("p", scale("g", process))
-    step = t.groupBy("measure", "step").agg(F.avg("p").alias("y"))
+
+    ends = trajectories.groupBy("measure").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    g = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
+    t = trajectories.join(F.broadcast(ends), "measure").withColumn("g", F.when(F.col("measure").isin(*SIMILARITIES), 1 - g).otherwise(g))
+    process = Window.partitionBy("measure", "process_id")  # one trajectory, as long as the protocol has steps
+    p = F.try_divide(F.col("g") - F.min("g").over(process), F.max("g").over(process) - F.min("g").over(process))
+    step = t.withColumn("p", p).groupBy("measure", "step").agg(F.avg("p").alias("y"))
     line = step.filter("measure = 'hamming'").select("step", F.col("y").alias("x"))
     mae = step.join(line, "step").groupBy("measure").agg(F.avg(F.abs(F.col("y") - F.col("x"))).alias("mae"))
     cv = t.groupBy("measure", "rewire_fraction").agg(F.try_divide(F.stddev_samp("g"), F.avg("g")).alias("c")).groupBy("measure").agg(F.avg("c").alias("cv"))
@@ -121,17 +127,18 @@ def recovery(distances: DataFrame) -> DataFrame:
 
 
 def discrimination(scores: DataFrame, hard: int | None = None) -> DataFrame:
-    """measure, auc from (measure, real, score): the share of pairs in which the real one scores higher, ties one half, by
-    mid-ranks. ``hard`` keeps the artificial ones that score highest.
+    """measure, auc from (measure, real, score): the share of pairs in which the real one scores higher, ties one half.
+    ``hard`` keeps the artificial ones that score highest. Equal scores are counted first, so that only different
+    ones are ordered.
     """
-    s = scores.filter("score is not null and not isnan(score)")
+    s = scores.filter("score is not null and not isnan(score)").select("measure", "real", "score")
     if hard:
-        order = Window.partitionBy("measure", "real").orderBy(F.desc("score"))
-        s = s.withColumn("at", F.row_number().over(order)).filter(F.col("real") | (F.col("at") <= hard))
-    by = Window.partitionBy("measure")
-    ranked = s.withColumn("mid", F.rank().over(by.orderBy("score")) + (F.count("*").over(Window.partitionBy("measure", "score")) - 1) / 2.0)
-    n1, n0 = F.count_if("real"), F.count_if(~F.col("real"))
-    return ranked.groupBy("measure").agg(F.try_divide(F.sum(F.when(F.col("real"), F.col("mid"))) - n1 * (n1 + 1) / 2.0, (n1 * n0).cast("double")).alias("auc"))
+        order = Window.partitionBy("measure").orderBy(F.desc("score"))
+        s = s.filter("real").unionByName(s.filter("not real").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= hard).drop("at"))
+    counted = s.groupBy("measure", "score").agg(F.count_if("real").alias("x"), F.count_if(~F.col("real")).alias("y"))
+    below = F.coalesce(F.sum("y").over(Window.partitionBy("measure").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = F.sum(F.col("x") * (F.col("below") + F.col("y") / 2.0))
+    return counted.withColumn("below", below).groupBy("measure").agg(F.try_divide(won, (F.sum("x") * F.sum("y")).cast("double")).alias("auc"))
 
 
 def ranks(values: DataFrame, directions: DataFrame) -> DataFrame:

@@ -70,9 +70,20 @@ def networks_edges(spark, sf):
     return _nets(spark, sf)
 
 
-@query("network_validate", " SELECT net_id, count(*) AS n_edges, true AS ok FROM edges GROUP BY net_id")
+@query("network_validate", """, bad AS (
+  SELECT net_id, u, v FROM edges
+  UNION ALL SELECT net_id + 1000, u, v FROM edges WHERE net_id < 20 UNION ALL SELECT net_id + 1000, u, v FROM edges WHERE net_id < 20 AND u = 0
+  UNION ALL SELECT net_id + 2000, v, u FROM edges WHERE net_id < 20
+  UNION ALL SELECT net_id + 3000, u, v + CASE WHEN v = 24 AND net_id % 2 = 0 THEN 1 ELSE 0 END FROM edges WHERE net_id < 20)
+SELECT net_id, count(*) AS n_edges, bool_and(u < v AND u >= 0 AND v < 25) AND count(*) = count(DISTINCT u * 100 + v) AS ok FROM bad GROUP BY net_id""")
 def network_validate(spark, sf):
-    return validate(_nets(spark, sf), N)
+    """Sound networks; some with an edge twice, with ends turned round, with a node too many."""
+    e = _nets(spark, sf).select("net_id", "u", "v")
+    few, shift = e.filter("net_id < 20"), lambda df, n: df.withColumn("net_id", F.col("net_id") + n)
+    twice = shift(few.unionByName(few.filter("u = 0")), 1000)
+    turned = shift(few.select("net_id", F.col("v").alias("u"), F.col("u").alias("v")), 2000)
+    beyond = shift(few.withColumn("v", F.when((F.col("v") == N - 1) & (F.col("net_id") % 2 == 0), N).otherwise(F.col("v"))), 3000)
+    return validate(e.unionByName(twice).unionByName(turned).unionByName(beyond), N)
 
 
 @query("bitset_roundtrip", " SELECT net_id, u, v FROM edges")
@@ -91,7 +102,7 @@ def degree_sequence(spark, sf):
 
 @query("landscape_hamming", LAND + " SELECT eta::INT AS eta, gamma::INT AS gamma, cell_mean FROM cell WHERE measure = 'hamming'")
 def landscape_hamming(spark, sf):
-    return r.cells(_land(spark, sf).filter("measure = 'hamming'")).select("eta", "gamma", "cell_mean")
+    return r.cells(_land(spark, sf).filter("measure = 'hamming'"), 9).select("eta", "gamma", "cell_mean")
 
 
 def _set_query(name: str):
@@ -261,15 +272,95 @@ for _name in ("spectral_distance_adjacency", "spectral_distance_norm_laplacian",
     _kernel(_name)
 
 
-@query("resistance_foster", " SELECT net_id, 24.0::DOUBLE AS total FROM nets")
-def resistance_foster(spark, sf):
-    return _features(spark, sf, lambda a: [[(k.resistances(a) * a).sum() / 2]], "total double", ["total"]).select("net_id", F.round("total", 6).alias("total"))
+#: Cycles, complete graphs and stars of several sizes, whose spectra, resistances and portraits are known in closed form.
+KNOWN = """,
+size AS (SELECT n FROM (VALUES (5), (8), (13), (24), (60)) AS t(n)),
+known AS (SELECT kind, n FROM size, (VALUES ('complete'), ('cycle'), ('star')) AS t(kind))"""
+KINDS, SIZES = ("complete", "cycle", "star"), (5, 8, 13, 24, 60)
+
+
+def known(kind: str, n: int) -> np.ndarray:
+    a = np.ones((n, n)) - np.eye(n) if kind == "complete" else np.zeros((n, n))
+    i = np.arange(n)
+    if kind == "cycle":
+        a[i, (i + 1) % n] = a[(i + 1) % n, i] = 1
+    elif kind == "star":
+        a[0, 1:] = a[1:, 0] = 1
+    return a
+
+
+def _known(spark, f, ddl: str) -> DataFrame:
+    """kind, n and what ``f`` makes of each graph whose form is known."""
+    made = spark.range(len(KINDS) * len(SIZES))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            names = [x.split()[0] for x in ddl.split(", ")]
+            rows = [(KINDS[i % 3], SIZES[i // 3], *f(known(KINDS[i % 3], SIZES[i // 3]))) for i in b["id"]]
+            yield pd.DataFrame(rows, columns=["kind", "n", *names])
+
+    return made.mapInPandas(run, f"kind string, n int, {ddl}")
+
+
+@query("resistance_closed_form", KNOWN + """ SELECT kind, n::INT AS n, round(CASE kind WHEN 'complete' THEN n - 1 WHEN 'cycle' THEN n * (n * n - 1) / 12.0 ELSE (n - 1) ** 2 END::DOUBLE, 6) AS total FROM known""")
+def resistance_closed_form(spark, sf):
+    return _known(spark, lambda a: [float(np.triu(k.resistances(a)).sum())], "total double").withColumn("total", F.round("total", 6))
+
+
+#: Spectra of the known graphs with a path-free partner of their size: another star, cycle or complete graph.
+SPECTRA = KNOWN + """,
+idx AS (SELECT kind, n, i FROM known, range(60) t(i) WHERE i < n),
+adj AS (SELECT kind, n, i, CASE kind WHEN 'complete' THEN CASE WHEN i = 0 THEN n - 1.0 ELSE -1.0 END
+               WHEN 'cycle' THEN 2 * cos(2 * pi() * i / n) ELSE CASE i WHEN 0 THEN sqrt(n - 1.0) WHEN 1 THEN -sqrt(n - 1.0) ELSE 0.0 END END::DOUBLE AS x FROM idx),
+kept AS (SELECT kind, n, x FROM adj QUALIFY row_number() OVER (PARTITION BY kind, n ORDER BY round(abs(x), 9) DESC, x) <= least(50, n - 2)),
+a_at AS (SELECT kind, n, x, row_number() OVER (PARTITION BY kind, n ORDER BY x DESC) AS pos FROM kept),
+lap AS (SELECT kind, n, CASE kind WHEN 'complete' THEN CASE WHEN i = 0 THEN 0.0 ELSE n / (n - 1.0) END
+               WHEN 'cycle' THEN 1 - cos(2 * pi() * i / n) ELSE CASE i WHEN 0 THEN 0.0 WHEN 1 THEN 2.0 ELSE 1.0 END END::DOUBLE AS x FROM idx),
+l_at AS (SELECT kind, n, x, row_number() OVER (PARTITION BY kind, n ORDER BY x) AS pos FROM lap QUALIFY pos <= 50),
+pair AS (SELECT * FROM (VALUES ('complete', 'cycle'), ('cycle', 'star'), ('star', 'complete')) AS t(kind, other)),
+da AS (SELECT p.kind, p.other, x.n, sqrt(sum((x.x - y.x) ** 2)) AS d FROM pair p JOIN a_at x ON x.kind = p.kind JOIN a_at y ON y.kind = p.other AND y.n = x.n AND y.pos = x.pos GROUP BY ALL),
+dl AS (SELECT p.kind, p.other, x.n, sqrt(sum((x.x - y.x) ** 2)) AS d FROM pair p JOIN l_at x ON x.kind = p.kind JOIN l_at y ON y.kind = p.other AND y.n = x.n AND y.pos = x.pos GROUP BY ALL)"""
+
+
+@query("spectral_closed_form", SPECTRA + " SELECT da.kind, da.other, da.n::INT AS n, round(da.d, 6) AS adjacency, round(dl.d, 6) AS laplacian FROM da JOIN dl USING (kind, other, n)")
+def spectral_closed_form(spark, sf):
+    """Both spectral distances between graphs with known spectra, above and below the 50 values that are kept."""
+
+    def f(a):
+        kind = "complete" if a.sum() == len(a) * (len(a) - 1) else "cycle" if (a.sum(0) == 2).all() else "star"
+        other = KINDS[(KINDS.index(kind) + 1) % 3]
+        b = known(other, len(a))
+        return other, float(k.spectral_adjacency(a, b)), float(k.spectral_laplacian(a, b))
+
+    out = _known(spark, f, "other string, adjacency double, laplacian double")
+    return out.select("kind", "other", "n", F.round("adjacency", 6).alias("adjacency"), F.round("laplacian", 6).alias("laplacian"))
+
+
+@query("non_backtracking_closed_form", """, size AS (SELECT n FROM (VALUES (5), (8), (13), (24), (60)) AS t(n))
+SELECT n::INT AS n, (n - 2)::DOUBLE AS largest, 0.5::DOUBLE AS shared, round(sqrt(n - 2.0), 6)::DOUBLE AS modulus, least(100, 2 * n - 4)::BIGINT AS taken FROM size""")
+def non_backtracking_closed_form(spark, sf):
+    """Of complete graphs: the leading value n - 2, then n - 1 conjugate pairs with real part -1/2 and modulus sqrt(n - 2)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for i in b["id"]:
+                z = k.non_backtracking_points(known("complete", SIZES[i]))
+                rest = z[:-1][np.abs(z[:-1].imag) > 1e-6]
+                rows.append((SIZES[i], round(float(z[-1].real), 6), round(float(-rest.real.mean()), 6), round(float(np.abs(rest).mean()), 6), min(100, 2 * SIZES[i] - 4)))
+            yield pd.DataFrame(rows, columns=["n", "largest", "shared", "modulus", "taken"])
+
+    return spark.range(len(SIZES)).mapInPandas(run, "n int, largest double, shared double, modulus double, taken long")
 
 
 @query("spectrum_adjacency_moments", CLUST + ", e AS (SELECT net_id, count(*) AS m FROM edges GROUP BY ALL) SELECT e.net_id, (2 * m)::DOUBLE AS second, (2 * sum(t))::DOUBLE AS third FROM e JOIN clu USING (net_id) GROUP BY ALL")
 def spectrum_adjacency_moments(spark, sf):
     f = lambda a: [[(np.linalg.eigvalsh(a) ** p).sum() for p in (2, 3)]]
-    return _features(spark, sf, f, "second double, third double", ["second", "third"]).select("net_id", *[F.abs(F.round(c, 5)).alias(c) for c in ("second", "third")])
+    return _features(spark, sf, f, "second double, third double", ["second", "third"]).select("net_id", *[(F.round(c, 5) + 0.0).alias(c) for c in ("second", "third")])
 
 
 @query("spectrum_nlap_moments", CLUST + " SELECT two.net_id, 25.0::DOUBLE AS first, round(25 + sum(1.0::DOUBLE / (a.d * b.d)), 6) AS second FROM two JOIN deg a ON a.net_id = two.net_id AND a.i = two.i JOIN deg b ON b.net_id = two.net_id AND b.i = two.j GROUP BY ALL")
@@ -281,17 +372,17 @@ def spectrum_nlap_moments(spark, sf):
 @query("spectrum_nb_moments", CLUST + ", e AS (SELECT net_id, count(*) AS m FROM edges GROUP BY ALL) SELECT e.net_id, (50 - 2 * m)::DOUBLE AS second, (2 * sum(t))::DOUBLE AS third FROM e JOIN clu USING (net_id) GROUP BY ALL")
 def spectrum_nb_moments(spark, sf):
     f = lambda a: [[(np.linalg.eigvals(k.reduced_non_backtracking(a)) ** p).sum().real for p in (2, 3)]]
-    return _features(spark, sf, f, "second double, third double", ["second", "third"]).select("net_id", F.round("second", 5).alias("second"), F.abs(F.round("third", 5)).alias("third"))
+    return _features(spark, sf, f, "second double, third double", ["second", "third"]).select("net_id", F.round("second", 5).alias("second"), (F.round("third", 5) + 0.0).alias("third"))
 
 
 @query("landscape_cells", LAND + " SELECT measure, eta::INT AS eta, gamma::INT AS gamma, cell_mean FROM cell")
 def landscape_cells(spark, sf):
-    return r.cells(_land(spark, sf))
+    return r.cells(_land(spark, sf), 9)
 
 
 @query("best_cell", LAND + " SELECT measure, eta::INT AS best_eta, gamma::INT AS best_gamma FROM cell QUALIFY row_number() OVER (PARTITION BY measure ORDER BY cell_mean, eta, gamma) = 1")
 def best_cell(spark, sf):
-    return r.best_cell(_land(spark, sf))
+    return r.best_cell(_land(spark, sf), 9)
 
 
 TOP = LAND + ", top AS (SELECT * FROM cell QUALIFY row_number() OVER (PARTITION BY measure ORDER BY cell_mean, eta, gamma) <= {})"
@@ -299,12 +390,12 @@ TOP = LAND + ", top AS (SELECT * FROM cell QUALIFY row_number() OVER (PARTITION
 
 @query("eta_positive", TOP.format(30) + " SELECT measure, count(*) FILTER (eta > 0) AS eta_positive FROM top GROUP BY ALL")
 def eta_positive(spark, sf):
-    return r.eta_positive(_land(spark, sf), 30)
+    return r.eta_positive(_land(spark, sf), 30, 9)
 
 
 @query("total_variation", TOP.format(10) + " SELECT measure, round(var_pop((eta + 3) / 5.0::DOUBLE) + var_pop(gamma / 11.0::DOUBLE), 9) AS total_variation FROM top GROUP BY ALL")
 def total_variation(spark, sf):
-    return r.total_variation(_land(spark, sf), 10, (-3.0, 2.0), (0.0, 11.0)).withColumn("total_variation", F.round("total_variation", 9))
+    return r.total_variation(_land(spark, sf), 10, (-3.0, 2.0), (0.0, 11.0), 9).withColumn("total_variation", F.round("total_variation", 9))
 
 
 BEST = LAND + ", bn AS (SELECT measure, net_id FROM ori QUALIFY row_number() OVER (PARTITION BY measure ORDER BY o NULLS LAST, net_id) <= 20)"
@@ -376,11 +467,23 @@ def auc_hard(spark, sf):
     return r.discrimination(_scores(spark, sf), 20).withColumn("auc", F.round("auc", 9))
 
 
-@query("compare_rank", LAND + ", bc AS (SELECT measure, min(cell_mean) AS lo, max(cell_mean) AS hi FROM cell GROUP BY ALL) SELECT 'spread' AS readout, measure, round(hi - lo, 6) AS value, (rank() OVER (ORDER BY -round(hi - lo, 6)) + (count(*) OVER (PARTITION BY round(hi - lo, 6)) - 1) / 2.0::DOUBLE)::DOUBLE AS rank FROM bc")
+#: Read-outs of the set measures, as (query, column, key, direction).
+COMPARED = (
+    ("eta_positive", "eta_positive", "eta_positive_of_100", -1), ("total_variation", "total_variation", "total_variation", -1), ("isnr", "isnr_db", "isnr_db", 1),
+    ("connection_length", "connection_length_mm", "connection_length_mm", 0), ("auc", "auc", "auc", 1), ("auc_hard", "auc", "auc_hard", 1), ("noise_tolerance", "noise_tolerance", "noise_tolerance", 1),
+)
+
+
 def compare_rank(spark, sf):
-    v = r.cells(_land(spark, sf)).groupBy("measure").agg(F.round(F.max("cell_mean") - F.min("cell_mean"), 6).alias("value"))
-    d = spark.range(1).select(F.lit("spread").alias("readout"), F.lit(1).alias("direction"))
-    return r.ranks(v.select(F.lit("spread").alias("readout"), "measure", "value"), d).withColumn("rank", F.col("rank").cast("double"))
+    """The read-outs beside each other, with ranks: average ranks of ties, none without a direction or a value."""
+    directions = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(key).alias("readout"), F.lit(d).alias("direction")) for _, _, key, d in COMPARED])))
+    parts = [QUERIES[q](spark, sf).select(F.lit(key).alias("readout"), "measure", F.col(c).cast("double").alias("value")) for q, c, key, _ in COMPARED]
+    values = parts[0]
+    for p in parts[1:]:
+        values = values.unionByName(p)
+    values = fx.kept(spark, sf, "compared", lambda: values.filter(F.col("measure").isin(*SETS)))
+    ranked = r.ranks(values, directions).select("readout", "measure", F.col("rank").cast("double").alias("rank"))
+    return values.join(ranked, ["readout", "measure"], "left")
 
 
 def _draws(spark, sf):
@@ -388,6 +491,30 @@ def _draws(spark, sf):
     return fx.kept(spark, sf, "draws", lambda: rewire(fx.reference(spark, sf), seeds))
 
 
+def _swaps_sql(seeds: str) -> str:
+    """drawn(draw, s, u, v): the reference after the swaps that ``rewire`` makes, from seeds(draw, s)."""
+    return f""",
+seeds AS ({seeds}),
+dealt AS (SELECT draw, s, u, v, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || ':' || u || ':' || v), u, v) - 1 AS at FROM seeds CROSS JOIN ref),
+sides AS (SELECT x.draw, x.s, x.at // 2 AS pair, x.u AS a, x.v AS b, y.u AS c, y.v AS d FROM dealt x JOIN dealt y ON y.draw = x.draw AND y.at = x.at + 1 WHERE x.at % 2 = 0 AND x.at // 2 < x.s),
+made AS (SELECT draw, s, pair, least(a, d) AS u, greatest(a, d) AS v FROM sides WHERE len(list_distinct([a, b, c, d])) = 4
+         UNION ALL SELECT draw, s, pair, least(c, b), greatest(c, b) FROM sides WHERE len(list_distinct([a, b, c, d])) = 4),
+fresh AS (SELECT made.*, ref.u IS NULL AS new, count(*) OVER (PARTITION BY draw, u, v) AS claims FROM made LEFT JOIN ref USING (u, v)),
+good AS (SELECT draw, pair FROM fresh GROUP BY ALL HAVING count(*) FILTER (new AND claims = 1) = 2),
+drawn AS MATERIALIZED (SELECT dealt.draw, s, u, v FROM dealt LEFT JOIN good ON good.draw = dealt.draw AND good.pair = dealt.at // 2 WHERE good.draw IS NULL OR dealt.at // 2 >= s
+          UNION ALL SELECT made.draw, s, u, v FROM made JOIN good USING (draw, pair))"""
+
+
+_LEVELS = ", ".join(map(str, SMALL.noise_levels))
+DRAWN = _swaps_sql(f"SELECT i AS draw, [{_LEVELS}][(i % {len(SMALL.noise_levels)} + 1)::INT] AS s FROM range({5 * len(SMALL.noise_levels)}) t(i)")
+EFF = ", eff AS (SELECT draw, s, (60 - count(ref.u)) / 60.0::DOUBLE AS eff FROM drawn LEFT JOIN ref USING (u, v) GROUP BY ALL)"
+
+
+@query("rewire_edges", DRAWN + " SELECT draw, s::INT AS s, u, v FROM drawn")
+def rewire_edges(spark, sf):
+    return _draws(spark, sf)
+
+
 @query("rewire_degree_invariant", """, i AS (SELECT u AS i FROM ref UNION ALL SELECT v FROM ref), d AS (SELECT i, count(*) AS degree FROM i GROUP BY ALL) SELECT draw, i, degree FROM d, range(30) t(draw)""")
 def rewire_degree_invariant(spark, sf):
     return setops.degrees(_draws(spark, sf).withColumnRenamed("draw", "net_id")).withColumnRenamed("net_id", "draw")
@@ -398,24 +525,99 @@ def consensus_networks(spark, sf):
     return consensus(_nets(spark, sf).filter("rep <> 'R'"), ["eta", "gamma"], SMALL.edges)
 
 
-@query("rewire_connected_degrees", """, i AS (SELECT u AS i FROM ref UNION ALL SELECT v FROM ref), d AS (SELECT i, count(*) AS degree FROM i GROUP BY ALL) SELECT draw, i, degree FROM d, range(6) t(draw)""")
-def rewire_connected_degrees(spark, sf):
+@query("rewire_connected_edges", _swaps_sql("SELECT i AS draw, 20 AS s FROM range(6) t(i)") + """,
+twin AS (SELECT draw, u AS i, v AS j FROM drawn UNION ALL SELECT draw, v, u FROM drawn),
+reach(draw, i) AS (SELECT DISTINCT draw, 0 FROM drawn UNION SELECT reach.draw, twin.j FROM reach JOIN twin USING (draw, i)),
+whole AS (SELECT draw FROM reach GROUP BY draw HAVING count(*) = 25)
+SELECT draw, s, u, v FROM drawn SEMI JOIN whole USING (draw) UNION ALL SELECT seeds.draw, seeds.s, u, v FROM seeds ANTI JOIN whole USING (draw) CROSS JOIN ref""", True)
+def rewire_connected_edges(spark, sf):
     seeds = spark.range(6).select(F.col("id").alias("draw"), F.lit(20).alias("s"))
-    return setops.degrees(rewire_connected(fx.reference(spark, sf), seeds, N).withColumnRenamed("draw", "net_id")).withColumnRenamed("net_id", "draw")
+    return rewire_connected(fx.reference(spark, sf), seeds, N)
 
 
-@query("effective_degeneration")
+@query("effective_degeneration", DRAWN + EFF + " SELECT draw, s::INT AS s, round(eff, 9) AS eff FROM eff")
 def effective_degeneration(spark, sf):
-    return lost_edges(_draws(spark, sf), fx.reference(spark, sf), SMALL.edges)
+    return lost_edges(_draws(spark, sf), fx.reference(spark, sf), SMALL.edges).withColumn("eff", F.round("eff", 9))
+
 
+DEGEN = DRAWN + """,
+dc AS (SELECT draw, s, count(*) AS a, count(ref.u) AS b FROM drawn LEFT JOIN ref USING (u, v) GROUP BY ALL),
+tr AS MATERIALIZED (SELECT draw % 5 AS process, s, m AS measure, round(CASE m WHEN 'frobenius' THEN sqrt(2.0 * (a + 60 - 2 * b)) WHEN 'hamming' THEN (a + 60 - 2 * b)::DOUBLE
+         WHEN 'jaccard' THEN 2.0::DOUBLE * b / (2.0::DOUBLE * (a + 60 - b) + 1e-10) ELSE 2.0::DOUBLE * b / (a + 60) END, 9) AS value
+       FROM dc, (VALUES ('frobenius'), ('hamming'), ('jaccard'), ('f1')) AS t(m)),
+tg AS MATERIALIZED (SELECT process, s, measure, CASE WHEN measure IN ('jaccard', 'f1') THEN 1 - g ELSE g END AS g FROM (
+  SELECT *, (value - min(value) OVER (PARTITION BY measure)) / (max(value) OVER (PARTITION BY measure) - min(value) OVER (PARTITION BY measure)) AS g FROM tr) z),
+st AS (SELECT measure, s, avg(p) AS y FROM (
+  SELECT *, (g - min(g) OVER (PARTITION BY measure, process)) / (max(g) OVER (PARTITION BY measure, process) - min(g) OVER (PARTITION BY measure, process)) AS p FROM tg) z GROUP BY ALL),
+mae AS (SELECT st.measure, round(avg(abs(st.y - h.y)), 7) AS mae FROM st JOIN st h ON h.s = st.s AND h.measure = 'hamming' GROUP BY ALL),
+cv AS (SELECT measure, round(avg(c), 7) AS cv FROM (SELECT measure, s, stddev_samp(g) / nullif(avg(g), 0) AS c FROM tg GROUP BY ALL) z GROUP BY ALL)"""
 
-@query("degeneration")
+
+@query("degeneration", DEGEN + " SELECT measure, mae, cv FROM mae JOIN cv USING (measure)")
 def degeneration(spark, sf):
     d = _draws(spark, sf).withColumnRenamed("draw", "net_id")
     m = setops.set_measures(d, fx.reference(spark, sf), N).join(d.select("net_id", "s").distinct(), "net_id")
-    long = m.withColumn("hamming", F.col("hamming").cast("double")).unpivot(["net_id", "s"], list(SETS), "measure", "value")
+    long = m.select("net_id", "s", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in SETS]).unpivot(["net_id", "s"], list(SETS), "measure", "value")
     t = long.select("measure", (F.col("net_id") % 5).alias("process_id"), F.col("s").alias("step"), (F.col("s") / 60.0).alias("rewire_fraction"), "value")
-    return r.degeneration(t)
+    return r.degeneration(fx.kept(spark, sf, "trajectories", lambda: t)).select("measure", F.round("mae", 7).alias("mae"), F.round("cv", 7).alias("cv"))
+
+
+NOISE = LAND + DRAWN + EFF + """,
+nd AS (SELECT d.draw, d.s, e.net_id, e.eta, e.gamma, count(*) AS b FROM edges e JOIN drawn d USING (u, v) GROUP BY ALL),
+ns AS (SELECT net_id, count(*) AS a FROM edges GROUP BY ALL),
+nv AS MATERIALIZED (SELECT draw, s, eta, gamma, m AS measure, round(CASE m WHEN 'frobenius' THEN sqrt(2.0 * (a + 60 - 2 * b)) WHEN 'hamming' THEN (a + 60 - 2 * b)::DOUBLE
+         WHEN 'jaccard' THEN -2.0::DOUBLE * b / (2.0::DOUBLE * (a + 60 - b) + 1e-10) ELSE -2.0::DOUBLE * b / (a + 60) END, 9) AS o
+       FROM nd JOIN ns USING (net_id), (VALUES ('frobenius'), ('hamming'), ('jaccard'), ('f1')) AS t(m)),
+nc AS (SELECT measure, draw, s, eta, gamma, round(avg(o), 9) AS m FROM nv GROUP BY ALL),
+nb AS (SELECT measure, draw, s, eta, gamma FROM nc QUALIFY row_number() OVER (PARTITION BY measure, draw ORDER BY m, gamma, eta) = 1),
+b0 AS (SELECT measure, eta AS e0, gamma AS g0 FROM cell QUALIFY row_number() OVER (PARTITION BY measure ORDER BY cell_mean, gamma, eta) = 1),
+dr AS (SELECT measure, s, draw, sqrt(((eta - e0) ** 2 + (gamma - g0) ** 2)::DOUBLE) AS drift FROM nb JOIN b0 USING (measure))"""
+
+
+def _drifts(spark, sf) -> DataFrame:
+    """measure, s, draw, drift in grid steps (the axes are whole numbers) of the set measures' best cells under each draw."""
+    nets, drawn = _nets(spark, sf), _draws(spark, sf)
+    size = nets.groupBy("net_id").agg(F.count("*").alias("a"))
+    shared = nets.join(F.broadcast(drawn.select("draw", "s", "u", "v")), ["u", "v"]).groupBy("draw", "s", "net_id", "eta", "gamma").agg(F.count("*").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    value = {"frobenius": F.sqrt(2.0 * (a + 60 - 2 * b)), "hamming": (a + 60 - 2 * b).cast("double"), "jaccard": 2.0 * b / (2.0 * (a + 60 - b) + 1e-10), "f1": 2.0 * b / (a + 60)}
+    wide = shared.join(F.broadcast(size), "net_id").select("draw", "s", "eta", "gamma", *[F.round(value[m], 9).alias(m) for m in SETS])
+    long = r.oriented(wide.unpivot(["draw", "s", "eta", "gamma"], list(SETS), "measure", "value"))
+    best = lambda df, by: df.groupBy(*by, "eta", "gamma").agg(F.round(F.avg("o"), 9).alias("m")).groupBy(*by).agg(F.min(F.struct("m", "gamma", "eta")).alias("c"))
+    first = best(r.oriented(_land(spark, sf)), ["measure"]).select("measure", F.col("c.eta").alias("e0"), F.col("c.gamma").alias("g0"))
+    away = F.hypot((F.col("c.eta") - F.col("e0")).cast("double"), (F.col("c.gamma") - F.col("g0")).cast("double"))
+    drifts = best(long, ["measure", "draw", "s"]).join(F.broadcast(first), "measure").select("measure", "s", "draw", away.alias("drift"))
+    return fx.kept(spark, sf, "drifts", lambda: drifts)
+
+
+@query("noise_draws", NOISE + " SELECT measure, s::INT AS s, draw, round(drift, 9) AS drift FROM dr")
+def noise_draws(spark, sf):
+    return _drifts(spark, sf).withColumn("drift", F.round("drift", 9))
+
+
+TOLERANCE = NOISE + """,
+lv AS (SELECT measure, s, median(drift) AS d FROM dr GROUP BY ALL),
+tol AS (SELECT measure, round(coalesce((SELECT avg(eff) FROM eff WHERE eff.s = m.s), 0), 9) AS noise_tolerance
+        FROM (SELECT measure, max(s) FILTER (d <= 1) AS s FROM lv GROUP BY ALL) m)"""
+
+
+@query("noise_tolerance", TOLERANCE + " SELECT measure, noise_tolerance FROM tol")
+def noise_tolerance(spark, sf):
+    eff = lost_edges(_draws(spark, sf), fx.reference(spark, sf), SMALL.edges)
+    return r.noise_tolerance(_drifts(spark, sf), eff, SMALL.noise_cutoff).withColumn("noise_tolerance", F.round("noise_tolerance", 9))
+
+
+def _ranked_sql() -> str:
+    """All read-outs of COMPARED from the SQL of their own queries, in parentheses, and the ranks."""
+    one = "SELECT '{key}' AS readout, measure, {column}::DOUBLE AS value, {direction} AS direction FROM ({sql}) z{at}"
+    parts = [one.format(key=key, column=c, direction=d, sql=ORACLES[q], at=i) for i, (q, c, key, d) in enumerate(COMPARED)]
+    return f"""WITH vals AS ({" UNION ALL ".join(parts)})
+SELECT readout, measure, value, CASE WHEN direction <> 0 AND value IS NOT NULL THEN
+  (rank() OVER (PARTITION BY readout ORDER BY -direction * value) + (count(*) OVER (PARTITION BY readout, value) - 1) / 2.0::DOUBLE)::DOUBLE END AS rank FROM vals"""
+
+
+QUERIES["compare_rank"] = compare_rank
+ORACLES["compare_rank"] = _ranked_sql()
 
 
 @query("user_measure_degree_l1", TWO + """, deg AS (SELECT net_id, i, count(*) AS d FROM two GROUP BY ALL), ri AS (SELECT u AS i FROM ref UNION ALL SELECT v FROM ref), rd AS (SELECT i, count(*) AS d FROM ri GROUP BY ALL)

@@ -79,7 +79,7 @@ def geometry(spark: SparkSession) -> DataFrame:
 
 #: The same derivation in SQL: nets(net_id, eta, gamma, rep), edges(net_id, eta, gamma, rep, u, v), ref(u, v), geo.
 SQL = """
-trade AS (
+trade AS MATERIALIZED (
   SELECT year(l_shipdate) AS y, month(l_shipdate) AS m, l_returnflag AS rep, c_mktsegment AS segment, o_orderpriority AS priority,
          least(c_nationkey, s_nationkey) AS u, greatest(c_nationkey, s_nationkey) AS v,
          sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents

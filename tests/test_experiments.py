@@ -3,7 +3,7 @@ import dataclasses
 import numpy as np
 import pytest
 from graphlens.config import READOUTS, SMALL
-from graphlens.functions.measures import MEASURES
+from graphlens.functions.measures import MEASURES, NAMES
 from graphlens.operators.rewire import swap_draws, swap_edges
 from graphlens.operators.scoring import against, score
 from graphlens.plans import experiments as x
@@ -118,8 +118,12 @@ def test_evaluate_gives_every_readout_and_tables_give_them_back(spark, world, tm
     subjects = e.filter("rep = 'R' and gamma < 6").select("net_id", "u", "v")
     others = subjects.select("net_id").distinct().join(F.broadcast(ref))
     report = evaluate(lambda a, b: (a * b).sum(), e, meta, ref, geo, name="overlap", similarity=True, protocol=TINY, beside=("frobenius", "f1"), recoveries=rec, subjects=(subjects, others), slow={"f1"})
-    rows = {(row["readout"], row["measure"]): row for row in report.table.collect()}
-    assert {k for k, _ in rows} == {k for k, *_ in READOUTS} and len(rows) == 3 * len(READOUTS)
+    rows = {(row["key"], row["measure"]): row for row in report.values.collect()}
+    assert {k for k, _ in rows} == {k for k, *_ in READOUTS} and len(rows) == 3 * len(READOUTS) and {m for _, m in rows} == {"overlap", "Frobenius", "F1"}
+    table = report.table.collect()
+    assert [(t["key"], t["criterion"], t["readout"]) for t in table] == [(k, c, label) for k, c, label, _ in READOUTS]
+    assert report.table.columns == ["key", "criterion", "readout", "direction", "overlap", "Frobenius", "F1", "rank"]
+    assert all(t["rank"] == rows[t["key"], "overlap"]["rank"] and t["F1"] == rows[t["key"], "F1"]["value"] for t in table)
     assert all((row["rank"] is None) == (dict((k, d) for k, _, _, d in READOUTS)[k] == 0 or row["value"] is None) for (k, _), row in rows.items())
     sets = {}
     for row in e.collect():
@@ -147,14 +151,30 @@ def test_evaluate_gives_every_readout_and_tables_give_them_back(spark, world, tm
     for row in again:
         if row["readout"] not in ("agreement", "max_abs_r"):  # these depend on what stands beside
             for m in names:
-                assert row[m] == pytest.approx(rows[row["readout"], m]["value"], nan_ok=True), (row["readout"], m)
+                assert row[m] == pytest.approx(rows[row["readout"], NAMES[m]]["value"], nan_ok=True), (row["readout"], m)
+
+    # a new measure against the published tables: theirs are the columns beside it, and agreement is with their landscapes
+    tables = read_published(spark, str(tmp_path), meta, grids, names)
+    new = evaluate(lambda a, b: np.abs(a - b).sum(), e, meta, ref, geo, name="f1", criteria=("agreement", "plausibility", "efficiency"), protocol=TINY, published=tables)
+    values = {(row["key"], row["measure"]): row["value"] for row in new.values.collect()}
+    assert new.table.columns[4:-1] == ["f1", *NAMES.values()]
+    f = dict(report.landscape.filter("measure = 'frobenius'").select("net_id", "value").collect())
+    own = dict(new.landscape.select("net_id", "value").collect())
+    r_of = np.corrcoef([f[n] for n in f], [own[n] for n in f])[0, 1]
+    assert r_of > 0.9 and values["agreement", "f1"] == pytest.approx(r_of) and values["max_abs_r", "f1"] == pytest.approx(r_of)  # never with its own name
+    for k in ("best_eta", "best_gamma", "eta_positive_of_20", "total_variation", "degree_sd"):
+        assert values[k, "F1"] == pytest.approx(next(row["f1"] for row in again if row["readout"] == k))
+    first = {c: (row["best_eta"], row["best_gamma"]) for c, row in zip(("hamming",), r.best_cell(landscape(e, meta, ref, {"hamming": MEASURES["hamming"]}, 25)).collect())}["hamming"]
+    assert (values["best_eta", "f1"], values["best_gamma", "f1"]) == first  # a distance, whatever it is called
+    with pytest.raises(ValueError, match="nodes"):
+        evaluate(MEASURES["f1"], e, meta, ref, geo, similarity=True, protocol=dataclasses.replace(TINY, nodes=20))
 
 
 def test_accuracy_alone_needs_no_landscape(spark, world):
     e, meta, ref, geo = world
     rec = {"wide": x.Recovery(e.filter("rep = 'R' and gamma = 0").drop("rep"), e.filter("rep = 'A' and gamma < 2").drop("rep"))}
     report = evaluate(MEASURES["hamming"], e, meta, ref, geo, criteria=("accuracy",), protocol=TINY, beside=(), recoveries=rec)
-    assert report.landscape is None and {row["readout"] for row in report.table.collect()} == {"recovery_wide", "r_eta_wide"}
+    assert report.landscape is None and {row["key"] for row in report.values.collect()} == {"recovery_wide", "r_eta_wide"}
     with pytest.warns(UserWarning, match="no value"):
         evaluate(lambda a, b: float("nan"), e, meta, ref, geo, name="none", criteria=("efficiency",), protocol=TINY, beside=())
     keyed = score(against(e, ref).select(F.col("pair_id").alias("k"), F.lit(1).alias("j"), "a", "b"), {"f1": MEASURES["f1"]}, 25, keys=("j", "k"))
