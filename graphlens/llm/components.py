@@ -12,8 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges``: a, b. Returns v, label for every vertex of an edge; the label is the smallest vertex reachable.
 
     Each round a vertex takes the smallest label next to it and then the label of that label; labels only
-    fall, and the rounds end when none does. Minima are combined before the shuffle, so a vertex with
-    very many edges is no single task. Rounds are written to the shared folder, which cuts the lineage.
+    fall, and the rounds end when none does. Minima are combined before the shuffle; in the joins a hub or a label
+    of very many is one row on one side, and adaptive execution splits the other side. Rounds are written to the
+    shared folder, which cuts the lineage.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "components-edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("v"), "label"), "components-labels")

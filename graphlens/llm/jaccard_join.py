@@ -2,10 +2,15 @@
 
 A set is kept as 64-bit hashes. Documents with the same set are one class and are worked on once.
 
+Classes are known by a 64-bit hash of their set; sets that differ in a second one are told apart, so that only an
+agreement in 128 bits could confuse two.
+
 Meeting. In one order of all 5-grams, two sets that link share one of the first n - ceil(0.75 n) + 1 of either
 (the prefix), so classes that share no prefix hash cannot link. The order puts frequent 5-grams last, by a
 sketch of ``2 ** SKETCH`` counters over the 5-grams of all documents, so passages that many documents
-share stay out of prefixes. The order decides only what work there is, never the result.
+share stay out of prefixes. The order decides only what work there is, never the result. Classes meet by a shuffle of
+their prefixes; frequent 5-grams, which large families of near copies have in their prefixes after all, are summed
+up before it and joined, so that adaptive execution can split them.
 
 Count vectors. The hashes of a set fall into groups by their leading bits, about four to a group; the counts are
 the class's point, and what two sets share is at most the summed minima of their counts. Pairs
@@ -40,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of
+from .common import materialize, rows_of, small_table, unused
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4
@@ -219,29 +224,35 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, levels) -> DataFrame:
-    """doc_id, n, sig, prefix, counts, parity for each row. ``levels`` is a broadcast of ``frequency_levels``."""
+    """doc_id, n, sig, twin, prefix, usual, counts, parity for each row: of the prefix the first ``usual`` grams are
+    not frequent, ``twin`` is a second signature. ``levels`` is a broadcast of ``frequency_levels``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for b in rows_of(batches, 1024):
-            n, sig, prefix, counts, parity = [], [], [], [], []
+            n, sig, twin, prefix, usual, counts, parity = [], [], [], [], [], [], []
             for h in shingle_sets(b.column("text").to_pylist()):
                 n.append(len(h))
                 sig.append(signature(h))
+                twin.append(second_signature(h))
                 if len(h):
-                    order = np.argsort(level[(h >> np.uint64(64 - SKETCH)).astype(np.int64)], kind="stable")
-                    prefix.append(h[order[: len(h) - -(-NUM * len(h) // DEN) + 1]].view(np.int64))
+                    of = level[(h >> np.uint64(64 - SKETCH)).astype(np.int64)]
+                    order = np.argsort(of, kind="stable")[: len(h) - -(-NUM * len(h) // DEN) + 1]
+                    prefix.append(h[order].view(np.int64))
+                    usual.append(int((of[order] == 0).sum()))
                     counts.append(group_counts(h))
                     parity.append(group_parity(h))
                 else:
                     prefix.append(np.empty(0, np.int64))
+                    usual.append(0)
                     counts.append(b"")
                     parity.append(b"")
             ends = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), lists, pa.array(counts, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "n", "sig", "prefix", "counts", "parity"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(twin, pa.int64()), lists, pa.array(usual, pa.int32()), pa.array(counts, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "n", "sig", "twin", "prefix", "usual", "counts", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, prefix array<long>, counts binary, parity binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig long, twin long, prefix array<long>, usual int, counts binary, parity binary")
 
 
 def signature(h: np.ndarray) -> int | None:
@@ -251,10 +262,39 @@ def signature(h: np.ndarray) -> int | None:
     return int(mix64(both[:1] * _ODD[0] + mix64(both[1:]))[0].astype(np.int64))
 
 
+def second_signature(h: np.ndarray) -> int | None:
+    """From sums of its own, so that two sets agree in both with a chance of one in 2 ** 128."""
+    if not len(h):
+        return None
+    return int(mix64(np.array([mix64(h * _ODD[1] + _ODD[2]).sum(), mix64(h ^ _ODD[3]).sum()], np.uint64)).sum().astype(np.int64))
+
+
+def told_apart(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The rows, with another ``sig`` where different sets have the same, and for each such ``sig`` the twin that kept it.
+
+    Of 10 ** 10 sets a few pairs are expected to share 64 bits; they are few enough to be listed.
+    """
+    shared = rows.filter("n > 0").groupBy("sig").agg(F.min("twin").alias("kept"), F.max("twin").alias("other")).filter("kept <> other").select("sig", "kept")
+    found = {r["sig"]: r["kept"] for r in shared.collect()}
+    if found:
+        listed = F.broadcast(small_table(rows.sparkSession, [{"sig": s, "kept": t} for s, t in found.items()], "sig long, kept long"))
+        moved = F.when(F.col("twin") != F.col("kept"), F.xxhash64("sig", "twin")).otherwise(F.col("sig"))
+        rows = rows.join(listed, "sig", "left").withColumn("sig", F.when(F.col("kept").isNull(), F.col("sig")).otherwise(moved)).drop("kept")
+    return rows, found
+
+
+def hot_runs(entries: DataFrame) -> DataFrame:
+    """As ``shared_runs`` for frequent h: smallest sig and number are summed up before the shuffle, and the join that
+    gives them to the entries can be split where one h has very many.
+    """
+    runs = entries.groupBy("h").agg(F.min("sig").alias("pivot"), F.count("*").alias("k")).filter("k > 1").select("h", "pivot")
+    return entries.join(runs.hint("merge"), "h").select("h", "sig", "pivot")
+
+
 def shared_runs(entries: DataFrame) -> DataFrame:
     """From (h, sig): h, sig, pivot of all entries whose h has several; the pivot is the run's smallest sig.
 
-    The rows of a run come one after another and are never held together.
+    The rows of a run come one after another and are never held together. For h that are not frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,7 +554,7 @@ def _bits(ids: np.ndarray) -> np.ndarray:
     return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, apart: dict[int, int]) -> DataFrame:
     """The pairs whose sets reach the threshold. Sets are made again, from one text of each class in a pair."""
     wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = materialize(wanted.join(classes.select("sig", "one"), "sig"), "jaccard-wanted")
@@ -526,10 +566,17 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             b = b.take(pa.array(np.flatnonzero(on[_bits(ids)])))
             made = list(shingle_sets(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([signature(h) for h in made], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary())], names=["one", "sig", "members"])
+            sig = [signature(h) for h in made]
+            twin = [apart.get(s) and second_signature(h) for s, h in zip(sig, made)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.int64()), pa.array(twin, pa.int64()), pa.array([h.tobytes() for h in made], pa.binary())], names=["one", "sig", "twin", "members"])
 
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text")
-    made = named.mapInArrow(sets, "one long, sig long, members binary")
+    made = named.mapInArrow(sets, "one long, sig long, twin long, members binary")
+    if apart:
+        listed = F.broadcast(small_table(docs.sparkSession, [{"sig": s, "kept": t} for s, t in apart.items()], "sig long, kept long"))
+        moved = F.when(F.col("twin") != F.col("kept"), F.xxhash64("sig", "twin")).otherwise(F.col("sig"))
+        made = made.join(listed, "sig", "left").withColumn("sig", F.coalesce(moved, "sig")).drop("kept")
+    made = made.drop("twin")
     made = materialize(made.join(wanted, ["sig", "one"], "left_semi"), "jaccard-sets").dropDuplicates(["sig"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,21 +592,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(document_sets(docs, sc.broadcast(frequency_levels(docs))), "jaccard-rows")
+    rows, apart = told_apart(materialize(document_sets(docs, sc.broadcast(frequency_levels(docs))), "jaccard-rows"))
     some = rows.filter("n > 0")
     # one row of each class: the one with the smallest id stands for it
-    classes = some.groupBy("sig").agg(F.first("prefix").alias("prefix"))
-    runs = materialize(shared_runs(classes.select(F.explode("prefix").alias("h"), "sig")), "jaccard-runs")
+    classes = some.groupBy("sig").agg(F.first("prefix").alias("prefix"), F.first("usual").alias("usual"))
+    usual = classes.select(F.explode(F.slice("prefix", F.lit(1), F.col("usual"))).alias("h"), "sig")
+    hot = classes.filter(F.size("prefix") > F.col("usual")).select(F.explode(F.slice("prefix", F.col("usual") + 1, F.size("prefix"))).alias("h"), "sig")
+    runs = materialize(shared_runs(usual).unionByName(hot_runs(hot)), "jaccard-runs")
     classes = materialize(some.groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", F.lit(0))).alias("one"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("parity").alias("parity")), "jaccard-classes")
     stars = runs.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    first = materialize(verified(docs, classes, materialize(bounded_pairs(stars, classes), "jaccard-stars")), "jaccard-links")
+    first = materialize(verified(docs, classes, materialize(bounded_pairs(stars, classes), "jaccard-stars"), apart), "jaccard-links")
     labels = components(first)
     found = first
     for best in (BEST, None):
         rest = materialize(unresolved_pairs(runs, labels, classes, best), "jaccard-rest")
         pairs = rest.filter("not cut").select("a", "b")
         if not pairs.isEmpty():
-            found = materialize(verified(docs, classes, pairs).unionByName(found), "jaccard-links")
+            found = materialize(verified(docs, classes, pairs, apart).unionByName(found), "jaccard-links")
             labels = components(found)
         cut = rest.filter("cut").select(F.col("a").alias("h"))
         if cut.isEmpty():
@@ -573,12 +622,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, of each component the one with the smallest id. Rows that repeat an id are one
-    document and one of them stays; of rows without an id one stays for each text.
+    """The rows of ``docs``, of each component one: that with the smallest id, which null follows.
+
+    Rows are joined under ids of their own, hashes of (id, text), so rows without an id or under a repeated one are
+    grouped by their texts like all others, and equal rows are one.
     """
-    kept = near_duplicates(docs.filter("doc_id is not null")).select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+    of_text, key = unused(docs, "of_text", "key")
+    keyed = docs.withColumn(of_text, F.md5(F.col("text").cast("binary"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), of_text))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("group"))
+    ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id"), F.col(of_text).alias("of_text")).distinct()
+    order = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "of_text", "key")
+    first = materialize(ids.join(found, "key").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.key").alias(key)), "jaccard-first")
+    return keyed.join(first, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 ORACLE = r"""

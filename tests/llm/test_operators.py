@@ -156,6 +156,47 @@ def test_jaccard_join_against_brute_force(docs, rows, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_group(spark, docs, rows, empty):
+    """Rows without an id, rows that repeat one with another text, equal rows: one row of each group of near copies stays."""
+    base = "a quite long sentence of fourteen different words that some other rows repeat almost"
+    more = [(500, base, None, None, 1), (500, "something else under the same id", None, None, 1), (None, base + " entirely", None, None, 1), (None, base, None, None, 1), (3, base, "en", "s", 1), (None, None, None, None, 1)]
+    out = jaccard_join.one_of_each_group(docs.unionByName(spark.createDataFrame([(*m, 5, 6, "x") for m in more], docs.schema)).withColumn("key", docs["size"]))
+    assert out.columns == [*docs.columns, "key"]
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    everything = [*rows, *more]
+    label = [c[2] for c in sorted_components(everything)]
+    best = {}
+    for r, c in zip(everything, label):
+        at = (r[0] is None, r[0] or 0, r[1] is not None, hashlib.md5((r[1] or "").encode()).hexdigest())
+        best[c] = min(best.get(c, (at, r)), (at, r), key=lambda x: x[0])
+    want = {(r[0], r[1]) for _, r in best.values()}
+    assert len(kept) == len(set(kept)) and set(kept) == want
+    assert (3, base) in want and (500, base) not in want and (500, "something else under the same id") in want
+    assert jaccard_join.one_of_each_group(empty).count() == 0
+
+
+def sorted_components(rows):
+    """Place, text and a group number of each row; rows that cannot link are groups of their own, but equal rows are one."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w := SPACE.findall((r[1] or "").encode().lower())) >= 5 else {tuple(w)} if w else set() for r in rows]
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        same = rows[i][:2] == rows[j][:2] or sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+        if same and label[i] != label[j]:
+            old, new = label[j], label[i]
+            label = [new if x == old else x for x in label]
+    return [(i, r[1], x) for i, (r, x) in enumerate(zip(rows, label))]
+
+
+def test_sets_that_share_a_signature_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 3, 7, 100), (2, 4, 7, 200), (3, 4, 7, 200), (4, 5, 8, 300), (5, 0, None, None)], "doc_id long, n long, sig long, twin long")
+    out, found = jaccard_join.told_apart(rows)
+    sig = {r["doc_id"]: r["sig"] for r in out.collect()}
+    assert found == {7: 100} and sig[1] == 7 and sig[2] == sig[3] != 7 and sig[4] == 8 and sig[5] is None
+    assert jaccard_join.told_apart(rows.filter("doc_id > 2"))[1] == {}
+    h = np.arange(50, dtype=np.uint64)
+    assert jaccard_join.signature(h) != jaccard_join.second_signature(h) and jaccard_join.second_signature(h) != jaccard_join.second_signature(h[1:])
+
+
 @pytest.mark.parametrize("part_rows", [2048, 16])
 def test_jaccard_join_on_chains_of_near_copies(spark, monkeypatch, part_rows):
     """Copies at many distances, so that links, near misses and several rounds occur; in whole runs and in parts."""
