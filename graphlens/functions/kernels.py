@@ -19,6 +19,20 @@ def entropy(*p: float) -> float:
     return float(-(x * np.log(x)).sum())
 
 
+class Split:
+    """A measure of two networks that compares what is computed of each alone, so that it need be computed once a network."""
+
+    def __init__(self, name: str, features, between, needs: tuple[str, ...] = ()):
+        self.__name__, self.features, self.between, self.needs = name, features, between, needs
+
+    def __call__(self, a, b, *more, **named):
+        return self.between(self.features(a, *more, **named), self.features(b, *more, **named))
+
+
+def _norm(x, y):
+    return float(np.linalg.norm(x - y))
+
+
 def frobenius(a, b):
     return float(np.sqrt(((a.astype(float) - b) ** 2).sum()))
 
@@ -27,16 +41,20 @@ def hamming(a, b):
     return float((upper(a > 0) != upper(b > 0)).sum())
 
 
+def _counts(a, b):
+    """Pairs of nodes joined in a, in b, in both, and all pairs."""
+    x, y = upper(a) != 0, upper(b) != 0
+    return int(x.sum()), int(y.sum()), int((x & y).sum()), len(x)
+
+
 def jaccard(a, b):
-    x, y = a > 0.5, b > 0.5
-    return float((x & y).sum() / ((x | y).sum() + 1e-10))
+    p, q, both, _ = _counts(a > 0.5, b > 0.5)
+    return 2 * both / (2 * (p + q - both) + 1e-10)
 
 
 def f1(a, b):
-    x, y = upper(a).astype(int) == 1, upper(b).astype(int) == 1
-    tp, fp, fn = (x & y).sum(), (~x & y).sum(), (x & ~y).sum()
-    precision, recall = (tp / (tp + d) if tp + d else 0.0 for d in (fp, fn))
-    return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
+    p, q, both, _ = _counts(a.astype(int) == 1, b.astype(int) == 1)
+    return 2 * both / (p + q) if both else 0.0
 
 
 def _information(p1, p2, p12):
@@ -45,8 +63,8 @@ def _information(p1, p2, p12):
 
 
 def mutual_information(a, b):
-    x, y = upper(a) != 0, upper(b) != 0
-    h1, h2, mi = _information(x.mean(), y.mean(), (x & y).mean())
+    p, q, both, of = _counts(a, b)
+    h1, h2, mi = _information(p / of, q / of, both / of)
     return (2 * mi + 1e-100) / (h1 + h2 + 1e-100)
 
 
@@ -71,13 +89,12 @@ def normalised_laplacian(a):
     return np.diag((d > 0).astype(float)) - root[:, None] * a * root[None, :]
 
 
-def spectral_adjacency(a, b):
-    return float(np.linalg.norm(adjacency_spectrum(a) - adjacency_spectrum(b)))
+def laplacian_spectrum(a, k=50):
+    return np.linalg.eigvalsh(normalised_laplacian(a))[:k]
 
 
-def spectral_laplacian(a, b):
-    x, y = (np.linalg.eigvalsh(normalised_laplacian(m))[:50] for m in (a, b))
-    return float(np.linalg.norm(x - y))
+spectral_adjacency = Split("spectral_adjacency", adjacency_spectrum, _norm)
+spectral_laplacian = Split("spectral_laplacian", laplacian_spectrum, _norm)
 
 
 def two_core(a):
@@ -155,8 +172,7 @@ def earth_mover(x: np.ndarray, y: np.ndarray) -> float:
     return float((flow * cost).sum() / (len(x) * len(y)))
 
 
-def non_backtracking(a, b):
-    return earth_mover(non_backtracking_points(a), non_backtracking_points(b))
+non_backtracking = Split("non_backtracking", non_backtracking_points, earth_mover)
 
 
 def paths(a):
@@ -191,8 +207,7 @@ def _divergence(p, q):
     return (kl(p) + kl(q)) / 2
 
 
-def portrait_divergence(a, b):
-    x, y = portrait(a), portrait(b)
+def _portraits_apart(x, y):
     keys = sorted(x.keys() | y.keys())
     p, q = (np.array([float(k * m.get((l, k), 0)) for l, k in keys]) for m in (x, y))
     if not p.sum() or not q.sum():
@@ -200,6 +215,9 @@ def portrait_divergence(a, b):
     return _divergence(p / p.sum(), q / q.sum())
 
 
+portrait_divergence = Split("portrait_divergence", portrait, _portraits_apart)
+
+
 def triangles(a):
     x = a.astype(float)
     return ((x @ x) * x).sum(1) / 2
@@ -233,21 +251,25 @@ def signature(a):
     return np.array(out)
 
 
-def net_simile(a, b):
-    x, y = signature(a), signature(b)
+def _canberra(x, y):
     top, low = np.abs(x - y), np.abs(x) + np.abs(y)
     return float(np.where(low == 0, 0, np.divide(top, low, where=low != 0, out=np.zeros_like(top))).sum())
 
 
+net_simile = Split("net_simile", signature, _canberra)
+
+
 def affinity(a):
     d = a.sum(1).astype(float)
     e = 1 / (1 + d.max())
     return np.linalg.inv(np.eye(len(a)) + e * e * np.diag(d) - e * a)
 
 
-def delta_con(a, b):
-    x, y = (np.sqrt(np.maximum(affinity(m), 0)) for m in (a, b))
-    return float(np.sqrt(((x - y) ** 2).sum()))
+def root_affinity(a):
+    return np.sqrt(np.maximum(affinity(a), 0))
+
+
+delta_con = Split("delta_con", root_affinity, _norm)
 
 
 def exponential(a):
@@ -255,16 +277,21 @@ def exponential(a):
     return (v * np.exp(w)) @ v.T
 
 
-def communicability_correlation(a, b):
-    x, y = exponential(a).ravel(), exponential(b).ravel()
+def _correlation(x, y):
+    x, y = x.ravel(), y.ravel()
     if x.std() == 0 or y.std() == 0:
         return float("nan")
     return float(np.corrcoef(x, y)[0, 1])
 
 
-def communicability_divergence(a, b):
-    x, y = (m / (m.sum() + 1e-10) for m in (np.maximum(exponential(m), 0).ravel() for m in (a, b)))
-    return _divergence(x / x.sum(), y / y.sum())
+def communicability_shares(a):
+    x = np.maximum(exponential(a), 0).ravel()
+    x = x / (x.sum() + 1e-10)
+    return x / x.sum()
+
+
+communicability_correlation = Split("communicability_correlation", exponential, _correlation)
+communicability_divergence = Split("communicability_divergence", communicability_shares, _divergence)
 
 
 def resistances(a):
@@ -276,8 +303,7 @@ def resistances(a):
     return d[:, None] + d[None, :] - 2 * inverse
 
 
-def resistance(a, b):
-    return float(np.linalg.norm(resistances(a) - resistances(b)))
+resistance = Split("resistance", resistances, _norm)
 
 
 def betweenness(a):
@@ -302,12 +328,16 @@ def ks(x, y):
     return float(np.abs(f - g).max())
 
 
-def energy_parts(a, b, geometry):
-    """KS statistics of degree, clustering, betweenness (to nine digits) and edge length."""
-    lengths = lambda m: upper(geometry)[upper(m) > 0]
-    bc = lambda m: np.round(betweenness(m), 9)
-    return [ks(a.sum(1), b.sum(1)), ks(np.round(clustering(a), 9), np.round(clustering(b), 9)), ks(bc(a), bc(b)), ks(lengths(a), lengths(b))]
+def lengths(a, geometry):
+    return upper(geometry)[upper(a) > 0]
 
 
-def energy(a, b, geometry):
-    return max(energy_parts(a, b, geometry))
+#: What the energy compares, to nine digits where sums decide; each is a KS statistic of its own.
+SAMPLES = {
+    "ks_degree": lambda a, geometry: a.sum(1),
+    "ks_clustering": lambda a, geometry: np.round(clustering(a), 9),
+    "ks_betweenness": lambda a, geometry: np.round(betweenness(a), 9),
+    "ks_edge_length": lengths,
+}
+KS = {name: Split(name, sample, ks, ("geometry",)) for name, sample in SAMPLES.items()}
+energy = Split("energy", lambda a, geometry: [sample(a, geometry) for sample in SAMPLES.values()], lambda x, y: max(map(ks, x, y)), ("geometry",))

@@ -22,6 +22,8 @@ MEASURES = {
     "resistance": k.resistance,
     "energy": k.energy,
 }
+#: The KS statistics inside the energy, which landscapes carry too.
+COMPONENTS = dict(k.KS)
 SIMILARITIES = frozenset({"jaccard", "f1", "network_mutual_information", "dc_network_mutual_information", "communicability_corr"})
 SELECTED = ("frobenius", "delta_con", "netrd_non_backtracking_spectral", "spectral_distance_adjacency", "communicability_corr", "portrait", "net_simile", "energy")
 NAMES = {

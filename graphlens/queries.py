@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import SMALL
 from .functions import kernels as k
-from .functions.measures import MEASURES
+from .functions.measures import COMPONENTS, MEASURES
 from .operators import setops
 from .operators.consensus import consensus
 from .operators.rewire import lost_edges, rewire, rewire_connected
@@ -259,15 +259,25 @@ iv AS (SELECT net_id, i, j, x / c AS x FROM dbl JOIN cc USING (net_id) WHERE n =
 dia AS (SELECT net_id, i, x FROM iv WHERE i = j),
 rs AS (SELECT iv.net_id, iv.i, iv.j, a.x + b.x - 2 * iv.x AS x FROM iv JOIN dia a ON a.net_id = iv.net_id AND a.i = iv.i JOIN dia b ON b.net_id = iv.net_id AND b.i = iv.j)
 SELECT a.net_id, round(sqrt(sum((a.x - b.x) ** 2)), 6) AS value FROM rs a JOIN rs b ON b.net_id = -1 AND a.i = b.i AND a.j = b.j WHERE a.net_id >= 0 GROUP BY ALL""", True, 6)
-_kernel("energy", PATHS + BOTH + """,
+KS = PATHS + BOTH + """,
 bt AS (SELECT p.net_id, v.t AS i, round(coalesce(sum(CASE WHEN p.s <> v.t AND p.t <> v.t AND p.s <> p.t AND a.d + v.d = p.d THEN a.sigma * v.sigma / p.sigma END), 0) / (24 * 23), 9) AS x
        FROM paths p JOIN paths a ON a.net_id = p.net_id AND a.s = p.s JOIN paths v ON v.net_id = p.net_id AND v.s = p.t AND v.t = a.t GROUP BY ALL),
 vl AS (SELECT net_id, 'degree' AS f, d::DOUBLE AS x FROM clu UNION ALL SELECT net_id, 'clustering', round(c, 9)::DOUBLE FROM clu UNION ALL SELECT net_id, 'betweenness', x FROM bt
        UNION ALL SELECT net_id, 'length', round(dist, 9) FROM g JOIN geo USING (u, v)),
 sm AS (SELECT net_id, true AS own, f, x FROM vl WHERE net_id >= 0 UNION ALL SELECT nets.net_id, false, f, x FROM nets, vl WHERE vl.net_id = -1),
 pt AS (SELECT DISTINCT net_id, f, x FROM sm),
-df AS (SELECT pt.net_id, pt.f, pt.x, abs(avg(CASE WHEN own THEN (sm.x <= pt.x)::INT END) - avg(CASE WHEN NOT own THEN (sm.x <= pt.x)::INT END)) AS d FROM pt JOIN sm ON sm.net_id = pt.net_id AND sm.f = pt.f GROUP BY ALL)
-SELECT net_id, round(max(d), 7) AS value FROM df GROUP BY net_id""", True)
+df AS (SELECT pt.net_id, pt.f, pt.x, abs(avg(CASE WHEN own THEN (sm.x <= pt.x)::INT END) - avg(CASE WHEN NOT own THEN (sm.x <= pt.x)::INT END)) AS d FROM pt JOIN sm ON sm.net_id = pt.net_id AND sm.f = pt.f GROUP BY ALL),
+ks AS (SELECT net_id, f, max(d) AS d FROM df GROUP BY ALL)"""
+_kernel("energy", KS + " SELECT net_id, round(max(d), 7) AS value FROM ks GROUP BY net_id", True)
+
+
+@query("ks_components", KS + """ SELECT net_id, round(max(d) FILTER (f = 'degree'), 7) AS ks_degree, round(max(d) FILTER (f = 'clustering'), 7) AS ks_clustering,
+round(max(d) FILTER (f = 'betweenness'), 7) AS ks_betweenness, round(max(d) FILTER (f = 'length'), 7) AS ks_edge_length FROM ks GROUP BY net_id""", True)
+def ks_components(spark, sf):
+    s = score(against(_nets(spark, sf), fx.reference(spark, sf)), COMPONENTS, N, _lattice())
+    return s.groupBy(F.col("pair_id").alias("net_id")).pivot("measure", list(COMPONENTS)).agg(F.first(F.round("value", 7)))
+
+
 for _name in ("spectral_distance_adjacency", "spectral_distance_norm_laplacian", "netrd_non_backtracking_spectral"):
     _kernel(_name)
 
@@ -629,7 +639,7 @@ def user_measure_degree_l1(spark, sf):
 
 @query("runtime_ms")
 def runtime_ms(spark, sf):
-    s = score(against(_nets(spark, sf), fx.reference(spark, sf)), {m: MEASURES[m] for m in ("frobenius", "delta_con", "communicability_corr")}, N)
+    s = score(against(_nets(spark, sf), fx.reference(spark, sf)), MEASURES, N, _lattice())
     return s.groupBy("measure").agg(F.avg("ms").alias("mean_ms"), F.stddev_samp("ms").alias("sd_ms"))
 
 

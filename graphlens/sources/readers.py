@@ -1,16 +1,39 @@
-"""Readers: packed network stacks, result tables, nested JSON, reference validation, integrity."""
+"""Readers: packed network stacks, result tables, nested JSON, reference validation, integrity.
+
+Paths are opened by Spark's readers, so they may lie in any store that Spark reads.
+"""
 
 from __future__ import annotations
 
+import io
 import os
+import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.experiments import Recovery
 from .tables import written
 
 
+def content(spark: SparkSession, path: str) -> bytes | None:
+    """A whole file, which must be small; None if there is none."""
+    try:
+        found = spark.read.format("binaryFile").load(path).select("content").first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return bytes(found["content"]) if found else None
+
+
+def load_array(spark: SparkSession, path: str) -> np.ndarray | None:
+    raw = content(spark, path)
+    return None if raw is None else np.load(io.BytesIO(raw))
+
+
 def unpack(packed: np.ndarray, nodes: int) -> np.ndarray:
     """Bit-packed rows, first bit highest, to booleans."""
     return np.unpackbits(packed, axis=-1, count=nodes).astype(bool)
@@ -23,15 +46,16 @@ def edges_of(stack: np.ndarray, first: int = 0) -> list[tuple[int, int, int]]:
 
 
 def read_stack(spark: SparkSession, path: str, key: str = "networks", chunk: int = 1000) -> DataFrame:
-    """Edges of an npz stack: one file per task, decoded where it is read, ``chunk`` networks at a time."""
-    import io
-
+    """Edges of an npz stack: one file per task, decoded where it is read, ``chunk`` networks at a time. The id is the
+    position; in a stack of more than three axes (members of grid points) the position in the flattened one.
+    """
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             for content in b.column("content"):
                 stack = np.load(io.BytesIO(content.as_py()))[key]
+                stack = stack.reshape(-1, *stack.shape[-2:])
                 nodes = stack.shape[-2]
                 for a in range(0, len(stack), chunk):
                     part = stack[a : a + chunk]
@@ -42,15 +66,53 @@ def read_stack(spark: SparkSession, path: str, key: str = "networks", chunk: int
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "net_id long, u int, v int")
 
 
+def read_networks(spark: SparkSession, folder: str, which: str = "morphospace") -> tuple[DataFrame, DataFrame] | Recovery:
+    """The networks of the main sweep as (edges, meta: net_id, eta, gamma, replicate), or a recovery set.
+
+    A recovery set's grid comes in the order gamma, then eta; its members are ``read_stack(..., "grid_members")``.
+    """
+    path = f"{folder}/networks/{which}.npz"
+    raw = content(spark, path)
+    if raw is None:
+        raise FileNotFoundError(path)
+    with np.load(io.BytesIO(raw)) as z:
+        of = {k: z[k].tolist() for k in z.files if z[k].ndim == 1}
+
+    def named(prefix: str, *columns: str) -> DataFrame:
+        rows = list(zip(range(len(of[f"{prefix}eta"])), *(of[f"{prefix}{c}"] for c in columns)))
+        kinds = ", ".join(f"{c} {'long' if c == 'replicate' else 'double'}" for c in columns)
+        return spark.createDataFrame(rows, f"net_id long, {kinds}")
+
+    if which == "morphospace":
+        return read_stack(spark, path), named("", "eta", "gamma", "replicate")
+    side = lambda key, prefix: read_stack(spark, path, key).join(F.broadcast(named(prefix, "eta", "gamma")), "net_id")
+    return Recovery(side("targets", "target_"), side("grid", "grid_"))
+
+
 def read_table(spark: SparkSession, folder: str, name: str, schema: str | None) -> DataFrame:
     """A result table as CSV, compressed or not; without a schema the types are inferred."""
+    reader = spark.read.option("header", True)
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     for ending in (".csv.gz", ".csv"):
-        if os.path.exists(path := os.path.join(folder, name + ending)):
-            reader = spark.read.option("header", True)
-            return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+        try:
+            return reader.csv(f"{folder}/{name}{ending}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     raise FileNotFoundError(f"no table {name} in {folder}")
 
 
+def with_position(table: DataFrame, name: str = "net_id") -> DataFrame:
+    """The rows of one file with their position in it, however the file is split: a block of the file is read in order
+    by one task, and blocks are put in order by where they begin.
+    """
+    numbered = table.select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = numbered.groupBy("_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("_before", before).drop("_n")
+    return numbered.join(F.broadcast(starts), "_block").withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_block", "_at", "_first", "_before")
+
+
 def read_published(spark: SparkSession, folder: str, meta: DataFrame, grids: dict[str, DataFrame], measures: tuple[str, ...]) -> dict:
     """The tables that ``published_readouts`` takes, long, from a folder of result tables.
 
@@ -70,8 +132,7 @@ def read_published(spark: SparkSession, folder: str, meta: DataFrame, grids: dic
         if (wide := table(name)) is None:
             return None
         have = [m for m in measures if m in wide.columns]
-        # a result table is one file of one split, so its row ids are positions
-        return wide.coalesce(1).select(F.monotonically_increasing_id().alias("net_id"), *[F.col(m).cast("double").alias(m) for m in have]).unpivot("net_id", have, "measure", value)
+        return with_position(wide).select("net_id", *[F.col(m).cast("double").alias(m) for m in have]).unpivot("net_id", have, "measure", value)
 
     if (land := tall("landscapes", "value")) is None:
         raise FileNotFoundError(f"no landscapes in {folder}")
@@ -101,30 +162,57 @@ def read_nested(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geometry(spark: SparkSession, path: str) -> DataFrame:
-    d = np.load(path)
+    d = load_array(spark, path)
+    if d is None:
+        raise FileNotFoundError(path)
     u, v = np.triu_indices(len(d), 1)
     return spark.createDataFrame([(int(a), int(b), float(d[a, b])) for a, b in zip(u, v)], "u int, v int, dist double")
 
 
-def read_reference(path_or_array, nodes: int = 100) -> np.ndarray:
-    """A validated adjacency matrix."""
-    if isinstance(path_or_array, str) and not os.path.exists(path_or_array):
-        raise FileNotFoundError(f"no reference network at {path_or_array}")
-    a = np.squeeze(np.load(path_or_array) if isinstance(path_or_array, str) else np.asarray(path_or_array)).astype(float)
+def read_reference(spark: SparkSession, reference: np.ndarray | str | None = None, nodes: int = 100, published: tuple[DataFrame, DataFrame] | None = None) -> np.ndarray:
+    """A validated adjacency matrix from an array or a path, by default ``consensus.npy`` in ``reference_dir()``.
+
+    With ``published``, (edges, net_id and Frobenius value) of the published landscape, a reference that does not
+    give those values is warned of.
+    """
+    path = f"{reference_dir()}/consensus.npy" if reference is None else reference
+    found = load_array(spark, path) if isinstance(path, str) else np.asarray(path)
+    if found is None:
+        raise FileNotFoundError(f"no reference network at {path}: put a binary, symmetric ({nodes}, {nodes}) array there or pass one; without it only the accuracy criterion can be run")
+    a = np.squeeze(found).astype(float)
     if a.shape != (nodes, nodes):
         raise ValueError(f"expected shape {(nodes, nodes)}, found {a.shape}")
     if not (np.isin(a, (0, 1)).all() and (a == a.T).all() and not np.diag(a).any()):
         raise ValueError("the reference must be binary, symmetric and without loops")
+    if published:
+        edges = spark.createDataFrame([(u, v) for _, u, v in edges_of(a[None] > 0)], "u int, v int")
+        if not matches(published[0], edges, published[1], nodes=nodes).first()["matches"]:
+            warnings.warn("this reference is not the one of the published values: scores do not compare with them", stacklevel=2)
     return a
 
 
-def read_optional(path: str) -> np.ndarray | None:
-    return np.load(path) if os.path.exists(path) else None
+def read_optional(spark: SparkSession, name: str) -> np.ndarray | None:
+    """``name``.npy of ``reference_dir()`` (subjects, consensus networks of the others), or None."""
+    found = load_array(spark, f"{reference_dir()}/{name}.npy")
+    return None if found is None else found.astype(float)
+
+
+def home() -> str:
+    """GRAPHLENS_HOME, else a folder below the user's own."""
+    return os.path.expanduser(os.environ.get("GRAPHLENS_HOME", os.path.join("~", "graphlens_data")))
 
 
 def data_dir() -> str:
-    """GRAPHLENS_DATA, else ``data`` in the working folder."""
-    return os.environ.get("GRAPHLENS_DATA", os.path.join(os.getcwd(), "data"))
+    """GRAPHLENS_DATA, else ``data`` in the working folder if it holds networks, else the bundle below ``home()``."""
+    if given := os.environ.get("GRAPHLENS_DATA"):
+        return os.path.expanduser(given)
+    here = os.path.join(os.getcwd(), "data")
+    return here if os.path.exists(os.path.join(here, "networks", "morphospace.npz")) else os.path.join(home(), "bundle")
+
+
+def reference_dir() -> str:
+    """Where references are looked for that cannot be shipped."""
+    return os.path.join(home(), "reference")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -138,10 +226,10 @@ def validate(edges: DataFrame, nodes: int) -> DataFrame:
     return edges.groupBy("net_id").agg(F.count("*").alias("n_edges"), (F.every(fine) & (F.count("*") == F.count_distinct("u", "v"))).alias("ok"))
 
 
-def matches(edges: DataFrame, reference: DataFrame, values: DataFrame, first: int = 25) -> DataFrame:
+def matches(edges: DataFrame, reference: DataFrame, values: DataFrame, first: int = 25, nodes: int = 100) -> DataFrame:
     """Whether Frobenius distances of the first networks equal ``values`` (net_id, value) within 1e-8 + 1e-5 relative."""
     from ..operators.setops import set_measures
 
-    found = set_measures(edges.filter(F.col("net_id") < first), reference, 100).select("net_id", "frobenius")
+    found = set_measures(edges.filter(F.col("net_id") < first), reference, nodes).select("net_id", "frobenius")
     near = F.abs(F.col("frobenius") - F.col("value")) <= 1e-8 + 1e-5 * F.abs(F.col("value"))
     return found.join(values, "net_id").agg(F.coalesce(F.every(near), F.lit(False)).alias("matches"))

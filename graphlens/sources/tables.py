@@ -1,7 +1,13 @@
-"""Tables that a run writes for itself, in the folder that executors share."""
+"""Tables that a run writes for itself, in the folder that executors share.
+
+They are read whenever a frame made of them is run, so they are not deleted here: they live as long as the folder, which
+whoever sets ``spark.checkpoint.dir`` empties between runs. The temporary folder of a local run goes when Python ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context.applicationId not in _OWN:
         _OWN[context.applicationId] = tempfile.mkdtemp(prefix="graphlens-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
     return "file://" + _OWN[context.applicationId]
 
 

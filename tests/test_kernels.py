@@ -95,3 +95,19 @@ def test_series_agree():
         term = term @ m
         total += term
     assert k.affinity(a) == pytest.approx(total)
+
+
+def test_features_are_made_once_and_values_stay(monkeypatch):
+    """What a split measure remembers of a network gives the values and about the times of whole calls."""
+    from graphlens.operators.scoring import Remembered, needs
+
+    made = []
+    held = Remembered(3)
+    for i in (1, 2, 1, 3, 1, 4, 2, 1):
+        assert held.get(i, lambda i=i: made.append(i) or i * i)[0] == i * i
+    assert made == [1, 2, 3, 4, 2]
+    assert needs(k.energy) == ("geometry",) and "geometry" not in needs(k.delta_con) and "geometry" in needs(lambda a, b, geometry: 0)
+    a, b, d = random_graph(1), random_graph(2), np.abs(np.subtract.outer(np.arange(len(random_graph(1))), np.arange(len(random_graph(1))))).astype(float)
+    assert k.energy(a, b, geometry=d) == max(f(a, b, geometry=d) for f in k.KS.values())
+    for f in (k.spectral_adjacency, k.delta_con, k.resistance, k.net_simile):
+        assert f(a, b) == f.between(f.features(a), f.features(b)) == pytest.approx(f(b, a))
