@@ -1,11 +1,9 @@
-"""Plumbing that the operators share: shared storage, small tables, Arrow batches."""
+"""Plumbing that the operators share: written tables, small tables, Arrow batches."""
 
 from __future__ import annotations
 
 import json
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,28 +11,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local temporary folder only where that is unset
-    and driver and executors are one process.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="llm-shared-"))
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage, survives lost
-    executors, and later passes read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.tables import written as materialize  # noqa: F401  for the operators
 
 
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

@@ -14,6 +14,7 @@ from graphlens.llm import bpe, chat, components, examples, jaccard_join, media,
 from graphlens.llm.registry import oracle_sql, queries
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -76,6 +77,47 @@ def test_sharding_is_even_and_splits_hot_groups(spark):
     assert len(loads) == 24 and max(loads) < 1.06 * np.mean(loads) and min(loads) > 0.94 * np.mean(loads)
 
 
+def plain_tree(points, shards):
+    """(gkey, chunk) -> shard by a K-d tree in plain recursion, each node sorted and cut where its weight is reached."""
+
+    def grow(own, first, k):
+        if k == 1 or not own:
+            return {p["gkey", "chunk"]: first for p in own}
+        width = lambda d: max(p[d] for p in own) // sharding._TIE - min(p[d] for p in own) // sharding._TIE
+        dim = max(sharding.DIMENSIONS, key=lambda d: (width(d), -sharding.DIMENSIONS.index(d)))
+        want, below = sum(p["w"] for p in own) * (k // 2) / k, 0
+        weight = Counter()
+        for p in own:
+            weight[p[dim]] += p["w"]
+        for key in sorted(weight):
+            if below + weight[key] >= want:
+                break
+            below += weight[key]
+        cut = key - 1 if want - below < below + weight[key] - want else key
+        return grow([p for p in own if p[dim] <= cut], first, k // 2) | grow([p for p in own if p[dim] > cut], first + k // 2, k - k // 2)
+
+    return grow(points, 0, shards)
+
+
+def test_sharding_against_a_plain_tree(spark, monkeypatch):
+    """Every document's shard, where quantiles are refined to the last point; groups, ties and chunks of heavy groups."""
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    monkeypatch.setattr(sharding, "BINS", 7)
+    rng = random.Random(12)
+    data = [(i, "a copy " * 30 if i % 9 == 0 else words(rng, rng.randrange(0, 40)) if i % 50 else None, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None]), 0) for i in range(700)]
+    docs = spark.createDataFrame(data, DOCS)
+    shards = 6
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 8).cast("long").alias("size"), F.xxhash64(text, F.octet_length(text)).alias("gkey"))
+    rows, total = narrow.agg(F.count("*"), F.sum("size")).first()
+    chunked, points = sharding._points(narrow, shards, total, rows)
+    got = [r.asDict() | {("gkey", "chunk"): (r["gkey"], r["chunk"])} for r in sharding._keyed(points).collect()]
+    assert len(got) < 700 and max(Counter(p["gkey"] for p in got).values()) > 1
+    tree = plain_tree(got, shards)
+    want = {r["doc_id"]: tree[r["gkey"], r["chunk"]] for r in chunked.collect()}
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards).collect()} == want
+
+
 def test_mixing_against_brute_force(spark, docs, rows, empty):
     out = mixing.mix(docs).collect()
     size = lambda t: len(SPACE.findall((t or "").encode()))
