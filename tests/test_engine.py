@@ -8,7 +8,9 @@ from graphlens.config import SMALL
 from graphlens.operators import setops
 from graphlens.operators.rewire import rewire
 from graphlens.operators.scoring import against, score
+from graphlens.functions.measures import MEASURES, NAMES, SIMILARITIES
 from graphlens.plans import readouts as r
+from graphlens.plans import verify
 from graphlens.plans.protocol import evaluate
 from graphlens.sources import fixture as fx
 from graphlens.sources import readers
@@ -158,3 +160,21 @@ def test_evaluate(spark):
     assert all((x["rank"] is None) == (x["key"] in ("best_eta", "best_gamma", "connection_length_mm", "percent_beyond_90mm", "degree_sd")) for x in rows)
     with pytest.raises(ValueError):
         evaluate(lambda a, b: 0, e, meta, fx.reference(spark, SF), fx.geometry(spark), criteria=("speed",))
+
+
+def test_measures_side_by_side(spark):
+    """All measures of two pairs, one near and one far; errors against known values."""
+    ring = {(i, i + 1) for i in range(11)} | {(0, 11)}
+    close, far = ring | {(0, 6), (3, 9), (2, 5)}, {(0, i) for i in range(1, 12)} | {(1, 2), (3, 4), (5, 6), (7, 8)}
+    base = ring | {(0, 6), (3, 9), (1, 4)}
+    code = lambda edges: [u * 65536 + v for u, v in edges]
+    pairs = spark.createDataFrame([(i, code(x), code(base)) for i, x in enumerate((close, far, base))], "pair_id long, a array<long>, b array<long>")
+    geometry = np.abs(np.subtract.outer(np.arange(12.0), np.arange(12.0)))
+    table = verify.measure_table(pairs, 12, {0: "near", 1: "far"}, geometry).cache()
+    rows = {x["measure"]: x for x in table.collect()}
+    assert set(rows) == set(MEASURES) and all(x["name"] == NAMES[m] and x["similarity"] == (m in SIMILARITIES) for m, x in rows.items())
+    known = table.filter("near is not null and far is not null")
+    assert verify.nearer(known, "near", "far").first()["holds"] and not verify.nearer(known, "far", "near").first()["holds"]
+    values = spark.createDataFrame([("f1", 0, 0.5), ("f1", 1, None), ("f1", 2, 2.0), ("hamming", 0, 1.0)], "measure string, net_id long, value double")
+    other = spark.createDataFrame([("f1", 0, 0.4), ("f1", 1, None), ("f1", 2, 2.0), ("hamming", 0, None)], "measure string, net_id long, value double")
+    assert [tuple(x) for x in verify.errors(values, other).orderBy("measure").collect()] == [("f1", pytest.approx(0.25), 2, True), ("hamming", None, 0, False)]
