@@ -419,7 +419,7 @@ def test_quality_passes_over_texts_that_do_not_fit(spark):
     rng = random.Random(7)
     data = [(i, "%%% &&& " * 40 if i % 2 else words(rng, 60), "en", "s", 0) for i in range(200)]
     first = min((i for i in range(0, 200, 2) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
-    data[first] = (first, words(rng, 10_000) * 270, "en", "s", 0)
+    data[first] = (first, words(rng, 10_000) * 280, "en", "s", 0)
     assert len(data[first][1]) > 13_000_000
     docs = spark.createDataFrame([*data, data[4], data[4]], DOCS)
     net = quality.fit(docs, spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int"))
