@@ -18,6 +18,7 @@ from .operators.scoring import against, matrix, packed, score
 from .plans import readouts as r
 from .sources import fixture as fx
 from .sources.readers import validate
+from .sources.tables import written
 
 N = fx.NODES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -491,7 +492,7 @@ def compare_rank(spark, sf):
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
-    values = fx.kept(spark, sf, "compared", lambda: values.filter(F.col("measure").isin(*SETS)))
+    values = fx.kept(spark, sf, "compared", lambda: written(values.filter(F.col("measure").isin(*SETS)), "compared"))
     ranked = r.ranks(values, directions).select("readout", "measure", F.col("rank").cast("double").alias("rank"))
     return values.join(ranked, ["readout", "measure"], "left")
 
@@ -569,7 +570,7 @@ def degeneration(spark, sf):
     m = setops.set_measures(d, fx.reference(spark, sf), N).join(d.select("net_id", "s").distinct(), "net_id")
     long = m.select("net_id", "s", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in SETS]).unpivot(["net_id", "s"], list(SETS), "measure", "value")
     t = long.select("measure", (F.col("net_id") % 5).alias("process_id"), F.col("s").alias("step"), (F.col("s") / 60.0).alias("rewire_fraction"), "value")
-    return r.degeneration(fx.kept(spark, sf, "trajectories", lambda: t)).select("measure", F.round("mae", 7).alias("mae"), F.round("cv", 7).alias("cv"))
+    return r.degeneration(fx.kept(spark, sf, "trajectories", lambda: written(t, "trajectories"))).select("measure", F.round("mae", 7).alias("mae"), F.round("cv", 7).alias("cv"))
 
 
 NOISE = LAND + DRAWN + EFF + """,
@@ -597,7 +598,7 @@ def _drifts(spark, sf) -> DataFrame:
     first = best(r.oriented(_land(spark, sf)), ["measure"]).select("measure", F.col("c.eta").alias("e0"), F.col("c.gamma").alias("g0"))
     away = F.hypot((F.col("c.eta") - F.col("e0")).cast("double"), (F.col("c.gamma") - F.col("g0")).cast("double"))
     drifts = best(long, ["measure", "draw", "s"]).join(F.broadcast(first), "measure").select("measure", "s", "draw", away.alias("drift"))
-    return fx.kept(spark, sf, "drifts", lambda: drifts)
+    return fx.kept(spark, sf, "drifts", lambda: written(drifts, "drifts"))
 
 
 @query("noise_draws", NOISE + " SELECT measure, s::INT AS s, draw, round(drift, 9) AS drift FROM dr")
