@@ -57,9 +57,13 @@ class Terms:
     """Words and stems, numbered: words first."""
 
     def __init__(self, texts: list[str]):
-        both = [terms_of(t) for t in texts]
-        self.words = {t: i for i, t in enumerate(dict.fromkeys(w for words, _ in both for w in words))}
-        self.stems = {t: i + len(self.words) for i, t in enumerate(dict.fromkeys(s for _, stems in both for s in stems))}
+        self.words: dict[str, int] = {}
+        stems: dict[str, int] = {}
+        for text in texts:  # one text's counts at a time: those of all would take hundreds of MB
+            for own, found in zip((self.words, stems), terms_of(text)):
+                for t in found:
+                    own.setdefault(t, len(own))
+        self.stems = {t: i + len(self.words) for t, i in stems.items()}
 
     def __len__(self) -> int:
         return len(self.words) + len(self.stems)
