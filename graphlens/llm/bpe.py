@@ -6,8 +6,8 @@ prefix and no white-space handling. sentencepiece then merges the best-scored pa
 ties, which is the merge order of the ranks. Texts are cut by the pattern first and each match is encoded
 by itself; ids are decoded by the inverse mapping.
 
-Matches repeat, so each task keeps a dictionary of matches already encoded, dropped when it holds
-``CACHE`` entries. Texts are worked on one at a time and whole. A null text counts as empty: no ids, the
+Matches repeat, so each task keeps a dictionary of matches already encoded, dropped when it would hold more than
+``CACHE`` entries or ``CACHE_CHARS`` characters besides those of the text at hand. Texts are worked on one at a time and whole. A null text counts as empty: no ids, the
 digests of nothing. Repeated rows and null ids are kept as they are; extra columns are ignored.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import rows_of
 
-#: Encoded matches that a task remembers at most.
-CACHE = 400_000
+#: Encoded matches that a task remembers at most, and characters in them.
+CACHE, CACHE_CHARS = 400_000, 8_000_000
 #: What \s stands for in the pattern's own engine: the characters with the property White_Space.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -88,15 +88,18 @@ class Codec:
         self.split = regex.compile(spaced).findall
         self.chars = dict(enumerate(byte_characters()))
         self.known: dict[str, bytes] = {}
+        self.held = 0  # characters of the known matches
 
     def encode(self, text: str) -> bytes:
         """``text`` holds no lone surrogates: it comes from UTF-8."""
         parts, known = self.split(text), self.known
         new = [p for p in set(parts) if p not in known]
         if new:
-            if len(known) + len(new) > CACHE:
+            if len(known) + len(new) > CACHE or self.held + sum(map(len, new)) > CACHE_CHARS:
                 known.clear()
+                self.held = 0
                 new = list(set(parts))
+            self.held += sum(map(len, new))
             mapped = [p.encode().decode("latin-1").translate(self.chars) for p in new]
             for i in range(0, len(new), 4096):
                 for p, ids in zip(new[i : i + 4096], self.model.encode(mapped[i : i + 4096], num_threads=1)):

@@ -638,3 +638,17 @@ def test_bpe_against_tiktoken(spark, docs, rows, empty):
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids.tolist(), raw[:80]
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw.encode()).hexdigest())
     assert bpe.encode_decode(empty, tokens, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_cache_is_bounded_in_characters(monkeypatch):
+    import public_tokenizers
+
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    model = bpe.serialise_model(tokens)
+    free, tight = (bpe.Codec(model, tokens, public_tokenizers.PATTERN) for _ in range(2))
+    texts = ["one two three", "x" * 300, "one two", "", "y" * 90 + " one", "three " * 40, "z" * 99, "one two three"]
+    ids = [free.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 100)
+    for text, known in zip(texts, ids):
+        assert tight.encode(text) == known and tight.decode(known).decode() == text
+        assert tight.held == sum(map(len, tight.known)) <= max(100, len(text))
