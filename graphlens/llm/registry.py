@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard_join, media, mixing, quality, sharding, topk, toxicity, url_filter
+from . import bpe, chat, jaccard_join, media, merkle, mixing, quality, sharding, topk, toxicity, url_filter
 from .common import table
 
 
@@ -54,9 +54,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.every_third())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE, "op11_merkle": merkle.oracle()}
