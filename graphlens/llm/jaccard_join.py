@@ -7,7 +7,7 @@ agreement in 128 bits could confuse two.
 
 Meeting. In one order of all 5-grams, two sets that link share one of the first n - ceil(0.75 n) + 1 of either
 (the prefix), so classes that share no prefix hash cannot link. The order puts frequent 5-grams last, by a
-sketch of ``2 ** SKETCH`` counters over the 5-grams of all documents, so passages that many documents
+sketch of counters, one for about ``PER_COUNTER`` 5-grams (at most 2 ** 24), over the 5-grams of all documents, so passages that many documents
 share stay out of prefixes. The order decides only what work there is, never the result. Classes meet by a shuffle of
 their prefixes; frequent 5-grams, which large families of near copies have in their prefixes after all, are summed
 up before it and joined, so that adaptive execution can split them.
@@ -18,12 +18,12 @@ that cannot reach 0.75 under that bound are dropped. A second vector has two to
 counts modulo 2: the groups in which two sets differ are at most as many as the members that they do not
 share, which bounds the overlap closely. What is left is verified on the sets themselves.
 
-Three rounds keep pairs few without losing a link. First, every class of a run (classes that share a prefix
-hash) is paired with the run's smallest class only; verified links join components. Second, runs that
-still hold several components put their points into an R-tree, which is joined with itself under the
-bounds; of the pairs of different components that come out, each class keeps its ``BEST`` closest. Third,
-runs for which that left pairs out and that still hold several components are joined again and
-every pair of different components is verified. A pair is left unverified only if its ends are connected
+Rounds keep pairs few without losing a link. A run (classes that share a prefix hash) of up to ``FAMILY`` classes is
+put into an R-tree of its points, which is joined with itself under the bounds; of the pairs that come out, each class
+keeps its ``BEST`` closest, and verified links join components. A larger run, which only a large family of near copies
+makes, first has all its classes paired with its smallest one; what still holds several components then goes through the
+tree like the others. Last, runs of which pairs were left out and that still hold several components are joined again
+and every pair of different components is verified. A pair is left unverified only if its ends are connected
 already, so near copies by the thousand cost a few checks each and no link between components is lost.
 Classes carry their ``FIRST`` smallest open runs, so that a pair seen to share an earlier run is left to that run.
 
@@ -49,10 +49,14 @@ from .common import materialize, rows_of, small_table, unused
 from .components import components
 
 WORDS, NUM, DEN = 5, 3, 4
-SKETCH = 22
+#: The sketch of frequencies has a counter for about so many 5-grams, and at least and at most 2 ** this many.
+PER_COUNTER, SKETCH_BITS = 32, (14, 24)
 PASS = 400_000
-BLOOM_BITS = 23
+#: A filter of ids has so many bits for each, and at most 2 ** this many (32 MB); beyond it ids are joined.
+PER_ID, BLOOM_BITS = 8, 28
 LEAF = 32
+#: Runs of more classes than this are joined to their smallest class before the tree.
+FAMILY = 256
 #: Classes of one part of a run; a task holds two parts at most.
 PART_ROWS = 2048
 BEST = 2
@@ -179,27 +183,36 @@ def may_link(na, nb, apart) -> np.ndarray:
     return (NUM + DEN) * (na + nb - apart) >= 2 * NUM * (na + nb)
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
+def links(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * shared >= NUM * (len(a) + len(b) - shared)
+    return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def frequency_levels(texts: DataFrame) -> np.ndarray:
-    """A level for each of 2 ** SKETCH counters: 0 for the usual, more for each doubling beyond what chance gives."""
-    size, blocks = 1 << SKETCH, 64
+def sketch_bits(grams: float) -> int:
+    """Bits of the sketch for so many 5-grams."""
+    return min(max(int(math.log2(max(1.0, grams / PER_COUNTER))), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
+def frequency_levels(rows: DataFrame, bits: int, hashes=lambda b: shingle_sets(b.column(0).to_pylist())) -> np.ndarray:
+    """A level for each of 2 ** bits counters: 0 for the usual, more for each doubling beyond what chance gives.
+
+    ``hashes`` makes the sets of hashes of a batch of ``rows``; a hash counts by its leading bits.
+    """
+    size, blocks = 1 << bits, 64
+    shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
         for b in batches:
             held, n = [], 0
-            for s in shingle_sets(b.column("text").to_pylist()):
+            for s in hashes(b):
                 held.append(s)
                 n += len(s)
                 if n > 500_000:
-                    counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=size).astype(np.uint32)
+                    np.add.at(counts, (np.concatenate(held) >> shift).astype(np.int64), np.uint32(1))
                     held, n = [], 0
             if held:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=size).astype(np.uint32)
+                np.add.at(counts, (np.concatenate(held) >> shift).astype(np.int64), np.uint32(1))
         if counts.any():
             parts = counts.reshape(blocks, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["block", "counts"])
@@ -213,7 +226,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["block", "counts"])
 
-    sketch = texts.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    sketch = rows.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
     found = {r["block"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint64) for r in sketch.collect()}
     if not found:
         return np.zeros(size, np.uint8)
@@ -230,6 +243,7 @@ def document_sets(docs: DataFrame, levels) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
+        shift = np.uint64(65 - len(level).bit_length())
         for b in rows_of(batches, 1024):
             n, sig, twin, prefix, usual, counts, parity = [], [], [], [], [], [], []
             for h in shingle_sets(b.column("text").to_pylist()):
@@ -237,7 +251,7 @@ def document_sets(docs: DataFrame, levels) -> DataFrame:
                 sig.append(signature(h))
                 twin.append(second_signature(h))
                 if len(h):
-                    of = level[(h >> np.uint64(64 - SKETCH)).astype(np.int64)]
+                    of = level[(h >> shift).astype(np.int64)]
                     order = np.argsort(of, kind="stable")[: len(h) - -(-NUM * len(h) // DEN) + 1]
                     prefix.append(h[order].view(np.int64))
                     usual.append(int((of[order] == 0).sum()))
@@ -452,24 +466,29 @@ def closest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, best: int) -> np.nd
     return keep
 
 
-def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
-    """a, b, cut: pairs of different components out of runs that hold several, without pairs with the run's
-    pivot, which the first round had. With ``best``, only the closest of each class, and a row with the
-    run's hash in a and b and ``cut`` set for each run of which pairs were left out.
+def tree_finder(table: pa.Table, label: np.ndarray, earlier: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``tree_pairs`` of a table with sig, n, counts, parity."""
+    return tree_pairs(table.column("sig").to_numpy(), table.column("n").to_numpy(), label, table.column("counts").to_pylist(), table.column("parity").to_pylist(), earlier, second)
+
+
+def unresolved_pairs(runs: DataFrame, labels: DataFrame | None, classes: DataFrame, best: int | None, find=tree_finder, starred: bool = True) -> DataFrame:
+    """a, b, cut: pairs of different components out of runs that hold several, as ``find`` makes them from the columns of
+    ``classes``; if ``starred``, without pairs with the run's pivot, which were tried before. Without ``labels`` every class is a
+    component. With ``best``, only the closest of each class, and a row with the run's hash in a and b and ``cut`` set for
+    each run of which pairs were left out.
 
     A run of more than ``PART_ROWS`` classes is split into parts by a hash, and every pair of parts is a unit of
     its own, so a group of near copies of any size is spread over tasks that hold two parts each.
     """
     label = F.coalesce("label", "sig").alias("label")
-    labelled = runs.join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("h", "sig", "pivot", label)
-    open_runs = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).filter("lo < hi and k > 2").select("h")
-    # a run is known by its members, so runs of one and the same set of classes are joined once
-    rows = labelled.join(open_runs, "h")
-    same = rows.groupBy("h").agg(F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("of"), F.count("*").alias("k"))
-    once = same.groupBy("of", "k").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("k") / PART_ROWS).alias("parts"))
-    rows = rows.join(once, "h")
+    labelled = runs.select("h", "sig", "pivot", F.col("sig").alias("label")) if labels is None else runs.join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("h", "sig", "pivot", label)
+    # a run is known by its members (their number and two sums of hashes), so runs of one and the same set of classes are joined once
+    sums = [F.sum(F.xxhash64(F.lit(i), "sig").cast("decimal(38,0)")).alias(f"of{i}") for i in (0, 1)]
+    same = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"), *sums).filter(f"lo < hi and k > {2 if starred else 1}")
+    once = same.groupBy("of0", "of1", "k").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("k") / PART_ROWS).alias("parts"))
+    rows = labelled.join(once, "h")
     low = rows.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set("h")), 1, FIRST).alias("low"))
-    rows = rows.join(low.join(classes.select("sig", "n", "counts", "parity"), "sig"), "sig")
+    rows = rows.join(low.join(classes, "sig"), "sig")
     part = F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part")
     with_part = rows.select("*", part, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
     units = with_part.withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
@@ -488,9 +507,8 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
             second = (part == table.column("y")[0].as_py()) & (table.column("x")[0].as_py() < part)
             if second.all() or (table.column("x")[0].as_py() < table.column("y")[0].as_py() and not second.any()):
                 return
-            found = tree_pairs(sig, table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("counts").to_pylist(), table.column("parity").to_pylist(), earlier, second)
-            for i, j, apart in found:
-                new = (sig[i] != pivot) & (sig[j] != pivot)
+            for i, j, apart in find(table, table.column("label").to_numpy(), earlier, second):
+                new = (sig[i] != pivot) & (sig[j] != pivot) if starred else np.ones(len(i), bool)
                 out.append((i[new], j[new], apart[new]))
                 if sum(len(x) for x, _, _ in out) > 1_000_000:
                     i, j, apart = (np.concatenate(c) for c in zip(*out))
@@ -525,19 +543,19 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame, classes: DataFrame, bes
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    units = units.select("h", "x", "y", "part", "sig", "pivot", "label", "n", "counts", "parity", "low")
+    units = units.select("h", "x", "y", "part", "pivot", "label", "low", *classes.columns)
     return units.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(run, "a long, b long, cut boolean").distinct()
 
 
-def _bloom(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit set of fixed size that holds all ids; it only spares work and lets no id be missed."""
-    size = 1 << BLOOM_BITS
+def _bloom(ids: DataFrame, column: str, size: int) -> np.ndarray:
+    """A set of ``size`` bits, packed, that holds all ids; it only spares work and lets no id be missed."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(size, bool)
+        on = np.zeros(size // 8, np.uint8)
         for b in batches:
-            on[_bits(b.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(on).tobytes(), 1)], pa.binary())], names=["on"])
+            at = _bits(b.column(0).to_numpy(), size)
+            np.bitwise_or.at(on, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(on.tobytes(), 1)], pa.binary())], names=["on"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(size // 8, np.uint8)
@@ -547,30 +565,38 @@ def _bloom(ids: DataFrame, column: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(on.tobytes(), 1)], pa.binary())], names=["on"])
 
     parts = ids.select(column).mapInArrow(bits, "on binary").repartition(8).mapInArrow(union, "on binary").coalesce(1).mapInArrow(union, "on binary").collect()
-    return np.unpackbits(np.frombuffer(zlib.decompress(parts[0]["on"]), np.uint8)).astype(bool) if parts else np.zeros(size, bool)
+    return np.frombuffer(zlib.decompress(parts[0]["on"]), np.uint8) if parts else np.zeros(size // 8, np.uint8)
+
 
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
 
+def holds(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bits(ids, len(bloom) * 8)
+    return (bloom[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, apart: dict[int, int]) -> DataFrame:
-    """The pairs whose sets reach the threshold. Sets are made again, from one text of each class in a pair."""
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, apart: dict[int, int], num: int = NUM, den: int = DEN) -> DataFrame:
+    """The pairs whose sets reach num / den. Sets are made again, from one text of each class in a pair."""
     wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = materialize(wanted.join(classes.select("sig", "one"), "sig"), "jaccard-wanted")
-    bloom = docs.sparkSession.sparkContext.broadcast(np.packbits(_bloom(wanted, "one")))
+    size = 1 << max(16, (PER_ID * wanted.count()).bit_length())
+    small = size <= 1 << BLOOM_BITS
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, "one", size)) if small else None
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(bloom.value).astype(bool)
         for b in rows_of(batches, 1024):
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            b = b.take(pa.array(np.flatnonzero(on[_bits(ids)])))
+            if small:
+                b = b.take(pa.array(np.flatnonzero(holds(bloom.value, b.column("doc_id").to_numpy(zero_copy_only=False)))))
             made = list(shingle_sets(b.column("text").to_pylist()))
             sig = [signature(h) for h in made]
             twin = [apart.get(s) and second_signature(h) for s, h in zip(sig, made)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.int64()), pa.array(twin, pa.int64()), pa.array([h.tobytes() for h in made], pa.binary())], names=["one", "sig", "twin", "members"])
 
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text")
+    if not small:
+        named = named.join(wanted.select(F.col("one").alias("doc_id")).distinct(), "doc_id", "left_semi")
     made = named.mapInArrow(sets, "one long, sig long, twin long, members binary")
     if apart:
         listed = F.broadcast(small_table(docs.sparkSession, [{"sig": s, "kept": t} for s, t in apart.items()], "sig long, kept long"))
@@ -581,18 +607,64 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, apart: dict[
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 256):
-            keep = pa.array([links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("ma"), b.column("mb"))], pa.bool_())
+            keep = pa.array([links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(b.column("ma"), b.column("mb"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     side = lambda x: made.select(F.col("sig").alias(x), F.col("members").alias(f"m{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long")
 
 
+def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check) -> DataFrame:
+    """v, label of the classes that links join. ``find`` makes pairs inside a run, ``bounded`` drops star pairs (a, b) that
+    cannot link, ``check`` keeps those that do.
+    """
+    sizes = runs.groupBy("h").count()
+    large = materialize(sizes.filter(F.col("count") > FAMILY).select("h"), "jaccard-large")
+    some_large = not large.isEmpty()
+    small = runs.join(large, "h", "left_anti") if some_large else runs
+    big = materialize(runs.join(large, "h", "left_semi"), "jaccard-big") if some_large else None
+    # runs, how many of each class's closest pairs are tried, whether their stars were
+    todo = [(small, BEST, False)]
+    found = None
+    if big is not None:
+        stars = big.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
+        found = materialize(check(materialize(bounded(stars), "jaccard-stars")), "jaccard-links")
+        todo.append((big, BEST, True))
+    labels = components(found) if found is not None else None
+    while todo:
+        cuts = []
+        pairs = None
+        for of, best, starred in todo:
+            rest = materialize(unresolved_pairs(of, labels, classes, best, find, starred), "jaccard-rest")
+            cut = rest.filter("cut").select(F.col("a").alias("h"))
+            if best is not None and not cut.isEmpty():
+                cuts.append((of.join(cut, "h", "left_semi"), None, starred))
+            own = rest.filter("not cut").select("a", "b")
+            pairs = own if pairs is None else pairs.unionByName(own)
+        pairs = pairs.distinct()
+        if not pairs.isEmpty():
+            new = check(pairs)
+            found = materialize(new if found is None else new.unionByName(found), "jaccard-links")
+            labels = components(found)
+        todo = cuts
+    return labels if labels is not None else runs.filter("false").select(F.col("sig").alias("v"), F.col("sig").alias("label"))
+
+
+def with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of all rows (doc_id, n, sig), from the smallest id of each class and the labels of the linked."""
+    groups = classes.select("sig", "smallest").join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("sig", "smallest", F.coalesce("label", "sig").alias("label"))
+    ids = groups.groupBy("label").agg(F.min("smallest").alias("component_id"))
+    found = groups.join(ids, "label").select("sig", "component_id")
+    linked = rows.filter("n > 0").select("doc_id", "n", "sig").join(found, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, apart = told_apart(materialize(document_sets(docs, sc.broadcast(frequency_levels(docs))), "jaccard-rows"))
+    letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, apart = told_apart(materialize(document_sets(docs, sc.broadcast(frequency_levels(docs.select("text"), sketch_bits(letters / 6)))), "jaccard-rows"))
     some = rows.filter("n > 0")
     # one row of each class: the one with the smallest id stands for it
     classes = some.groupBy("sig").agg(F.first("prefix").alias("prefix"), F.first("usual").alias("usual"))
@@ -600,25 +672,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hot = classes.filter(F.size("prefix") > F.col("usual")).select(F.explode(F.slice("prefix", F.col("usual") + 1, F.size("prefix"))).alias("h"), "sig")
     runs = materialize(shared_runs(usual).unionByName(hot_runs(hot)), "jaccard-runs")
     classes = materialize(some.groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", F.lit(0))).alias("one"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("parity").alias("parity")), "jaccard-classes")
-    stars = runs.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    first = materialize(verified(docs, classes, materialize(bounded_pairs(stars, classes), "jaccard-stars"), apart), "jaccard-links")
-    labels = components(first)
-    found = first
-    for best in (BEST, None):
-        rest = materialize(unresolved_pairs(runs, labels, classes, best), "jaccard-rest")
-        pairs = rest.filter("not cut").select("a", "b")
-        if not pairs.isEmpty():
-            found = materialize(verified(docs, classes, pairs, apart).unionByName(found), "jaccard-links")
-            labels = components(found)
-        cut = rest.filter("cut").select(F.col("a").alias("h"))
-        if cut.isEmpty():
-            break
-        runs = runs.join(cut, "h", "left_semi")
-    groups = classes.select("sig", "smallest").join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("sig", "smallest", F.coalesce("label", "sig").alias("label"))
-    ids = groups.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    found = groups.join(ids, "label").select("sig", "component_id")
-    linked = some.select("doc_id", "n", "sig").join(found, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    points = classes.select("sig", "n", "counts", "parity")
+    labels = components_of_runs(runs, points, lambda pairs: bounded_pairs(pairs, points), tree_finder, lambda pairs: verified(docs, classes, pairs, apart))
+    return with_components(rows, classes, labels)
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:

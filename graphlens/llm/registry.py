@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, divergence, jaccard_join, media, merkle, mixing, quality, sharding, topk, toxicity, url_filter
+from . import bpe, chat, divergence, jaccard_join, media, merkle, minhash, mixing, quality, sharding, topk, toxicity, url_filter
 from .common import table
 
 
@@ -62,9 +62,13 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE, "op11_merkle": merkle.oracle(), "op12_divergence": divergence.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_topk": topk.ORACLE, "op11_merkle": merkle.oracle(), "op12_divergence": divergence.ORACLE, "op13_minhash": minhash.ORACLE}

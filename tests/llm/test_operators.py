@@ -239,10 +239,11 @@ def test_sets_that_share_a_signature_are_told_apart(spark):
     assert jaccard_join.signature(h) != jaccard_join.second_signature(h) and jaccard_join.second_signature(h) != jaccard_join.second_signature(h[1:])
 
 
-@pytest.mark.parametrize("part_rows", [2048, 16])
-def test_jaccard_join_on_chains_of_near_copies(spark, monkeypatch, part_rows):
-    """Copies at many distances, so that links, near misses and several rounds occur; in whole runs and in parts."""
+@pytest.mark.parametrize("part_rows, family", [(2048, 256), (16, 4096), (16, 8), (2048, 8)])
+def test_jaccard_join_on_chains_of_near_copies(spark, monkeypatch, part_rows, family):
+    """Copies at many distances, so that links, near misses and several rounds occur; in whole runs and in parts, with stars or without."""
     monkeypatch.setattr(jaccard_join, "PART_ROWS", part_rows)
+    monkeypatch.setattr(jaccard_join, "FAMILY", family)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     data = []
@@ -255,6 +256,25 @@ def test_jaccard_join_on_chains_of_near_copies(spark, monkeypatch, part_rows):
     assert sorted(((False, r["doc_id"]), r["n_shingles"], r["component_id"]) for r in out) == brute_components(data)
 
 
+def test_links_outside_large_families_come_from_the_tree(docs, rows, monkeypatch):
+    """No star is drawn there: all pairs that are verified come out of R-trees."""
+    monkeypatch.setattr(jaccard_join, "bounded_pairs", None)
+    out = jaccard_join.near_duplicates(docs).collect()
+    assert sum(r["component_id"] != r["doc_id"] for r in out) > 40
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in out) == brute_components(rows)
+
+
+def test_filters_of_ids_hold_all_of_them(spark, monkeypatch):
+    ids = np.array([0, -5, 2**62, 7, 8, 9], np.int64)
+    bloom = jaccard_join._bloom(spark.createDataFrame([(int(i),) for i in ids], "one long"), "one", 1 << 16)
+    assert jaccard_join.holds(bloom, ids).all() and jaccard_join.holds(bloom, np.arange(100, 10_000)).sum() < 20
+    data = [(i, f"t{i % 9} " + "common words of all texts", "en", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame(data, DOCS)
+    want = sorted(map(str, jaccard_join.near_duplicates(docs).collect()))
+    monkeypatch.setattr(jaccard_join, "BLOOM_BITS", 4)
+    assert sorted(map(str, jaccard_join.near_duplicates(docs).collect())) == want
+
+
 def test_bounds_never_drop_a_link():
     rng = np.random.default_rng(0)
     for n in (1, 3, 20, 300, 3000):
