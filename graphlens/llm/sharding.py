@@ -7,13 +7,14 @@ All nodes of a level are cut together. Quantiles come from weighted histograms t
 the wanted weight until what is left in the bin is within ``TOLERANCE`` of a shard; the driver sees
 at most ``BINS`` sums per node. Points equal in the dimension are told apart by a hash of their text.
 
-A group heavier than 1/``PARTS`` of a shard, in bytes or in rows, is dealt by id into chunks below
-that, each a point of its own; at most 2 * ``PARTS`` * shards groups can be that heavy, so their list is
-broadcast. Lighter groups stay together.
+A group heavier than 1/``PARTS`` of a shard, in bytes or in rows, is dealt row by row into chunks below
+that, each a point of its own, so rows that agree in every column are split too; at most 2 * ``PARTS`` * shards groups
+can be that heavy, so their list is broadcast. Lighter groups stay together. Which row of a heavy group goes to which
+chunk depends on where it lies in the input.
 
 Defined results: a null text counts as empty; null ids, sources and languages are ordinary values;
 repeated rows count each; an empty table gives an empty table; extra columns are ignored. A shard may
-stay empty where the weight cannot be split further.
+stay empty only where there are fewer chunks than shards, or one row outweighs a shard.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _points(narrow: DataFrame, shards: int, total: int, rows: int) -> tuple[Data
         .filter((F.col("r") > 1) & ((F.col("b") > most_bytes) | (F.col("r") > most_rows)))
         .select("gkey", F.least("r", F.ceil(F.greatest(F.col("b") / most_bytes, F.col("r") / most_rows))).alias("chunks"))
     )
-    salt = F.pmod(F.xxhash64("doc_id", "source", "lang"), F.coalesce("chunks", F.lit(1)))
+    salt = F.pmod(F.xxhash64("doc_id", "source", "lang", "row"), F.coalesce("chunks", F.lit(1)))
     chunked = narrow.join(F.broadcast(heavy), "gkey", "left").withColumn("chunk", salt).drop("chunks")
     points = chunked.groupBy("gkey", "chunk").agg(
         F.sum("size").alias("w"),
@@ -116,6 +117,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text, F.octet_length(text)).alias("gkey"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
@@ -137,16 +139,18 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         to = F.broadcast(small_table(spark, splits, "node long, dim int, cut long, left long, right long"))
         side = F.when(F.get(F.array(*DIMENSIONS), F.col("dim")) <= F.col("cut"), F.col("left")).otherwise(F.col("right"))
         at = at.join(to, "node", "left").withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(side)).drop("dim", "cut", "left", "right")
+        # written, so that a level reads the one before and not all of them
+        at = materialize(at, "shard-level")
     leaf = F.broadcast(small_table(spark, [{"node": n, "shard": first} for n, (first, _) in nodes.items()], "node long, shard int"))
     leaves = at.join(leaf, "node").select("gkey", "chunk", "shard")
     buckets = max(1, -(-rows // (shards * SLOT_ROWS)))
     placed = materialize(
-        chunked.join(leaves, ["gkey", "chunk"]).select("doc_id", "size", "text_crc32", "gkey", "shard", F.pmod(F.xxhash64("doc_id", "gkey"), F.lit(buckets)).alias("bucket")),
+        chunked.join(leaves, ["gkey", "chunk"]).select("doc_id", "size", "text_crc32", "gkey", "row", "shard", F.pmod(F.xxhash64("doc_id", "gkey", "row"), F.lit(buckets)).alias("bucket")),
         "shard-placed",
     )
     starts = placed.groupBy("shard", "bucket").count()
     starts = starts.select("shard", "bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("start"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "gkey")
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "gkey", "row")
     return (
         placed.withColumn("at", F.row_number().over(within) - 1)
         .join(starts, ["shard", "bucket"])

@@ -77,6 +77,16 @@ def test_sharding_is_even_and_splits_hot_groups(spark):
     assert len(loads) == 24 and max(loads) < 1.06 * np.mean(loads) and min(loads) > 0.94 * np.mean(loads)
 
 
+@pytest.mark.parametrize("others", [0, 1200])
+def test_sharding_splits_rows_that_agree_in_all_columns(spark, others):
+    rng = random.Random(4)
+    for same in ((None, None, None, None, None), (7, "equal " * 6, "en", "s", 1)):
+        data = [same] * 1200 + [(i, words(rng, rng.randrange(1, 4)), "en", "s", 0) for i in range(others)]
+        out = sharding.shard(spark.createDataFrame(data, DOCS).repartition(4), 24).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+        loads = [r["b"] for r in out]
+        assert len(out) == 24 and max(loads) < 1.2 * np.mean(loads) and min(loads) > 0.8 * np.mean(loads) and all(r["last"] == r["n"] - 1 for r in out)
+
+
 def plain_tree(points, shards):
     """(gkey, chunk) -> shard by a K-d tree in plain recursion, each node sorted and cut where its weight is reached."""
 
@@ -108,7 +118,7 @@ def test_sharding_against_a_plain_tree(spark, monkeypatch):
     docs = spark.createDataFrame(data, DOCS)
     shards = 6
     text = F.coalesce("text", F.lit(""))
-    narrow = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 8).cast("long").alias("size"), F.xxhash64(text, F.octet_length(text)).alias("gkey"))
+    narrow = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 8).cast("long").alias("size"), F.xxhash64(text, F.octet_length(text)).alias("gkey"), F.monotonically_increasing_id().alias("row"))
     rows, total = narrow.agg(F.count("*"), F.sum("size")).first()
     chunked, points = sharding._points(narrow, shards, total, rows)
     got = [r.asDict() | {("gkey", "chunk"): (r["gkey"], r["chunk"])} for r in sharding._keyed(points).collect()]
