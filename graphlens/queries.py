@@ -644,6 +644,9 @@ def runtime_ms(spark, sf):
     return s.groupBy("measure").agg(F.avg("ms").alias("mean_ms"), F.stddev_samp("ms").alias("sd_ms"))
 
 
+from . import frame_queries  # noqa: E402, F401  registers its queries
+
+
 def queries():
     return dict(QUERIES)
 
