@@ -34,7 +34,7 @@ class Protocol:
 
 
 #: The protocol on the 25-node populations that the tests and queries derive from the trade tables.
-SMALL = Protocol(nodes=25, edges=60, grid=12, replicates=3, eta_range=(-3.0, 2.0), gamma_range=(0.0, 1.0), noise_levels=(1, 2, 5, 10, 20, 30), noise_repeats=5, noise_repeats_slow=3, slow_window=2, trajectories=20, steps=12, best_cells=(30, 10), hard_cases=20)
+SMALL = Protocol(nodes=25, edges=60, grid=12, replicates=3, eta_range=(-3.0, 2.0), gamma_range=(0.0, 1.0), noise_levels=(1, 2, 5, 10, 20, 40), noise_repeats=5, noise_repeats_slow=3, slow_window=2, trajectories=20, steps=12, best_cells=(30, 10), hard_cases=20)
 
 CRITERIA = ("agreement", "plausibility", "efficiency", "sensitivity", "accuracy")
 # Fixed values of the published benchmark: key, criterion, label, direction (+1 higher is better, -1 lower, 0 neither).

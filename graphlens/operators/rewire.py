@@ -1,51 +1,16 @@
-"""Degree-preserving rewiring by hashed swaps, as a DataFrame plan.
+"""Degree-preserving rewiring by double edge swaps.
 
-For a seed, edges are ordered by an md5 of seed and ends; neighbours in that order, (1, 2), (3, 4), up to s pairs, propose to
-swap ends. A proposal stands if its four ends differ, its new edges are not in the graph and nobody else
-proposes them. Every degree is kept. ``swap_draws`` goes further from the graph: one task row makes one draw, swap
-by swap, from a generator seeded by the draw alone, so a lost task gives the same draw again.
+A draw makes its swaps one after another; which edges the k-th attempt takes comes from an md5 of seed, draw and k, so a draw
+depends on its number alone: a lost task gives the same draw again, and SQL can repeat it. One task row makes one draw of the
+one reference; draws are spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-
-def rewire(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """draw, s, u, v for each row of ``seeds`` (draw, s) applied to one graph (u, v)."""
-    order = Window.partitionBy("draw").orderBy(F.md5(F.concat_ws(":", "draw", "u", "v").cast("binary")), "u", "v")
-    dealt = seeds.join(F.broadcast(edges)).withColumn("at", F.row_number().over(order) - 1).withColumn("pair", F.floor(F.col("at") / 2))
-    tried = dealt.filter(F.col("pair") < F.col("s"))
-    sides = tried.groupBy("draw", "s", "pair").agg(F.min(F.struct("at", "u", "v")).alias("x"), F.max(F.struct("at", "u", "v")).alias("y"), F.count("*").alias("k")).filter("k = 2")
-    a, b, c, d = (F.col(n) for n in ("x.u", "x.v", "y.u", "y.v"))
-    apart = (a != c) & (a != d) & (b != c) & (b != d)
-    made = sides.filter(apart).select("draw", "s", "pair", F.explode(F.array(F.struct(F.least(a, d).alias("u"), F.greatest(a, d).alias("v")), F.struct(F.least(c, b).alias("u"), F.greatest(c, b).alias("v")))).alias("e")).select("draw", "s", "pair", "e.u", "e.v")
-    old = F.broadcast(edges.withColumn("old", F.lit(1)))
-    fresh = made.join(old, ["u", "v"], "left").withColumn("claims", F.count("*").over(Window.partitionBy("draw", "u", "v")))
-    good = fresh.groupBy("draw", "pair").agg((F.count_if(F.col("old").isNull() & (F.col("claims") == 1)) == 2).alias("ok")).filter("ok").select("draw", "pair", F.lit(1).alias("swapped"))
-    kept = dealt.join(good, ["draw", "pair"], "left").filter("swapped is null or pair >= s").select("draw", "s", "u", "v")
-    return kept.unionByName(made.join(good, ["draw", "pair"], "left_semi").select("draw", "s", "u", "v"))
-
-
-def rewire_connected(edges: DataFrame, seeds: DataFrame, nodes: int) -> DataFrame:
-    """As ``rewire``, but a draw that falls apart keeps the original graph."""
-    import numpy as np
-    import pyarrow as pa
+import hashlib
 
-    from ..functions.kernels import paths
-    from .scoring import matrix, packed
-
-    swapped = rewire(edges, seeds)
-
-    def whole(batches):
-        for b in batches:
-            ok = [bool(np.isfinite(paths(matrix(c, nodes))[0]).all()) for c in b.column("code").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("draw"), pa.array(ok, pa.bool_())], names=["draw", "connected"])
-
-    good = packed(swapped, "draw").mapInArrow(whole, "draw long, connected boolean")
-    original = seeds.join(good.filter("not connected"), "draw", "left_semi").join(F.broadcast(edges)).select("draw", "s", "u", "v")
-    return swapped.join(good.filter("connected"), "draw", "left_semi").unionByName(original)
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def lost_edges(draws: DataFrame, edges: DataFrame, of: int) -> DataFrame:
@@ -70,28 +35,33 @@ def _joined(edges: set[tuple[int, int]], nodes: int) -> bool:
     return parts == 1
 
 
-def swap_edges(edges: list[tuple[int, int]], swaps: int, tries: int, rng, nodes: int | None = None) -> set[tuple[int, int]]:
+def attempt(seed: int, draw: int, k: int, edges: int) -> tuple[int, int, bool]:
+    """The two edges of an attempt and whether the second is turned round: three numbers of one md5."""
+    h = hashlib.md5(f"{seed}:{draw}:{k}".encode()).hexdigest()
+    return int(h[:8], 16) % edges, int(h[8:16], 16) % edges, int(h[16], 16) % 2 == 1
+
+
+def swap_edges(edges: list[tuple[int, int]], swaps: int, tries: int, seed: int, draw: int, nodes: int | None = None) -> set[tuple[int, int]]:
     """The graph after ``swaps`` double edge swaps, or as many as ``tries`` attempts give. With ``nodes`` a swap that
     splits the graph is taken back.
     """
     at, held, done = sorted(edges), set(edges), 0
     if len(at) < 2:
         return held
-    for left in range(tries, 0, -256):
-        chosen = rng.integers(0, len(at), (min(left, 256), 2))
-        for (i, j), turn in zip(chosen.tolist(), rng.random(len(chosen)) < 0.5):
-            if done == swaps:
-                return held
-            (a, b), (c, d) = at[i], at[j][::-1] if turn else at[j]
-            x, y = (min(a, d), max(a, d)), (min(c, b), max(c, b))
-            if len({a, b, c, d}) < 4 or x in held or y in held:
-                continue
-            old, new = {at[i], at[j]}, {x, y}
-            held = held - old | new
-            if nodes and not _joined(held, nodes):
-                held = held - new | old
-                continue
-            at[i], at[j], done = x, y, done + 1
+    for k in range(tries):
+        if done == swaps:
+            break
+        i, j, turn = attempt(seed, draw, k, len(at))
+        (a, b), (c, d) = at[i], at[j][::-1] if turn else at[j]
+        x, y = (min(a, d), max(a, d)), (min(c, b), max(c, b))
+        if len({a, b, c, d}) < 4 or x in held or y in held:
+            continue
+        old, new = {at[i], at[j]}, {x, y}
+        held = held - old | new
+        if nodes and not _joined(held, nodes):
+            held = held - new | old
+            continue
+        at[i], at[j], done = x, y, done + 1
     return held
 
 
@@ -99,7 +69,6 @@ def swap_draws(reference: DataFrame, draws: DataFrame, tries: int, seed: int, no
     """draw, s, code, lost for each row of ``draws`` (draw, s): the reference after s swaps within s * ``tries`` attempts,
     as edge codes, and how many of its edges are gone. With ``nodes`` the graph stays connected.
     """
-    import numpy as np
     import pyarrow as pa
 
     from .scoring import packed
@@ -109,7 +78,7 @@ def swap_draws(reference: DataFrame, draws: DataFrame, tries: int, seed: int, no
             out = []
             for draw, s, code in zip(*(b.column(c).to_pylist() for c in ("draw", "s", "code"))):
                 start = [(c // 65536, c % 65536) for c in code]
-                end = swap_edges(start, s, s * tries, np.random.default_rng([seed, draw]), nodes)
+                end = swap_edges(start, s, s * tries, seed, draw, nodes)
                 out.append((draw, s, sorted(u * 65536 + v for u, v in end), len(set(start) - end)))
             columns = zip(*out) if out else [()] * 4
             types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32())
@@ -117,3 +86,8 @@ def swap_draws(reference: DataFrame, draws: DataFrame, tries: int, seed: int, no
 
     one = packed(reference.withColumn("k", F.lit(0)), "k").select("code")
     return draws.select("draw", "s").join(F.broadcast(one)).mapInArrow(run, "draw long, s int, code array<long>, lost int")
+
+
+def drawn_edges(drawn: DataFrame) -> DataFrame:
+    """draw, s, u, v of ``swap_draws``."""
+    return drawn.select("draw", "s", F.explode("code").alias("c")).select("draw", "s", F.expr("cast(c div 65536 as int)").alias("u"), (F.col("c") % 65536).cast("int").alias("v"))

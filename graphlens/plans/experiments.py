@@ -51,9 +51,10 @@ def grid_index(meta: DataFrame) -> DataFrame:
     return out.select("net_id", "i_eta", "i_gamma")
 
 
-def _best(scored: DataFrame, by: list[str]) -> DataFrame:
-    """by, e, g: the cell with the lowest mean, ties by gamma, then eta."""
-    cell = oriented(scored).groupBy(*by, "i_gamma", "i_eta").agg(F.avg("o").alias("m")).filter("m is not null")
+def _best(scored: DataFrame, by: list[str], digits: int | None = None) -> DataFrame:
+    """by, e, g: the cell with the lowest mean (to so many digits if given), ties by gamma, then eta."""
+    mean = F.avg("o") if digits is None else F.round(F.avg("o"), digits)
+    cell = oriented(scored).groupBy(*by, "i_gamma", "i_eta").agg(mean.alias("m")).filter("m is not null")
     best = cell.groupBy(*by).agg(F.min(F.struct("m", "i_gamma", "i_eta")).alias("c"))
     return best.select(*by, F.col("c.i_eta").alias("e"), F.col("c.i_gamma").alias("g"))
 
@@ -67,15 +68,16 @@ def noise_references(reference: DataFrame, protocol: Protocol) -> DataFrame:
     return drawn.select("draw", "s", (F.col("draw") % repeats).cast("int").alias("repeat"), "code", (F.col("lost") / F.lit(float(protocol.edges))).alias("eff"))
 
 
-def noise_draws(references: DataFrame, edges: DataFrame, meta: DataFrame, land: DataFrame, measures: Measures, slow: set[str], protocol: Protocol, geometry: np.ndarray | None = None) -> DataFrame:
+def noise_draws(references: DataFrame, edges: DataFrame, meta: DataFrame, land: DataFrame, measures: Measures, slow: set[str], protocol: Protocol, geometry: np.ndarray | None = None, digits: int | None = None) -> DataFrame:
     """measure, s, repeat, drift: how far, in grid steps, the best cell moves when the reference is disturbed.
 
     Measures in ``slow`` take fewer repeats and only networks near their first best cell. An optimum on the border of
     that window, unless it is the border of the grid, is looked for again everywhere up to the level
-    ``slow_full_until``, and counts as ``censored_drift`` above.
+    ``slow_full_until``, and counts as ``censored_drift`` above. Means are compared to ``digits`` if given, so that ties are alike
+    everywhere.
     """
     at = written(grid_index(meta), "grid")
-    first = written(_best(land.select("measure", "net_id", "value").join(at, "net_id"), ["measure"]).withColumnsRenamed({"e": "e0", "g": "g0"}), "first")
+    first = written(_best(land.select("measure", "net_id", "value").join(at, "net_id"), ["measure"], digits).withColumnsRenamed({"e": "e0", "g": "g0"}), "first")
     nets = written(packed(edges).select("net_id", F.col("code").alias("a")).join(at, "net_id"), "networks")
     draws = references.select("draw", "s", "repeat", F.col("code").alias("b"))
     away = F.hypot((F.col("e") - F.col("e0")).cast("double"), (F.col("g") - F.col("g0")).cast("double"))
@@ -83,7 +85,7 @@ def noise_draws(references: DataFrame, edges: DataFrame, meta: DataFrame, land:
     def best(networks: DataFrame, bounded: DataFrame, chosen: Measures) -> DataFrame:
         pairs = networks.select("net_id", "i_eta", "i_gamma", "a").join(F.broadcast(bounded))
         keys = ("draw", "s", "repeat", "i_eta", "i_gamma")
-        return _best(score(pairs, chosen, protocol.nodes, geometry, keys), ["measure", "draw", "s", "repeat"])
+        return _best(score(pairs, chosen, protocol.nodes, geometry, keys), ["measure", "draw", "s", "repeat"], digits)
 
     parts = []
     if fast := {k: f for k, f in measures.items() if k not in slow}:

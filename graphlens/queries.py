@@ -13,8 +13,9 @@ from .functions import kernels as k
 from .functions.measures import COMPONENTS, MEASURES
 from .operators import setops
 from .operators.consensus import consensus
-from .operators.rewire import lost_edges, rewire, rewire_connected
+from .operators.rewire import drawn_edges, lost_edges, swap_draws
 from .operators.scoring import against, matrix, packed, score
+from .plans import experiments as x
 from .plans import readouts as r
 from .sources import fixture as fx
 from .sources.readers import validate
@@ -436,32 +437,46 @@ def agreement(spark, sf):
     return a.select("measure", *[F.round(c, 7).alias(c) for c in ("agreement", "max_abs_r")])
 
 
-def _pairs_of(spark, sf) -> DataFrame:
-    """Targets (return flag R) with every grid network (A), by the edges that they share; both sides are bounded populations."""
-    e = _nets(spark, sf)
-    t, g = e.filter("rep = 'R'").select(F.col("net_id").alias("tidx"), F.col("eta").alias("t_eta"), F.col("gamma").alias("t_gamma"), "u", "v"), e.filter("rep = 'A'").select(F.col("net_id").alias("gidx"), F.col("eta").alias("g_eta"), F.col("gamma").alias("g_gamma"), "u", "v")
-    shared = t.join(g, ["u", "v"]).groupBy("tidx", "t_eta", "t_gamma", "gidx", "g_eta", "g_gamma").agg(F.count("*").alias("both"))
-    size = e.groupBy("net_id").agg(F.count("*").alias("m"))
-    n = shared.join(size.select(F.col("net_id").alias("tidx"), F.col("m").alias("a")), "tidx").join(size.select(F.col("net_id").alias("gidx"), F.col("m").alias("b")), "gidx")
-    return n.select(F.lit("hamming").alias("measure"), "tidx", "t_eta", "t_gamma", "gidx", "g_eta", "g_gamma", (F.col("a") + F.col("b") - 2 * F.col("both")).cast("double").alias("value"))
+SET_MEASURES = {m: MEASURES[m] for m in SETS}
 
 
-RECOVER = """,
-sz AS (SELECT net_id, count(*) AS m FROM edges GROUP BY ALL),
-pr AS (SELECT t.net_id AS tidx, t.eta AS te, t.gamma AS tg, g.net_id AS gidx, g.eta AS ge, g.gamma AS gg, count(*) AS b FROM edges t JOIN edges g ON t.u = g.u AND t.v = g.v AND t.rep = 'R' AND g.rep = 'A' GROUP BY ALL),
-di AS (SELECT pr.*, x.m + y.m - 2 * b AS d FROM pr JOIN sz x ON x.net_id = tidx JOIN sz y ON y.net_id = gidx),
-bs AS (SELECT * FROM di QUALIFY row_number() OVER (PARTITION BY tidx ORDER BY d, gidx) = 1)"""
+def _set_values(a: str, r: str, b: str) -> str:
+    """SQL for the set measures of ``m`` from the numbers of edges on both sides and of shared ones."""
+    return f"""CASE m WHEN 'frobenius' THEN sqrt(2.0 * ({a} + {r} - 2 * {b})) WHEN 'hamming' THEN ({a} + {r} - 2 * {b})::DOUBLE
+         WHEN 'jaccard' THEN 2.0::DOUBLE * {b} / (2.0::DOUBLE * ({a} + {r} - {b}) + 1e-10) ELSE 2.0::DOUBLE * {b} / ({a} + {r}) END"""
 
 
-@query("recovery", RECOVER + " SELECT 'hamming' AS measure, round(avg(sqrt(((te - ge) ** 2 + (tg - gg) ** 2)::DOUBLE)), 7) AS error, round(corr(te, ge), 7) AS r_eta FROM bs")
+_MEASURES = "(VALUES ('frobenius'), ('hamming'), ('jaccard'), ('f1')) AS t(m)"
+
+
+def _distances(spark, sf) -> DataFrame:
+    """The set measures between all targets (return flag R) and the grid (A)."""
+
+    def make():
+        e = _nets(spark, sf)
+        side = lambda rep: e.filter(F.col("rep") == rep).drop("rep")
+        return written(x.recovery_distances(x.Recovery(side("R"), side("A")), SET_MEASURES, SMALL), "distances")
+
+    return fx.kept(spark, sf, "distances", make)
+
+
+RECOVER = f""",
+sz AS (SELECT net_id, eta, gamma, rep, count(*) AS n FROM edges GROUP BY ALL),
+sh AS (SELECT t.net_id AS tidx, g.net_id AS gidx, count(*) AS b FROM edges t JOIN edges g ON t.u = g.u AND t.v = g.v AND t.rep = 'R' AND g.rep = 'A' GROUP BY ALL),
+di AS (SELECT m AS measure, t.net_id AS tidx, g.net_id AS gidx, t.eta AS te, t.gamma AS tg, g.eta AS ge, g.gamma AS gg, {_set_values('t.n', 'g.n', 'coalesce(b, 0)')} AS d
+       FROM sz t JOIN sz g ON t.rep = 'R' AND g.rep = 'A' LEFT JOIN sh ON tidx = t.net_id AND gidx = g.net_id, {_MEASURES}),
+bs AS (SELECT * FROM di QUALIFY row_number() OVER (PARTITION BY measure, tidx ORDER BY CASE WHEN measure IN ('jaccard', 'f1') THEN -d ELSE d END, gidx) = 1)"""
+
+
+@query("recovery", RECOVER + " SELECT measure, round(avg(sqrt(((te - ge) ** 2 + (tg - gg) ** 2)::DOUBLE)), 7) AS error, round(corr(te, ge), 7) AS r_eta FROM bs GROUP BY ALL")
 def recovery(spark, sf):
-    return r.recovery(_pairs_of(spark, sf)).select("measure", F.round("error", 7).alias("error"), F.round("r_eta", 7).alias("r_eta"))
+    return r.recovery(_distances(spark, sf)).select("measure", F.round("error", 7).alias("error"), F.round("r_eta", 7).alias("r_eta"))
 
 
-@query("recovery_argmin", RECOVER + " SELECT tidx, gidx, d::DOUBLE AS distance FROM bs")
+@query("recovery_argmin", RECOVER + " SELECT measure, tidx, gidx, round(d, 9) AS distance FROM bs")
 def recovery_argmin(spark, sf):
-    best = _pairs_of(spark, sf).groupBy("tidx").agg(F.min(F.struct("value", "gidx")).alias("b"))
-    return best.select("tidx", F.col("b.gidx").alias("gidx"), F.col("b.value").alias("distance"))
+    best = r.oriented(_distances(spark, sf)).groupBy("measure", "tidx").agg(F.min(F.struct("o", "gidx", "value")).alias("b"))
+    return best.select("measure", "tidx", F.col("b.gidx").alias("gidx"), F.round("b.value", 9).alias("distance"))
 
 
 def _scores(spark, sf):
@@ -497,36 +512,48 @@ def compare_rank(spark, sf):
     return values.join(ranked, ["readout", "measure"], "left")
 
 
-def _draws(spark, sf):
-    seeds = spark.range(len(SMALL.noise_levels) * 5).select(F.col("id").alias("draw"), F.get(F.array(*map(F.lit, SMALL.noise_levels)), (F.col("id") % len(SMALL.noise_levels)).cast("int")).alias("s"))
-    return fx.kept(spark, sf, "draws", lambda: rewire(fx.reference(spark, sf), seeds))
+def _swaps_sql(name: str, seeds: str, tries: int, seed: int, whole: bool = False) -> str:
+    """{name}(draw, s, lost) and {name}_e(draw, s, u, v): the reference after the swaps of ``swap_draws``, from a query of seeds (draw, s)."""
+    hex_number = lambda at, n: f"('0x' || substr(md5('{seed}:' || draw || ':' || k), {at}, {n}))::BIGINT"
+    reach = "list_reduce(range(25), lambda r, p: list_reduce(nat, lambda q, e: CASE WHEN ((q >> (e // 65536)) | (q >> (e % 65536))) & 1 = 1 THEN q | (1::BIGINT << (e // 65536)) | (1::BIGINT << (e % 65536)) ELSE q END, r), 1::BIGINT)"
+    joined = f"AND {reach} = {2**N - 1}" if whole else ""
+    return f""",
+{name}_k(draw, s, k, done, es) AS (
+  SELECT draw, s, 0, 0, (SELECT list(u * 65536::BIGINT + v ORDER BY u, v) FROM ref) FROM ({seeds}) z
+  UNION ALL
+  SELECT draw, s, k + 1, done + ok::INT, CASE WHEN ok THEN nat ELSE es END FROM (
+    SELECT *, may {joined} AS ok FROM (
+      SELECT *, len(list_distinct([a, b, c, d])) = 4 AND NOT list_contains(es, x) AND NOT list_contains(es, y) AS may, list_transform(es, lambda e, n: CASE n WHEN i THEN x WHEN j THEN y ELSE e END) AS nat FROM (
+        SELECT *, least(a, d) * 65536 + greatest(a, d) AS x, least(c, b) * 65536 + greatest(c, b) AS y FROM (
+          SELECT *, es[i] // 65536 AS a, es[i] % 65536 AS b, CASE WHEN turn THEN es[j] % 65536 ELSE es[j] // 65536 END AS c, CASE WHEN turn THEN es[j] // 65536 ELSE es[j] % 65536 END AS d FROM (
+            SELECT *, {hex_number(1, 8)} % len(es) + 1 AS i, {hex_number(9, 8)} % len(es) + 1 AS j, {hex_number(17, 1)} % 2 = 1 AS turn FROM {name}_k WHERE done < s AND k < {tries} * s) z) z) z) z) z),
+{name}_e AS MATERIALIZED (SELECT draw, s, (c // 65536)::INT AS u, (c % 65536)::INT AS v FROM (SELECT draw, s, unnest(es) AS c FROM {name}_k QUALIFY k = max(k) OVER (PARTITION BY draw)) z),
+{name} AS MATERIALIZED (SELECT draw, s, 60 - count(ref.u) AS lost FROM {name}_e LEFT JOIN ref USING (u, v) GROUP BY ALL)"""
+
+
+#: Trajectories and draws as the protocol numbers them.
+_STEPS = SMALL.steps + 1
+_LEVELS = ", ".join(map(str, SMALL.noise_levels))
+DRAWN = _swaps_sql("sw", f"SELECT i AS draw, (i % {_STEPS} * {SMALL.edges} // {SMALL.steps})::INT AS s FROM range({SMALL.trajectories * _STEPS}) t(i)", SMALL.swap_tries, SMALL.degeneration_seed)
+NOISY = _swaps_sql("ns", f"SELECT i AS draw, [{_LEVELS}][(i // {SMALL.noise_repeats} + 1)::INT] AS s FROM range({len(SMALL.noise_levels) * SMALL.noise_repeats}) t(i)", 1, SMALL.noise_seed, True)
 
 
-def _swaps_sql(seeds: str) -> str:
-    """drawn(draw, s, u, v): the reference after the swaps that ``rewire`` makes, from seeds(draw, s)."""
-    return f""",
-seeds AS ({seeds}),
-dealt AS (SELECT draw, s, u, v, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || ':' || u || ':' || v), u, v) - 1 AS at FROM seeds CROSS JOIN ref),
-sides AS (SELECT x.draw, x.s, x.at // 2 AS pair, x.u AS a, x.v AS b, y.u AS c, y.v AS d FROM dealt x JOIN dealt y ON y.draw = x.draw AND y.at = x.at + 1 WHERE x.at % 2 = 0 AND x.at // 2 < x.s),
-made AS (SELECT draw, s, pair, least(a, d) AS u, greatest(a, d) AS v FROM sides WHERE len(list_distinct([a, b, c, d])) = 4
-         UNION ALL SELECT draw, s, pair, least(c, b), greatest(c, b) FROM sides WHERE len(list_distinct([a, b, c, d])) = 4),
-fresh AS (SELECT made.*, ref.u IS NULL AS new, count(*) OVER (PARTITION BY draw, u, v) AS claims FROM made LEFT JOIN ref USING (u, v)),
-good AS (SELECT draw, pair FROM fresh GROUP BY ALL HAVING count(*) FILTER (new AND claims = 1) = 2),
-drawn AS MATERIALIZED (SELECT dealt.draw, s, u, v FROM dealt LEFT JOIN good ON good.draw = dealt.draw AND good.pair = dealt.at // 2 WHERE good.draw IS NULL OR dealt.at // 2 >= s
-          UNION ALL SELECT made.draw, s, u, v FROM made JOIN good USING (draw, pair))"""
+def _draws(spark, sf) -> DataFrame:
+    """draw, s, u, v of the reference on its trajectories."""
+    seeds = spark.range(SMALL.trajectories * _STEPS).select(F.col("id").alias("draw"), F.floor(F.col("id") % _STEPS * SMALL.edges / SMALL.steps).cast("int").alias("s"))
+    return fx.kept(spark, sf, "draws", lambda: drawn_edges(swap_draws(fx.reference(spark, sf), seeds, SMALL.swap_tries, SMALL.degeneration_seed)))
 
 
-_LEVELS = ", ".join(map(str, SMALL.noise_levels))
-DRAWN = _swaps_sql(f"SELECT i AS draw, [{_LEVELS}][(i % {len(SMALL.noise_levels)} + 1)::INT] AS s FROM range({5 * len(SMALL.noise_levels)}) t(i)")
-EFF = ", eff AS (SELECT draw, s, (60 - count(ref.u)) / 60.0::DOUBLE AS eff FROM drawn LEFT JOIN ref USING (u, v) GROUP BY ALL)"
+def _noisy(spark, sf) -> DataFrame:
+    return fx.kept(spark, sf, "noisy", lambda: x.noise_references(fx.reference(spark, sf), SMALL))
 
 
-@query("rewire_edges", DRAWN + " SELECT draw, s::INT AS s, u, v FROM drawn")
+@query("rewire_edges", DRAWN + " SELECT draw, s::INT AS s, u, v FROM sw_e", True)
 def rewire_edges(spark, sf):
     return _draws(spark, sf)
 
 
-@query("rewire_degree_invariant", """, i AS (SELECT u AS i FROM ref UNION ALL SELECT v FROM ref), d AS (SELECT i, count(*) AS degree FROM i GROUP BY ALL) SELECT draw, i, degree FROM d, range(30) t(draw)""")
+@query("rewire_degree_invariant", """, i AS (SELECT u AS i FROM ref UNION ALL SELECT v FROM ref), d AS (SELECT i, count(*) AS degree FROM i GROUP BY ALL) SELECT draw, i, degree FROM d, range(260) t(draw)""")
 def rewire_degree_invariant(spark, sf):
     return setops.degrees(_draws(spark, sf).withColumnRenamed("draw", "net_id")).withColumnRenamed("net_id", "draw")
 
@@ -536,86 +563,64 @@ def consensus_networks(spark, sf):
     return consensus(_nets(spark, sf).filter("rep <> 'R'"), ["eta", "gamma"], SMALL.edges)
 
 
-@query("rewire_connected_edges", _swaps_sql("SELECT i AS draw, 20 AS s FROM range(6) t(i)") + """,
-twin AS (SELECT draw, u AS i, v AS j FROM drawn UNION ALL SELECT draw, v, u FROM drawn),
-reach(draw, i) AS (SELECT DISTINCT draw, 0 FROM drawn UNION SELECT reach.draw, twin.j FROM reach JOIN twin USING (draw, i)),
-whole AS (SELECT draw FROM reach GROUP BY draw HAVING count(*) = 25)
-SELECT draw, s, u, v FROM drawn SEMI JOIN whole USING (draw) UNION ALL SELECT seeds.draw, seeds.s, u, v FROM seeds ANTI JOIN whole USING (draw) CROSS JOIN ref""", True)
+@query("rewire_connected_edges", NOISY + " SELECT draw, s::INT AS s, u, v FROM ns_e", True)
 def rewire_connected_edges(spark, sf):
-    seeds = spark.range(6).select(F.col("id").alias("draw"), F.lit(20).alias("s"))
-    return rewire_connected(fx.reference(spark, sf), seeds, N)
+    """Draws whose swaps keep the reference connected, at all levels of noise."""
+    return drawn_edges(_noisy(spark, sf))
 
 
-@query("effective_degeneration", DRAWN + EFF + " SELECT draw, s::INT AS s, round(eff, 9) AS eff FROM eff")
+@query("effective_degeneration", DRAWN + " SELECT draw, s::INT AS s, round(lost / 60.0::DOUBLE, 9) AS eff FROM sw", True)
 def effective_degeneration(spark, sf):
     return lost_edges(_draws(spark, sf), fx.reference(spark, sf), SMALL.edges).withColumn("eff", F.round("eff", 9))
 
 
-DEGEN = DRAWN + """,
-dc AS (SELECT draw, s, count(*) AS a, count(ref.u) AS b FROM drawn LEFT JOIN ref USING (u, v) GROUP BY ALL),
-tr AS MATERIALIZED (SELECT draw % 5 AS process, s, m AS measure, round(CASE m WHEN 'frobenius' THEN sqrt(2.0 * (a + 60 - 2 * b)) WHEN 'hamming' THEN (a + 60 - 2 * b)::DOUBLE
-         WHEN 'jaccard' THEN 2.0::DOUBLE * b / (2.0::DOUBLE * (a + 60 - b) + 1e-10) ELSE 2.0::DOUBLE * b / (a + 60) END, 9) AS value
-       FROM dc, (VALUES ('frobenius'), ('hamming'), ('jaccard'), ('f1')) AS t(m)),
-tg AS MATERIALIZED (SELECT process, s, measure, CASE WHEN measure IN ('jaccard', 'f1') THEN 1 - g ELSE g END AS g FROM (
+DEGEN = DRAWN + f""",
+tr AS MATERIALIZED (SELECT draw // {_STEPS} AS process, draw % {_STEPS} AS step, m AS measure, {_set_values('60', '60', '(60 - lost)')} AS value FROM sw, {_MEASURES}),
+tg AS MATERIALIZED (SELECT process, step, measure, CASE WHEN measure IN ('jaccard', 'f1') THEN 1 - g ELSE g END AS g FROM (
   SELECT *, (value - min(value) OVER (PARTITION BY measure)) / (max(value) OVER (PARTITION BY measure) - min(value) OVER (PARTITION BY measure)) AS g FROM tr) z),
-st AS (SELECT measure, s, avg(p) AS y FROM (
+st AS (SELECT measure, step, avg(p) AS y FROM (
   SELECT *, (g - min(g) OVER (PARTITION BY measure, process)) / (max(g) OVER (PARTITION BY measure, process) - min(g) OVER (PARTITION BY measure, process)) AS p FROM tg) z GROUP BY ALL),
-mae AS (SELECT st.measure, round(avg(abs(st.y - h.y)), 7) AS mae FROM st JOIN st h ON h.s = st.s AND h.measure = 'hamming' GROUP BY ALL),
-cv AS (SELECT measure, round(avg(c), 7) AS cv FROM (SELECT measure, s, stddev_samp(g) / nullif(avg(g), 0) AS c FROM tg GROUP BY ALL) z GROUP BY ALL)"""
+mae AS (SELECT st.measure, round(avg(abs(st.y - h.y)), 7) AS mae FROM st JOIN st h ON h.step = st.step AND h.measure = 'hamming' GROUP BY ALL),
+cv AS (SELECT measure, round(avg(c), 7) AS cv FROM (SELECT measure, step, stddev_samp(g) / nullif(avg(g), 0) AS c FROM tg GROUP BY ALL) z GROUP BY ALL)"""
 
 
-@query("degeneration", DEGEN + " SELECT measure, mae, cv FROM mae JOIN cv USING (measure)")
+@query("degeneration", DEGEN + " SELECT measure, mae, cv FROM mae JOIN cv USING (measure)", True)
 def degeneration(spark, sf):
-    d = _draws(spark, sf).withColumnRenamed("draw", "net_id")
-    m = setops.set_measures(d, fx.reference(spark, sf), N).join(d.select("net_id", "s").distinct(), "net_id")
-    long = m.select("net_id", "s", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in SETS]).unpivot(["net_id", "s"], list(SETS), "measure", "value")
-    t = long.select("measure", (F.col("net_id") % 5).alias("process_id"), F.col("s").alias("step"), (F.col("s") / 60.0).alias("rewire_fraction"), "value")
-    return r.degeneration(fx.kept(spark, sf, "trajectories", lambda: written(t, "trajectories"))).select("measure", F.round("mae", 7).alias("mae"), F.round("cv", 7).alias("cv"))
-
-
-NOISE = LAND + DRAWN + EFF + """,
-nd AS (SELECT d.draw, d.s, e.net_id, e.eta, e.gamma, count(*) AS b FROM edges e JOIN drawn d USING (u, v) GROUP BY ALL),
-ns AS (SELECT net_id, count(*) AS a FROM edges GROUP BY ALL),
-nv AS MATERIALIZED (SELECT draw, s, eta, gamma, m AS measure, round(CASE m WHEN 'frobenius' THEN sqrt(2.0 * (a + 60 - 2 * b)) WHEN 'hamming' THEN (a + 60 - 2 * b)::DOUBLE
-         WHEN 'jaccard' THEN -2.0::DOUBLE * b / (2.0::DOUBLE * (a + 60 - b) + 1e-10) ELSE -2.0::DOUBLE * b / (a + 60) END, 9) AS o
-       FROM nd JOIN ns USING (net_id), (VALUES ('frobenius'), ('hamming'), ('jaccard'), ('f1')) AS t(m)),
-nc AS (SELECT measure, draw, s, eta, gamma, round(avg(o), 9) AS m FROM nv GROUP BY ALL),
-nb AS (SELECT measure, draw, s, eta, gamma FROM nc QUALIFY row_number() OVER (PARTITION BY measure, draw ORDER BY m, gamma, eta) = 1),
+    t = fx.kept(spark, sf, "trajectories", lambda: written(x.trajectories(fx.reference(spark, sf), SET_MEASURES, SMALL), "trajectories"))
+    return r.degeneration(t).select("measure", F.round("mae", 7).alias("mae"), F.round("cv", 7).alias("cv"))
+
+
+NOISE = LAND + NOISY + f""",
+nd AS (SELECT d.draw, d.s, e.net_id, count(*) AS b FROM edges e JOIN ns_e d USING (u, v) GROUP BY ALL),
+nn AS (SELECT net_id, eta, gamma, count(*) AS n FROM edges GROUP BY ALL),
+nv AS MATERIALIZED (SELECT draw, s, eta, gamma, m AS measure, CASE WHEN m IN ('jaccard', 'f1') THEN -1 ELSE 1 END * {_set_values('n', '60', 'coalesce(b, 0)')} AS o
+       FROM nn CROSS JOIN ns LEFT JOIN nd USING (net_id, draw, s), {_MEASURES}),
+nc AS (SELECT measure, draw, s, eta, gamma, round(avg(o), 9) AS mean FROM nv GROUP BY ALL),
+nb AS (SELECT measure, draw, s, eta, gamma FROM nc QUALIFY row_number() OVER (PARTITION BY measure, draw ORDER BY mean, gamma, eta) = 1),
 b0 AS (SELECT measure, eta AS e0, gamma AS g0 FROM cell QUALIFY row_number() OVER (PARTITION BY measure ORDER BY cell_mean, gamma, eta) = 1),
-dr AS (SELECT measure, s, draw, sqrt(((eta - e0) ** 2 + (gamma - g0) ** 2)::DOUBLE) AS drift FROM nb JOIN b0 USING (measure))"""
+dr AS (SELECT measure, s, draw % {SMALL.noise_repeats} AS repeat, sqrt(((eta - e0) ** 2 + (gamma - g0) ** 2)::DOUBLE) AS drift FROM nb JOIN b0 USING (measure))"""
 
 
 def _drifts(spark, sf) -> DataFrame:
-    """measure, s, draw, drift in grid steps (the axes are whole numbers) of the set measures' best cells under each draw."""
-    nets, drawn = _nets(spark, sf), _draws(spark, sf)
-    size = nets.groupBy("net_id").agg(F.count("*").alias("a"))
-    shared = nets.join(F.broadcast(drawn.select("draw", "s", "u", "v")), ["u", "v"]).groupBy("draw", "s", "net_id", "eta", "gamma").agg(F.count("*").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    value = {"frobenius": F.sqrt(2.0 * (a + 60 - 2 * b)), "hamming": (a + 60 - 2 * b).cast("double"), "jaccard": 2.0 * b / (2.0 * (a + 60 - b) + 1e-10), "f1": 2.0 * b / (a + 60)}
-    wide = shared.join(F.broadcast(size), "net_id").select("draw", "s", "eta", "gamma", *[F.round(value[m], 9).alias(m) for m in SETS])
-    long = r.oriented(wide.unpivot(["draw", "s", "eta", "gamma"], list(SETS), "measure", "value"))
-    best = lambda df, by: df.groupBy(*by, "eta", "gamma").agg(F.round(F.avg("o"), 9).alias("m")).groupBy(*by).agg(F.min(F.struct("m", "gamma", "eta")).alias("c"))
-    first = best(r.oriented(_land(spark, sf)), ["measure"]).select("measure", F.col("c.eta").alias("e0"), F.col("c.gamma").alias("g0"))
-    away = F.hypot((F.col("c.eta") - F.col("e0")).cast("double"), (F.col("c.gamma") - F.col("g0")).cast("double"))
-    drifts = best(long, ["measure", "draw", "s"]).join(F.broadcast(first), "measure").select("measure", "s", "draw", away.alias("drift"))
-    return fx.kept(spark, sf, "drifts", lambda: written(drifts, "drifts"))
-
-
-@query("noise_draws", NOISE + " SELECT measure, s::INT AS s, draw, round(drift, 9) AS drift FROM dr")
+    """measure, s, repeat, drift of the set measures by the protocol of noise, in grid steps."""
+    make = lambda: written(x.noise_draws(_noisy(spark, sf), _nets(spark, sf), _meta(spark, sf).drop("rep"), _land(spark, sf), SET_MEASURES, set(), SMALL, digits=9), "drifts")
+    return fx.kept(spark, sf, "drifts", make)
+
+
+@query("noise_draws", NOISE + " SELECT measure, s::BIGINT AS s, repeat::BIGINT AS repeat, round(drift, 9) AS drift FROM dr", True)
 def noise_draws(spark, sf):
     return _drifts(spark, sf).withColumn("drift", F.round("drift", 9))
 
 
 TOLERANCE = NOISE + """,
 lv AS (SELECT measure, s, median(drift) AS d FROM dr GROUP BY ALL),
-tol AS (SELECT measure, round(coalesce((SELECT avg(eff) FROM eff WHERE eff.s = m.s), 0), 9) AS noise_tolerance
+tol AS (SELECT measure, round(coalesce((SELECT avg(lost / 60.0::DOUBLE) FROM ns WHERE ns.s = m.s), 0), 9) AS noise_tolerance
         FROM (SELECT measure, max(s) FILTER (d <= 1) AS s FROM lv GROUP BY ALL) m)"""
 
 
-@query("noise_tolerance", TOLERANCE + " SELECT measure, noise_tolerance FROM tol")
+@query("noise_tolerance", TOLERANCE + " SELECT measure, noise_tolerance FROM tol", True)
 def noise_tolerance(spark, sf):
-    eff = lost_edges(_draws(spark, sf), fx.reference(spark, sf), SMALL.edges)
-    return r.noise_tolerance(_drifts(spark, sf), eff, SMALL.noise_cutoff).withColumn("noise_tolerance", F.round("noise_tolerance", 9))
+    return r.noise_tolerance(_drifts(spark, sf), _noisy(spark, sf).select("s", "eff"), SMALL.noise_cutoff).withColumn("noise_tolerance", F.round("noise_tolerance", 9))
 
 
 def _ranked_sql() -> str:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from graphlens.config import SMALL
 from graphlens.operators import setops
-from graphlens.operators.rewire import rewire
+from graphlens.operators.rewire import drawn_edges, swap_draws
 from graphlens.operators.scoring import against, score
 from graphlens.functions.measures import MEASURES, NAMES, SIMILARITIES
 from graphlens.plans import readouts as r
@@ -28,7 +28,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["networks_edges", "m_jaccard", "m_dc_nmi", "ego_features", "agreement", "recovery", "recovery_argmin", "bitset_roundtrip", "auc", "rewire_edges", "rewire_connected_edges", "degeneration", "noise_tolerance", "network_validate", "spectral_closed_form", "non_backtracking_closed_form", "resistance_closed_form", "compare_rank", "m_net_simile", "m_resistance", "m_energy"])
+@pytest.mark.parametrize("name", ["networks_edges", "m_jaccard", "m_dc_nmi", "ego_features", "agreement", "recovery", "recovery_argmin", "bitset_roundtrip", "auc", "auc_hard", "noise_draws", "core2", "network_components", "rewire_edges", "rewire_connected_edges", "degeneration", "noise_tolerance", "network_validate", "spectral_closed_form", "non_backtracking_closed_form", "resistance_closed_form", "compare_rank", "m_net_simile", "m_resistance", "m_energy"])
 def test_oracles(spark, duck, name):
     from graphlens.queries import ORACLES, QUERIES
 
@@ -133,7 +133,7 @@ def test_failing_measure_gives_null(spark):
 
 def test_rewire_keeps_degrees_and_size(spark):
     ref = fx.reference(spark, SF)
-    out = rewire(ref, spark.createDataFrame([(0, 1), (1, 30)], "draw long, s int"))
+    out = drawn_edges(swap_draws(ref, spark.createDataFrame([(0, 1), (1, 55)], "draw long, s int"), 100, 3))
     assert {x["count"] for x in out.groupBy("draw").count().collect()} == {ref.count()}
     assert out.distinct().count() == out.count()
 
