@@ -176,11 +176,11 @@ def parity_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def may_link(na, nb, apart) -> np.ndarray:
+def may_link(na, nb, apart, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Whether sets of these sizes can reach the threshold if their counts are ``apart`` in sum of absolute
     differences: the shared part is then at most (na + nb - apart) / 2, the summed minima.
     """
-    return (NUM + DEN) * (na + nb - apart) >= 2 * NUM * (na + nb)
+    return (num + den) * (na + nb - apart) >= 2 * num * (na + nb)
 
 
 def links(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
@@ -188,9 +188,9 @@ def links(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def sketch_bits(grams: float) -> int:
-    """Bits of the sketch for so many 5-grams."""
-    return min(max(int(math.log2(max(1.0, grams / PER_COUNTER))), SKETCH_BITS[0]), SKETCH_BITS[1])
+def sketch_bits(grams: float, per: int = PER_COUNTER) -> int:
+    """Bits of a sketch that counts so many hashes, about ``per`` to a counter."""
+    return min(max(int(math.log2(max(1.0, grams / per))), SKETCH_BITS[0]), SKETCH_BITS[1])
 
 
 def frequency_levels(rows: DataFrame, bits: int, hashes=lambda b: shingle_sets(b.column(0).to_pylist())) -> np.ndarray:
@@ -620,25 +620,22 @@ def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check
     """
     sizes = runs.groupBy("h").count()
     large = materialize(sizes.filter(F.col("count") > FAMILY).select("h"), "jaccard-large")
-    some_large = not large.isEmpty()
-    small = runs.join(large, "h", "left_anti") if some_large else runs
-    big = materialize(runs.join(large, "h", "left_semi"), "jaccard-big") if some_large else None
-    # runs, how many of each class's closest pairs are tried, whether their stars were
-    todo = [(small, BEST, False)]
-    found = None
-    if big is not None:
-        stars = big.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-        found = materialize(check(materialize(bounded(stars), "jaccard-stars")), "jaccard-links")
-        todo.append((big, BEST, True))
+    small, big = (materialize(runs.join(large, "h", how), "jaccard-sized") for how in ("left_anti", "left_semi"))
+    stars = big.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
+    found = materialize(check(materialize(bounded(stars), "jaccard-stars")), "jaccard-links") if not large.isEmpty() else None
     labels = components(found) if found is not None else None
+    # runs, the labels so far, how many of each class's closest pairs are tried, whether their stars were
+    todo = [(small, None, BEST, False)] + [(big, labels, BEST, True)] * (found is not None)
     while todo:
         cuts = []
         pairs = None
-        for of, best, starred in todo:
-            rest = materialize(unresolved_pairs(of, labels, classes, best, find, starred), "jaccard-rest")
+        for of, known, best, starred in todo:
+            # few of the classes are in runs, fewer in large ones
+            own = materialize(classes.join(of.select("sig").distinct(), "sig"), "jaccard-points")
+            rest = materialize(unresolved_pairs(of, known, own, best, find, starred), "jaccard-rest")
             cut = rest.filter("cut").select(F.col("a").alias("h"))
             if best is not None and not cut.isEmpty():
-                cuts.append((of.join(cut, "h", "left_semi"), None, starred))
+                cuts.append((materialize(of.join(cut, "h", "left_semi"), "jaccard-sized"), starred))
             own = rest.filter("not cut").select("a", "b")
             pairs = own if pairs is None else pairs.unionByName(own)
         pairs = pairs.distinct()
@@ -646,7 +643,7 @@ def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check
             new = check(pairs)
             found = materialize(new if found is None else new.unionByName(found), "jaccard-links")
             labels = components(found)
-        todo = cuts
+        todo = [(of, labels, None, starred) for of, starred in cuts]
     return labels if labels is not None else runs.filter("false").select(F.col("sig").alias("v"), F.col("sig").alias("label"))
 
 

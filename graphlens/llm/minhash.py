@@ -11,8 +11,9 @@ values that many documents retain last, by counters over the sketches of all doc
 share make no lists but for families of copies. The order decides only what work there is.
 
 Estimates. Classes of one list are compared by the sketch of their union: the values that both retain, among its ``K``
-smallest. Inside a list the values are inverted once more, so overlaps are counted only where something is shared. Pairs with
-too few common values are dropped; the others are verified on their whole sets.
+smallest; pairs with too few are dropped. An estimate from ``K`` values lets similarities from about 0.6 through, so pairs
+must meet a bound as well: parities of counts by groups of hashes, which differ in at most as many groups as there are
+members that one set has alone. What is left is verified on the whole sets.
 
 Lists of thousands of near copies go by way of their smallest class first, large lists are worked on in pairs of parts,
 and pairs whose ends are connected already are left out, as in the n-gram join; no link between components is lost
@@ -37,14 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, rows_of
-from .jaccard_join import _NONE, components_of_runs, frequency_levels, hot_runs, mix64, second_signature, shared_runs, shingle_sets, signature, sketch_bits, told_apart, verified, with_components
+from .jaccard_join import _NONE, components_of_runs, fold_parity, frequency_levels, group_parity, hot_runs, mix64, second_signature, shared_runs, shingle_sets, signature, sketch_bits, told_apart, verified, with_components
+from .jaccard_join import may_link as bound_holds
 
 #: Values that a sketch retains, and the digits of the chance that a link goes unseen.
 K, SURE = 128, 12
 NUM, DEN = 85, 100
 _PAD = np.uint64(2**64 - 1)
-#: Shared values that are looked at together when overlaps are counted.
-ENTRIES = 2_000_000
+#: Retained values to a counter of the sketch of frequencies, about.
+PER_COUNTER = 4
+#: Pairs of a list that are looked at together.
+PAIRS = 200_000
 
 
 def retained(k: int = K, num: int = NUM, den: int = DEN, sure: int = SURE) -> int:
@@ -65,19 +69,20 @@ def least_shared(n: int) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, twin, sketch for each row; the sketch in ascending order, as bytes."""
+    """doc_id, n, sig, twin, sketch, parity for each row; the sketch in ascending order, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 1024):
-            n, sig, twin, sketch = [], [], [], []
+            n, sig, twin, sketch, parity = [], [], [], [], []
             for h in shingle_sets(b.column("text").to_pylist()):
                 n.append(len(h))
                 sig.append(signature(h))
                 twin.append(second_signature(h))
                 sketch.append(h[:K].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(twin, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "sig", "twin", "sketch"])
+                parity.append(group_parity(h) if len(h) else b"")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(twin, pa.int64()), pa.array(sketch, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "n", "sig", "twin", "sketch", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, twin long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, twin long, sketch binary, parity binary")
 
 
 def _mixed(b: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -130,60 +135,59 @@ def may_link(na: np.ndarray, nb: np.ndarray, shared: np.ndarray, of: np.ndarray)
     return near & np.where(whole, DEN * shared >= NUM * of, shared >= RETAINED)
 
 
-def overlaps(values: list[np.ndarray], ask: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, shared values) of each row in ``ask`` with each row in ``of`` with which it shares any, by inverted lists."""
-    place = np.repeat(of, [len(values[j]) for j in of.tolist()])
-    flat = np.concatenate([values[j] for j in of.tolist()]) if len(of) else np.empty(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    flat, place = flat[order], place[order]
-    held, own, size = [], [], 0
-
-    def counted() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        i, j = np.concatenate(own), np.concatenate(held)
-        pair, shared = np.unique(i * len(values) + j, return_counts=True)
-        yield pair // len(values), pair % len(values), shared
-
-    for i in ask.tolist():
-        lo, hi = np.searchsorted(flat, values[i], "left"), np.searchsorted(flat, values[i], "right")
-        n = hi - lo
-        total = int(n.sum())
-        if total:
-            at = np.repeat(hi - n.cumsum(), n) + np.arange(total)
-            held.append(place[at])
-            own.append(np.full(total, i))
-            size += total
-        if size > ENTRIES:
-            yield from counted()
-            held, own, size = [], [], 0
-    if held:
-        yield from counted()
+class Parities:
+    """The parity vectors of a list's classes in all their lengths, so that many pairs are compared at once."""
+
+    def __init__(self, packed: list[bytes]):
+        self.sizes = np.array([len(p) for p in packed])
+        self.folded = {}
+        for size in np.unique(self.sizes).tolist():
+            at = np.flatnonzero(self.sizes >= size)
+            self.folded[size] = np.zeros((len(packed), size // 8), np.uint64)
+            self.folded[size][at] = np.frombuffer(b"".join(fold_parity(packed[i], size) for i in at.tolist()), np.uint64).reshape(len(at), -1)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many groups the vectors of each pair differ."""
+        low = np.minimum(self.sizes[i], self.sizes[j])
+        out = np.zeros(len(low), np.int64)
+        for size in np.unique(low).tolist():
+            at = low == size
+            out[at] = np.bitwise_count(self.folded[size][i[at]] ^ self.folded[size][j[at]]).sum(1, dtype=np.int64)
+        return out
 
 
 def sketch_finder(table: pa.Table, label: np.ndarray, earlier: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of different labels and with no common value in ``earlier`` that the union sketch lets through, each once, and how far
-    apart they are. Where some rows are ``second``, only pairs of one of them with one of the others.
+    """Pairs of different labels and with no common value in ``earlier`` that the parities and the union sketch let through, each
+    once, and how far apart they are. Where some rows are ``second``, only pairs of one of them with one of the others.
     """
     values = [np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()]
+    parities = Parities(table.column("parity").to_pylist())
     n = table.column("n").to_numpy()
-    least = np.array([least_shared(x) for x in n.tolist()])
-    # rows of the commonest label need not be asked: they are met by the others
-    _, of, count = np.unique(label, return_inverse=True, return_counts=True)
-    minor = of != count.argmax()
     rows = np.arange(len(label))
+
+    def passed(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        near = (label[i] != label[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+        i, j = i[near], j[near]
+        apart = parities.apart(i, j)
+        near = bound_holds(n[i], n[j], apart, NUM, DEN)
+        i, j, apart = i[near], j[near], apart[near]
+        first = ~((earlier[i][:, :, None] == earlier[j][:, None, :]) & (earlier[i][:, :, None] != _NONE)).any((1, 2))
+        i, j, apart = i[first], j[first], apart[first]
+        for part in np.array_split(np.arange(len(i)), len(i) // 4096 + 1):
+            p, q = i[part], j[part]
+            keep = may_link(n[p], n[q], *union_sketch([values[x] for x in p.tolist()], [values[x] for x in q.tolist()]))
+            if keep.any():
+                yield p[keep], q[keep], (apart[part] / (n[p] + n[q]))[keep]
+
+    # rows of the commonest label are not asked: they are met by the others
+    _, of, count = np.unique(label, return_inverse=True, return_counts=True)
+    minor = of != count.argmax() if len(count) < len(label) else np.ones(len(label), bool)
     sides = [(rows[minor & second], rows[~second]), (rows[minor & ~second], rows[second])] if second.any() else [(rows[minor], rows)]
     for ask, others in sides:
-        for i, j, shared in overlaps(values, ask, others):
+        for asked in np.array_split(ask, len(ask) * len(others) // PAIRS + 1):
+            i, j = np.repeat(asked, len(others)), np.tile(others, len(asked))
             once = ~minor[j] | (i < j)
-            keep = once & (label[i] != label[j]) & (shared >= np.maximum(least[i], least[j])) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
-            i, j = i[keep], j[keep]
-            fresh = ~((earlier[i][:, :, None] == earlier[j][:, None, :]) & (earlier[i][:, :, None] != _NONE)).any((1, 2))
-            i, j = i[fresh], j[fresh]
-            for part in np.array_split(np.arange(len(i)), len(i) // 4096 + 1):
-                p, q = i[part], j[part]
-                shared, size = union_sketch([values[x] for x in p.tolist()], [values[x] for x in q.tolist()])
-                keep = may_link(n[p], n[q], shared, size)
-                if keep.any():
-                    yield p[keep], q[keep], 1 - shared[keep] / size[keep]
+            yield from passed(i[once], j[once])
 
 
 def estimated_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -205,11 +209,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, apart = told_apart(materialize(sketches(docs), "minhash-rows"))
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", F.lit(0))).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", F.lit(0))).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     classes = materialize(classes, "minhash-classes")
-    points = classes.select("sig", "n", "sketch")
+    points = classes.select("sig", "n", "sketch", "parity")
     values = classes.agg(F.sum(F.octet_length("sketch") / 8)).first()[0] or 0
-    levels = spark.sparkContext.broadcast(frequency_levels(classes.select("sketch"), sketch_bits(values), _mixed))
+    levels = spark.sparkContext.broadcast(frequency_levels(classes.select("sketch"), sketch_bits(values, PER_COUNTER), _mixed))
     keys = materialize(list_keys(classes, levels), "minhash-keys")
     runs = shared_runs(keys.filter("not hot").select("h", "sig")).unionByName(hot_runs(keys.filter("hot").select("h", "sig")))
     runs = materialize(runs, "minhash-runs")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from graphlens.llm import jaccard_join, minhash
 
@@ -104,11 +105,21 @@ def test_links_are_let_through_and_share_a_key():
     assert minhash.retained(128) == 76 and minhash.retained(10, 1, 2, 2) == 1
 
 
-def test_overlaps_are_counted_as_by_sets(monkeypatch):
-    monkeypatch.setattr(minhash, "ENTRIES", 40)
+def test_pairs_of_a_list_are_those_of_all_pairs(monkeypatch):
+    """Labels, lists that both know before, parts and batches of any size: every pair that may link comes once."""
+    monkeypatch.setattr(minhash, "PAIRS", 30)
     rng = np.random.default_rng(7)
-    values = [np.unique(rng.integers(0, 60, 20, dtype=np.uint64)) for _ in range(30)]
-    ask, of = np.array([1, 4, 9, 29]), np.arange(5, 30)
-    got = {(i, j): s for a, b, c in minhash.overlaps(values, ask, of) for i, j, s in zip(a.tolist(), b.tolist(), c.tolist())}
-    assert got == {(i, j): n for i in ask.tolist() for j in of.tolist() if (n := len(set(values[i].tolist()) & set(values[j].tolist())))}
-    assert list(minhash.overlaps(values, np.array([], int), of)) == []
+    base = np.unique(rng.integers(0, 2**63, 250, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(60, 250)] if i % 3 else rng.permutation(base)[rng.integers(0, 30) :], rng.integers(0, 2**63, rng.integers(0, 20), dtype=np.uint64)])) for i in range(40)]
+    n, label = np.array([len(x) for x in sets]), rng.integers(0, 4, 40)
+    earlier = np.where(rng.random((40, jaccard_join.FIRST)) < 0.1, rng.integers(0, 5, (40, jaccard_join.FIRST)), jaccard_join._NONE)
+    table = pa.table({"n": n, "sketch": [x[: minhash.K].tobytes() for x in sets], "parity": [jaccard_join.group_parity(x) for x in sets]})
+    for second in (np.zeros(40, bool), rng.random(40) < 0.4):
+        got = [(min(i, j), max(i, j)) for a, b, _ in minhash.sketch_finder(table, label, earlier, second) for i, j in zip(a.tolist(), b.tolist())]
+        want = set()
+        for i, j in itertools.combinations(range(40), 2):
+            known = set(earlier[i].tolist()) & set(earlier[j].tolist()) - {int(jaccard_join._NONE)}
+            if label[i] != label[j] and not known and (second[i] != second[j] or not second.any()) and jaccard_join.links(sets[i], sets[j], 85, 100):
+                want.add((i, j))
+        assert len(got) == len(set(got)) and want <= set(got) and len(want) > 5
+        assert all(label[i] != label[j] and (second[i] != second[j] or not second.any()) for i, j in got)
