@@ -25,7 +25,8 @@ makes, first has all its classes paired with its smallest one; what still holds
 tree like the others. Last, runs of which pairs were left out and that still hold several components are joined again
 and every pair of different components is verified. A pair is left unverified only if its ends are connected
 already, so near copies by the thousand cost a few checks each and no link between components is lost.
-Classes carry their ``FIRST`` smallest open runs, so that a pair seen to share an earlier run is left to that run.
+Classes carry their ``FIRST`` largest open runs, so that a pair seen to share an earlier run is left to that run, and runs
+all of whose pairs are left to others are not joined.
 
 Defined results: words are split at spaces and \\t to \\r after lower-casing A-Z; fewer than five words make
 one n-gram of all of them; null and wordless texts have an empty set and link with nothing, not even with
@@ -485,10 +486,16 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame | None, classes: DataFra
     # a run is known by its members (their number and two sums of hashes), so runs of one and the same set of classes are joined once
     sums = [F.sum(F.xxhash64(F.lit(i), "sig").cast("decimal(38,0)")).alias(f"of{i}") for i in (0, 1)]
     same = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"), *sums).filter(f"lo < hi and k > {2 if starred else 1}")
-    once = same.groupBy("of0", "of1", "k").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("k") / PART_ROWS).alias("parts"))
-    rows = labelled.join(once, "h")
-    low = rows.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set("h")), 1, FIRST).alias("low"))
-    rows = rows.join(low.join(classes, "sig"), "sig")
+    once = same.groupBy("of0", "of1", "k").agg(F.min("h").alias("h")).select("h", "k", F.ceil(F.col("k") / PART_ROWS).alias("parts"))
+    # large runs come first: a pair is left to the first of the runs that both its ends know
+    rank = F.struct((-F.col("k")).alias("nk"), "h")
+    rows = materialize(labelled.join(once, "h").withColumn("rank", rank), "jaccard-open")
+    low = rows.groupBy("sig").agg(F.slice(F.array_sort(F.collect_set("rank")), 1, FIRST).alias("low"))
+    rows = rows.join(low, "sig")
+    # a run whose classes all know one and the same earlier run has no pair of its own
+    before = rows.select("h", "k", F.explode(F.filter("low", lambda x: x < F.col("rank"))).alias("known"))
+    covered = before.groupBy("h", "k", "known").agg(F.count("*").alias("of")).filter("of = k").select("h").distinct()
+    rows = rows.join(covered, "h", "left_anti").join(classes, "sig")
     part = F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part")
     with_part = rows.select("*", part, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
     units = with_part.withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
@@ -497,10 +504,10 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame | None, classes: DataFra
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            sig, pivot, h = table.column("sig").to_numpy(), table.column("pivot")[0].as_py(), table.column("h")[0].as_py()
+            sig, pivot, h, rank = table.column("sig").to_numpy(), *(table.column(c)[0].as_py() for c in ("pivot", "h", "rank"))
             earlier = np.full((len(sig), FIRST), _NONE)
             for r, low in enumerate(table.column("low").to_pylist()):
-                before = [x for x in low if x < h]
+                before = [x["h"] for x in low if (x["nk"], x["h"]) < (rank["nk"], h)]
                 earlier[r, : len(before)] = before
             out, held_back = [], False
             part = table.column("part").to_numpy()
@@ -543,7 +550,7 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame | None, classes: DataFra
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    units = units.select("h", "x", "y", "part", "pivot", "label", "low", *classes.columns)
+    units = units.select("h", "x", "y", "part", "pivot", "rank", "label", "low", *classes.columns)
     return units.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(run, "a long, b long, cut boolean").distinct()
 
 
