@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import frames, series
-from .queries import ORACLES, N, _nets, query
+from .operators import frames, series, setops
+from .queries import ORACLES, N, _info_sql, _nets, query
 from .sources import fixture as fx
 
 
@@ -87,3 +87,34 @@ def m_delta_con_frames(spark, sf):
 @query("m_communicability_corr_frames", _same_as("m_communicability_corr"), True)
 def m_communicability_corr_frames(spark, sf):
     return _against(spark, sf, series.communicability_correlation)
+
+
+#: Weighted networks and reference, and which weights each measure takes for edges.
+WEIGHTED = """,
+wn AS MATERIALIZED (SELECT net_id, u, v, cents % 500 / 100.0::DOUBLE - 1 AS w FROM w JOIN nets USING (eta, gamma, rep)),
+wr AS MATERIALIZED (SELECT u, v, cents % 500 / 100.0::DOUBLE - 1 AS w FROM rw),
+wc AS (SELECT d.net_id, (SELECT count(*) FROM wn WHERE wn.net_id = d.net_id AND {0}) AS a, (SELECT count(*) FROM wr WHERE {0}) AS r,
+              (SELECT count(*) FROM (SELECT net_id, u, v FROM wn WHERE {0}) x JOIN (SELECT u, v FROM wr WHERE {0}) y USING (u, v) WHERE x.net_id = d.net_id) AS b
+       FROM (SELECT DISTINCT net_id FROM wn) d)"""
+_WEIGHTED = {
+    "hamming": ("w > 0", "SELECT net_id, (a + r - 2 * b)::DOUBLE AS value FROM wc"),
+    "jaccard": ("w > 0.5", "SELECT net_id, round(2.0::DOUBLE * b / (2.0::DOUBLE * (a + r - b) + 1e-10), 9) AS value FROM wc"),
+    "f1": ("trunc(w) = 1", "SELECT net_id, round(coalesce(2.0::DOUBLE * b / nullif(a + r, 0), 0), 9) AS value FROM wc"),
+    "network_mutual_information": ("w <> 0", f""", p AS (SELECT net_id, a / 300.0::DOUBLE AS p1, r / 300.0::DOUBLE AS p2, b / 300.0::DOUBLE AS p12 FROM wc),
+i AS (SELECT net_id, {_info_sql('p')}) SELECT net_id, round((2 * (h1 + h2 - h12) + 1e-100) / (h1 + h2 + 1e-100), 8) AS value FROM i"""),
+    "frobenius": ("true", """, f AS (SELECT d.net_id, (SELECT sum(w * w) FROM wn WHERE wn.net_id = d.net_id) AS ww, (SELECT sum(w * w) FROM wr) AS rr,
+  (SELECT coalesce(sum(wn.w * wr.w), 0) FROM wn JOIN wr USING (u, v) WHERE wn.net_id = d.net_id) AS x FROM (SELECT DISTINCT net_id FROM wn) d)
+SELECT net_id, round(sqrt(2.0::DOUBLE * (ww + rr - 2 * x)), 7) AS value FROM f"""),
+}
+
+
+def _weighted(name: str, predicate: str, sql: str):
+    @query(f"m_{name}_weighted", WEIGHTED.format(predicate) + (sql if sql.startswith(",") else f" {sql}"))
+    def f(spark, sf):
+        digits = {"frobenius": 7, "network_mutual_information": 8}.get(name, 9)
+        found = setops.weighted_measure(name, fx.weighted(spark, sf), fx.weighted_reference(spark, sf), N)
+        return found.select("net_id", F.round(name, digits).alias("value"))
+
+
+for _name, _of in _WEIGHTED.items():
+    _weighted(_name, *_of)

@@ -34,7 +34,8 @@ def _norm(x, y):
 
 
 def frobenius(a, b):
-    return float(np.sqrt(((a.astype(float) - b) ** 2).sum()))
+    x = np.subtract(a, b, dtype=float).ravel()
+    return float(np.sqrt(x @ x))
 
 
 def hamming(a, b):
@@ -277,11 +278,16 @@ def exponential(a):
     return (v * np.exp(w)) @ v.T
 
 
+def centred_exponential(a):
+    """The entries of the exponential, less their mean, of length one; None if they do not vary."""
+    x = exponential(a).ravel()
+    x = x - x.mean()
+    long = np.sqrt(x @ x)
+    return x / long if long > 1e-12 * len(x) else None
+
+
 def _correlation(x, y):
-    x, y = x.ravel(), y.ravel()
-    if x.std() == 0 or y.std() == 0:
-        return float("nan")
-    return float(np.corrcoef(x, y)[0, 1])
+    return float("nan") if x is None or y is None else float(min(1.0, max(-1.0, x @ y)))
 
 
 def communicability_shares(a):
@@ -290,7 +296,7 @@ def communicability_shares(a):
     return x / x.sum()
 
 
-communicability_correlation = Split("communicability_correlation", exponential, _correlation)
+communicability_correlation = Split("communicability_correlation", centred_exponential, _correlation)
 communicability_divergence = Split("communicability_divergence", communicability_shares, _divergence)
 
 
@@ -328,16 +334,21 @@ def ks(x, y):
     return float(np.abs(f - g).max())
 
 
-def lengths(a, geometry):
+def lengths(a, geometry=None):
+    """The length of each edge, by default in the published distances, which the data folder must hold."""
+    if geometry is None:
+        from ..sources.readers import data_dir
+
+        geometry = np.load(f"{data_dir()}/reference/distance_matrix.npy")
     return upper(geometry)[upper(a) > 0]
 
 
 #: What the energy compares, to nine digits where sums decide; each is a KS statistic of its own.
 SAMPLES = {
-    "ks_degree": lambda a, geometry: a.sum(1),
-    "ks_clustering": lambda a, geometry: np.round(clustering(a), 9),
-    "ks_betweenness": lambda a, geometry: np.round(betweenness(a), 9),
+    "ks_degree": lambda a, geometry=None: a.sum(1),
+    "ks_clustering": lambda a, geometry=None: np.round(clustering(a), 9),
+    "ks_betweenness": lambda a, geometry=None: np.round(betweenness(a), 9),
     "ks_edge_length": lengths,
 }
 KS = {name: Split(name, sample, ks, ("geometry",)) for name, sample in SAMPLES.items()}
-energy = Split("energy", lambda a, geometry: [sample(a, geometry) for sample in SAMPLES.values()], lambda x, y: max(map(ks, x, y)), ("geometry",))
+energy = Split("energy", lambda a, geometry=None: [sample(a, geometry) for sample in SAMPLES.values()], lambda x, y: max(map(ks, x, y)), ("geometry",))

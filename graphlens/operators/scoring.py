@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Split
@@ -62,10 +62,25 @@ def needs(f: Callable) -> tuple[str, ...]:
     return f.needs if isinstance(f, Split) else tuple(inspect.signature(f).parameters)
 
 
+def default_geometry(spark: SparkSession, nodes: int) -> np.ndarray:
+    """The published distances between nodes, where the data folder has them."""
+    from ..sources.readers import data_dir, load_array
+
+    path = f"{data_dir()}/reference/distance_matrix.npy"
+    found = load_array(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no distances at {path}: put them there or pass a geometry")
+    if found.shape != (nodes, nodes):
+        raise ValueError(f"{path} is for {len(found)} nodes; pass a geometry for {nodes}")
+    return found.astype(float)
+
+
 def score(pairs: DataFrame, measures: dict[str, Callable], nodes: int, geometry: np.ndarray | None = None, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """Keys (whole numbers), measure, value, ms of ``pairs`` (keys, a, b: edge codes); one row per pair and measure."""
     if nodes > MOST_NODES:
         raise ValueError(f"edge codes hold at most {MOST_NODES} nodes")
+    if geometry is None and any("geometry" in needs(f) for f in measures.values()):
+        geometry = default_geometry(pairs.sparkSession, nodes)
     extra = {n: {"geometry": geometry} if "geometry" in needs(f) else {} for n, f in measures.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import SELECTED, SIMILARITIES
+from ..sources.tables import written
 
 
 def oriented(landscape: DataFrame) -> DataFrame:
@@ -129,16 +130,20 @@ def recovery(distances: DataFrame) -> DataFrame:
 def discrimination(scores: DataFrame, hard: int | None = None) -> DataFrame:
     """measure, auc from (measure, real, score): the share of pairs in which the real one scores higher, ties one half.
     ``hard`` keeps the artificial ones that score highest. Equal scores are counted first, so that only different
-    ones are ordered.
+    ones are ordered: by ranges of scores, each a task's, whose sums say what lies below a range.
     """
     s = scores.filter("score is not null and not isnan(score)").select("measure", "real", "score")
     if hard:
         order = Window.partitionBy("measure").orderBy(F.desc("score"))
         s = s.filter("real").unionByName(s.filter("not real").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= hard).drop("at"))
     counted = s.groupBy("measure", "score").agg(F.count_if("real").alias("x"), F.count_if(~F.col("real")).alias("y"))
-    below = F.coalesce(F.sum("y").over(Window.partitionBy("measure").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = F.sum(F.col("x") * (F.col("below") + F.col("y") / 2.0))
-    return counted.withColumn("below", below).groupBy("measure").agg(F.try_divide(won, (F.sum("x") * F.sum("y")).cast("double")).alias("auc"))
+    ranged = written(counted.repartitionByRange("measure", "score").withColumn("part", F.spark_partition_id()), "ranged-scores")
+    before = lambda by: F.coalesce(F.sum("y").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("measure", "part").agg(F.sum("y").alias("y"))
+    starts = parts.select("measure", "part", before(Window.partitionBy("measure").orderBy("part")).alias("start"))
+    within = ranged.withColumn("within", before(Window.partitionBy("measure", "part").orderBy("score")))
+    won = F.sum(F.col("x") * (F.col("start") + F.col("within") + F.col("y") / 2.0))
+    return within.join(starts, ["measure", "part"]).groupBy("measure").agg(F.try_divide(won, (F.sum("x") * F.sum("y")).cast("double")).alias("auc"))
 
 
 def ranks(values: DataFrame, directions: DataFrame) -> DataFrame:

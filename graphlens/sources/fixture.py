@@ -61,6 +61,28 @@ def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "networks", make)
 
 
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """net_id, u, v, w of all pairs that trade; weights from -1 to 3.99, whole, broken, 0 and below, from the last digits of the cents."""
+
+    def make():
+        w = kept(spark, sf_dir, "trade", lambda: trade(spark, sf_dir)).filter("year between 1995 and 2000")
+        w = w.groupBy((F.col("year") - 1998).alias("eta"), (F.col("month") - 1).alias("gamma"), "rep", "u", "v").agg(F.sum("cents").alias("cents"))
+        nets = networks(spark, sf_dir).select("net_id", "eta", "gamma", "rep").distinct()
+        return w.join(nets, ["eta", "gamma", "rep"]).select("net_id", "u", "v", _weight().alias("w"))
+
+    return kept(spark, sf_dir, "weighted", make)
+
+
+def weighted_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u, v, w of all trade."""
+    w = kept(spark, sf_dir, "trade", lambda: trade(spark, sf_dir)).groupBy("u", "v").agg(F.sum("cents").alias("cents"))
+    return kept(spark, sf_dir, "weighted-reference", lambda: w.select("u", "v", _weight().alias("w")))
+
+
+def _weight():
+    return F.col("cents") % 500 / 100.0 - 1
+
+
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """u, v of the network of all trade."""
 
