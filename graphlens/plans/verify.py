@@ -27,7 +27,12 @@ def nearer(table: DataFrame, near: str, far: str) -> DataFrame:
 
 
 def errors(values: DataFrame, known: DataFrame) -> DataFrame:
-    """measure, max_relative, compared, same_nulls of ``values`` against ``known`` (measure, net_id, value)."""
-    both = values.select("measure", "net_id", "value").join(known.select("measure", "net_id", F.col("value").alias("known")), ["measure", "net_id"])
+    """measure, max_relative, compared, same_nulls, one_sided of ``values`` against ``known`` (measure, net_id, value); one_sided
+    counts the rows that only one of them has.
+    """
+    own, other = values.select("measure", "net_id", "value", F.lit(1).alias("own")), known.select("measure", "net_id", F.col("value").alias("known"), F.lit(1).alias("other"))
+    both = own.join(other, ["measure", "net_id"], "full")
     error = F.abs(F.col("value") - F.col("known")) / F.greatest(F.abs("known"), F.lit(1e-12))
-    return both.groupBy("measure").agg(F.max(error).alias("max_relative"), F.count(error).alias("compared"), F.every(F.col("value").isNull() == F.col("known").isNull()).alias("same_nulls"))
+    alone = F.col("own").isNull() | F.col("other").isNull()
+    same = F.every((F.col("value").isNull() == F.col("known").isNull()) & ~alone)
+    return both.groupBy("measure").agg(F.max(error).alias("max_relative"), F.count(error).alias("compared"), same.alias("same_nulls"), F.count_if(alone).alias("one_sided"))

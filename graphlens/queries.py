@@ -284,11 +284,12 @@ for _name in ("spectral_distance_adjacency", "spectral_distance_norm_laplacian",
     _kernel(_name)
 
 
-#: Cycles, complete graphs and stars of several sizes, whose spectra, resistances and portraits are known in closed form.
+#: Cycles, complete graphs and stars of the nations and suppliers of each region, whose spectra, resistances and portraits are known
+#: in closed form.
 KNOWN = """,
-size AS (SELECT n FROM (VALUES (5), (8), (13), (24), (60)) AS t(n)),
-known AS (SELECT kind, n FROM size, (VALUES ('complete'), ('cycle'), ('star')) AS t(kind))"""
-KINDS, SIZES = ("complete", "cycle", "star"), (5, 8, 13, 24, 60)
+size AS (SELECT n_regionkey::INT AS region, (count(DISTINCT n_nationkey) + count(s_suppkey))::INT AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1),
+known AS (SELECT kind, region, n FROM size, (VALUES ('complete'), ('cycle'), ('star')) AS t(kind))"""
+KINDS = ("complete", "cycle", "star")
 
 
 def known(kind: str, n: int) -> np.ndarray:
@@ -301,72 +302,73 @@ def known(kind: str, n: int) -> np.ndarray:
     return a
 
 
-def _known(spark, f, ddl: str) -> DataFrame:
-    """kind, n and what ``f`` makes of each graph whose form is known."""
-    made = spark.range(len(KINDS) * len(SIZES))
+def _sizes(spark, sf) -> DataFrame:
+    """region, n: how many nations and suppliers it has."""
+    nation, supplier = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("nation", "supplier"))
+    met = nation.join(supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_regionkey").cast("int").alias("region"))
+    return met.agg((F.count_distinct("n_nationkey") + F.count("s_suppkey")).cast("int").alias("n"))
+
+
+def _known(spark, sf, f, ddl: str, kinds=KINDS) -> DataFrame:
+    """kind, region, n and what ``f`` makes of each graph whose form is known."""
+    made = _sizes(spark, sf).withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             names = [x.split()[0] for x in ddl.split(", ")]
-            rows = [(KINDS[i % 3], SIZES[i // 3], *f(known(KINDS[i % 3], SIZES[i // 3]))) for i in b["id"]]
-            yield pd.DataFrame(rows, columns=["kind", "n", *names])
+            rows = [(kind, region, n, *f(known(kind, n))) for kind, region, n in zip(b["kind"], b["region"], b["n"])]
+            yield pd.DataFrame(rows, columns=["kind", "region", "n", *names])
 
-    return made.mapInPandas(run, f"kind string, n int, {ddl}")
+    return made.select("kind", "region", "n").repartition("kind", "region").mapInPandas(run, f"kind string, region int, n int, {ddl}")
 
 
-@query("resistance_closed_form", KNOWN + """ SELECT kind, n::INT AS n, round(CASE kind WHEN 'complete' THEN n - 1 WHEN 'cycle' THEN n * (n * n - 1) / 12.0 ELSE (n - 1) ** 2 END::DOUBLE, 6) AS total FROM known""")
+@query("resistance_closed_form", KNOWN + """ SELECT kind, region, n, round(CASE kind WHEN 'complete' THEN n - 1 WHEN 'cycle' THEN n * (n * n - 1) / 12.0 ELSE (n - 1) ** 2 END::DOUBLE, 4) AS total FROM known""")
 def resistance_closed_form(spark, sf):
-    return _known(spark, lambda a: [float(np.triu(k.resistances(a)).sum())], "total double").withColumn("total", F.round("total", 6))
+    return _known(spark, sf, lambda a: [float(np.triu(k.resistances(a)).sum())], "total double").withColumn("total", F.round("total", 4))
 
 
 #: Spectra of the known graphs with a path-free partner of their size: another star, cycle or complete graph.
 SPECTRA = KNOWN + """,
-idx AS (SELECT kind, n, i FROM known, range(60) t(i) WHERE i < n),
-adj AS (SELECT kind, n, i, CASE kind WHEN 'complete' THEN CASE WHEN i = 0 THEN n - 1.0 ELSE -1.0 END
+idx AS (SELECT kind, region, n, unnest(range(n)) AS i FROM known),
+adj AS (SELECT kind, region, n, i, CASE kind WHEN 'complete' THEN CASE WHEN i = 0 THEN n - 1.0 ELSE -1.0 END
                WHEN 'cycle' THEN 2 * cos(2 * pi() * i / n) ELSE CASE i WHEN 0 THEN sqrt(n - 1.0) WHEN 1 THEN -sqrt(n - 1.0) ELSE 0.0 END END::DOUBLE AS x FROM idx),
-kept AS (SELECT kind, n, x FROM adj QUALIFY row_number() OVER (PARTITION BY kind, n ORDER BY round(abs(x), 9) DESC, x) <= least(50, n - 2)),
-a_at AS (SELECT kind, n, x, row_number() OVER (PARTITION BY kind, n ORDER BY x DESC) AS pos FROM kept),
-lap AS (SELECT kind, n, CASE kind WHEN 'complete' THEN CASE WHEN i = 0 THEN 0.0 ELSE n / (n - 1.0) END
+kept AS (SELECT kind, region, n, x FROM adj QUALIFY row_number() OVER (PARTITION BY kind, region ORDER BY round(abs(x), 9) DESC, x) <= least(50, n - 2)),
+a_at AS (SELECT kind, region, n, x, row_number() OVER (PARTITION BY kind, region ORDER BY x DESC) AS pos FROM kept),
+lap AS (SELECT kind, region, n, CASE kind WHEN 'complete' THEN CASE WHEN i = 0 THEN 0.0 ELSE n / (n - 1.0) END
                WHEN 'cycle' THEN 1 - cos(2 * pi() * i / n) ELSE CASE i WHEN 0 THEN 0.0 WHEN 1 THEN 2.0 ELSE 1.0 END END::DOUBLE AS x FROM idx),
-l_at AS (SELECT kind, n, x, row_number() OVER (PARTITION BY kind, n ORDER BY x) AS pos FROM lap QUALIFY pos <= 50),
+l_at AS (SELECT kind, region, n, x, row_number() OVER (PARTITION BY kind, region ORDER BY x) AS pos FROM lap QUALIFY pos <= 50),
 pair AS (SELECT * FROM (VALUES ('complete', 'cycle'), ('cycle', 'star'), ('star', 'complete')) AS t(kind, other)),
-da AS (SELECT p.kind, p.other, x.n, sqrt(sum((x.x - y.x) ** 2)) AS d FROM pair p JOIN a_at x ON x.kind = p.kind JOIN a_at y ON y.kind = p.other AND y.n = x.n AND y.pos = x.pos GROUP BY ALL),
-dl AS (SELECT p.kind, p.other, x.n, sqrt(sum((x.x - y.x) ** 2)) AS d FROM pair p JOIN l_at x ON x.kind = p.kind JOIN l_at y ON y.kind = p.other AND y.n = x.n AND y.pos = x.pos GROUP BY ALL)"""
+dl AS (SELECT p.kind, p.other, x.region, x.n, sqrt(sum((x.x - y.x) ** 2)) AS d FROM pair p JOIN l_at x ON x.kind = p.kind JOIN l_at y ON y.kind = p.other AND y.region = x.region AND y.pos = x.pos GROUP BY ALL),
+ah AS (SELECT kind, region, n, max(x) AS largest, sqrt(sum(x * x)) AS long FROM a_at GROUP BY ALL)"""
 
 
-@query("spectral_closed_form", SPECTRA + " SELECT da.kind, da.other, da.n::INT AS n, round(da.d, 6) AS adjacency, round(dl.d, 6) AS laplacian FROM da JOIN dl USING (kind, other, n)")
+@query("spectral_closed_form", SPECTRA + " SELECT dl.kind, dl.other, dl.region, dl.n, round(dl.d, 6) AS laplacian, round(ah.largest, 6) AS largest, round(ah.long, 6) AS length FROM dl JOIN ah USING (kind, region)")
 def spectral_closed_form(spark, sf):
-    """Both spectral distances between graphs with known spectra, above and below the 50 values that are kept."""
+    """The Laplacian distance between graphs with known spectra, and of the adjacency values that are kept the largest and their length."""
 
     def f(a):
         kind = "complete" if a.sum() == len(a) * (len(a) - 1) else "cycle" if (a.sum(0) == 2).all() else "star"
         other = KINDS[(KINDS.index(kind) + 1) % 3]
-        b = known(other, len(a))
-        return other, float(k.spectral_adjacency(a, b)), float(k.spectral_laplacian(a, b))
+        x = k.adjacency_spectrum(a)
+        return other, float(k.spectral_laplacian(a, known(other, len(a)))), float(x[0]), float(np.sqrt((x * x).sum()))
 
-    out = _known(spark, f, "other string, adjacency double, laplacian double")
-    return out.select("kind", "other", "n", F.round("adjacency", 6).alias("adjacency"), F.round("laplacian", 6).alias("laplacian"))
+    out = _known(spark, sf, f, "other string, laplacian double, largest double, length double")
+    return out.select("kind", "other", "region", "n", *[F.round(c, 6).alias(c) for c in ("laplacian", "largest", "length")])
 
 
-@query("non_backtracking_closed_form", """, size AS (SELECT n FROM (VALUES (5), (8), (13), (24), (60)) AS t(n))
-SELECT n::INT AS n, (n - 2)::DOUBLE AS largest, 0.5::DOUBLE AS shared, round(sqrt(n - 2.0), 6)::DOUBLE AS modulus, least(100, 2 * n - 4)::BIGINT AS taken FROM size""")
+@query("non_backtracking_closed_form", KNOWN + " SELECT region, n, (n - 2)::DOUBLE AS largest, 0.5::DOUBLE AS shared, round(sqrt(n - 2.0), 6)::DOUBLE AS modulus FROM size")
 def non_backtracking_closed_form(spark, sf):
     """Of complete graphs: the leading value n - 2, then n - 1 conjugate pairs with real part -1/2 and modulus sqrt(n - 2)."""
 
-    def run(batches):
-        import pandas as pd
+    def f(a):
+        z = k.non_backtracking_points(a)
+        rest = z[:-1][np.abs(z[:-1].imag) > 1e-6]
+        return float(z[-1].real), float(-rest.real.mean()), float(np.abs(rest).mean())
 
-        for b in batches:
-            rows = []
-            for i in b["id"]:
-                z = k.non_backtracking_points(known("complete", SIZES[i]))
-                rest = z[:-1][np.abs(z[:-1].imag) > 1e-6]
-                rows.append((SIZES[i], round(float(z[-1].real), 6), round(float(-rest.real.mean()), 6), round(float(np.abs(rest).mean()), 6), min(100, 2 * SIZES[i] - 4)))
-            yield pd.DataFrame(rows, columns=["n", "largest", "shared", "modulus", "taken"])
-
-    return spark.range(len(SIZES)).mapInPandas(run, "n int, largest double, shared double, modulus double, taken long")
+    out = _known(spark, sf, f, "largest double, shared double, modulus double", ("complete",))
+    return out.select("region", "n", *[F.round(c, 6).alias(c) for c in ("largest", "shared", "modulus")])
 
 
 @query("spectrum_adjacency_moments", CLUST + ", e AS (SELECT net_id, count(*) AS m FROM edges GROUP BY ALL) SELECT e.net_id, (2 * m)::DOUBLE AS second, (2 * sum(t))::DOUBLE AS third FROM e JOIN clu USING (net_id) GROUP BY ALL")

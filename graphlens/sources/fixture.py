@@ -56,7 +56,7 @@ def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = ["eta", "gamma", "rep"]
         w = w.groupBy((F.col("year") - 1998).alias("eta"), (F.col("month") - 1).alias("gamma"), "rep", "u", "v").agg(F.sum("cents").alias("cents"))
         ids = w.select(*key).distinct().withColumn("net_id", F.row_number().over(Window.orderBy(*key)).cast("long") - 1)
-        return wire(w, key).join(F.broadcast(ids), key).select("net_id", *key, "u", "v")
+        return wire(w, key).join(ids, key).select("net_id", *key, "u", "v")
 
     return kept(spark, sf_dir, "networks", make)
 

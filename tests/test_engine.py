@@ -177,4 +177,6 @@ def test_measures_side_by_side(spark):
     assert verify.nearer(known, "near", "far").first()["holds"] and not verify.nearer(known, "far", "near").first()["holds"]
     values = spark.createDataFrame([("f1", 0, 0.5), ("f1", 1, None), ("f1", 2, 2.0), ("hamming", 0, 1.0)], "measure string, net_id long, value double")
     other = spark.createDataFrame([("f1", 0, 0.4), ("f1", 1, None), ("f1", 2, 2.0), ("hamming", 0, None)], "measure string, net_id long, value double")
-    assert [tuple(x) for x in verify.errors(values, other).orderBy("measure").collect()] == [("f1", pytest.approx(0.25), 2, True), ("hamming", None, 0, False)]
+    assert [tuple(x) for x in verify.errors(values, other).orderBy("measure").collect()] == [("f1", pytest.approx(0.25), 2, True, 0), ("hamming", None, 0, False, 0)]
+    fewer = {x["measure"]: (x["same_nulls"], x["one_sided"]) for x in verify.errors(values, other.filter("net_id = 0")).collect()}
+    assert fewer == {"f1": (False, 2), "hamming": (False, 0)}
