@@ -2,6 +2,12 @@
 
 Each stage gets what the one before kept, as Parquet. Models learn from the labels of the stage's own
 input, without the held-out fold.
+
+Defined results: null and empty texts are scored like others and kept unless they score as toxic or poor; they are near no
+other text, and the mix, which takes words, leaves them out. Null ids are kept apart by their texts; rows equal in id and
+text are one document from the near-duplicate stage on, and the mix may take a document twice. Columns beyond those
+of ``documents`` pass through all stages but the last, whatever they are called. An empty table gives an empty result. Each
+stage's rows are written to the shared folder once.
 """
 
 from __future__ import annotations
