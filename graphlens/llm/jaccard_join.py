@@ -623,26 +623,26 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, apart: dict[
 
 def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check) -> DataFrame:
     """v, label of the classes that links join. ``find`` makes pairs inside a run, ``bounded`` drops star pairs (a, b) that
-    cannot link, ``check`` keeps those that do.
+    cannot link by the columns of ``classes``, ``check`` keeps those that do.
     """
-    sizes = runs.groupBy("h").count()
-    large = materialize(sizes.filter(F.col("count") > FAMILY).select("h"), "jaccard-large")
-    small, big = (materialize(runs.join(large, "h", how), "jaccard-sized") for how in ("left_anti", "left_semi"))
+    sized = materialize(runs.join(runs.groupBy("h").agg(F.count("*").alias("k")), "h"), "jaccard-sized")
+    small, big = (sized.filter(of).drop("k") for of in (F.col("k") <= FAMILY, F.col("k") > FAMILY))
     stars = big.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    found = materialize(check(materialize(bounded(stars), "jaccard-stars")), "jaccard-links") if not large.isEmpty() else None
+    # few of the classes are in runs, fewer in large ones
+    points = lambda of: materialize(classes.join(of.select("sig").distinct(), "sig"), "jaccard-points")
+    in_big = None if big.isEmpty() else points(big)
+    found = None if in_big is None else materialize(check(materialize(bounded(stars, in_big), "jaccard-stars")), "jaccard-links")
     labels = components(found) if found is not None else None
     # runs, the labels so far, how many of each class's closest pairs are tried, whether their stars were
-    todo = [(small, None, BEST, False)] + [(big, labels, BEST, True)] * (found is not None)
+    todo = [(small, points(small), None, BEST, False)] + [(big, in_big, labels, BEST, True)] * (found is not None)
     while todo:
         cuts = []
         pairs = None
-        for of, known, best, starred in todo:
-            # few of the classes are in runs, fewer in large ones
-            own = materialize(classes.join(of.select("sig").distinct(), "sig"), "jaccard-points")
+        for of, own, known, best, starred in todo:
             rest = materialize(unresolved_pairs(of, known, own, best, find, starred), "jaccard-rest")
             cut = rest.filter("cut").select(F.col("a").alias("h"))
             if best is not None and not cut.isEmpty():
-                cuts.append((materialize(of.join(cut, "h", "left_semi"), "jaccard-sized"), starred))
+                cuts.append((materialize(of.join(cut, "h", "left_semi"), "jaccard-sized"), own, starred))
             own = rest.filter("not cut").select("a", "b")
             pairs = own if pairs is None else pairs.unionByName(own)
         pairs = pairs.distinct()
@@ -650,7 +650,7 @@ def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check
             new = check(pairs)
             found = materialize(new if found is None else new.unionByName(found), "jaccard-links")
             labels = components(found)
-        todo = [(of, labels, None, starred) for of, starred in cuts]
+        todo = [(of, own, labels, None, starred) for of, own, starred in cuts]
     return labels if labels is not None else runs.filter("false").select(F.col("sig").alias("v"), F.col("sig").alias("label"))
 
 
@@ -677,7 +677,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     runs = materialize(shared_runs(usual).unionByName(hot_runs(hot)), "jaccard-runs")
     classes = materialize(some.groupBy("sig").agg(F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", F.lit(0))).alias("one"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("parity").alias("parity")), "jaccard-classes")
     points = classes.select("sig", "n", "counts", "parity")
-    labels = components_of_runs(runs, points, lambda pairs: bounded_pairs(pairs, points), tree_finder, lambda pairs: verified(docs, classes, pairs, apart))
+    labels = components_of_runs(runs, points, bounded_pairs, tree_finder, lambda pairs: verified(docs, classes, pairs, apart))
     return with_components(rows, classes, labels)
 
 

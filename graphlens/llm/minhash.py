@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = materialize(list_keys(classes, levels), "minhash-keys")
     runs = shared_runs(keys.filter("not hot").select("h", "sig")).unionByName(hot_runs(keys.filter("hot").select("h", "sig")))
     runs = materialize(runs, "minhash-runs")
-    labels = components_of_runs(runs, points, lambda pairs: estimated_pairs(pairs, points), sketch_finder, lambda pairs: verified(docs, classes, pairs, apart, NUM, DEN))
+    labels = components_of_runs(runs, points, estimated_pairs, sketch_finder, lambda pairs: verified(docs, classes, pairs, apart, NUM, DEN))
     return with_components(rows, classes, labels).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
 
 
