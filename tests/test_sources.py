@@ -103,7 +103,9 @@ def test_energy_takes_the_published_distances(spark, tmp_path, monkeypatch):
 def test_auc_by_ranges_of_scores(spark):
     rng = np.random.default_rng(4)
     rows = [(m, bool(real), float(s)) for m in ("a", "b") for real, s in zip(rng.random(600) < 0.3, rng.integers(0, 90, 600) if m == "a" else rng.random(600))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     got = {x["measure"]: x["auc"] for x in r.discrimination(spark.createDataFrame(rows, "measure string, real boolean, score double").repartition(7)).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for m in "ab":
         x, y = (np.array([s for n, real, s in rows if n == m and real == side]) for side in (True, False))
         assert got[m] == pytest.approx(((x[:, None] > y).mean() + (x[:, None] == y).mean() / 2))
