@@ -61,6 +61,8 @@ FAMILY = 256
 #: Classes of one part of a run; a task holds two parts at most.
 PART_ROWS = 2048
 BEST = 2
+#: Pairs of a unit that are held before the closest are chosen among them.
+HELD = 200_000
 FIRST = 6
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -427,7 +429,7 @@ def tree_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, counts: list[b
         if len(fine[i]) == g:
             return fine[i]
         if (i, g) not in folded:
-            if len(folded) > 20_000:
+            if len(folded) > 4000:
                 folded.clear()
             folded[i, g] = fold(fine[i], g)
         return folded[i, g]
@@ -509,7 +511,7 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame | None, classes: DataFra
             for r, low in enumerate(table.column("low").to_pylist()):
                 before = [x["h"] for x in low if (x["nk"], x["h"]) < (rank["nk"], h)]
                 earlier[r, : len(before)] = before
-            out, held_back = [], False
+            out, size, held_back = [], 0, False
             part = table.column("part").to_numpy()
             second = (part == table.column("y")[0].as_py()) & (table.column("x")[0].as_py() < part)
             if second.all() or (table.column("x")[0].as_py() < table.column("y")[0].as_py() and not second.any()):
@@ -517,15 +519,16 @@ def unresolved_pairs(runs: DataFrame, labels: DataFrame | None, classes: DataFra
             for i, j, apart in find(table, table.column("label").to_numpy(), earlier, second):
                 new = (sig[i] != pivot) & (sig[j] != pivot) if starred else np.ones(len(i), bool)
                 out.append((i[new], j[new], apart[new]))
-                if sum(len(x) for x, _, _ in out) > 1_000_000:
+                size += len(out[-1][0])
+                if size > HELD:
                     i, j, apart = (np.concatenate(c) for c in zip(*out))
                     if best is None:
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j])), pa.array(np.zeros(len(i), bool))], names=["a", "b", "cut"])
-                        out = []
+                        out, size = [], 0
                     else:
                         keep = closest(i, j, apart, best)
                         held_back |= not keep.all()
-                        out = [(i[keep], j[keep], apart[keep])]
+                        out, size = [(i[keep], j[keep], apart[keep])], 0
             if out:
                 i, j, apart = (np.concatenate(c) for c in zip(*out))
                 if best is not None:
