@@ -631,13 +631,13 @@ def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check
     sized = materialize(runs.join(runs.groupBy("h").agg(F.count("*").alias("k")), "h"), "jaccard-sized")
     small, big = (sized.filter(of).drop("k") for of in (F.col("k") <= FAMILY, F.col("k") > FAMILY))
     stars = big.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    # few of the classes are in runs, fewer in large ones
+    # few of the classes are in large runs or in those that are worked on again
     points = lambda of: materialize(classes.join(of.select("sig").distinct(), "sig"), "jaccard-points")
     in_big = None if big.isEmpty() else points(big)
     found = None if in_big is None else materialize(check(materialize(bounded(stars, in_big), "jaccard-stars")), "jaccard-links")
     labels = components(found) if found is not None else None
     # runs, the labels so far, how many of each class's closest pairs are tried, whether their stars were
-    todo = [(small, points(small), None, BEST, False)] + [(big, in_big, labels, BEST, True)] * (found is not None)
+    todo = [(small, classes, None, BEST, False)] + [(big, in_big, labels, BEST, True)] * (found is not None)
     while todo:
         cuts = []
         pairs = None
@@ -645,15 +645,15 @@ def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check
             rest = materialize(unresolved_pairs(of, known, own, best, find, starred), "jaccard-rest")
             cut = rest.filter("cut").select(F.col("a").alias("h"))
             if best is not None and not cut.isEmpty():
-                cuts.append((materialize(of.join(cut, "h", "left_semi"), "jaccard-sized"), own, starred))
-            own = rest.filter("not cut").select("a", "b")
-            pairs = own if pairs is None else pairs.unionByName(own)
+                cuts.append((materialize(of.join(cut, "h", "left_semi"), "jaccard-sized"), starred))
+            new = rest.filter("not cut").select("a", "b")
+            pairs = new if pairs is None else pairs.unionByName(new)
         pairs = pairs.distinct()
         if not pairs.isEmpty():
             new = check(pairs)
             found = materialize(new if found is None else new.unionByName(found), "jaccard-links")
             labels = components(found)
-        todo = [(of, own, labels, None, starred) for of, own, starred in cuts]
+        todo = [(of, points(of), labels, None, starred) for of, starred in cuts]
     return labels if labels is not None else runs.filter("false").select(F.col("sig").alias("v"), F.col("sig").alias("label"))
 
 
