@@ -116,3 +116,18 @@ def test_correlation_of_exponentials():
     a, b = ((lambda x: (np.triu(x, 1) + np.triu(x, 1).T).astype(float))(rng.random((12, 12)) < 0.3) for _ in range(2))
     assert k.communicability_correlation(a, b) == pytest.approx(np.corrcoef(k.exponential(a).ravel(), k.exponential(b).ravel())[0, 1], abs=1e-12)
     assert np.isnan(k.communicability_correlation(np.zeros((1, 1)), np.zeros((1, 1))))
+
+
+def test_trade_joins_are_spread_by_rows(spark, monkeypatch):
+    """More lines than the session's parts hold go into as many parts as there are blocks of rows; results stay."""
+    from graphlens.sources import fixture as fx
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    few = fx.trade(spark, sf)
+    monkeypatch.setattr(fx, "ROWS", 100)
+    many = fx.trade(spark, sf)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan(few)
+    assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in plan(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
