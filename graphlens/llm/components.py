@@ -1,4 +1,4 @@
-"""Connected components of an edge table by distributed label spreading with pointer jumping."""
+"""Connected components of an edge table by distributed contraction."""
 
 from __future__ import annotations
 
@@ -8,21 +8,45 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges``: a, b. Returns v, label for every vertex of an edge; the label is the smallest vertex reachable.
+def _renamed(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: the edges between the labels of their ends, each once; ends without a label keep their names."""
+    for end in ("a", "b"):
+        edges = edges.join(labels.select(F.col("v").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+    a, b = F.coalesce("a_label", "a"), F.coalesce("b_label", "b")
+    return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
 
-    Each round a vertex takes the smallest label next to it and then the label of that label; labels only
-    fall, and the rounds end when none does. Minima are combined before the shuffle; in the joins a hub or a label
-    of very many is one row on one side, and adaptive execution splits the other side. Rounds are written to the
-    shared folder, which cuts the lineage.
+
+def _followed(labels: DataFrame, after: DataFrame) -> DataFrame:
+    """v, label: each label replaced by its own label in ``after``, where it has one."""
+    return labels.join(after.select(F.col("v").alias("label"), F.col("label").alias("next")), "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+
+
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``edges``: a, b. Returns v, label for every vertex of an edge; the label is the smallest vertex reachable. With the
+    labels ``known`` of earlier edges, those of all vertices of both, from the new edges between components alone.
+
+    Each round a vertex points to the least of itself and its neighbours, in an order that a hash deals anew, then to what that one
+    points to; vertices that point to one and the same become one and edges inside it go, so what is left falls by a share
+    each round and chains are no worse than stars. Minima are combined before the shuffle; in the joins a hub is one row on one
+    side, and adaptive execution splits the other side. Rounds are written to the shared folder, which cuts the lineage.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "components-edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("v"), "label"), "components-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        taken = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("v").alias("to"), F.col("label").alias("far"))
-        after = materialize(taken.join(jump, "to", "left").select("v", "old", F.least("to", F.coalesce("far", "to")).alias("label")), "components-labels")
-        if after.filter("label < old").isEmpty():
-            return after.select("v", "label")
-        labels = after.select("v", "label")
+    rest = materialize(edges.select("a", "b") if known is None else _renamed(edges, known), "components-edges")
+    steps: list[DataFrame] = []
+    while not rest.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), c).alias("at"), F.col(c).alias("v"))
+        both = rest.select("a", order("b").alias("near")).unionByName(rest.select(F.col("b").alias("a"), order("a").alias("near")))
+        to = both.groupBy("a").agg(F.min("near").alias("near")).select(F.col("a").alias("v"), F.least("near", order("a")).getField("v").alias("label"))
+        to = materialize(to, "components-steps")
+        steps.append(materialize(_followed(to, to), "components-steps"))
+        rest = materialize(_renamed(rest, steps[-1]), "components-edges")
+    if not steps:
+        return rest.select(F.col("a").alias("v"), F.col("b").alias("label")) if known is None else known
+    labels = steps.pop()
+    while steps:
+        labels = materialize(_followed(steps.pop(), labels), "components-labels")
+    least = labels.groupBy("label").agg(F.min("v").alias("least"))
+    labels = labels.join(least, "label").select("v", F.least("least", "label").alias("label"))
+    if known is None:
+        return materialize(labels, "components-labels")
+    labels = materialize(labels, "components-labels")
+    return materialize(_followed(known, labels).unionByName(labels.join(known, "v", "left_anti")), "components-labels")

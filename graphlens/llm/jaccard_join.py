@@ -42,6 +42,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -624,6 +625,23 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, apart: dict[
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long")
 
 
+def points_of(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The classes that are in ``wanted`` (sig). Few of all are in large runs or in those that are worked on again, so a set of bits
+    holds most of the others back from the shuffle.
+    """
+    wanted = materialize(wanted, "jaccard-wanted")
+    size = 1 << max(16, (PER_ID * wanted.count()).bit_length())
+    if size > 1 << BLOOM_BITS:
+        return classes.join(wanted, "sig")
+    bloom = classes.sparkSession.sparkContext.broadcast(_bloom(wanted, "sig", size))
+
+    @F.pandas_udf("boolean")
+    def may(sig: pd.Series) -> pd.Series:
+        return pd.Series(holds(bloom.value, sig.to_numpy()))
+
+    return classes.filter(may("sig")).join(wanted, "sig")
+
+
 def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check) -> DataFrame:
     """v, label of the classes that links join. ``find`` makes pairs inside a run, ``bounded`` drops star pairs (a, b) that
     cannot link by the columns of ``classes``, ``check`` keeps those that do.
@@ -631,8 +649,7 @@ def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check
     sized = materialize(runs.join(runs.groupBy("h").agg(F.count("*").alias("k")), "h"), "jaccard-sized")
     small, big = (sized.filter(of).drop("k") for of in (F.col("k") <= FAMILY, F.col("k") > FAMILY))
     stars = big.filter("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    # few of the classes are in large runs or in those that are worked on again
-    points = lambda of: materialize(classes.join(of.select("sig").distinct(), "sig"), "jaccard-points")
+    points = lambda of: materialize(points_of(classes, of.select("sig").distinct()), "jaccard-points")
     in_big = None if big.isEmpty() else points(big)
     found = None if in_big is None else materialize(check(materialize(bounded(stars, in_big), "jaccard-stars")), "jaccard-links")
     labels = components(found) if found is not None else None
@@ -650,9 +667,7 @@ def components_of_runs(runs: DataFrame, classes: DataFrame, bounded, find, check
             pairs = new if pairs is None else pairs.unionByName(new)
         pairs = pairs.distinct()
         if not pairs.isEmpty():
-            new = check(pairs)
-            found = materialize(new if found is None else new.unionByName(found), "jaccard-links")
-            labels = components(found)
+            labels = components(materialize(check(pairs), "jaccard-links"), labels)
         todo = [(of, points(of), labels, None, starred) for of, starred in cuts]
     return labels if labels is not None else runs.filter("false").select(F.col("sig").alias("v"), F.col("sig").alias("label"))
 
