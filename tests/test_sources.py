@@ -12,6 +12,7 @@ from graphlens.operators import setops
 from graphlens.operators.scoring import against, score
 from graphlens.plans import readouts as r
 from graphlens.sources.archives import read_archive, remembered
+from pyspark.sql import functions as F
 
 
 def archive(path, members):
@@ -131,3 +132,21 @@ def test_trade_joins_are_spread_by_rows(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" not in plan(few)
     assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in plan(many)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_trade_joins_keep_their_parts(spark, monkeypatch):
+    """Parts of a join are not merged where the session's shuffles have as many; customers and suppliers that are many meet in parts too."""
+    from graphlens.sources import fixture as fx
+
+    monkeypatch.setattr(fx, "ROWS", 3000)
+    a, b = (fx.spread(spark.range(8000).select(F.col("id").alias(n)), 8000, n) for n in "ab")
+    parts = a.join(b.hint("merge"), F.col("a") == F.col("b")).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 8000 and max(r["count"] for r in parts) <= 3000
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = fx.trade(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin [l_suppkey" in plan(few) and "BroadcastHashJoin [o_custkey" in plan(few)
+    monkeypatch.setattr(fx, "FEW", 0)
+    monkeypatch.setattr(fx, "ROWS", 100)
+    many = fx.trade(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in plan(many) and "SortMergeJoin [l_suppkey" in plan(many) and "SortMergeJoin [o_custkey" in plan(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
